@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, divergence, langid, licenses, quality_zstd, secrets, sharding, urlfilter
+from . import bpe, decontam, divergence, langid, licenses, ngram_join, quality_zstd, secrets, sharding, urlfilter
 from .common import held_out
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -64,8 +64,18 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rules_frame(spark))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item found in it; documents without leak have none."""
+    found = decontam.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep_text=False)
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.distance", "leak.start")
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_zstd, op2_secret_scan, op3_license_scan, op4_bpe, op5_divergence, op6_sharding, op7_langid, op8_url_filter)}
+    return {f.__name__: f for f in (op1_quality_zstd, op2_secret_scan, op3_license_scan, op4_bpe, op5_divergence, op6_sharding, op7_langid, op8_url_filter, op9_decontamination, op10_ngram_join)}
 
 
 def sql_string(x: str) -> str:
