@@ -1,17 +1,50 @@
-"""The queries of the library and their SQL."""
+"""The queries of the library and their SQL: modules of plans/ register them when they are imported."""
 
 from __future__ import annotations
 
+import importlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("scalars", "elements", "chunks", "joins", "aggregates", "windows", "retrieval", "io", "streams")
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query, with the SQL that gives the same rows where there is any."""
+
+    def keep(f: Query) -> Query:
+        if name in _queries:
+            raise ValueError(f"{name} is registered twice")
+        _queries[name] = f
+        if sql:
+            _sql[name] = sql
+        return f
+
+    return keep
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def queries() -> dict:
-    return {}
+
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"quillmill.plans.{m}")
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_sql)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["c13_native_chunk_stats"](spark, sf_dir)
