@@ -29,7 +29,7 @@ def flagship(spark, d):
 def document_elements(spark, d):
     """Documents as files of one element for each line."""
     docs = table(spark, d, "documents").select(F.col("lang").alias("book_id"), F.concat("source", F.lit("-"), F.col("doc_id").cast("string")).alias("source_file"), F.posexplode(F.split("text", "\n")).alias("elem_idx", "content"))
-    return docs.select("book_id", "source_file", "elem_idx", F.lit("text").alias("type"), "content", (F.col("elem_idx") % 9).alias("page_num"))
+    return docs.select("book_id", "source_file", "elem_idx", F.lit("text").alias("type"), "content", F.floor(F.col("elem_idx") / 9).cast("int").alias("page_num"))
 
 
 @query("c13_chunk_elements_documents")
