@@ -8,6 +8,7 @@ rules are verified on their candidates only. A rule without mandatory trigrams s
 from __future__ import annotations
 
 import itertools
+import re
 from dataclasses import dataclass
 from functools import reduce
 from re import _constants as sre
@@ -32,9 +33,14 @@ class Rule:
     base: bool = False
 
 
+def either_case(words: str) -> str:
+    """ASCII letters in either case, spelled out: engines differ in which other letters they fold."""
+    return re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", words)
+
+
 #: The base rules, in their order, and those that are added to them.
 RULES = (
-    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
+    Rule("assign", "(" + either_case("password|passwd|secret|token|api_?key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18, True),
     Rule("hex", r"[0-9a-f]{16,}", 0, 16, True),  # what remains of the matches of [0-9a-f]+ without the shorter ones
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
@@ -176,7 +182,8 @@ def digests(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """Each run of overlapping spans becomes mark; the other columns stay as they are. A null text stays null."""
+    """Each run of overlapping spans becomes mark; the other columns stay as they are, but for one that is named secret_spans.
+    A null text stays null."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -188,4 +195,4 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id"
 
     found = scan(docs, rules, key, text)
     clean = F.when(F.size("secret_spans") > 0, F.aggregate("secret_spans", start, step, finish)).otherwise(F.col(text))
-    return found.withColumn(text, clean).drop("secret_spans").select(docs.columns)
+    return found.withColumn(text, clean).drop("secret_spans")
