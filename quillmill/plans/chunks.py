@@ -136,7 +136,7 @@ def _(spark, d):
     return ops.chunk_quality_violations(views.chunks(spark, d))
 
 
-@query("a01_chunk_stats", f"SELECT lang, count(*) AS n, min(t) AS least, max(t) AS most, CAST(sum(t) // count(*) AS BIGINT) AS mean FROM (SELECT lang, {TOKENS} AS t FROM documents) AS x GROUP BY lang")
+@query("a01_chunk_stats", f"SELECT lang, count(*) AS n, CAST(min(t) AS INT) AS least, CAST(max(t) AS INT) AS most, CAST(sum(t) // count(*) AS BIGINT) AS mean FROM (SELECT lang, {TOKENS} AS t FROM documents) AS x GROUP BY lang")
 def _(spark, d):
     from quillmill.operators.aggregates import chunk_stats
 

@@ -111,7 +111,7 @@ def _(spark, d):
     return io.staged_file_validation(docs, docs.filter("doc_id % 3 <> 0")).join(docs, "path").select("doc_id", "reason")
 
 
-@query("x03_custom_tokenizer", "SELECT doc_id, len(list_filter(string_split_regex(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '')) AS n FROM documents")
+@query("x03_custom_tokenizer", "SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '')) AS INT) AS n FROM documents")
 def _(spark, d):
     @F.pandas_udf("int")
     def count(s: pd.Series) -> pd.Series:

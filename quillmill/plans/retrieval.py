@@ -14,7 +14,7 @@ DISTANCE = "round(1 - list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.
 
 
 def dense_sql(k: int) -> str:
-    return f"""(SELECT * FROM (SELECT q.vec_id AS qid, v.vec_id AS chunk_id, {DISTANCE} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {DISTANCE}, v.vec_id) AS rank
+    return f"""(SELECT * FROM (SELECT q.vec_id AS qid, v.vec_id AS chunk_id, {DISTANCE} AS distance, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {DISTANCE}, v.vec_id) AS INT) AS rank
       FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 20 = 0) AS q, (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) AS v) AS r WHERE rank <= {k})"""
 
 
@@ -52,7 +52,7 @@ def lexical_sql(k: int, by: str | None = None, queries: str = "SELECT item_id AS
       s AS (SELECT *, count(*) OVER (PARTITION BY term{g}) AS df FROM tf),
       q AS (SELECT qid{g}, unnest(list_distinct({TERMS})) AS term FROM ({queries}) AS b),
       r AS (SELECT qid, doc_id AS chunk_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / al))), 6) AS score FROM q JOIN s ON q.term = s.term{j} GROUP BY ALL)
-      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM r) AS x WHERE rank <= {k})"""
+      SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INT) AS rank FROM r) AS x WHERE rank <= {k})"""
 
 
 def lexical(spark, d, k):
@@ -84,7 +84,7 @@ def pools(spark, d):
 POOLS_SQL = f"(SELECT *, 'dense' AS pool FROM {dense_sql(50)} AS a UNION ALL SELECT *, 'half' FROM {dense_sql(50).replace('CAST(embedding AS DOUBLE[])', 'CAST(embedding[1:32] AS DOUBLE[])')} AS b)"
 
 
-@query("t04_rrf_fuse", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (SELECT qid, chunk_id, round(sum(CASE pool WHEN 'half' THEN 0.5 ELSE 1.0 END::DOUBLE / (60 + rank)), 9) AS score FROM {POOLS_SQL} AS p GROUP BY ALL) AS s) AS r WHERE rank <= 10")
+@query("t04_rrf_fuse", f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INT) AS rank FROM (SELECT qid, chunk_id, round(sum(CASE pool WHEN 'half' THEN 0.5 ELSE 1.0 END::DOUBLE / (60 + rank)), 9) AS score FROM {POOLS_SQL} AS p GROUP BY ALL) AS s) AS r WHERE rank <= 10")
 def _(spark, d):
     return ops.rrf_fuse(pools(spark, d), 10, {"half": 0.5})
 
@@ -94,7 +94,7 @@ def _(spark, d):
     return ops.concat_pools(pools(spark, d), {"dense": 30, "half": 20})
 
 
-@query("t06_rerank", rf"SELECT * FROM (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (SELECT l.qid, l.chunk_id, round(len(list_intersect(list_distinct({TERMS.replace('text', 'b.text')}), {TERMS.replace('text', 'd.text')})) / len(list_distinct({TERMS.replace('text', 'b.text')}))::DOUBLE, 6) AS score FROM {lexical_sql(10)} AS l JOIN benchmark AS b ON b.item_id = l.qid JOIN documents AS d ON d.doc_id = l.chunk_id) AS s) AS r WHERE rank <= 3")
+@query("t06_rerank", rf"SELECT * FROM (SELECT qid, chunk_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INT) AS rank FROM (SELECT l.qid, l.chunk_id, round(len(list_intersect(list_distinct({TERMS.replace('text', 'b.text')}), {TERMS.replace('text', 'd.text')})) / len(list_distinct({TERMS.replace('text', 'b.text')}))::DOUBLE, 6) AS score FROM {lexical_sql(10)} AS l JOIN benchmark AS b ON b.item_id = l.qid JOIN documents AS d ON d.doc_id = l.chunk_id) AS s) AS r WHERE rank <= 3")
 def _(spark, d):
     pairs = lexical(spark, d, 10).select("qid", "chunk_id").join(table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query")), "qid")
     return ops.rerank(pairs.join(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), "chunk_id"), 3)

@@ -19,12 +19,12 @@ def docs(spark, d):
     return table(spark, d, "documents")
 
 
-@query("c01_token_count", f"SELECT doc_id, {TOKENS} AS n_tokens FROM documents")
+@query("c01_token_count", f"SELECT doc_id, CAST({TOKENS} AS INT) AS n_tokens FROM documents")
 def _(spark, d):
     return docs(spark, d).select("doc_id", f.token_count(F.col("text")).alias("n_tokens"))
 
 
-@query("c02_split_sentences", f"SELECT doc_id, len({SENTENCES}) AS n_sentences, sha256(array_to_string({SENTENCES}, chr(1))) AS digest FROM documents")
+@query("c02_split_sentences", f"SELECT doc_id, CAST(len({SENTENCES}) AS INT) AS n_sentences, sha256(array_to_string({SENTENCES}, chr(1))) AS digest FROM documents")
 def _(spark, d):
     s = f.sentences(F.col("text"))
     return docs(spark, d).select("doc_id", F.size(s).alias("n_sentences"), F.sha2(F.array_join(s, "\x01"), 256).alias("digest"))
