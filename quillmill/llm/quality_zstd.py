@@ -154,14 +154,17 @@ def fit_texts(rows: list[tuple[str, int]]) -> ZstdQuality:
     return ZstdQuality(good[:size], bad[:size], *calibrate(values, labels))
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", max_docs: int = MAX_DOCS) -> ZstdQuality:
-    """labelled: rows with a text and a label 0 or 1; rows with a null or another label, or longer than MAX_CHARS, aren't sampled.
-
-    What the driver gets is bounded by 2 * max_docs * MAX_CHARS characters."""
-    rows = labelled.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(label).cast("int").alias("_label"))
-    rows = rows.filter(F.col("_label").isin(0, 1) & (F.length("_text") <= MAX_CHARS) & (F.length("_text") > 0))
-    sample = bounded_sample(rows, "_label", F.col("_key"), max_docs).select("_text", "_label", "_key").collect()
-    return fit_texts([(r["_text"], r["_label"]) for r in sorted(sample, key=lambda r: (str(r["_key"]), r["_text"]))])
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", max_docs: int = MAX_DOCS) -> ZstdQuality:
+    """docs and labels meet by key; rows with a null or another label than 0 and 1, or longer than MAX_CHARS, aren't learned from.
+
+    Ids are sampled first, so that their texts are found by one scan with a broadcast of at most 4 * max_docs ids; what the
+    driver gets is bounded by as many texts of MAX_CHARS, of which max_docs of each label are taken."""
+    rows = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")).filter(F.col("_label").isin(0, 1) & F.col("_key").isNotNull())
+    ids = bounded_sample(rows, "_label", F.col("_key"), 2 * max_docs)
+    found = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).filter((F.length("_text") <= MAX_CHARS) & (F.length("_text") > 0))
+    sample = found.join(F.broadcast(ids), F.col("_doc") == F.col("_key")).select("_text", "_label", F.xxhash64("_key").alias("_order"), "_key").collect()
+    by = {y: sorted((r["_order"], str(r["_key"]), r["_text"]) for r in sample if r["_label"] == y)[:max_docs] for y in (0, 1)}
+    return fit_texts([(t, y) for y, rows in by.items() for _, _, t in rows])
 
 
 def score(docs: DataFrame, model: ZstdQuality, text: str = "text", threshold: float = 0.7, keep_text: bool = True) -> DataFrame:

@@ -22,8 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def quality_model(documents: DataFrame, labels: DataFrame) -> quality_zstd.ZstdQuality:
     """Learned from labelled rows that aren't held out."""
-    learn = documents.filter(~held_out()).select("doc_id", "text").join(labels.select("doc_id", "quality"), "doc_id")
-    return quality_zstd.fit(learn)
+    return quality_zstd.fit(documents, labels.filter(~held_out()))
 
 
 def op1_quality_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,8 +48,10 @@ def test_clashing_columns(name, spark):
 
 
 def test_empty_labels_and_languages(spark):
-    labelled = empty(spark).withColumn("quality", F.lit(1))
-    assert quality_zstd.score(odd(spark), quality_zstd.fit(labelled)).filter("score <> 0.5").count() == 0
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality_zstd.score(odd(spark), quality_zstd.fit(odd(spark), none)).filter("score <> 0.5").count() == 0
+    strange = spark.createDataFrame([(1, 1), (2, None), (None, 0), (6, 5), (7, 0), (7, 0)], "doc_id long, quality int")
+    assert quality_zstd.score(odd(spark), quality_zstd.fit(odd(spark), strange)).count() == odd(spark).count()
     none = langid.fit(empty(spark), ["a"])
     assert {r["lang_pred"] for r in langid.predict(odd(spark), none).collect()} == {"und"}
     assert decontam.find(odd(spark), spark.createDataFrame([], "item_id long, text string")).filter("size(leaks) > 0").count() == 0

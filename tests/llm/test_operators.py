@@ -34,7 +34,7 @@ def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.1"
     labels = table(spark, "labels", sf)
     docs = table(spark, "documents", sf).join(labels, "doc_id").select("doc_id", "text", "quality")
-    model = queries.quality_model(docs.drop("quality"), labels)
+    model = queries.quality_model(docs, labels)
     rows = quality_zstd.score(docs.filter(queries.held_out()), model, keep_text=False).collect()
     assert sum(r["predicted"] == r["quality"] for r in rows) / len(rows) > 0.95
     good = [r for r in rows if r["quality"] == 1]
