@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +38,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Spark deletes the shuffle files of plans that nothing refers to any more; without a collection on the driver
+        they would stay until the operator ends."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         """Remove a table that no later plan reads."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -96,9 +103,16 @@ def portions(many: Iterator[str | None], most: int) -> Iterator[list[str | None]
         yield some
 
 
-def bounded_sample(df: DataFrame, by: str, key: Column, per_value: int) -> DataFrame:
-    """At most per_value rows of each value of by, the same rows at any partitioning: those with the least hash of key."""
-    from pyspark.sql import Window
+def bounded_sample(df: DataFrame, by: str, key: Column, per_value: int, population: DataFrame | None = None) -> DataFrame:
+    """About the per_value rows of each value of by with the least hashes of key: the same rows at any partitioning.
 
-    w = Window.partitionBy(by).orderBy(F.xxhash64(key), key)
-    return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= per_value).drop("_rank")
+    The values are few (labels, languages). Their counts, in population if that is cheaper to read than df, say below which
+    hash three times as many rows are to be expected; only those are sorted, so no task gets all rows of a value."""
+    counts = (population or df).groupBy(by).count().collect()
+    share = F.lit(0.0)
+    for r in counts:
+        share = F.when(F.col(by).eqNullSafe(F.lit(r[0])), min(1.0, 3 * per_value / r[1])).otherwise(share)
+    place = F.xxhash64(key)
+    few = df.filter(place.cast("double") / 2.0**64 + 0.5 <= share)
+    w = Window.partitionBy(by).orderBy(place, key)
+    return few.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= per_value).drop("_rank")

@@ -213,7 +213,8 @@ def fit(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "lan
     Languages are taken as a small set of values, as any such column has; rows without text or lang are not learned from."""
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
     rows = rows.filter(F.col("_lang").isNotNull() & (F.length("_text") > 0) & (F.length("_text") <= MAX_CHARS))
-    sample = bounded_sample(rows, "_lang", F.col("_key"), max_docs).select("_text", "_lang").collect()
+    population = docs.select(F.col(lang).alias("_lang")).filter("_lang IS NOT NULL")
+    sample = bounded_sample(rows, "_lang", F.col("_key"), max_docs, population).select("_text", "_lang").collect()
     return fit_texts(sorted((r["_text"], r["_lang"]) for r in sample), pieces)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from quillmill.llm import bpe, decontam, divergence, graph, langid, licenses, ngram_join, quality_zstd, queries, secrets, sharding, urlfilter
-from quillmill.llm.common import Scratch
+from quillmill.llm.common import Scratch, bounded_sample
 
 from ..conftest import SF
 from .helpers import prose
@@ -381,3 +381,11 @@ def test_components_of_chains_and_stars(spark):
 def test_crc_folds(spark):
     rows = spark.range(200).select("id", queries.held_out("id").alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) for r in rows)
+
+
+def test_bounded_sample(spark):
+    d = spark.range(20_000).withColumn("v", F.when(F.col("id") % 100 == 0, "rare").when(F.col("id") % 2 == 0, "even"))
+    rows = bounded_sample(d, "v", F.col("id"), 300).collect()
+    n = collections.Counter(r["v"] for r in rows)
+    assert n == {"rare": 200, "even": 300, None: 300}
+    assert sorted(r["id"] for r in bounded_sample(d.repartition(7), "v", F.col("id"), 300).collect()) == sorted(r["id"] for r in rows)
