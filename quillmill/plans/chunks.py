@@ -141,3 +141,21 @@ def _(spark, d):
     from quillmill.operators.aggregates import chunk_stats
 
     return chunk_stats(table(spark, d, "documents").withColumn("token_count", token_count(F.col("text"))).withColumnRenamed("lang", "element_type"), "element_type").withColumnRenamed("element_type", "lang")
+
+
+def of_parts(spark, d, *elements: tuple[str, str]):
+    """Chunks of a small file for each part, its elements written by SQL expressions over the table's columns."""
+    rows = [F.struct(F.lit(n).alias("elem_idx"), F.lit(kind).alias("type"), F.expr(content).alias("content")) for n, (kind, content) in enumerate(elements)]
+    e = table(spark, d, "part").select(F.lit("parts").alias("book_id"), F.col("p_partkey").cast("string").alias("source_file"), F.explode(F.array(*rows)).alias("e"))
+    out = ops.chunk_elements(e.select("book_id", "source_file", "e.*", F.lit(2).alias("page_num")))
+    return out.select("chunk_id", "element_type", "content")
+
+
+@query("c08_move_lead_in_sentence", "SELECT 'parts/' || p_partkey || '/p0002/0000' AS chunk_id, 'text' AS element_type, p_name || ' is sold.' AS content FROM part UNION ALL SELECT 'parts/' || p_partkey || '/p0002/0001', 'table', 'See also: | ' || p_brand || ' |' FROM part")
+def _(spark, d):
+    return of_parts(spark, d, ("text", "p_name || ' is sold. See also:'"), ("table", "'| ' || p_brand || ' |'"))
+
+
+@query("c09_merge_split_tables", "SELECT 'parts/' || p_partkey || '/p0002/0000' AS chunk_id, 'table' AS element_type, '| ' || p_name || ' |' || chr(10) || '-|-' || chr(10) || '| ' || p_brand || ' | Table 1: ' || p_type AS content FROM part")
+def _(spark, d):
+    return of_parts(spark, d, ("table", "'| ' || p_name || ' |'"), ("table", "'-|-' || char(10) || '| ' || p_brand || ' |'"), ("text", "'Table 1: ' || p_type"))

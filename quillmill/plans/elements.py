@@ -169,3 +169,53 @@ def _(spark, d):
 def _(spark, d):
     e = table(spark, d, "events")
     return ops.degrade_after_failures(e, 3, "user_id", ["ts", "event_id"], F.col("event_type") == "error").select("event_id", "degraded")
+
+
+def built(spark, d, html: str):
+    """Elements of a small page for each part, its HTML written by an SQL expression over the table's columns."""
+    pages = table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.expr(html).alias("html"))
+    return html_to_elements(pages).select("page_id", "elem_idx", "type", "content")
+
+
+def built_sql(*elements: tuple[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT p_partkey AS page_id, {n}::INT AS elem_idx, '{kind}' AS type, {content} AS content FROM part" for n, (kind, content) in enumerate(elements))
+
+
+@query("e04_headings", built_sql(("text", "'## ' || p_name"), ("text", "p_brand")))
+def _(spark, d):
+    return built(spark, d, "'<body><h2> ' || p_name || '</h2><h5>' || p_brand || '</h5></body>'")
+
+
+@query("e05_paragraph_figures", built_sql(("figure", "'![' || p_brand || '](i.png)'"), ("text", "p_name || ' $$' || p_size || '^{2}$$ end'")))
+def _(spark, d):
+    return built(spark, d, "'<p>' || p_name || '<img src=\"i.png\" alt=\"' || p_brand || '\"> <math><msup><mi>' || p_size || '</mi><mn>2</mn></msup></math>  end</p>'")
+
+
+@query("e06_pre", built_sql(("code", "p_name || chr(10) || '  x'")))
+def _(spark, d):
+    return built(spark, d, "'<pre> ' || p_name || char(10) || '  x </pre>'")
+
+
+@query("e07_table_markdown", built_sql(("table", "'| name | size |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_name || ' | ' || p_size || ' |'")))
+def _(spark, d):
+    return built(spark, d, "'<table><tr><th>name</th><th>size</th></tr><tr><td>' || p_name || '<td> ' || p_size || ' </tr></table>'")
+
+
+@query("e08_layout_table", built_sql(("text", "p_name || chr(10) || p_brand"), ("text", "p_name || ' ' || p_brand")))
+def _(spark, d):
+    return built(spark, d, "'<table><tr><td>' || p_name || '</td></tr><tr><td>' || p_brand || '</td></tr></table><table class=\"x-list\"><tr><td>' || p_name || '</td><td>' || p_brand || '</td></tr></table>'")
+
+
+@query("e09_lists_quotes", built_sql(("text", "'1. ' || p_name || chr(10) || '2. ' || p_brand"), ("text", "'- ' || p_type"), ("text", "'> ' || p_name || chr(10) || '> ' || p_brand")))
+def _(spark, d):
+    return built(spark, d, "'<ol><li>' || p_name || '<li> <li>' || p_brand || '</ol><ul><li>' || p_type || '</ul><blockquote>' || p_name || '<br>' || p_brand || '</blockquote>'")
+
+
+@query("e10_containers", built_sql(("text", "p_name"), ("text", "p_brand")))
+def _(spark, d):
+    return built(spark, d, "'<nav>n</nav><main><section><p>' || p_name || '</section></main><form>f</form><address>' || p_brand || '</address>'")
+
+
+@query("e14_mathml", built_sql(("formula", "'$$\\frac{' || p_size || '}{\\sqrt{2}}$$'")))
+def _(spark, d):
+    return built(spark, d, "'<math><mfrac><mi>' || p_size || '</mi><msqrt><mn>2</mn></msqrt></mfrac></math>'")
