@@ -7,6 +7,12 @@ D = (a + b)(1 - t) / (1 + t) tokens, so at least K - D of their K signs agree (p
 the first D + 1 of either then have one in common: only these are keys of the join. A set also meets the next lower band
 if a partner can lie there, so each pair has a band in which both are.
 
+A key may be common for another reason: a block that holds nothing but shingles of a passage that many sets share. Sets
+with such keys, whose groups stay in several components, get keys anew in an order that has the common ones last; blocks
+are a few more than pigeonholes need, so that others can take their place. Where too few others are, blocks shrink to
+one token and the rarest come first. The order of the signs may be any, as long as it is one for all: a pair of similar
+sets again has a key in common.
+
 Pairs that met are held against a bit sketch: tokens toggle one bit each, so the Hamming distance of two sketches is no
 more than the symmetric difference; what is within D is verified exactly on the texts. Copies of one text are one
 node. In a group of sets with one key every set meets the group's least first; only where that leaves a group in several
@@ -21,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +36,10 @@ from .graph import components
 
 #: Words of a shingle, and the least similarity as a fraction.
 WORDS, SIMILAR = 5, (80, 100)
+#: Members from which on the key of a group in several components is common.
+COMMON = 8
+#: Ids up to which they are sent to every executor to fetch their texts: below 32 MB.
+BROADCAST_IDS = 500_000
 PRIME, MIX_1, MIX_2, GOLDEN = (np.uint64(x) for x in (0x100000001B3, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
 
@@ -66,7 +76,7 @@ class Bands:
         self.blocks = []
         for low, high in zip(self.edges, self.edges[1:], strict=False):
             d = self.differ(high - 1, self.largest(high - 1))
-            self.blocks.append(d + d // 16 + 4 if d else 1)
+            self.blocks.append(d + d // 8 + 6 if d else 1)
 
     def largest(self, a: int) -> int:
         """The size of the largest set that a set of size a can be similar to."""
@@ -76,29 +86,32 @@ class Bands:
         """The most tokens in which similar sets of these sizes differ."""
         return (a + b) * (self.den - self.num) // (self.den + self.num)
 
-    def keys(self, hashes: np.ndarray) -> np.ndarray:
-        """The join keys of a set, in its band and, where a smaller partner can be, in the one below."""
-        n = len(hashes)
-        if not n:
-            return np.zeros(0, np.uint64)
+    def homes(self, n: int) -> list[tuple[int, int]]:
+        """(band, number of keys) of a set of size n: its own band and, where a smaller partner can be, the one below."""
         band = bisect_right(self.edges, n) - 1
-        out = [self.first(hashes, band, self.differ(n, self.largest(n)) + 1)]
+        out = [(band, self.differ(n, self.largest(n)) + 1)]
         if band and n <= self.largest(self.edges[band] - 1):
-            out.append(self.first(hashes, band - 1, self.differ(n, self.edges[band] - 1) + 1))
-        return np.concatenate(out)
+            out.append((band - 1, self.differ(n, self.edges[band] - 1) + 1))
+        return out
 
-    def first(self, hashes: np.ndarray, band: int, count: int) -> np.ndarray:
-        """The first count signs; blocks without tokens come last, as they tell nothing."""
+    def keys(self, hashes: np.ndarray) -> np.ndarray:
+        """The join keys of a set: of each home the first signs; blocks without tokens come last, as they tell nothing."""
+        out = []
+        for band, count in self.homes(len(hashes)) if len(hashes) else ():
+            signs, empty = self.signs(hashes, band, count)
+            out.append(np.concatenate([signs, empty])[:count])
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+    def signs(self, hashes: np.ndarray, band: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted signs of the blocks with tokens, and of those without if the former are fewer than count."""
         k = self.blocks[band]
         block = (hashes >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)  # grows with the hash, so a block is a run
         starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         which = block[starts]
         salt = np.uint64(band) << np.uint64(40)
         signs = np.sort(mix(np.bitwise_xor.reduceat(hashes, starts) ^ mix(which + salt + GOLDEN)))
-        if len(signs) < count:
-            empty = np.setdiff1d(np.arange(k, dtype=np.uint64), which)
-            signs = np.concatenate([signs, np.sort(mix(mix(empty + salt + GOLDEN) ^ GOLDEN))])
-        return signs[:count]
+        empty = np.setdiff1d(np.arange(k, dtype=np.uint64), which) if len(signs) < count else which[:0]
+        return signs, np.sort(mix(mix(empty + salt + GOLDEN) ^ GOLDEN))
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -116,15 +129,30 @@ def hamming(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
-def nodes(docs: DataFrame, key: str, text: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """ids (id, hash): every row; firsts (hash, node): each distinct text with its least id; texts (node, text)."""
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    ids = scratch.write(rows.select("id", F.md5("text").alias("hash")), "ids")
-    firsts = scratch.write(ids.filter("id IS NOT NULL").groupBy("hash").agg(F.min("id").alias("node")), "firsts")
-    side = firsts.select("node", F.col("hash").alias("first_hash"))
-    # By id, not by hash: rows of one text, however many, spread over all tasks.
-    texts = rows.join(side.hint("shuffle_hash"), F.col("id") == F.col("node")).filter(F.md5("text") == F.col("first_hash"))
-    return ids, firsts, texts.select("node", "text", F.col("first_hash").alias("hash"))
+class Corpus:
+    """The rows of a table, its distinct texts and their least ids. ids (id, hash): every row; firsts (hash, node)."""
+
+    def __init__(self, docs: DataFrame, key: str, text: str, scratch: Scratch):
+        self.scratch = scratch
+        self.rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+        self.ids = scratch.write(self.rows.select("id", F.md5("text").alias("hash")), "ids")
+        self.firsts = scratch.write(self.ids.filter("id IS NOT NULL").groupBy("hash").agg(F.min("id").alias("node")), "firsts")
+
+    def first_texts(self, rows: DataFrame) -> DataFrame:
+        """(node, text, hash) of the rows that have a text's least id. Rows meet firsts by id, not by hash: rows of one text,
+        however many, spread over all tasks."""
+        side = self.firsts.select("node", F.col("hash").alias("first_hash"))
+        found = rows.join(side.hint("shuffle_hash"), F.col("id") == F.col("node")).filter(F.md5("text") == F.col("first_hash"))
+        return found.select("node", "text", F.col("first_hash").alias("hash"))
+
+    def all_texts(self) -> DataFrame:
+        return self.first_texts(self.rows)
+
+    def texts_of(self, wanted: DataFrame, name: str) -> DataFrame:
+        """The same for the ids of wanted (w): up to BROADCAST_IDS of them are sent to the texts, else both are shuffled."""
+        ids = self.scratch.write(wanted.distinct(), name)
+        side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+        return self.first_texts(self.rows.join(side, F.col("id") == F.col("w")).select("id", "text"))
 
 
 def sets(texts: DataFrame, bands: Bands) -> DataFrame:
@@ -210,7 +238,7 @@ def cross(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, found: DataFrame, texts: DataFrame, bands: Bands, scratch: Scratch, name: str) -> DataFrame:
+def verify(pairs: DataFrame, found: DataFrame, corpus: Corpus, bands: Bands, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b), distinct, that are similar: first by their sketches, then exactly by their texts."""
     side = found.select("node", "n", "sketch")
     near = pairs.join(side.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b")).hint("merge"), "b")
@@ -224,8 +252,7 @@ def verify(pairs: DataFrame, found: DataFrame, texts: DataFrame, bands: Bands, s
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     near = scratch.write(near.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(by_sketch, "a long, b long"), f"{name}-near")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("w")).distinct()
-    own = scratch.write(texts.join(wanted.hint("shuffle_hash"), F.col("node") == F.col("w")).select("node", "text"), f"{name}-texts")
+    own = scratch.write(corpus.texts_of(near.select(F.explode(F.array("a", "b")).alias("w")), f"{name}-wanted").select("node", "text"), f"{name}-texts")
     both = near.join(own.select(F.col("node").alias("b"), F.col("text").alias("t_b")).hint("merge"), "b")
     both = both.join(own.select(F.col("node").alias("a"), F.col("text").alias("t_a")).hint("merge"), "a")
 
@@ -244,31 +271,91 @@ def verify(pairs: DataFrame, found: DataFrame, texts: DataFrame, bands: Bands, s
     return scratch.write(both.select("a", "b", "t_a", "t_b").mapInArrow(exactly, "a long, b long"), f"{name}-links")
 
 
+def keys_of_other_blocks(texts: DataFrame, common: DataFrame, bands: Bands) -> DataFrame:
+    """texts (node, text): (key, node, n) as sets() and explode give them, but with the keys of common (key) late."""
+
+    def all_signs(batches):
+        for batch in batches:
+            for node, text in zip(batch.column("node"), batch.column("text"), strict=True):
+                h = shingles(text.as_py())
+                for home, (band, count) in enumerate(bands.homes(len(h)) if len(h) else ()):
+                    signs, empty = bands.signs(h, band, 1 << 60)
+                    m = len(signs) + len(empty)
+                    fixed = [pa.array(np.full(m, x)) for x in (node.as_py(), len(h), home, count)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([signs, empty]).view(np.int64)), *fixed, pa.array(np.repeat([0, 2], [len(signs), len(empty)]))], names=["key", "node", "n", "home", "count", "place"])
+
+    every = texts.select("node", "text").mapInArrow(all_signs, "key long, node long, n long, home long, count long, place long")
+    marked = every.join(common.select("key", F.lit(1).alias("common")).hint("merge"), "key", "left")
+    order = Window.partitionBy("node", "home").orderBy(F.greatest("place", F.coalesce("common", F.lit(0))), "key")  # as many rows as the set has blocks
+    return marked.withColumn("k", F.row_number().over(order)).filter("k <= count").select("key", "node", "n")
+
+
+def keys_of_rare_tokens(texts: DataFrame, common: DataFrame, bands: Bands) -> DataFrame:
+    """The same with blocks so fine that each has one token, the rarest among these texts first; common isn't needed.
+
+    Sets differ in at most D tokens, so the first D + 1 of either, in one order for all, have one in common."""
+
+    def all_tokens(batches):
+        for batch in batches:
+            for node, text in zip(batch.column("node"), batch.column("text"), strict=True):
+                h = shingles(text.as_py())
+                fixed = [pa.array(np.full(len(h), x, np.int64)) for x in (node.as_py(), len(h), bands.differ(len(h), bands.largest(len(h))) + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *fixed], names=["key", "node", "n", "count"])
+
+    every = texts.select("node", "text").mapInArrow(all_tokens, "key long, node long, n long, count long")
+    held = every.groupBy("key").agg(F.count("*").alias("held"))
+    order = Window.partitionBy("node").orderBy("held", "key")
+    return every.join(held.hint("merge"), "key").withColumn("k", F.row_number().over(order)).filter("k <= count").select("key", "node", "n")
+
+
+def open_groups(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, component, size) of the groups of three or more that are in several components."""
+    large = met.filter("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("node")).distinct()
+    known = large.join(labels.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    several = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low < high").select("key", "size")
+    return known.join(several.hint("merge"), "key")
+
+
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """key, n_shingles (long) and component_id (long) of each row of docs: the least id reachable by links, itself included.
 
     Null, empty and blank texts have no shingles and no links. Rows with equal texts have equal sets and are linked; rows
-    that share an id are one document and linked by any of their texts. Rows with a null id keep a null component."""
+    that share an id are one document and linked by any of their texts. Rows with a null id have a null component, and
+    no shingles are counted for them if no row with an id has their text."""
     scratch, bands = Scratch(docs.sparkSession, "ngram-join"), Bands(similar)
-    ids, firsts, texts = nodes(docs, key, text, scratch)
-    found = scratch.write(sets(texts, bands), "sets")
-    rows = found.select(F.explode("keys").alias("key"), "node", "n")
-    met = scratch.write(meet(rows, similar), "met")
-    pairs = met.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    links = verify(pairs, found, texts, bands, scratch, "first")
-    labels = components(links, scratch)
-    # Groups that are still in several components: the pairs between these, but for those that were verified.
-    large = met.filter("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("node"))
-    known = large.join(labels.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    known = scratch.write(known, "known")
-    open_keys = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    rest = known.join(open_keys.hint("merge"), "key", "left_semi").join(found.select("node", "n").hint("merge"), "node").select("key", "node", "n", "component")
-    more = scratch.write(cross(rest, similar).distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti"), "more")
-    if more.limit(1).count():
-        links = links.union(verify(more, found, texts, bands, scratch, "second"))
-        labels = components(links, scratch, "final")
-    of_node = firsts.join(found.select("node", "hash", "n").distinct().hint("merge"), ["node", "hash"]).join(labels.hint("merge"), "node", "left")
+    corpus = Corpus(docs, key, text, scratch)
+    keyed = scratch.write(sets(corpus.all_texts(), bands), "keyed")
+    scratch.release()
+    met = scratch.write(meet(keyed.select(F.explode("keys").alias("key"), "node", "n"), similar), "met-0")
+    found = scratch.write(keyed.drop("keys"), "sets")
+    scratch.drop("keyed")
+    sizes = found.select("node", "n").distinct().hint("merge")
+    firsts_met = lambda met: met.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    seen = scratch.write(firsts_met(met).distinct(), "pairs-0")
+    scratch.release()
+    links = verify(seen, found, corpus, bands, scratch, "v0")
+    labels = components(links, scratch, "labels-0")
+    # Groups that are still in several components. Of the small ones all pairs between components follow; the keys of the
+    # others are common, and their sets get new ones: first from other blocks, then, where these don't do, from rare tokens.
+    for step, anew in enumerate((keys_of_other_blocks, keys_of_rare_tokens), 1):
+        still = scratch.write(open_groups(met, labels), f"open-{step}")
+        common = scratch.write(still.filter(F.col("size") >= COMMON).select("key").distinct(), f"common-{step}")
+        texts = corpus.texts_of(still.filter(F.col("size") >= COMMON).select(F.col("node").alias("w")), f"affected-{step}")
+        met = scratch.write(meet(anew(texts, common, bands), similar), f"met-{step}")
+        scratch.release()
+        few = still.filter(F.col("size") < COMMON).join(sizes, "node").select("key", "node", "n", "component")
+        more = cross(few, similar).union(firsts_met(met)).distinct().join(seen.hint("merge"), ["a", "b"], "left_anti")
+        more = scratch.write(more, f"pairs-{step}")
+        seen = seen.union(more)
+        links = links.union(verify(more, found, corpus, bands, scratch, f"v{step}"))
+        labels = components(links, scratch, f"labels-{step}")
+        scratch.release()
+    rest = open_groups(met, labels).join(sizes, "node").select("key", "node", "n", "component")
+    last = scratch.write(cross(rest, similar).distinct().join(seen.hint("merge"), ["a", "b"], "left_anti"), "pairs-last")
+    if last.limit(1).count():
+        labels = components(links.union(verify(last, found, corpus, bands, scratch, "last")), scratch, "labels-last")
+    of_node = corpus.firsts.join(found.select("node", "hash", "n").distinct().hint("merge"), ["node", "hash"]).join(labels.hint("merge"), "node", "left")
     of_node = of_node.select(F.col("hash").alias("node_hash"), "n", F.coalesce("component", "node").alias("component"))
-    of_row = ids.join(scratch.write(of_node, "classes").hint("merge"), F.col("hash") == F.col("node_hash"), "left")
+    of_row = corpus.ids.join(scratch.write(of_node, "classes").hint("merge"), F.col("hash") == F.col("node_hash"), "left")
     component = F.when(F.coalesce("n", F.lit(0)) > 0, F.least("component", "id")).otherwise(F.col("id"))
-    return of_row.select(F.col("id").cast(docs.schema[key].dataType).alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), component.alias("component_id"))
+    return of_row.select(F.col("id").cast(docs.schema[key].dataType).alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"))
