@@ -121,12 +121,16 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.packbits(at.astype(np.uint8), bitorder="little").tobytes()
 
 
+def fold(x: bytes, length: int) -> np.ndarray:
+    """A sketch at a shorter length, which keeps the lower bound. Partners of a set are no smaller; a shorter sketch is all zeros."""
+    bits = np.frombuffer(x, np.uint8)
+    return np.bitwise_xor.reduce(bits.reshape(-1, length), axis=0) if len(bits) >= length else np.zeros(length, np.uint8)
+
+
 def hamming(x: bytes, y: bytes) -> int:
-    """Distance of two sketches; the longer one is folded, which keeps the lower bound."""
-    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
-    if len(a) < len(b):
-        b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
-    return int(np.bitwise_count(a ^ b).sum())
+    """Distance of two sketches, at the length of the shorter one."""
+    length = min(len(x), len(y))
+    return int(np.bitwise_count(fold(x, length) ^ fold(y, length)).sum())
 
 
 class Corpus:
@@ -180,7 +184,7 @@ def groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.
     """Whole groups of equal first columns from sorted batches; several groups at a time."""
     rest: list[np.ndarray] | None = None
     for batch in batches:
-        now = [batch.column(k).to_numpy() for k in range(columns)]
+        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(columns)]
         if rest is not None:
             now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
         if not len(now[0]):
@@ -216,26 +220,34 @@ def meet(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "kind int, x long, y long")
 
 
-def cross(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """rows (key, node, n, component): the pairs (a, b) of a group whose components differ and whose sizes can be similar."""
-    num, den = similar
+def cross(rows: DataFrame, bands: Bands) -> DataFrame:
+    """rows (key, node, n, sketch, component): the pairs (a, b) of a group whose components differ, whose sizes can be similar
+    and whose sketches are near enough. A pair is a row only once it has passed the sketches."""
 
     def run(batches):
-        for columns in groups(batches, 4):
-            key = columns[0]
+        for key, *columns in groups(batches, 5):
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             for i, j in zip(starts, np.append(starts[1:], len(key)), strict=True):
-                order = np.argsort(columns[2][i:j], kind="stable")
-                node, n, component = (c[i:j][order] for c in columns[1:])
+                order = np.argsort(columns[1][i:j], kind="stable")
+                node, n, bits, component = (c[i:j][order] for c in columns)
                 # Sorted by size: partners of a set are the next ones, up to the largest that it can be similar to.
-                last = np.searchsorted(n, n * den // num, side="right")
+                last = np.searchsorted(n, n * bands.den // bands.num, side="right")
+                by_length: dict[int, np.ndarray] = {}
                 for k in range(len(n)):
                     other = np.flatnonzero(component[k + 1 : last[k]] != component[k]) + k + 1
+                    if not len(other):
+                        continue
+                    length = len(bits[k])
+                    if length not in by_length:
+                        by_length[length] = np.stack([fold(x, length) for x in bits])
+                    m = by_length[length]
+                    far = np.bitwise_count(m[other] ^ m[k]).sum(axis=1, dtype=np.int64)
+                    other = other[far <= (n[other] + n[k]) * (bands.den - bands.num) // (bands.den + bands.num)]
                     if len(other):
                         a, b = np.minimum(node[k], node[other]), np.maximum(node[k], node[other])
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return rows.select("key", "node", "n", "sketch", "component").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def verify(pairs: DataFrame, found: DataFrame, corpus: Corpus, bands: Bands, scratch: Scratch, name: str) -> DataFrame:
@@ -329,7 +341,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", sim
     met = scratch.write(meet(keyed.select(F.explode("keys").alias("key"), "node", "n"), similar), "met-0")
     found = scratch.write(keyed.drop("keys"), "sets")
     scratch.drop("keyed")
-    sizes = found.select("node", "n").distinct().hint("merge")
+    sizes = found.select("node", "n", "sketch").distinct().hint("merge")
     firsts_met = lambda met: met.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"))
     seen = scratch.write(firsts_met(met).distinct(), "pairs-0")
     scratch.release()
@@ -343,15 +355,15 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", sim
         texts = corpus.texts_of(still.filter(F.col("size") >= COMMON).select(F.col("node").alias("w")), f"affected-{step}")
         met = scratch.write(meet(anew(texts, common, bands), similar), f"met-{step}")
         scratch.release()
-        few = still.filter(F.col("size") < COMMON).join(sizes, "node").select("key", "node", "n", "component")
-        more = cross(few, similar).union(firsts_met(met)).distinct().join(seen.hint("merge"), ["a", "b"], "left_anti")
+        few = still.filter(F.col("size") < COMMON).join(sizes, "node")
+        more = cross(few, bands).union(firsts_met(met)).distinct().join(seen.hint("merge"), ["a", "b"], "left_anti")
         more = scratch.write(more, f"pairs-{step}")
         seen = seen.union(more)
         links = links.union(verify(more, found, corpus, bands, scratch, f"v{step}"))
         labels = components(links, scratch, f"labels-{step}")
         scratch.release()
-    rest = open_groups(met, labels).join(sizes, "node").select("key", "node", "n", "component")
-    last = scratch.write(cross(rest, similar).distinct().join(seen.hint("merge"), ["a", "b"], "left_anti"), "pairs-last")
+    rest = open_groups(met, labels).join(sizes, "node")
+    last = scratch.write(cross(rest, bands).distinct().join(seen.hint("merge"), ["a", "b"], "left_anti"), "pairs-last")
     if last.limit(1).count():
         labels = components(links.union(verify(last, found, corpus, bands, scratch, "last")), scratch, "labels-last")
     of_node = corpus.firsts.join(found.select("node", "hash", "n").distinct().hint("merge"), ["node", "hash"]).join(labels.hint("merge"), "node", "left")
