@@ -4,7 +4,9 @@ Texts and items are sequences of normalised words. The CGK embedding walks throu
 word it stands on and moves on or stays, as a random function of step and word says; words that an edit shifted soon
 fall into step again, so edit distance becomes Hamming distance. Bit sampling makes locality-sensitive keys of it: a few
 sampled steps are a key, repeated with fresh walks and samples until the recall is reached. Windows as long as the
-items start at every word; where a window's key is an item's, an exact edit distance decides.
+items start at every word; where a window's key is an item's, an exact edit distance decides. A long item is cut into
+segments, each with keys of its own: of segments that cover the item, one at least has no more than its share of the edits,
+wherever they lie. The distance that decides is the whole item's.
 
 Before any walk one bound prunes, without loss: e edits leave all but e of an item's words in the window, of any kind of
 words. So a window can't match that has fewer words of the benchmark's vocabulary, or of what few items
@@ -28,7 +30,7 @@ from .common import append_arrow, portions, texts, without
 
 #: Edits allowed for each hundred words of an item; walks; sampled steps of a key; words of items in a block.
 EDITS, REPEATS, SAMPLED, BLOCK_WORDS = 20, 16, 3, 2_000_000
-#: Words of an item that are walked through (all are verified), and signs of the texts taken at a time.
+#: Most words of a segment of an item, and signs of the texts taken at a time.
 WALKED, AT_A_TIME = 64, 2_000_000
 PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("distance", T.IntegerType()), T.StructField("start", T.LongType())]))
@@ -43,6 +45,12 @@ def edits(m: int) -> int:
     return m * EDITS // 100
 
 
+def segments(m: int) -> list[tuple[int, int]]:
+    """Start and end of as few equal segments as cover an item of m words."""
+    n = -(-m // WALKED)
+    return [(m * k // n, m * (k + 1) // n) for k in range(n)]
+
+
 def least_distance(item: list[int], window: list[int]) -> tuple[int, int]:
     """The least edit distance of the item to any part of the window, and where that part ends: bit-parallel columns."""
     m = len(item)
@@ -88,24 +96,27 @@ class Block:
 class Search:
     def __init__(self, block: Block):
         self.block, self.get = block, block.vocabulary.get
-        longest = max(map(len, block.items))
+        #: Item, start and end of every segment.
+        self.parts = [(k, a, b) for k, item in enumerate(block.items) for a, b in segments(len(item))]
+        longest = max(b - a for _, a, b in self.parts)
         edges = [1]
         while edges[-1] <= longest:
             edges.append(max(edges[-1] + 1, edges[-1] * 5 // 4))
         by_class: dict[int, list[int]] = {}
-        for k, item in enumerate(block.items):
-            by_class.setdefault(bisect_right(edges, len(item)) - 1, []).append(k)
+        for p, (_, a, b) in enumerate(self.parts):
+            by_class.setdefault(bisect_right(edges, b - a) - 1, []).append(p)
         holders = np.zeros(len(block.vocabulary) + 1)
         for item in block.items:
             holders[list(set(item))] += 1
         #: Kinds of words, by how many items hold them; the last sign is for words from outside the vocabulary.
         self.kinds = [(holders > 0) & (holders <= most) for most in (np.inf, max(3.0, len(block.items) / 20), 2.0)]
-        #: For each class of sizes: its shortest item, and of each kind the words that a window of this size must hold.
+        #: For each class of sizes: its shortest segment, and of each kind the words that a window of this size must hold.
         self.classes = []
         for c, which in sorted(by_class.items()):
-            low = min(len(block.items[k]) for k in which)
-            # A window of the shortest size may lack the last words of a longer item.
-            need = [min(int(kind[block.items[k]].sum()) - edits(len(block.items[k])) - (len(block.items[k]) - low) for k in which) for kind in self.kinds]
+            own = [block.items[k][a:b] for k, a, b in (self.parts[p] for p in which)]
+            low = min(map(len, own))
+            # A window of the shortest size may lack the last words of a longer segment.
+            need = [min(int(kind[w].sum()) - edits(len(w)) - (len(w) - low) for w in own) for kind in self.kinds]
             need[0] = max(1, need[0])
             self.classes.append((c, low, need, which))
         self.pad = min(longest, max(low for _, low, _, _ in self.classes)) + 1
@@ -115,20 +126,23 @@ class Search:
         words = np.arange(len(block.vocabulary) + 1, dtype=np.uint64)
         self.moves = [mix(words + seed) for seed in seeds]
         self.sets = [frozenset(item) for item in block.items]
-        # Half as many steps again as words are walked, as a step moves on by half a word in the mean.
-        self.samples = {c: [np.sort(rng.choice(max(SAMPLED, min(low, WALKED)), SAMPLED, replace=False)) for _ in range(REPEATS)] for c, low, _, _ in self.classes}
+        # Half as many steps again as a segment has words, as a step moves on by half a word in the mean: samples lie in its
+        # first three quarters, and few walks leave it.
+        self.samples = {c: [np.sort(rng.choice(max(SAMPLED, low + low // 2), SAMPLED, replace=False)) for _ in range(REPEATS)] for c, low, _, _ in self.classes}
         keys, owners = [], []
         for c, _, _, which in self.classes:
-            flat = np.concatenate([np.array([*block.items[k], *[-1] * self.pad], np.int64) for k in which])
-            starts = np.concatenate([[0], np.cumsum([len(block.items[k]) + self.pad for k in which])[:-1]])
-            ends = starts + np.array([len(block.items[k]) for k in which])
+            # A walk that leaves its segment goes on in the item, as it does in a text.
+            rest = [block.items[k][a : b + self.pad] for k, a, b in (self.parts[p] for p in which)]
+            flat = np.concatenate([np.array([*w, *[-1] * self.pad], np.int64) for w in rest])
+            starts = np.concatenate([[0], np.cumsum([len(w) + self.pad for w in rest])[:-1]])
+            ends = starts + np.array(list(map(len, rest)))
             for r in range(REPEATS):
                 key, _ = self.keys(flat, starts, ends, c, r)
                 keys.append(key)
                 owners.append(np.array(which))
         key, owner = np.concatenate(keys), np.concatenate(owners)
         order = np.argsort(key, kind="stable")
-        self.item_keys, self.item_of = key[order], owner[order]
+        self.part_keys, self.part_of = key[order], owner[order]
 
     def keys(self, ids: np.ndarray, at: np.ndarray, ends: np.ndarray, c: int, r: int) -> tuple[np.ndarray, np.ndarray]:
         """The keys of class c and walk r of the windows that start at the given places; which of them have no word from
@@ -180,11 +194,11 @@ class Search:
                 key, inside = self.keys(ids, places, ends, c, r)
                 which = np.flatnonzero(inside)
                 key = key[which]
-                low_at = np.searchsorted(self.item_keys, key)
-                hit = np.flatnonzero(self.item_keys[np.minimum(low_at, len(self.item_keys) - 1)] == key)
-                high_at = np.searchsorted(self.item_keys, key[hit], side="right")
+                low_at = np.searchsorted(self.part_keys, key)
+                hit = np.flatnonzero(self.part_keys[np.minimum(low_at, len(self.part_keys) - 1)] == key)
+                high_at = np.searchsorted(self.part_keys, key[hit], side="right")
                 for k, i, j in zip(which[hit].tolist(), low_at[hit].tolist(), high_at.tolist(), strict=True):
-                    met.update((int(doc[k]), owner, int(places[k])) for owner in self.item_of[i:j].tolist())
+                    met.update((int(doc[k]), self.parts[p][0], int(places[k]) - self.parts[p][1]) for p in self.part_of[i:j].tolist())
         last: tuple[int, int, int] | None = None
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for d, k, place in sorted(met):
@@ -193,7 +207,9 @@ class Search:
             if best.get((d, k), (1, 0))[0] == 0 or (last and last[:2] == (d, k) and place - last[2] <= e // 2):
                 continue
             last = (d, k, place)
-            begin, end = max(starts[d], place - 2 * e), min(starts[d] + lengths[d], place + len(item) + 2 * e)
+            # The edits before a segment shift it, too.
+            slack = (2 if len(item) <= WALKED else 3) * e
+            begin, end = max(starts[d], place - slack), min(starts[d] + lengths[d], place + len(item) + slack)
             window = ids[begin:end].tolist()
             if sum(map(self.sets[k].__contains__, window)) < len(item) - e:
                 continue  # e edits leave as many words

@@ -276,6 +276,23 @@ def test_leaks_with_edits(spark):
     assert all(got[1000 + k].get(k) == 0 for k, _ in items) and not any(got[2000 + k] for k, _ in items)
 
 
+def test_leaks_with_edits_in_one_place():
+    """All the edits that are allowed lie at the head, in the middle, at the tail, or the head is missing; also short items."""
+    rnd = random.Random(6)
+    items = [(k, prose(rnd, m).lower().encode().replace(b".", b"").split()) for k, m in enumerate([25, 40, 60, 100, 200, 350, 500] * 4)]
+    docs = []
+    for _, item in items:
+        w = [x.decode() for x in item]
+        e = decontam.edits(len(w))
+        for at in (0, (len(w) - e) // 2, len(w) - e):
+            docs.append([*w[:at], *["edit"] * e, *w[at + e :]])
+        docs.append(w[e:])
+    found = decontam.Search(decontam.Block.of(items)).find([f"{prose(rnd, 70)} {' '.join(w)} {prose(rnd, 70)}" for w in docs])
+    got = [k // 4 in {x["item_id"] for x in hits} for k, hits in enumerate(found)]
+    for place in range(4):
+        assert sum(got[place::4]) >= 0.95 * len(items)
+
+
 def test_blocks_of_items_give_the_same(spark):
     docs, bench = table(spark, "documents").select("doc_id", "text"), table(spark, "benchmark")
     one = {r["doc_id"]: sorted(map(tuple, r["leaks"])) for r in decontam.find(docs, bench).collect()}
