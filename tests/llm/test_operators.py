@@ -129,6 +129,19 @@ def test_licences(spark, duck):
     assert {(r["doc_id"], r["license"]): (r["dice"], r["n_units"]) for r in licenses.scan(d).collect()} == want and len(want) >= 4
 
 
+def test_licences_inside_longer_units(spark):
+    rnd = random.Random(8)
+    mit, (_, header) = "Released under the MIT License.", next(x for x in licenses.TEXTS if x[0] == "Apache-2.0")
+    wrapped = "\n".join(" * " + line for line in ["Copyright of some people", *re.findall(r".{1,50}(?:\s|$)", header), prose(rnd, 20)])
+    full = f"MIT License\n\nCopyright (c) some people\n\n{dict(licenses.TEXTS)['MIT']}".replace("\n", "\n\n")
+    texts = [
+        f"{prose(rnd, 40)} {mit} {prose(rnd, 40)}", f"# Copyright of some people\n# Released under the\n# MIT License.\n# {prose(rnd, 30)}", f"{prose(rnd, 300)}\n/*\n{wrapped}\n*/\n{prose(rnd, 300)}", full,
+        f"{mit}\n{prose(rnd, 30)} {mit} {prose(rnd, 30)} {mit}", f"{mit}\n\n{prose(rnd, 50)}", f"{prose(rnd, 50)} released these under a license {prose(rnd, 50)}",
+    ]
+    got = {(r["doc_id"], r["license"]): (r["dice"], r["n_units"]) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {(0, "MIT"): (1.0, 1), (1, "MIT"): (1.0, 1), (2, "Apache-2.0"): (1.0, 2), (3, "MIT"): (1.0, 1), (4, "MIT"): (1.0, 3), (5, "MIT"): (1.0, 1)}
+
+
 # --- BPE --------------------------------------------------------------------------------------------------------------
 
 
