@@ -24,9 +24,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near copies the one with the least id stays."""
+    """Of documents linked by near copies one row stays: with the least id, and of rows that share it the least by text and
+    the other columns. Rows without an id can't be linked to others by it: one of each distinct text among them stays."""
     kept = ngram_join.similar_groups(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("kept_id"), "left_semi").select(docs.columns)
+    named = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("kept_id"), "left_semi")
+    row = F.struct("text", *(c for c in docs.columns if c != "text"))
+    one = lambda rows, *keys: rows.groupBy(*keys).agg(F.min(row).alias("_row")).select(*(F.col(f"_row.{c}").alias(c) for c in docs.columns))
+    return one(named, "doc_id").union(one(docs.filter("doc_id IS NULL"), "text"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

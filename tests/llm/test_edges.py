@@ -1,11 +1,13 @@
 """Each operator on odd and on empty tables, and on tables whose other columns have the names that it adds."""
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
 from quillmill.llm import bpe, decontam, divergence, langid, licenses, ngram_join, quality_zstd, queries, secrets, sharding, urlfilter
 
+from ..conftest import SF
 from .helpers import empty, odd
 
 GOOD = quality_zstd.fit_texts([("Some calm words. They go on and on.", 1), ("Other words follow here.", 1), ("A | B | C ###", 0), ("!! !! X X X", 0)] * 5)
@@ -55,3 +57,20 @@ def test_empty_labels_and_languages(spark):
     none = langid.fit(empty(spark), ["a"])
     assert {r["lang_pred"] for r in langid.predict(odd(spark), none).collect()} == {"und"}
     assert decontam.find(odd(spark), spark.createDataFrame([], "item_id long, text string")).filter("size(leaks) > 0").count() == 0
+
+
+def test_one_row_of_each_group(spark):
+    rows = [(1, "one two three four five six"), (1, "one two three four five six"), (2, "one two three four five six"), (None, "a text of no one"), (None, "a text of no one"), (None, "another"), (None, None), (None, None)]
+    d = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], empty(spark).schema)
+    out = corpus_pipeline.keep_one_of_each_group(spark, d, "")
+    assert out.columns == d.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([rows[0], rows[3], rows[5], rows[6]], key=str)
+
+
+@pytest.mark.parametrize("table", ["odd", "empty", "clash"])
+def test_stages_of_the_pipeline(table, spark):
+    d = {"odd": odd(spark), "empty": empty(spark), "clash": odd(spark).withColumns({c: F.lit("mine") for c in CLASH})}[table]
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, d, SF)
+        assert len({c.lower() for c in out.columns}) == len(out.columns)
+        out.collect()
