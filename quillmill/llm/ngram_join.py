@@ -4,19 +4,21 @@ A document's set holds the hashes of its distinct word shingles. Sets fall into
 into K blocks, and the parity (XOR) of a block's hashes is the block's sign; a token that only one of two sets has
 changes the sign of one block. Sets of sizes a and b with a Jaccard similarity of t differ in at most
 D = (a + b)(1 - t) / (1 + t) tokens, so at least K - D of their K signs agree (pigeonhole). In one fixed order of signs,
-the first D + 1 of either then have one in common: only these are keys of the join. A set also meets the next lower band
-if a partner can lie there, so each pair has a band in which both are.
-
-A key may be common for another reason: a block that holds nothing but shingles of a passage that many sets share. Sets
-with such keys, whose groups stay in several components, get keys anew in an order that has the common ones last; blocks
-are a few more than pigeonholes need, so that others can take their place. Where too few others are, blocks shrink to
-one token and the rarest come first. The order of the signs may be any, as long as it is one for all: a pair of similar
-sets again has a key in common.
+the first D + 1 + s of either then have s + 1 in common: these are the keys of the join, and s is its slack. A set also meets
+the next lower band if a partner can lie there, so each pair has a band in which both are.
+
+Sets with one key are a group. Every set of it is first held against the smallest one of about its size; if this leaves the
+group in several components, either all pairs between its components follow, or, where COMMON sets or more are in it, the key is
+common: it may come from a block that holds nothing but a passage which many sets share. A pair of similar sets can
+be missed by this only if all its s + 1 keys or more are common. So a set of which at most s keys are common is done, and only
+the others, which consist of common passages to a good part, are taken further: to blocks so fine that each has one token. Sets
+share 80 of 100 of the tokens of either or more, so again a set is done if fewer of its tokens are common. What remains
+are sets that are common passages but for a few tokens. These meet in groups of a few of their least common tokens
+(as few as their number of common tokens leaves to differ), block by block of a group, and only across components.
 
 Pairs that met are held against a bit sketch: tokens toggle one bit each, so the Hamming distance of two sketches is no
-more than the symmetric difference; what is within D is verified exactly on the texts. Copies of one text are one
-node. In a group of sets with one key every set meets the group's least first; only where that leaves a group in several
-components, the pairs between these follow. So groups of near copies never make all their pairs, and no link is lost.
+more than the symmetric difference; what is within D is verified exactly on the texts. Copies of one text are one node.
+So groups of near copies never make all their pairs, and no link is lost.
 """
 
 from __future__ import annotations
@@ -36,11 +38,11 @@ from .graph import components
 
 #: Words of a shingle, and the least similarity as a fraction.
 WORDS, SIMILAR = 5, (80, 100)
-#: Members from which on the key of a group in several components is common.
-COMMON = 8
+#: Members from which on the key of a group in several components is common; members of a block of a group of common tokens.
+COMMON, BLOCK = 32, 1024
 #: Ids up to which they are sent to every executor to fetch their texts: below 32 MB.
 BROADCAST_IDS = 500_000
-PRIME, MIX_1, MIX_2, GOLDEN = (np.uint64(x) for x in (0x100000001B3, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
+PRIME, MIX_1, MIX_2, GOLDEN, ONE = (np.uint64(x) for x in (0x100000001B3, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 1))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -76,42 +78,52 @@ class Bands:
         self.blocks = []
         for low, high in zip(self.edges, self.edges[1:], strict=False):
             d = self.differ(high - 1, self.largest(high - 1))
-            self.blocks.append(d + d // 8 + 6 if d else 1)
+            self.blocks.append(d + d // 4 + 8 if d else 1)
 
     def largest(self, a: int) -> int:
         """The size of the largest set that a set of size a can be similar to."""
         return a * self.den // self.num
 
+    def smallest(self, a: int) -> int:
+        """The size of the smallest such set, which is also the least number of tokens that both hold."""
+        return -(-a * self.num // self.den)
+
     def differ(self, a: int, b: int) -> int:
         """The most tokens in which similar sets of these sizes differ."""
         return (a + b) * (self.den - self.num) // (self.den + self.num)
 
+    @staticmethod
+    def slack(d: int) -> int:
+        """Keys beyond D + 1. Where sets must be equal the only block is the whole set."""
+        return d // 8 + 3 if d else 0
+
     def homes(self, n: int) -> list[tuple[int, int]]:
-        """(band, number of keys) of a set of size n: its own band and, where a smaller partner can be, the one below."""
+        """(band, D) of a set of size n: its own band and, where a smaller partner can be, the one below."""
         band = bisect_right(self.edges, n) - 1
-        out = [(band, self.differ(n, self.largest(n)) + 1)]
+        out = [(band, self.differ(n, self.largest(n)))]
         if band and n <= self.largest(self.edges[band] - 1):
-            out.append((band - 1, self.differ(n, self.edges[band] - 1) + 1))
+            out.append((band - 1, self.differ(n, self.edges[band] - 1)))
         return out
 
-    def keys(self, hashes: np.ndarray) -> np.ndarray:
-        """The join keys of a set: of each home the first signs; blocks without tokens come last, as they tell nothing."""
-        out = []
-        for band, count in self.homes(len(hashes)) if len(hashes) else ():
-            signs, empty = self.signs(hashes, band, count)
-            out.append(np.concatenate([signs, empty])[:count])
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    def keys(self, hashes: np.ndarray) -> tuple[np.ndarray, int]:
+        """The join keys of a set, their last bit the band's, and its room: how many keys of a home may be common.
+
+        Blocks without tokens tell nothing: they aren't keys, but where signs are too few they count as common ones. The slack of
+        the smallest partner is the one that limits the room: a partner's D is no less than that of both their sizes."""
+        n, out, lacking = len(hashes), [], 0
+        for band, d in self.homes(n) if n else ():
+            signs = self.signs(hashes, band)[: d + 1 + self.slack(d)]
+            lacking = max(lacking, d + 1 + self.slack(d) - len(signs))
+            out.append(signs & ~ONE | np.uint64(band & 1))
+        return np.concatenate(out) if out else np.zeros(0, np.uint64), self.slack(self.differ(self.smallest(n), n)) - lacking
 
-    def signs(self, hashes: np.ndarray, band: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted signs of the blocks with tokens, and of those without if the former are fewer than count."""
+    def signs(self, hashes: np.ndarray, band: int) -> np.ndarray:
+        """Sorted signs of the blocks with tokens."""
         k = self.blocks[band]
         block = (hashes >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)  # grows with the hash, so a block is a run
         starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        which = block[starts]
         salt = np.uint64(band) << np.uint64(40)
-        signs = np.sort(mix(np.bitwise_xor.reduceat(hashes, starts) ^ mix(which + salt + GOLDEN)))
-        empty = np.setdiff1d(np.arange(k, dtype=np.uint64), which) if len(signs) < count else which[:0]
-        return signs, np.sort(mix(mix(empty + salt + GOLDEN) ^ GOLDEN))
+        return np.sort(mix(np.bitwise_xor.reduceat(hashes, starts) ^ mix(block[starts] + salt + GOLDEN)))
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -159,25 +171,43 @@ class Corpus:
         return self.first_texts(self.rows.join(side, F.col("id") == F.col("w")).select("id", "text"))
 
 
+def flat(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array((np.concatenate(parts) if parts else np.zeros(0, np.uint64)).view(np.int64)))
+
+
 def sets(texts: DataFrame, bands: Bands) -> DataFrame:
-    """(node, hash, n, sketch, keys) of each node."""
+    """(node, hash, n, sketch, keys, room) of each node."""
 
     def make():
         def run(batch: pa.RecordBatch) -> list[pa.Array]:
-            n, bits, keys = [], [], []
+            n, bits, keys, room = [], [], [], []
             for x in batch.column(batch.schema.get_field_index("text")):
                 h = shingles(x.as_py())
                 n.append(len(h))
                 bits.append(sketch(h))
-                keys.append(bands.keys(h))
-            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            return [pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))]
+                own, left = bands.keys(h)
+                keys.append(own)
+                room.append(left)
+            return [pa.array(n, pa.int64()), pa.array(bits, pa.binary()), flat(keys), pa.array(room, pa.int64())]
+
+        return run
+
+    kinds = {"n": T.LongType(), "sketch": T.BinaryType(), "keys": T.ArrayType(T.LongType()), "room": T.LongType()}
+    return append_arrow(texts, [T.StructField(c, k, False) for c, k in kinds.items()], make, drop=("text",))
+
+
+def tokens(texts: DataFrame) -> DataFrame:
+    """(node, n, keys) of each node: blocks of one token each."""
+
+    def make():
+        def run(batch: pa.RecordBatch) -> list[pa.Array]:
+            own = [shingles(x.as_py()) for x in batch.column(batch.schema.get_field_index("text"))]
+            return [pa.array(list(map(len, own)), pa.int64()), flat(own)]
 
         return run
 
-    fields = [T.StructField("n", T.LongType(), False), T.StructField("sketch", T.BinaryType(), False), T.StructField("keys", T.ArrayType(T.LongType()), False)]
-    return append_arrow(texts, fields, make, drop=("text",))
+    return append_arrow(texts.select("node", "text"), [T.StructField("n", T.LongType(), False), T.StructField("keys", T.ArrayType(T.LongType()), False)], make, drop=("text",))
 
 
 def groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
@@ -197,57 +227,73 @@ def groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.
         yield rest
 
 
-def meet(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """rows (key, node, n): (kind, x, y), kind 0 for a pair of a group's least node with another one, of sizes that can be
-    similar; kind 1 for the rows (key, node) of groups of three or more."""
-    num, den = similar
+def meet(rows: DataFrame, bands: Bands) -> DataFrame:
+    """rows (key, node, n): (kind, x, y). Kind 0: pairs of a group, each set with the smallest of its class of sizes, and these
+    smallest ones with each other in turn. Kind 1: the rows (key, node) of groups of three or more."""
+    num, den = bands.num, bands.den
 
     def run(batches):
         for key, node, n in groups(batches, 3):
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            sizes = np.diff(np.append(starts, len(key)))
-            if (sizes < 2).all():
+            # Classes begin at the least size of a group times powers of the largest ratio.
+            start = np.concatenate([[True], key[1:] != key[:-1]])
+            group = np.cumsum(start) - 1
+            size = np.bincount(group)
+            many = size[group] > 1
+            if not many.any():
                 continue
-            group = np.repeat(np.arange(len(starts)), sizes)
-            least = np.minimum.reduceat(node, starts)
-            size_of_least = np.maximum.reduceat(np.where(node == least[group], n, 0), starts)
-            a, na = least[group], size_of_least[group]
-            pair = (node != a) & (np.minimum(na, n) * den >= np.maximum(na, n) * num)
-            more = (sizes > 2)[group]
+            key, node, n, group = key[many], node[many], n[many], group[many]
+            order = np.lexsort((node, n, group))
+            key, node, n, group = key[order], node[order], n[order], group[order]
+            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            least = n[first][np.cumsum(np.concatenate([[True], group[1:] != group[:-1]])) - 1]
+            level = np.floor(np.log(n / least) / np.log(den / num) + 1e-9)
+            opens = np.concatenate([[True], (group[1:] != group[:-1]) | (level[1:] != level[:-1])])
+            centre = np.flatnonzero(opens)
+            of = np.where(opens, np.concatenate([[0], centre[:-1]])[np.cumsum(opens) - 1], centre[np.cumsum(opens) - 1])
+            pair = (group[of] == group) & (node[of] != node) & (n[of] * den >= n * num)
+            more = size[group] > 2
             kind = np.concatenate([np.zeros(pair.sum(), np.int32), np.ones(more.sum(), np.int32)])
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([a[pair], key[more]])), pa.array(np.concatenate([node[pair], node[more]]))], names=["kind", "x", "y"])
+            x, y = np.concatenate([np.minimum(node[of], node)[pair], key[more]]), np.concatenate([np.maximum(node[of], node)[pair], node[more]])
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(x), pa.array(y)], names=["kind", "x", "y"])
 
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "kind int, x long, y long")
 
 
 def cross(rows: DataFrame, bands: Bands) -> DataFrame:
-    """rows (key, node, n, sketch, component): the pairs (a, b) of a group whose components differ, whose sizes can be similar
-    and whose sketches are near enough. A pair is a row only once it has passed the sketches."""
+    """rows (key, node, size, n, sketch, component), size that of the group: the pairs (a, b) of a group whose components differ,
+    whose sizes can be similar and whose sketches are near enough. A pair is a row only once it has passed the sketches.
+
+    A large group is cut into blocks by a hash of the node, and each pair of blocks is a cell, so cells of one group spread over
+    tasks. Sets of a cell's largest component are compared with those outside of it only."""
 
     def run(batches):
-        for key, *columns in groups(batches, 5):
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            for i, j in zip(starts, np.append(starts[1:], len(key)), strict=True):
+        for cell, *columns in groups(batches, 7):
+            starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            for i, j in zip(starts, np.append(starts[1:], len(cell)), strict=True):
                 order = np.argsort(columns[1][i:j], kind="stable")
-                node, n, bits, component = (c[i:j][order] for c in columns)
-                # Sorted by size: partners of a set are the next ones, up to the largest that it can be similar to.
-                last = np.searchsorted(n, n * bands.den // bands.num, side="right")
+                node, n, bits, component, block, inner = (c[i:j][order] for c in columns)
+                names, of, sizes = np.unique(component, return_inverse=True, return_counts=True)
+                largest, places = of == sizes.argmax(), np.arange(len(n))
+                lengths = np.array([len(x) for x in bits])
+                low, high = np.searchsorted(n, -(-n * bands.num // bands.den)), np.searchsorted(n, n * bands.den // bands.num, side="right")
                 by_length: dict[int, np.ndarray] = {}
-                for k in range(len(n)):
-                    other = np.flatnonzero(component[k + 1 : last[k]] != component[k]) + k + 1
-                    if not len(other):
-                        continue
-                    length = len(bits[k])
-                    if length not in by_length:
-                        by_length[length] = np.stack([fold(x, length) for x in bits])
-                    m = by_length[length]
-                    far = np.bitwise_count(m[other] ^ m[k]).sum(axis=1, dtype=np.int64)
-                    other = other[far <= (n[other] + n[k]) * (bands.den - bands.num) // (bands.den + bands.num)]
-                    if len(other):
-                        a, b = np.minimum(node[k], node[other]), np.maximum(node[k], node[other])
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return rows.select("key", "node", "n", "sketch", "component").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+                for k in np.flatnonzero(~largest).tolist():
+                    near = slice(low[k], high[k])
+                    other = places[near][(of[near] != of[k]) & (largest[near] | (places[near] > k)) & (inner[near] | (block[near] != block[k]))]
+                    for length in {lengths[k], *np.minimum(lengths[other], lengths[k]).tolist()} if len(other) else ():
+                        if length not in by_length:
+                            by_length[length] = np.stack([fold(x, length) for x in bits])
+                        m, some = by_length[length], other[np.minimum(lengths[other], lengths[k]) == length]
+                        far = np.bitwise_count(m[some] ^ m[k]).sum(axis=1, dtype=np.int64)
+                        some = some[far <= (n[some] + n[k]) * (bands.den - bands.num) // (bands.den + bands.num)]
+                        if len(some):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[k], node[some])), pa.array(np.maximum(node[k], node[some]))], names=["a", "b"])
+
+    cut = rows.withColumn("cuts", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), "cuts"))
+    cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+    cell = F.when(F.col("cuts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
+    cells = cells.select(cell.alias("cell"), "node", "n", "sketch", "component", "block", (F.col("block") == F.col("other")).alias("inner"))
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
 def verify(pairs: DataFrame, found: DataFrame, corpus: Corpus, bands: Bands, scratch: Scratch, name: str) -> DataFrame:
@@ -283,43 +329,6 @@ def verify(pairs: DataFrame, found: DataFrame, corpus: Corpus, bands: Bands, scr
     return scratch.write(both.select("a", "b", "t_a", "t_b").mapInArrow(exactly, "a long, b long"), f"{name}-links")
 
 
-def keys_of_other_blocks(texts: DataFrame, common: DataFrame, bands: Bands) -> DataFrame:
-    """texts (node, text): (key, node, n) as sets() and explode give them, but with the keys of common (key) late."""
-
-    def all_signs(batches):
-        for batch in batches:
-            for node, text in zip(batch.column("node"), batch.column("text"), strict=True):
-                h = shingles(text.as_py())
-                for home, (band, count) in enumerate(bands.homes(len(h)) if len(h) else ()):
-                    signs, empty = bands.signs(h, band, 1 << 60)
-                    m = len(signs) + len(empty)
-                    fixed = [pa.array(np.full(m, x)) for x in (node.as_py(), len(h), home, count)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([signs, empty]).view(np.int64)), *fixed, pa.array(np.repeat([0, 2], [len(signs), len(empty)]))], names=["key", "node", "n", "home", "count", "place"])
-
-    every = texts.select("node", "text").mapInArrow(all_signs, "key long, node long, n long, home long, count long, place long")
-    marked = every.join(common.select("key", F.lit(1).alias("common")).hint("merge"), "key", "left")
-    order = Window.partitionBy("node", "home").orderBy(F.greatest("place", F.coalesce("common", F.lit(0))), "key")  # as many rows as the set has blocks
-    return marked.withColumn("k", F.row_number().over(order)).filter("k <= count").select("key", "node", "n")
-
-
-def keys_of_rare_tokens(texts: DataFrame, common: DataFrame, bands: Bands) -> DataFrame:
-    """The same with blocks so fine that each has one token, the rarest among these texts first; common isn't needed.
-
-    Sets differ in at most D tokens, so the first D + 1 of either, in one order for all, have one in common."""
-
-    def all_tokens(batches):
-        for batch in batches:
-            for node, text in zip(batch.column("node"), batch.column("text"), strict=True):
-                h = shingles(text.as_py())
-                fixed = [pa.array(np.full(len(h), x, np.int64)) for x in (node.as_py(), len(h), bands.differ(len(h), bands.largest(len(h))) + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *fixed], names=["key", "node", "n", "count"])
-
-    every = texts.select("node", "text").mapInArrow(all_tokens, "key long, node long, n long, count long")
-    held = every.groupBy("key").agg(F.count("*").alias("held"))
-    order = Window.partitionBy("node").orderBy("held", "key")
-    return every.join(held.hint("merge"), "key").withColumn("k", F.row_number().over(order)).filter("k <= count").select("key", "node", "n")
-
-
 def open_groups(met: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, node, component, size) of the groups of three or more that are in several components."""
     large = met.filter("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("node")).distinct()
@@ -328,6 +337,27 @@ def open_groups(met: DataFrame, labels: DataFrame) -> DataFrame:
     return known.join(several.hint("merge"), "key")
 
 
+def link_groups(met: DataFrame, found: DataFrame, links: DataFrame | None, labels: DataFrame | None, corpus: Corpus, bands: Bands, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All links of the groups met, but for those of common keys: links, labels and the rows (key, node, component, size) of the
+    common keys. links and labels are those known so far."""
+    pairs = met.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    if links is not None:
+        apart = pairs.join(labels.select(F.col("node").alias("a"), F.col("component").alias("c_a")).hint("merge"), "a", "left")
+        apart = apart.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c_b")).hint("merge"), "b", "left")
+        pairs = apart.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    seen = scratch.write(pairs, f"{name}-pairs")
+    scratch.release()
+    new = verify(seen, found, corpus, bands, scratch, f"{name}-first")
+    links = links.union(new) if links is not None else new
+    labels = components(links, scratch, f"{name}-labels")
+    still = scratch.write(open_groups(met, labels), f"{name}-open")
+    few = still.filter(F.col("size") < COMMON).join(found.select("node", "n", "sketch").distinct().hint("merge"), "node")
+    more = scratch.write(cross(few, bands).distinct().join(seen.hint("merge"), ["a", "b"], "left_anti"), f"{name}-more")
+    scratch.release()
+    links = links.union(verify(more, found, corpus, bands, scratch, f"{name}-second"))
+    return links, components(links, scratch, f"{name}-labels-2"), still.filter(F.col("size") >= COMMON)
+
+
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """key, n_shingles (long) and component_id (long) of each row of docs: the least id reachable by links, itself included.
 
@@ -338,34 +368,25 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", sim
     corpus = Corpus(docs, key, text, scratch)
     keyed = scratch.write(sets(corpus.all_texts(), bands), "keyed")
     scratch.release()
-    met = scratch.write(meet(keyed.select(F.explode("keys").alias("key"), "node", "n"), similar), "met-0")
+    met = scratch.write(meet(keyed.select(F.explode("keys").alias("key"), "node", "n"), bands), "met-0")
     found = scratch.write(keyed.drop("keys"), "sets")
     scratch.drop("keyed")
-    sizes = found.select("node", "n", "sketch").distinct().hint("merge")
-    firsts_met = lambda met: met.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    seen = scratch.write(firsts_met(met).distinct(), "pairs-0")
-    scratch.release()
-    links = verify(seen, found, corpus, bands, scratch, "v0")
-    labels = components(links, scratch, "labels-0")
-    # Groups that are still in several components. Of the small ones all pairs between components follow; the keys of the
-    # others are common, and their sets get new ones: first from other blocks, then, where these don't do, from rare tokens.
-    for step, anew in enumerate((keys_of_other_blocks, keys_of_rare_tokens), 1):
-        still = scratch.write(open_groups(met, labels), f"open-{step}")
-        common = scratch.write(still.filter(F.col("size") >= COMMON).select("key").distinct(), f"common-{step}")
-        texts = corpus.texts_of(still.filter(F.col("size") >= COMMON).select(F.col("node").alias("w")), f"affected-{step}")
-        met = scratch.write(meet(anew(texts, common, bands), similar), f"met-{step}")
-        scratch.release()
-        few = still.filter(F.col("size") < COMMON).join(sizes, "node")
-        more = cross(few, bands).union(firsts_met(met)).distinct().join(seen.hint("merge"), ["a", "b"], "left_anti")
-        more = scratch.write(more, f"pairs-{step}")
-        seen = seen.union(more)
-        links = links.union(verify(more, found, corpus, bands, scratch, f"v{step}"))
-        labels = components(links, scratch, f"labels-{step}")
-        scratch.release()
-    rest = open_groups(met, labels).join(sizes, "node")
-    last = scratch.write(cross(rest, bands).distinct().join(seen.hint("merge"), ["a", "b"], "left_anti"), "pairs-last")
-    if last.limit(1).count():
-        labels = components(links.union(verify(last, found, corpus, bands, scratch, "last")), scratch, "labels-last")
+    sizes = found.select("node", "n", "sketch", "room").distinct().hint("merge")
+    links, labels, common = link_groups(met, found, None, None, corpus, bands, scratch, "blocks")
+    # Sets with too many common keys in one home, of empty blocks or of groups that stay in several components.
+    crowded = common.groupBy("node", F.pmod("key", F.lit(2)).alias("home")).count().join(sizes.drop("sketch"), "node").filter("count > room").select("node")
+    texts = corpus.texts_of(crowded.union(found.filter("room < 0 AND n > 0").select("node")).select(F.col("node").alias("w")), "crowded")
+    met = scratch.write(meet(tokens(texts).select(F.explode("keys").alias("key"), "node", "n"), bands), "met-1")
+    links, labels, common = link_groups(met, found, links, labels, corpus, bands, scratch, "tokens")
+    # Sets that have so many common tokens that all that they share with another can be common.
+    least = F.ceil(F.col("n") * bands.num / bands.den)
+    ranked = common.withColumn("held", F.count("*").over(Window.partitionBy("node"))).join(sizes, "node").filter(F.col("held") >= least)
+    order = Window.partitionBy("node").orderBy("size", "key")  # no more rows than the set has tokens
+    ranked = ranked.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= F.col("held") - least + 1)
+    rest = scratch.write(cross(ranked, bands).distinct(), "pairs-rest")
+    if rest.limit(1).count():
+        links = links.union(verify(rest, found, corpus, bands, scratch, "rest"))
+        labels = components(links, scratch, "labels-rest")
     of_node = corpus.firsts.join(found.select("node", "hash", "n").distinct().hint("merge"), ["node", "hash"]).join(labels.hint("merge"), "node", "left")
     of_node = of_node.select(F.col("hash").alias("node_hash"), "n", F.coalesce("component", "node").alias("component"))
     of_row = corpus.ids.join(scratch.write(of_node, "classes").hint("merge"), F.col("hash") == F.col("node_hash"), "left")
