@@ -13,6 +13,7 @@ so the results are the same. A task remembers the ids of a bounded number of wor
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterable
 
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 
 from .common import append_arrow, portions, texts
 
-#: Words that a task remembers, and signs of the texts that it takes at a time.
-REMEMBERED, AT_A_TIME = 600_000, 4_000_000
+#: Words that a task remembers, the most signs of one of them, and signs of the texts that it takes at a time.
+REMEMBERED, REMEMBERED_SIGNS, AT_A_TIME = 500_000, 100, 4_000_000
 #: New words laid out in one array: more of them no longer fit the processor's caches and take over twice the time.
 LAID_OUT = 2_000
 
@@ -145,11 +146,15 @@ class Encoder:
         known, split = self.known, [self.words(t) if t else [] for t in many]
         if len(known) > REMEMBERED:
             known.clear()
-        if new := [w for w in set().union(*split) if w not in known]:
-            for i in range(0, len(new), LAID_OUT):
-                part = new[i : i + LAID_OUT]
-                known.update(zip(part, self.replay.encode_words([w.encode("utf-8", "replace") for w in part]), strict=True))
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+        new = [w for w in set().union(*split) if w not in known]
+        for i in range(0, len(new), LAID_OUT):
+            part = new[i : i + LAID_OUT]
+            known.update(zip(part, self.replay.encode_words([w.encode("utf-8", "replace") for w in part]), strict=True))
+        out = [b"".join(map(known.__getitem__, s)) for s in split]
+        for w in new:
+            if len(w) > REMEMBERED_SIGNS:
+                del known[w]
+        return out
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", packed: bool = False, keep_text: bool = True) -> DataFrame:
@@ -177,6 +182,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     return append_arrow(docs, fields, make, () if keep_text else (text,))
 
 
+def decoder(ranks: dict[bytes, int]):
+    """A function of ids that gives the bytes of their tokens; an id without token is an error."""
+    token = {rank: t for t, rank in ranks.items()}.__getitem__
+    return lambda ids: b"".join(map(token, ids))
+
+
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", keep_ids: bool = True) -> DataFrame:
     """Adds decoded (binary), the bytes of the tokens of each row; null for null ids, and an error for an id without token.
 
@@ -185,12 +196,12 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids",
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
 
     def make():
-        token = {rank: t for t, rank in shared.value.items()}.__getitem__
+        token = decoder(shared.value)
 
         def run(batch: pa.RecordBatch) -> list[pa.Array]:
             column = batch.column(batch.schema.get_field_index(ids))
             read = (lambda x: np.frombuffer(x.as_buffer(), "<u4").tolist()) if packed else (lambda x: x.as_py())
-            return [pa.array([b"".join(map(token, read(x))) if x.is_valid else None for x in column], pa.binary())]
+            return [pa.array([token(read(x)) if x.is_valid else None for x in column], pa.binary())]
 
         return run
 
@@ -198,7 +209,22 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids",
 
 
 def round_trip_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens, ids_sha256, decoded_sha256 of every row of docs, by encode() and decode()."""
-    encoded = encode(docs.select(key, text), ranks, pattern, text, packed=True, keep_text=False)
-    back = decode(encoded, ranks)
-    return back.select(key, "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """key, n_tokens, ids_sha256, decoded_sha256 of every row of docs: each text is encoded, and its ids are decoded again.
+
+    Both in one Python node, so that a task holds the vocabulary once and neither ids nor decoded texts leave it."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def make():
+        encoder, token = Encoder(shared.value, pattern), decoder(shared.value)
+
+        def digests(some: list[str | None]) -> list[tuple[int, str, str]]:
+            return [(len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(token(np.frombuffer(ids, "<u4").tolist())).hexdigest()) for ids in encoder.encode(some)]
+
+        def run(batch: pa.RecordBatch) -> list[pa.Array]:
+            rows = [x for some in portions(texts(batch, text), AT_A_TIME) for x in digests(some)]
+            return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+
+        return run
+
+    fields = [T.StructField("n_tokens", T.LongType(), False), T.StructField("ids_sha256", T.StringType(), False), T.StructField("decoded_sha256", T.StringType(), False)]
+    return append_arrow(docs.select(key, text), fields, make, (text,))

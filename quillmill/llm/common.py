@@ -12,16 +12,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Shares of the hash space of which bounded_sample() takes the least that holds enough rows.
+SHARES = tuple(4.0**-k for k in range(20, -1, -1))
 #: ASCII white space, as Java's and RE2's regular expressions write it.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset and all runs on one machine, as in
+    tests, a folder of our own."""
     set_by_cluster = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillmill-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -103,16 +108,15 @@ def portions(many: Iterator[str | None], most: int) -> Iterator[list[str | None]
         yield some
 
 
-def bounded_sample(df: DataFrame, by: str, key: Column, per_value: int, population: DataFrame | None = None) -> DataFrame:
-    """About the per_value rows of each value of by with the least hashes of key: the same rows at any partitioning.
+def bounded_sample(df: DataFrame, by: str, key: Column, per_value: int) -> DataFrame:
+    """The per_value rows of each value of by with the least hashes of key: the same rows at any partitioning.
 
-    The values are few (labels, languages). Their counts, in population if that is cheaper to read than df, say below which
-    hash three times as many rows are to be expected; only those are sorted, so no task gets all rows of a value."""
-    counts = (population or df).groupBy(by).count().collect()
-    share = F.lit(0.0)
+    The values are few (labels, languages): their counts come to the driver. They say which of SHARES of the
+    hashes is the least that holds enough rows, so about four times as many as are wanted are sorted, in one task for a value."""
+    place = F.xxhash64(key).cast("double") / 2.0**64 + 0.5
+    counts = df.groupBy(by).agg(*(F.count(F.when(place <= share, 1)).alias(f"n{k}") for k, share in enumerate(SHARES))).collect()
+    limit = F.lit(1.0)
     for r in counts:
-        share = F.when(F.col(by).eqNullSafe(F.lit(r[0])), min(1.0, 3 * per_value / r[1])).otherwise(share)
-    place = F.xxhash64(key)
-    few = df.filter(place.cast("double") / 2.0**64 + 0.5 <= share)
-    w = Window.partitionBy(by).orderBy(place, key)
-    return few.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= per_value).drop("_rank")
+        limit = F.when(F.col(by).eqNullSafe(F.lit(r[0])), next((s for k, s in enumerate(SHARES) if r[k + 1] >= per_value), 1.0)).otherwise(limit)
+    w = Window.partitionBy(by).orderBy(F.xxhash64(key), key)
+    return df.filter(place <= limit).withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= per_value).drop("_rank")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_arrow, portions, texts, without
+from .common import Scratch, append_arrow, portions, texts, without
 
 #: Edits allowed for each hundred words of an item; walks; sampled steps of a key; words of items in a block.
 EDITS, REPEATS, SAMPLED, BLOCK_WORDS = 20, 16, 3, 2_000_000
@@ -126,8 +126,8 @@ class Search:
         words = np.arange(len(block.vocabulary) + 1, dtype=np.uint64)
         self.moves = [mix(words + seed) for seed in seeds]
         self.sets = [frozenset(item) for item in block.items]
-        # Half as many steps again as a segment has words, as a step moves on by half a word in the mean: samples lie in its
-        # first three quarters, and few walks leave it.
+        # One and a half times as many steps as a segment has words: a step moves on by half a word in the mean, so samples lie
+        # in its first three quarters, and few walks leave it.
         self.samples = {c: [np.sort(rng.choice(max(SAMPLED, low + low // 2), SAMPLED, replace=False)) for _ in range(REPEATS)] for c, low, _, _ in self.classes}
         keys, owners = [], []
         for c, _, _, which in self.classes:
@@ -215,7 +215,9 @@ class Search:
                 continue  # e edits leave as many words
             distance, stop = least_distance(item, window)
             if distance <= e and distance < best.get((d, k), (e + 1, 0))[0]:
-                best[d, k] = (distance, max(0, begin - starts[d] + stop - len(item)))
+                # Read backwards from where the part ends, the same distance is reached where it starts.
+                _, back = least_distance(item[::-1], window[:stop][::-1])
+                best[d, k] = (distance, begin - starts[d] + stop - back)
         for (d, k), (distance, start) in sorted(best.items()):
             found[d].append({"item_id": self.block.ids[k], "distance": distance, "start": start})
         return found
@@ -242,10 +244,15 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     """Adds leaks to every row: array of (item_id, distance in words, start word), one for each item within EDITS percent of
     its words. Null and empty texts have none; equal items are all found; an empty benchmark finds nothing.
 
-    Rows are kept one for one; a column of this name is replaced. Nothing is shuffled; memory: a block and a portion."""
+    Rows are kept one for one; a column of this name is replaced. Nothing is shuffled. Memory: a block and a portion; with
+    a benchmark of several blocks what one has found is written, with the rows, before the next is read."""
     docs = without(docs, "leaks")
     names: list[str] = []
+    shared = None
     for n, block in enumerate(blocks(benchmark, item, item_text)):
+        if shared is not None:
+            docs = Scratch(docs.sparkSession, "decontam").write(docs, f"block-{n}")
+            shared.destroy()
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def make(shared=shared):

@@ -2,31 +2,34 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. A word's probability is the sum over all
 its segmentations into pieces (forward algorithm); a text's is the product over its words, as no piece spans two words.
-The probabilities are learned by expectation maximisation on a bounded sample of rows of each language. Prediction reads
-whole texts; a task remembers the vectors of a bounded number of words, so frequent words are summed once.
+The probabilities are learned by expectation maximisation on the words of a bounded sample of rows of each language, whose whole
+texts stay in the tasks: the driver gets words and their counts. Words are runs of letters of any length. Prediction reads whole texts; a task remembers the vectors of a bounded number of words, so frequent words are summed once.
 """
 
 from __future__ import annotations
 
-import re
+import math
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import append_arrow, bounded_sample, portions, texts, without
 
 #: Parameters of the sample and of the model.
-MAX_DOCS, MAX_CHARS, ROUNDS, SMOOTH = 250, 10_000, 3, 0.1
+MAX_DOCS, MAX_WORDS, ROUNDS, SMOOTH = 250, 50_000, 3, 0.1
+#: Signs from which on a word's lattice is summed in logarithms.
+LONG = 64
 #: Words that a task remembers, and signs of the texts that it takes at a time.
 REMEMBERED, AT_A_TIME = 600_000, 2_000_000
 #: Probability, in any language, of a sign that no piece covers.
 UNKNOWN = 1e-6
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 START = "▁"
 
 
@@ -40,7 +43,7 @@ def pieces_of(path: str) -> list[str]:
 
 
 def words(text: str | None) -> Counter:
-    """Runs of letters in lower case, with their counts."""
+    """Runs of letters, with the marks upon them, in lower case, with their counts."""
     return Counter(LETTERS.findall((text or "").lower()))
 
 
@@ -171,51 +174,91 @@ class Forward:
         return list(logs + np.log(np.maximum(alpha[-1], 1e-300)))
 
 
-def fit_texts(rows: list[tuple[str, str]], pieces: list[str], rounds: int = ROUNDS) -> LanguageModel:
-    """rows: (text, language). Expected piece counts over all segmentations, forward and backward, in each round."""
+def expect(n: int, edges: list[tuple[int, int, int]], p: list[float], c: float, expected: list[float]) -> None:
+    """Adds to expected the count of each piece over all segmentations of a word of n signs that occurs c times."""
+    alpha, beta = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+    for i, j, k in edges:
+        alpha[j] += alpha[i] * p[k]
+    if alpha[n] <= 0:
+        return
+    for i, j, k in reversed(edges):
+        beta[i] += beta[j] * p[k]
+    for i, j, k in edges:
+        expected[k] += c * alpha[i] * p[k] * beta[j] / alpha[n]
+
+
+def expect_in_logs(n: int, edges: list[tuple[int, int, int]], p: list[float], c: float, expected: list[float]) -> None:
+    """The same for a long word, whose probability is too small for a float."""
+    low = -math.inf
+    alpha, beta = [0.0] + [low] * n, [low] * n + [0.0]
+
+    def plus(x: float, y: float) -> float:
+        top = max(x, y)
+        return top if top == low else top + math.log(math.exp(x - top) + math.exp(y - top))
+
+    logs = {k: math.log(p[k]) for _, _, k in edges}
+    for i, j, k in edges:
+        alpha[j] = plus(alpha[j], alpha[i] + logs[k])
+    if alpha[n] == low:
+        return
+    for i, j, k in reversed(edges):
+        beta[i] = plus(beta[i], beta[j] + logs[k])
+    for i, j, k in edges:
+        expected[k] += c * math.exp(alpha[i] + logs[k] + beta[j] - alpha[n])
+
+
+def fit_counts(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUNDS) -> LanguageModel:
+    """counts: of each language its words. Expected piece counts over all segmentations, forward and backward, in each round."""
     vocabulary = {p: i for i, p in enumerate(pieces)}
     longest = max(map(len, vocabulary), default=1)
-    languages = tuple(sorted({lang for _, lang in rows}))
+    languages = tuple(sorted(counts))
     probs: dict[str, list[float]] = {}
     for lang in languages:
-        counts: Counter = Counter()
-        for text, own in rows:
-            if own == lang:
-                counts.update(words(text))
         lattices = []
-        for word, c in sorted(counts.items()):
+        for word, c in sorted(counts[lang].items()):
             s = START + word
-            if len(s) <= 64:
-                edges = [(i, j, vocabulary[s[i:j]]) for j in range(1, len(s) + 1) for i in range(max(0, j - longest), j) if s[i:j] in vocabulary]
-                lattices.append((len(s), c, edges))
+            # Edges come by their ends, so their starts are summed before them.
+            lattices.append((len(s), c, [(i, j, vocabulary[s[i:j]]) for j in range(1, len(s) + 1) for i in range(max(0, j - longest), j) if s[i:j] in vocabulary]))
         p = [1.0 / len(pieces)] * len(pieces)
         for _ in range(rounds):
             expected = [0.0] * len(pieces)
             for n, c, edges in lattices:
-                alpha, beta = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-                for i, j, k in edges:
-                    alpha[j] += alpha[i] * p[k]
-                if alpha[n] <= 0:
-                    continue
-                for i, j, k in reversed(edges):
-                    beta[i] += beta[j] * p[k]
-                for i, j, k in edges:
-                    expected[k] += c * alpha[i] * p[k] * beta[j] / alpha[n]
+                (expect if n <= LONG else expect_in_logs)(n, edges, p, c, expected)
             total = sum(expected) + SMOOTH * len(pieces)
             p = [(e + SMOOTH) / total for e in expected]
         probs[lang] = p
     return LanguageModel(languages, {piece: tuple(probs[lang][i] for lang in languages) for piece, i in vocabulary.items()} if languages else {})
 
 
-def fit(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = MAX_DOCS) -> LanguageModel:
-    """Learns from at most max_docs rows of each non-null lang, none longer than MAX_CHARS; that bounds what the driver gets.
-
-    Languages are taken as a small set of values, as any such column has; rows without text or lang are not learned from."""
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
-    rows = rows.filter(F.col("_lang").isNotNull() & (F.length("_text") > 0) & (F.length("_text") <= MAX_CHARS))
-    population = docs.select(F.col(lang).alias("_lang")).filter("_lang IS NOT NULL")
-    sample = bounded_sample(rows, "_lang", F.col("_key"), max_docs, population).select("_text", "_lang").collect()
-    return fit_texts(sorted((r["_text"], r["_lang"]) for r in sample), pieces)
+def fit_texts(rows: list[tuple[str, str]], pieces: list[str], rounds: int = ROUNDS) -> LanguageModel:
+    """rows: (text, language)."""
+    counts: dict[str, Counter] = {}
+    for text, lang in rows:
+        counts.setdefault(lang, Counter()).update(words(text))
+    return fit_counts(counts, pieces, rounds)
+
+
+def fit(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> LanguageModel:
+    """Learns from the words of max_docs rows of each non-null lang, of these words from the max_words most frequent of a language.
+
+    Languages are taken as a small set of values, as any such column has; rows without text or lang are not learned from.
+    Ids and languages are sampled first; the texts are then found by one scan with a broadcast of the sampled ids."""
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang")).filter("_lang IS NOT NULL AND length(_text) > 0")
+    chosen = bounded_sample(rows.select("_key", "_lang"), "_lang", F.col("_key"), max_docs).distinct()
+    one = rows.join(F.broadcast(chosen), ["_key", "_lang"]).groupBy("_key", "_lang").agg(F.min("_text").alias("_text"))
+
+    def count(batches):
+        for batch in batches:
+            for own, language in zip(texts(batch, "_text"), batch.column(batch.schema.get_field_index("_lang")).to_pylist(), strict=True):
+                c = words(own)
+                yield pa.RecordBatch.from_arrays([pa.array([language] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
+
+    sums = one.select(F.col("_lang").cast("string").alias("_lang"), "_text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    most = Window.partitionBy("lang").orderBy(F.desc("n"), "word")  # the words of max_docs texts
+    counts: dict[str, dict[str, int]] = {}
+    for r in sums.withColumn("k", F.row_number().over(most)).filter(F.col("k") <= max_words).collect():
+        counts.setdefault(r["lang"], {})[r["word"]] = r["n"]
+    return fit_counts(counts, pieces)
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep_text: bool = True) -> DataFrame:

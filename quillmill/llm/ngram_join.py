@@ -14,7 +14,8 @@ be missed by this only if all its s + 1 keys or more are common. So a set of whi
 the others, which consist of common passages to a good part, are taken further: to blocks so fine that each has one token. Sets
 share 80 of 100 of the tokens of either or more, so again a set is done if fewer of its tokens are common. What remains
 are sets that are common passages but for a few tokens. These meet in groups of a few of their least common tokens
-(as few as their number of common tokens leaves to differ), block by block of a group, and only across components.
+(as few as their number of common tokens leaves to differ), by blocks of a group and only across components: first by as few
+pairs as join all that are near by an estimate from finer sketches, then, between what is still apart, by all pairs.
 
 Pairs that met are held against a bit sketch: tokens toggle one bit each, so the Hamming distance of two sketches is no
 more than the symmetric difference; what is within D is verified exactly on the texts. Copies of one text are one node.
@@ -38,8 +39,9 @@ from .graph import components
 
 #: Words of a shingle, and the least similarity as a fraction.
 WORDS, SIMILAR = 5, (80, 100)
-#: Members from which on the key of a group in several components is common; members of a block of a group of common tokens.
-COMMON, BLOCK = 32, 1024
+#: Members from which on the key of a group in several components is common; members of a block of a group of
+#: common tokens, and bytes of their sketches.
+COMMON, BLOCK, BLOCK_BYTES = 32, 1024, 1 << 22
 #: Ids up to which they are sent to every executor to fetch their texts: below 32 MB.
 BROADCAST_IDS = 500_000
 PRIME, MIX_1, MIX_2, GOLDEN, ONE = (np.uint64(x) for x in (0x100000001B3, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 1))
@@ -126,9 +128,9 @@ class Bands:
         return np.sort(mix(np.bitwise_xor.reduceat(hashes, starts) ^ mix(block[starts] + salt + GOLDEN)))
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """Bits toggled by a token each; their number is a power of two, twice the set's size or more."""
-    bits = max(64, 1 << (2 * len(hashes) - 1).bit_length())
+def sketch(hashes: np.ndarray, times: int = 2) -> bytes:
+    """Bits toggled by a token each; their number is a power of two, so many times the set's size or more."""
+    bits = max(64, 1 << (times * len(hashes) - 1).bit_length())
     at = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(at.astype(np.uint8), bitorder="little").tobytes()
 
@@ -198,16 +200,17 @@ def sets(texts: DataFrame, bands: Bands) -> DataFrame:
 
 
 def tokens(texts: DataFrame) -> DataFrame:
-    """(node, n, keys) of each node: blocks of one token each."""
+    """(node, n, sketch, keys) of each node: blocks of one token each, and a finer sketch."""
 
     def make():
         def run(batch: pa.RecordBatch) -> list[pa.Array]:
             own = [shingles(x.as_py()) for x in batch.column(batch.schema.get_field_index("text"))]
-            return [pa.array(list(map(len, own)), pa.int64()), flat(own)]
+            return [pa.array(list(map(len, own)), pa.int64()), pa.array([sketch(x, 8) for x in own], pa.binary()), flat(own)]
 
         return run
 
-    return append_arrow(texts.select("node", "text"), [T.StructField("n", T.LongType(), False), T.StructField("keys", T.ArrayType(T.LongType()), False)], make, drop=("text",))
+    kinds = {"n": T.LongType(), "sketch": T.BinaryType(), "keys": T.ArrayType(T.LongType())}
+    return append_arrow(texts.select("node", "text"), [T.StructField(c, k, False) for c, k in kinds.items()], make, drop=("text",))
 
 
 def groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
@@ -259,12 +262,13 @@ def meet(rows: DataFrame, bands: Bands) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "kind int, x long, y long")
 
 
-def cross(rows: DataFrame, bands: Bands) -> DataFrame:
-    """rows (key, node, size, n, sketch, component), size that of the group: the pairs (a, b) of a group whose components differ,
-    whose sizes can be similar and whose sketches are near enough. A pair is a row only once it has passed the sketches.
+def cross(rows: DataFrame, bands: Bands, forest: bool = False) -> DataFrame:
+    """rows (key, node, cuts, n, sketch, component): the pairs (a, b) of a group whose components differ, whose sizes can be
+    similar and whose sketches are near enough. A pair is a row only once it has passed the sketches.
 
-    A large group is cut into blocks by a hash of the node, and each pair of blocks is a cell, so cells of one group spread over
-    tasks. Sets of a cell's largest component are compared with those outside of it only."""
+    A group is cut into so many blocks by a hash of the node, and each pair of blocks is a cell, so cells of a large group
+    spread over tasks. Sets of a cell's largest component are compared with those outside of it only. With forest, only pairs
+    that are similar by an estimate are given, and of these no more than join what they join: fewer than a cell has sets."""
 
     def run(batches):
         for cell, *columns in groups(batches, 7):
@@ -273,23 +277,31 @@ def cross(rows: DataFrame, bands: Bands) -> DataFrame:
                 order = np.argsort(columns[1][i:j], kind="stable")
                 node, n, bits, component, block, inner = (c[i:j][order] for c in columns)
                 names, of, sizes = np.unique(component, return_inverse=True, return_counts=True)
-                largest, places = of == sizes.argmax(), np.arange(len(n))
+                outside, places = of == sizes.argmax(), np.arange(len(n))
                 lengths = np.array([len(x) for x in bits])
                 low, high = np.searchsorted(n, -(-n * bands.num // bands.den)), np.searchsorted(n, n * bands.den // bands.num, side="right")
                 by_length: dict[int, np.ndarray] = {}
-                for k in np.flatnonzero(~largest).tolist():
-                    near = slice(low[k], high[k])
-                    other = places[near][(of[near] != of[k]) & (largest[near] | (places[near] > k)) & (inner[near] | (block[near] != block[k]))]
+                for k in np.flatnonzero(~outside).tolist():
+                    near = slice(low[k], high[k])  # sorted by size
+                    other = places[near][(of[near] != of[k]) & (outside[near] | (places[near] > k)) & (inner[near] | (block[near] != block[k]))]
                     for length in {lengths[k], *np.minimum(lengths[other], lengths[k]).tolist()} if len(other) else ():
                         if length not in by_length:
                             by_length[length] = np.stack([fold(x, length) for x in bits])
                         m, some = by_length[length], other[np.minimum(lengths[other], lengths[k]) == length]
                         far = np.bitwise_count(m[some] ^ m[k]).sum(axis=1, dtype=np.int64)
-                        some = some[far <= (n[some] + n[k]) * (bands.den - bands.num) // (bands.den + bands.num)]
+                        most = (n[some] + n[k]) * (bands.den - bands.num) // (bands.den + bands.num)
+                        if forest:
+                            # So many toggled tokens are to be expected where so many bits differ.
+                            sure = -4.0 * length * np.log1p(-np.minimum(far / (4.0 * length), 0.999)) <= 0.95 * most
+                            joined, at = np.unique(of[some[sure]], return_index=True)
+                            some = some[sure][at]
+                            of[np.isin(of, joined)] = of[k]
+                        else:
+                            some = some[far <= most]
                         if len(some):
                             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[k], node[some])), pa.array(np.maximum(node[k], node[some]))], names=["a", "b"])
 
-    cut = rows.withColumn("cuts", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), "cuts"))
+    cut = rows.withColumn("block", F.pmod(F.xxhash64("node"), "cuts"))
     cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
     cell = F.when(F.col("cuts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
     cells = cells.select(cell.alias("cell"), "node", "n", "sketch", "component", "block", (F.col("block") == F.col("other")).alias("inner"))
@@ -310,6 +322,8 @@ def verify(pairs: DataFrame, found: DataFrame, corpus: Corpus, bands: Bands, scr
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     near = scratch.write(near.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(by_sketch, "a long, b long"), f"{name}-near")
+    if not near.limit(1).count():
+        return near
     own = scratch.write(corpus.texts_of(near.select(F.explode(F.array("a", "b")).alias("w")), f"{name}-wanted").select("node", "text"), f"{name}-texts")
     both = near.join(own.select(F.col("node").alias("b"), F.col("text").alias("t_b")).hint("merge"), "b")
     both = both.join(own.select(F.col("node").alias("a"), F.col("text").alias("t_a")).hint("merge"), "a")
@@ -337,25 +351,41 @@ def open_groups(met: DataFrame, labels: DataFrame) -> DataFrame:
     return known.join(several.hint("merge"), "key")
 
 
-def link_groups(met: DataFrame, found: DataFrame, links: DataFrame | None, labels: DataFrame | None, corpus: Corpus, bands: Bands, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All links of the groups met, but for those of common keys: links, labels and the rows (key, node, component, size) of the
-    common keys. links and labels are those known so far."""
-    pairs = met.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    if links is not None:
-        apart = pairs.join(labels.select(F.col("node").alias("a"), F.col("component").alias("c_a")).hint("merge"), "a", "left")
-        apart = apart.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c_b")).hint("merge"), "b", "left")
-        pairs = apart.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    seen = scratch.write(pairs, f"{name}-pairs")
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b), a < b, whose components differ."""
+    pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for c in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")).hint("merge"), c, "left")
+    return pairs.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+
+
+def extend(labels: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """labels (node, component) after more links: only the components that these join are taken further."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")).hint("merge")
+    joined = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    joined = scratch.write(joined.filter("a <> b").distinct(), f"{name}-joined")
+    if not joined.limit(1).count():
+        return labels
+    merged = components(joined, scratch, f"{name}-merged").select(F.col("node").alias("was"), F.col("component").alias("now"))
+    kept = labels.join(merged.hint("merge"), F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
+    new = merged.join(labels.hint("merge"), F.col("was") == F.col("node"), "left_anti").select("was", "now")
+    return scratch.write(kept.union(new), f"{name}-labels")
+
+
+def link_groups(met: DataFrame, found: DataFrame, labels: DataFrame, more: DataFrame | None, corpus: Corpus, bands: Bands, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Follows the pairs of met, then all pairs of the small groups that are still in several components: labels after the
+    former, the links (a, b) of the latter, and the rows (key, node, component, size) of the common keys.
+
+    labels are those known so far, more are links that they don't hold yet."""
+    seen = scratch.write(apart(met.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")), labels), f"{name}-pairs")
     scratch.release()
-    new = verify(seen, found, corpus, bands, scratch, f"{name}-first")
-    links = links.union(new) if links is not None else new
-    labels = components(links, scratch, f"{name}-labels")
+    links = verify(seen, found, corpus, bands, scratch, f"{name}-first")
+    labels = extend(labels, links.union(more) if more else links, scratch, name)
     still = scratch.write(open_groups(met, labels), f"{name}-open")
-    few = still.filter(F.col("size") < COMMON).join(found.select("node", "n", "sketch").distinct().hint("merge"), "node")
-    more = scratch.write(cross(few, bands).distinct().join(seen.hint("merge"), ["a", "b"], "left_anti"), f"{name}-more")
+    few = still.filter(F.col("size") < COMMON).withColumn("cuts", F.lit(1).cast("long")).join(found.select("node", "n", "sketch").distinct().hint("merge"), "node")
+    pairs = scratch.write(cross(few, bands).distinct().join(seen.hint("merge"), ["a", "b"], "left_anti"), f"{name}-more")
     scratch.release()
-    links = links.union(verify(more, found, corpus, bands, scratch, f"{name}-second"))
-    return links, components(links, scratch, f"{name}-labels-2"), still.filter(F.col("size") >= COMMON)
+    return labels, verify(pairs, found, corpus, bands, scratch, f"{name}-second"), still.filter(F.col("size") >= COMMON)
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -372,21 +402,29 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", sim
     found = scratch.write(keyed.drop("keys"), "sets")
     scratch.drop("keyed")
     sizes = found.select("node", "n", "sketch", "room").distinct().hint("merge")
-    links, labels, common = link_groups(met, found, None, None, corpus, bands, scratch, "blocks")
+    none = scratch.write(found.select("node", F.col("node").alias("component")).limit(0), "none")
+    labels, more, common = link_groups(met, found, none, None, corpus, bands, scratch, "blocks")
     # Sets with too many common keys in one home, of empty blocks or of groups that stay in several components.
     crowded = common.groupBy("node", F.pmod("key", F.lit(2)).alias("home")).count().join(sizes.drop("sketch"), "node").filter("count > room").select("node")
     texts = corpus.texts_of(crowded.union(found.filter("room < 0 AND n > 0").select("node")).select(F.col("node").alias("w")), "crowded")
-    met = scratch.write(meet(tokens(texts).select(F.explode("keys").alias("key"), "node", "n"), bands), "met-1")
-    links, labels, common = link_groups(met, found, links, labels, corpus, bands, scratch, "tokens")
-    # Sets that have so many common tokens that all that they share with another can be common.
+    by_token = scratch.write(tokens(texts), "tokens")
+    met = scratch.write(meet(by_token.select(F.explode("keys").alias("key"), "node", "n"), bands), "met-1")
+    labels, more, common = link_groups(met, found, labels, more, corpus, bands, scratch, "tokens")
+    # Sets that have so many common tokens that all that they share with another can be common. By size of the group, the first
+    # of them suffice: as many as can differ, and one.
     least = F.ceil(F.col("n") * bands.num / bands.den)
-    ranked = common.withColumn("held", F.count("*").over(Window.partitionBy("node"))).join(sizes, "node").filter(F.col("held") >= least)
-    order = Window.partitionBy("node").orderBy("size", "key")  # no more rows than the set has tokens
-    ranked = ranked.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= F.col("held") - least + 1)
-    rest = scratch.write(cross(ranked, bands).distinct(), "pairs-rest")
-    if rest.limit(1).count():
-        links = links.union(verify(rest, found, corpus, bands, scratch, "rest"))
-        labels = components(links, scratch, "labels-rest")
+    held, order = Window.partitionBy("node"), Window.partitionBy("node").orderBy("size", "key")  # no more rows than the set has tokens
+    rest = common.drop("component").join(by_token.select("node", "n").hint("merge"), "node").withColumn("held", F.count("*").over(held)).filter(F.col("held") >= least)
+    rest = rest.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= F.col("held") - least + 1).select("key", "node")
+    rest = rest.join(by_token.select("node", "n", "sketch").hint("merge"), "node")
+    group = Window.partitionBy("key")
+    cuts = F.greatest(F.ceil(F.count("*").over(group) / BLOCK), F.ceil(F.sum(F.length("sketch")).over(group) / BLOCK_BYTES))
+    rest = scratch.write(rest.withColumn("cuts", cuts), "rest")
+    for name, forest in (("sure", True), ("all", False)):
+        now = rest.join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        pairs = scratch.write(cross(now, bands, forest).distinct(), f"{name}-pairs")
+        more = more.union(verify(pairs, found, corpus, bands, scratch, name))
+        labels, more = extend(labels, more, scratch, name), more.limit(0)
     of_node = corpus.firsts.join(found.select("node", "hash", "n").distinct().hint("merge"), ["node", "hash"]).join(labels.hint("merge"), "node", "left")
     of_node = of_node.select(F.col("hash").alias("node_hash"), "n", F.coalesce("component", "node").alias("component"))
     of_row = corpus.ids.join(scratch.write(of_node, "classes").hint("merge"), F.col("hash") == F.col("node_hash"), "left")

@@ -4,8 +4,9 @@ of the sizes to which they compress a text becomes a calibrated score.
 Texts are normalised first: runs of letters and digits become one sign for their shape and a word that stands one or two
 words before becomes "=". So the dictionaries hold the make-up of good and bad text, not its vocabulary.
 
-Fitting takes a bounded sample of labelled rows (max_docs of each label, none longer than max_chars); scoring reads
-every whole text, in blocks, with one compressor for each dictionary per task. Memory: two dictionaries and a batch.
+Fitting takes a bounded sample of labelled rows (max_docs of each label), whose whole texts stay in the tasks: the driver gets
+evenly spread pieces of them for the dictionaries, and one number for each that calibrates. Scoring reads every whole
+text, in blocks, with one compressor for each dictionary per task. Memory: two dictionaries and a batch.
 """
 
 from __future__ import annotations
@@ -16,14 +17,14 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_arrow, bounded_sample, texts, without
+from .common import Scratch, append_arrow, bounded_sample, texts, without
 
 #: Parameters of the sample and of the model.
-MAX_DOCS, MAX_CHARS, DICT_BYTES, BLOCK_BYTES, LEVEL = 2000, 20_000, 65_536, 128, 9
+MAX_DOCS, DICT_BYTES, PIECE, BLOCK_BYTES, LEVEL = 2000, 65_536, 256, 128, 9
 #: Bytes that any frame has, and how many words' shapes a task remembers.
 FRAME_BYTES, REMEMBERED = 2, 200_000
 RUN = re.compile(r"[^\W\d_]+|\d+")
@@ -104,14 +105,11 @@ def logistic(x: float) -> float:
     return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
 
-def dictionary(sample: list[bytes]) -> bytes:
-    """An equal share of each normalised text, cut from evenly spread places, until DICT_BYTES are full."""
-    share, parts = max(256, DICT_BYTES // max(1, len(sample))), []
-    for data in sample:
-        n = max(1, share // 256)
-        step = max(256, len(data) // n)
-        parts += [data[i : i + 256] for i in range(0, len(data), step)][:n]
-    return b"".join(parts)[:DICT_BYTES] or b" " * 8
+def pieces(data: bytes, sampled: int) -> bytes:
+    """What a normalised text, one of so many, gives to its dictionary: pieces from evenly spread places."""
+    n = max(1, DICT_BYTES // max(1, sampled) // PIECE)
+    step = max(PIECE, len(data) // n)
+    return b"".join([data[i : i + PIECE] for i in range(0, len(data), step)][:n])
 
 
 def calibrate(values: list[float], labels: list[int]) -> tuple[float, float]:
@@ -140,31 +138,53 @@ def fit_texts(rows: list[tuple[str, int]]) -> ZstdQuality:
     """rows: (text, label 0 or 1) in a fixed order; of each label two of three texts fill the dictionary, every third calibrates."""
     normalise = normaliser()
     by = {y: [normalise(t) for t, label in rows if label == y and t] for y in (0, 1)}
-    if not by[0] or not by[1]:
-        return ZstdQuality(b"", b"", 0.0, 0.0, (len(by[1]) + 0.5) / (len(by[0]) + len(by[1]) + 1))
-    learn = {y: [t for i, t in enumerate(ts) if i % 3 or len(ts) < 3] for y, ts in by.items()}
-    check = {y: ts[::3] for y, ts in by.items()}
-    good, bad = dictionary(learn[1]), dictionary(learn[0])
+    return fit_pieces({y: [pieces(t, len(ts)) for t in ts] for y, ts in by.items()}, lambda good, bad, wanted: [difference(by[y][k], compressor(good), compressor(bad)) for y, k in wanted])
+
+
+def fit_pieces(by: dict[int, list[bytes]], differences) -> ZstdQuality:
+    """by: for each label the pieces of its texts; differences(good, bad, wanted) measures the wanted (label, place) ones."""
+    count = {y: len(ts) for y, ts in by.items()}
+    if not count[0] or not count[1]:
+        return ZstdQuality(b"", b"", 0.0, 0.0, (count[1] + 0.5) / (count[0] + count[1] + 1))
+    good, bad = (b"".join(piece for i, piece in enumerate(by[y]) if i % 3 or count[y] < 3)[:DICT_BYTES] or b" " * 8 for y in (1, 0))
     size = min(len(good), len(bad))
-    by_good, by_bad = compressor(good[:size]), compressor(bad[:size])
-    values, labels = [], []
-    for y, ts in check.items():
-        values += [difference(t, by_good, by_bad) for t in ts]
-        labels += [y] * len(ts)
-    return ZstdQuality(good[:size], bad[:size], *calibrate(values, labels))
+    good, bad = good[:size], bad[:size]
+    wanted = [(y, k) for y in (0, 1) for k in range(0, count[y], 3)]
+    return ZstdQuality(good, bad, *calibrate(differences(good, bad, wanted), [y for y, _ in wanted]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", max_docs: int = MAX_DOCS) -> ZstdQuality:
-    """docs and labels meet by key; rows with a null or another label than 0 and 1, or longer than MAX_CHARS, aren't learned from.
+    """docs and labels meet by key; rows with a null key or another label than 0 and 1, and null and empty texts, aren't learned
+    from; of several texts of one id the least is, of several labels the greater.
 
-    Ids are sampled first, so that their texts are found by one scan with a broadcast of at most 4 * max_docs ids; what the
-    driver gets is bounded by as many texts of MAX_CHARS, of which max_docs of each label are taken."""
+    Twice max_docs ids of each label are sampled first, as some may have no text, so the texts are found by one scan with a
+    broadcast of at most 4 * max_docs ids. The sample is written to the shared folder and read for pieces and for differences."""
+    spark = docs.sparkSession
     rows = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")).filter(F.col("_label").isin(0, 1) & F.col("_key").isNotNull())
-    ids = bounded_sample(rows, "_label", F.col("_key"), 2 * max_docs)
-    found = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).filter((F.length("_text") <= MAX_CHARS) & (F.length("_text") > 0))
-    sample = found.join(F.broadcast(ids), F.col("_doc") == F.col("_key")).select("_text", "_label", F.xxhash64("_key").alias("_order"), "_key").collect()
-    by = {y: sorted((r["_order"], str(r["_key"]), r["_text"]) for r in sample if r["_label"] == y)[:max_docs] for y in (0, 1)}
-    return fit_texts([(t, y) for y, rows in by.items() for _, _, t in rows])
+    ids = bounded_sample(rows, "_label", F.col("_key"), 2 * max_docs).groupBy("_key").agg(F.max("_label").alias("_label"))
+    found = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).filter(F.length("_text") > 0)
+    found = found.join(F.broadcast(ids), F.col("_doc") == F.col("_key")).groupBy("_key", "_label").agg(F.min("_text").alias("_text"))
+    place = Window.partitionBy("_label").orderBy(F.xxhash64("_key"), "_key")  # at most 2 * max_docs rows
+    sample = found.withColumn("_place", F.row_number().over(place).cast("long") - 1).filter(F.col("_place") < max_docs).select("_label", "_place", "_text")
+    sample = Scratch(spark, "quality").write(sample, "sample")
+    count = {r["_label"]: r["count"] for r in sample.groupBy("_label").count().collect()}
+
+    def make_pieces():
+        normalise = normaliser()
+        return lambda batch: [pa.array([pieces(normalise(t), count[y.as_py()]) for t, y in zip(texts(batch, "_text"), batch.column(batch.schema.get_field_index("_label")), strict=True)], pa.binary())]
+
+    cut = append_arrow(sample, [T.StructField("_piece", T.BinaryType(), False)], make_pieces, ("_text",)).orderBy("_label", "_place").collect()
+
+    def differences(good: bytes, bad: bytes, wanted) -> list[float]:
+        def make():
+            normalise, by_good, by_bad = normaliser(), compressor(good), compressor(bad)
+            return lambda batch: [pa.array([difference(normalise(t), by_good, by_bad) for t in texts(batch, "_text")], pa.float64())]
+
+        rows = append_arrow(sample.filter(F.col("_place") % 3 == 0), [T.StructField("_difference", T.DoubleType(), False)], make, ("_text",)).collect()
+        of = {(r["_label"], r["_place"]): r["_difference"] for r in rows}
+        return [of[x] for x in wanted]
+
+    return fit_pieces({y: [bytes(r["_piece"]) for r in cut if r["_label"] == y] for y in (0, 1)}, differences)
 
 
 def score(docs: DataFrame, model: ZstdQuality, text: str = "text", threshold: float = 0.7, keep_text: bool = True) -> DataFrame:

@@ -1,8 +1,9 @@
 """Secret scans by a trigram inverted index. DataFrame functions only.
 
-A Boolean query over trigrams is derived from each rule's regular expression: what any match must hold. The index has a
-posting (trigram, document) for each trigram of these queries; postings meet by document, where the queries are decided;
-rules are verified on their candidates only. A rule without mandatory trigrams scans every text.
+A Boolean query over trigrams is derived from each rule's regular expression: what any match must hold. A text is indexed in
+one pass by the trigrams of these queries that it holds; postings() gives that index as a table (trigram, document). The
+posting sets that a query asks for are intersected in the row that holds the text, so no text ever moves, and rules are
+verified on their candidates only. A rule without mandatory trigrams scans every text.
 """
 
 from __future__ import annotations
@@ -17,8 +18,6 @@ from re import _parser as sre_parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -108,63 +107,99 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
     return clauses
 
 
-def postings(docs: DataFrame, trigrams: list[str], key: str, text: str) -> DataFrame:
-    """(trigram, key): one row for each of the given trigrams that a row's text holds, in either case."""
-    low = F.lower(F.col(text))
-    return docs.select(F.col(key).alias("_doc"), F.explode(F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.contains(low, t))).alias("trigram"))
+def trigrams_of(rules: tuple[Rule, ...]) -> list[str]:
+    return sorted({t for r in rules for clause in trigram_query(r.pattern) for strings in clause for t in strings})
+
+
+def gates(rules: tuple[Rule, ...]) -> list[str]:
+    """Few trigrams of which any text holds one that meets some rule's query: of each rule the shortest clause, of each of its
+    sets one trigram, one of rare signs and held by several sets if there is such a one."""
+    plain = "etaoinshrdlucmfwypvbgkqjxz"
+    left = [s for r in rules if (q := trigram_query(r.pattern)) for s in min(q, key=len)]
+    chosen = []
+    while left:
+        rank = lambda t: (sum(plain.find(c) % 27 for c in t) + 5 * sum(t in s for s in left), t)
+        chosen.append(max(sorted(set().union(*left)), key=rank))
+        left = [s for s in left if chosen[-1] not in s]
+    return chosen
+
 
+def held_trigrams(text: Column, trigrams: list[str]) -> Column:
+    """The given trigrams that a text in lower case holds, found in one pass: by their first sign, then by the rest."""
+    if not trigrams:
+        return F.array().cast("array<string>")
+    by_first = itertools.groupby(sorted(trigrams), key=lambda t: t[0])
+    tree = "|".join(f"{re.escape(first)}(?:{'|'.join(re.escape(t[1:]) for t in own)})" for first, own in by_first)
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({tree}))"), F.lit(1)))
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_doc, _kinds): for each document the kinds of the rules whose trigram query its postings meet; others are absent.
 
-    A document has at most as many postings as the queries have trigrams, so a group is small, whatever the corpus."""
-    queries = {r.kind: trigram_query(r.pattern) for r in rules}
-    trigrams = sorted({t for q in queries.values() for clause in q for strings in clause for t in strings})
-    kinds = [k for k, q in queries.items() if q]
-    if not kinds:
-        return docs.select(F.col(key).alias("_doc"), F.array().cast("array<string>").alias("_kinds")).limit(0)
-    met = postings(docs, trigrams, key, text).groupBy("_doc").agg(F.collect_set("trigram").alias("_met"))
-    all_of = lambda strings: F.size(F.array_intersect("_met", F.array(*map(F.lit, sorted(strings))))) == len(strings)
-    holds = lambda q: reduce(lambda a, b: a & b, (reduce(lambda a, b: a | b, map(all_of, clause)) for clause in q))
-    found = met.select("_doc", F.array_compact(F.array(*(F.when(holds(queries[k]), F.lit(k)) for k in kinds))).alias("_kinds"))
-    return found.filter(F.size("_kinds") > 0)
+def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The inverted index as a table (trigram, key): one row for each trigram of the rules' queries that a row's text holds."""
+    return docs.select(F.explode(held_trigrams(F.lower(F.col(text)), trigrams_of(rules))).alias("trigram"), F.col(key).alias("_doc")).withColumnRenamed("_doc", key)
+
+
+def meets(rule: Rule, held: Column) -> Column:
+    """Whether a text with these trigrams meets the rule's query."""
+    all_of = lambda strings: reduce(lambda a, b: a & b, (F.array_contains(held, t) for t in sorted(strings)))
+    return reduce(lambda a, b: a & b, (reduce(lambda a, b: a | b, map(all_of, clause)) for clause in trigram_query(rule.pattern)))
 
 
 SPANS = "array<struct<start:int,kind_no:int,end:int,kind:string>>"
 
 
+#: Elements that running() appends to one array before it begins the next.
+TOGETHER = 512
+
+
+def running(items: Column, kind: str, step) -> Column:
+    """Lists appended by step, which takes (at, item) and gives (at, list): at goes on from item to item. (at, array) at the end.
+
+    An append copies its array, so items are taken in runs of TOGETHER whose arrays are put together at the end."""
+    none = F.array().cast(kind)
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / TOGETHER).cast("int")), lambda k: F.slice(items, k * TOGETHER + 1, TOGETHER))
+
+    def one(acc: Column, x: Column) -> Column:
+        # What is used twice stands in an array of one, else it would be computed twice.
+        return F.transform(F.array(step(acc["at"], x)), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["list"], r["list"]).alias("list")))[0]
+
+    def run(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("list")), one)
+        return F.transform(F.array(inner), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["list"], F.array(r["list"])).alias("list")))[0]
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("list"))
+    found = F.aggregate(runs, start, run, lambda acc: F.struct(acc["at"].alias("at"), F.flatten(acc["list"]).alias("list")))
+    return F.when(F.size(items) > 0, found).otherwise(F.struct(F.lit(0).alias("at"), none.alias("list")))
+
+
 def spans_of(rule: Rule, number: int, text: Column) -> Column:
     """Spans of a rule in a text, in code points, end exclusive. What stands between matches gives their places."""
     between, matches = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     groups = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
     pairs = F.arrays_zip(F.transform(between, F.length).alias("gap"), F.transform(matches, F.length).alias("size"), F.transform(groups, F.length).alias("held"))
     pairs = F.filter(pairs, lambda x: x["size"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
+    def step(at: Column, x: Column) -> Column:
+        begin = at + x["gap"]
         end = begin + x["size"]
-        one = F.array(F.struct(begin.alias("start"), F.lit(number).alias("kind_no"), end.alias("end"), F.lit(rule.kind).alias("kind")))
-        return F.struct(end.alias("at"), F.when(x["held"] >= rule.least, F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
+        one = F.array(F.struct(begin.alias("start"), F.lit(number).alias("kind_no"), end.alias("end"), F.lit(rule.kind).alias("kind"))).cast(SPANS)
+        return F.struct(end.alias("at"), F.when(x["held"] >= rule.least, one).otherwise(F.array().cast(SPANS)).alias("list"))
 
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(SPANS))
+    return F.when(text.rlike(rule.pattern), running(pairs, SPANS, step)["list"]).otherwise(F.array().cast(SPANS))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Adds secret_spans, the spans of all rules by start, then rule: array of (start, kind_no, end, kind). Null text: none.
 
-    Rows are kept one for one; rows that share an id, null too, are candidates together but verified each by itself. The
-    candidates are written to the shared folder, so that Spark knows their size when it chooses how to join them."""
-    found = Scratch(docs.sparkSession, "secrets").write(candidates(docs, rules, key, text), "candidates")
-    kept = docs.select([F.col(f"`{c}`") for c in docs.columns if c.lower() != "secret_spans"])
-    joined = kept.join(found, kept[key].eqNullSafe(found["_doc"]), "left")
-    whole = F.coalesce(kept[text], F.lit(""))
+    Rows are kept one for one, each decided by itself; a column of this name is replaced. Nothing is shuffled."""
+    kept = docs.select([F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("secret_spans", "_held")])
+    whole, trigrams = F.coalesce(F.col(text), F.lit("")), trigrams_of(rules)
+    # Texts without any of the gates meet no query and aren't indexed; what is used more than once is a column of its own.
+    low = kept.withColumn("_held", F.lower(whole))
+    gate = reduce(lambda a, b: a | b, (F.contains("_held", F.lit(t)) for t in gates(rules)), F.lit(False))
+    held = low.withColumn("_held", F.when(gate, held_trigrams(F.col("_held"), trigrams)).otherwise(F.array().cast("array<string>")))
     none = F.array().cast(SPANS)
-    by_rule = [
-        F.when(F.array_contains("_kinds", rule.kind), spans_of(rule, n, whole)).otherwise(none) if trigram_query(rule.pattern) else spans_of(rule, n, whole)
-        for n, rule in enumerate(rules)
-    ]
-    return joined.withColumn("secret_spans", F.array_sort(F.concat(*by_rule))).drop("_doc", "_kinds")
+    by_rule = [F.when(meets(r, F.col("_held")), spans_of(r, n, whole)).otherwise(none) if trigram_query(r.pattern) else spans_of(r, n, whole) for n, r in enumerate(rules)]
+    return held.withColumn("secret_spans", F.array_sort(F.concat(*by_rule))).drop("_held")
 
 
 def written(spans: Column) -> Column:
@@ -178,21 +213,18 @@ def digests(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id
     base = F.filter(spans, lambda s: s["kind"].isin([r.kind for r in rules if r.base]))
     of_kind = lambda k: F.filter(spans, lambda s: s["kind"] == k)
     counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
-    return scan(docs.select(key, text), rules, key, text).select(key, *counts, F.sha2(written(base), 256).alias("base_sha256"), written(spans).alias("spans"))
+    return scan(docs.select(key, text), rules, text).select(key, *counts, F.sha2(written(base), 256).alias("base_sha256"), written(spans).alias("spans"))
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """Each run of overlapping spans becomes mark; the other columns stay as they are, but for one that is named secret_spans.
     A null text stays null."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["parts"], F.array(F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["parts"]).alias("parts"))
+    parts = "array<string>"
 
-    def finish(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["parts"], ""), F.substring(F.col(text), acc["at"] + 1, F.length(text)))
+    def step(at: Column, s: Column) -> Column:
+        fresh = F.array(F.substring(F.col(text), at + 1, s["start"] - at), F.lit(mark))
+        return F.struct(F.greatest(at, s["end"]).alias("at"), F.when(s["start"] >= at, fresh).otherwise(F.array().cast(parts)).alias("list"))
 
-    found = scan(docs, rules, key, text)
-    clean = F.when(F.size("secret_spans") > 0, F.aggregate("secret_spans", start, step, finish)).otherwise(F.col(text))
-    return found.withColumn(text, clean).drop("secret_spans")
+    found = scan(docs, rules, text)
+    whole = F.transform(F.array(running(F.col("secret_spans"), parts, step)), lambda r: F.concat(F.array_join(r["list"], ""), F.substring(F.col(text), r["at"] + 1, F.length(text))))[0]
+    return found.withColumn(text, F.when(F.size("secret_spans") > 0, whole).otherwise(F.col(text))).drop("secret_spans")
