@@ -13,6 +13,7 @@ CALLOUTS = ("TIP", "CRUX", "ASIDE", "WARNING", "CAUTION", "SIDEBAR")
 SENTENCE_END = r"(?<=[.!?])(?U:\s)+(?=[A-Z]|(?U:\d))|(?<=[。！？])"
 #: The same without the condition on what follows, as overlaps use it.
 LOOSE_END = r"(?<=[.!?])(?U:\s)+|(?<=[。！？])"
+#: Fixed value: how a caption begins.
 CAPTION = r"^(Figure|Table|图|表)\s*\d+(\.\d+)*\s*[:：\s]"
 #: Tags at the end of an answer.
 CALCULATED, CITED = "[calculated]", "[sources: "
@@ -98,7 +99,7 @@ def overlap_suffix(text: Column, most: int) -> Column:
 
 def is_heading_boundary(content: Column) -> Column:
     """P05."""
-    return F.trim(content).rlike(rf"(?i)^#{{1,6}}\s(?!(?:{'|'.join(CALLOUTS)})\b)")
+    return stripped(content).rlike(rf"(?i)^#{{1,6}}\s(?!(?:{'|'.join(CALLOUTS)})\b)")
 
 
 def is_caption(content: Column) -> Column:
@@ -109,10 +110,10 @@ def is_caption(content: Column) -> Column:
 def classify_block(block: Column) -> Column:
     """Struct (type, content); the first rule that fits decides."""
     b = stripped(block)
-    code = b.rlike(r"(?s)^```.*```$")
+    code = b.startswith("```")  # whether it is closed or not
     inner = stripped(F.regexp_replace(F.regexp_replace(b, r"^```[^\n]*\n?", ""), r"\n?```$", ""))
     formula = b.startswith("$$") & b.endswith("$$") & (F.length(b) > 4)
-    table = b.rlike(r"(?m)^[ \t]*\|.*\|[ \t]*$")
+    table = F.exists(F.split(b, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda line: stripped(line).rlike(r"^\|[^\n]+\|$"))
     kind = F.when(code, "code").when(formula, "formula").when(table, "table").when(b.startswith("!["), "figure").otherwise("text")
     return F.struct(kind.alias("type"), F.when(code, inner).when(formula, stripped(F.substring(b, F.lit(3), F.length(b) - 4))).otherwise(b).alias("content"))
 

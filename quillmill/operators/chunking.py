@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import CALLOUTS, CAPTION, LOOSE_END, SENTENCE_END, TOKEN, chunk_id, greedy_pack, is_heading_boundary, split_long_text, token_count
+from quillmill.functions.text import CALLOUTS, CAPTION, LOOSE_END, SENTENCE_END, TOKEN, chunk_id, greedy_pack, is_heading_boundary, split_long_text, stripped, token_count
 
 MAX_TOKENS, OVERLAP_TOKENS, SEGMENT_TOKENS, LOW_CONFIDENCE = 512, 50, 256, 0.6
 ATOMIC = ("table", "formula", "code", "figure")
@@ -72,6 +72,7 @@ _END = re.compile(SENTENCE_END.replace("(?U:\\s)", "\\s").replace("(?U:\\d)", "\
 _LOOSE = re.compile(LOOSE_END.replace("(?U:\\s)", "\\s"))
 _HEADING = re.compile(rf"#{{1,6}}\s(?!(?:{'|'.join(CALLOUTS)})\b)", re.I)
 _CAPTION = re.compile(CAPTION)
+#: Fixed value: the line below a table's head.
 _RULE = re.compile(r"\|[-\s]*-{2,}[-:\s]*\|")
 
 
@@ -221,7 +222,7 @@ def pack_segments(segments: DataFrame, most: int = SEGMENT_TOKENS) -> DataFrame:
     Blank texts are left out. A speaker's name stands before the first of the speaker's segments in each chunk; the score
     is the mean weighted by tokens, 1.0 without tokens, and low below 0.6. The segments of one recording are one group."""
     by = ["book_id", "source_file"]
-    s = segments.withColumn("text", F.trim("text")).filter("text <> ''").withColumn("tok", token_count(F.col("text")))
+    s = segments.withColumn("text", stripped(F.col("text"))).filter("text <> ''").withColumn("tok", token_count(F.col("text")))
     member = F.struct("seg_idx", "text", "start", "end", F.coalesce("score", F.lit(1.0)).alias("score"), "speaker", "tok")
     packs = s.groupBy(*by).agg(F.array_sort(F.collect_list(member)).alias("m"))
     packs = packs.select(*by, "m", F.posexplode(greedy_pack(F.transform("m", lambda x: x["tok"]), most)).alias("seq", "p"))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import alt_text, classify_block, is_caption, strip_page_artifact
+from quillmill.functions.text import alt_text, classify_block, is_caption, strip_page_artifact, stripped
 
 
 def read_paged_markdown(df: DataFrame, key: str, markdown: str, separator: str) -> DataFrame:
@@ -25,7 +25,7 @@ def split_markdown_blocks(text: Column) -> Column:
     closed = lambda acc: F.when(F.size(acc["open"]) > 0, F.concat(acc["blocks"], F.array(F.array_join(acc["open"], "\n")))).otherwise(acc["blocks"])
 
     def step(acc: Column, line: Column) -> Column:
-        bare = F.trim(line)
+        bare = stripped(line)
         mark = F.when(bare.startswith("```"), "```").when(bare == "$$", "$$").otherwise("")
         opens, ends = (acc["fence"] == "") & (mark != ""), (acc["fence"] != "") & (mark == acc["fence"])
         blank = (acc["fence"] == "") & (bare == "")
@@ -36,13 +36,15 @@ def split_markdown_blocks(text: Column) -> Column:
             F.when(opens, mark).when(ends, F.lit("")).otherwise(acc["fence"]).alias("fence"),
         ).cast(state)
 
-    return F.aggregate(F.split(text, "\n"), start, step, closed)
+    blocks = F.aggregate(F.split(text, "\n"), start, step, closed)
+    return F.filter(F.transform(blocks, lambda b: F.regexp_replace(b, r"^\n+|\n+$", "")), lambda b: stripped(b) != "")
 
 
 def markdown_elements(sections: DataFrame, key: str) -> DataFrame:
-    """E01 and E02 over sections (key, page_num, content): key, elem_idx, type, content, page_num."""
+    """E01 and E02 over sections (key, page_num, content): key, elem_idx, type, content, page_num. Elements without content,
+    like a fence with nothing in it, are left out."""
     blocks = sections.select(key, "page_num", F.posexplode(split_markdown_blocks(F.col("content"))).alias("_at", "_block"))
-    blocks = blocks.withColumn("_c", classify_block(F.col("_block")))
+    blocks = blocks.withColumn("_c", classify_block(F.col("_block"))).filter("_c.content <> ''")
     order = Window.partitionBy(key).orderBy("page_num", "_at")
     return blocks.select(key, (F.row_number().over(order) - 1).alias("elem_idx"), "_c.type", "_c.content", "page_num")
 

@@ -43,10 +43,10 @@ def _(spark, d):
 TERMS = r"list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda t: t <> '')"
 
 
-def lexical_sql(k: int, by: str | None = None, queries: str = "SELECT item_id AS qid, text FROM benchmark") -> str:
+def lexical_sql(k: int, by: str | None = None, queries: str = "SELECT item_id AS qid, text FROM benchmark", chunks: str = "documents") -> str:
     g, j = (f", {by}", f" AND s.{by} = q.{by}") if by else ("", "")
     part = f"PARTITION BY {by}" if by else ""
-    return f"""(WITH d AS (SELECT doc_id{g}, {TERMS} AS t FROM documents),
+    return f"""(WITH d AS (SELECT doc_id{g}, {TERMS} AS t FROM {chunks}),
       n AS (SELECT doc_id{g}, len(t) AS dl, count(*) OVER ({part}) AS n, avg(len(t)) OVER ({part}) AS al, t FROM d),
       tf AS (SELECT doc_id{g}, dl, n, al, term, count(*) AS tf FROM (SELECT doc_id{g}, dl, n, al, unnest(t) AS term FROM n) AS u GROUP BY ALL),
       s AS (SELECT *, count(*) OVER (PARTITION BY term{g}) AS df FROM tf),
@@ -65,11 +65,16 @@ def _(spark, d):
     return lexical(spark, d, 10).select("qid", "chunk_id", F.round("score", 4).alias("score"))
 
 
-@query("t03_language_routed_lexical", f"SELECT qid, chunk_id, round(score, 4) AS score FROM {lexical_sql(10, 'lang', 'SELECT doc_id AS qid, lang, substr(text, 1, 100) AS text FROM documents WHERE doc_id % 20 = 0')} AS l")
+#: Every second document is given a sign of the other script, as the tables hold one only; so are the translated queries.
+ROUTED = "SELECT doc_id, CASE doc_id % 2 WHEN 1 THEN 'zh' ELSE 'en' END AS field, CASE doc_id % 2 WHEN 1 THEN '图 ' ELSE '' END || text AS text FROM documents"
+ASKED = "SELECT item_id AS qid, 'en' AS field, text FROM benchmark UNION ALL SELECT item_id, 'zh', '图 ' || text FROM benchmark"
+
+
+@query("t03_language_routed_lexical", f"SELECT qid, chunk_id, round(score, 4) AS score FROM {lexical_sql(10, 'field', ASKED, f'({ROUTED}) AS c')} AS l")
 def _(spark, d):
-    docs = table(spark, d, "documents")
-    asked = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), "lang", F.substring("text", 1, 100).alias("text"))
-    return ops.lexical_top_k(asked, docs.select(F.col("doc_id").alias("chunk_id"), "lang", "text"), 10, "lang").select("qid", "chunk_id", F.round("score", 4).alias("score"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text", F.concat(F.lit("图 "), "text").alias("translated"))
+    chunks = views.view(spark, d, ROUTED).select(F.col("doc_id").alias("chunk_id"), "text")
+    return ops.language_routed_lexical(asked, chunks, 10).select("qid", "chunk_id", F.round("score", 4).alias("score"))
 
 
 def pools(spark, d):
@@ -100,13 +105,13 @@ def _(spark, d):
     return ops.rerank(pairs.join(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), "chunk_id"), 3)
 
 
-TRUTH_SQL = "(SELECT q.vec_id AS qid, v.vec_id AS chunk_id, 's' || q.label % 3 AS subject FROM embeddings AS q JOIN embeddings AS v ON q.label = v.label AND q.vec_id <> v.vec_id AND v.vec_id % 10 = 1 WHERE q.vec_id % 20 = 0)"
+TRUTH_SQL = "(SELECT q.vec_id AS qid, v.vec_id AS chunk_id, 's' || q.label % 3 AS subject FROM embeddings AS q JOIN embeddings AS v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)"
 
 
 def truth(spark, d):
     e = table(spark, d, "embeddings")
     q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "label")
-    v = e.filter("vec_id % 10 = 1").select(F.col("vec_id").alias("chunk_id"), "label")
+    v = e.select(F.col("vec_id").alias("chunk_id"), "label")
     return q.join(v, "label").filter("qid <> chunk_id").select("qid", "chunk_id", F.concat(F.lit("s"), F.col("label") % 3).alias("subject"))
 
 

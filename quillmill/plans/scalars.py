@@ -163,9 +163,9 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-@query("f16_base64_round_trip", "SELECT doc_id, base64(encode(substr(text, 1, 50))) AS encoded, substr(text, 1, 50) AS decoded FROM documents")
+@query("f16_base64_round_trip", "SELECT doc_id, base64(encode(text)) AS encoded, text AS decoded FROM documents")
 def _(spark, d):
-    encoded = docs(spark, d).select("doc_id", f.base64_of(F.encode(F.substring("text", 1, 50), "UTF-8")).alias("encoded"))
+    encoded = docs(spark, d).select("doc_id", f.base64_of(F.encode("text", "UTF-8")).alias("encoded"))
     return encoded.withColumn("decoded", F.decode(F.unbase64("encoded"), "UTF-8"))
 
 
@@ -194,10 +194,16 @@ def _(spark, d):
     return e.select("event_id", "s.file", "s.page", F.col("s.start").alias("start_sec"), F.col("s.end").alias("end_sec"))
 
 
-@query("c03_greedy_pack", f"SELECT doc_id, CAST(sum(n) AS BIGINT) AS items FROM (SELECT doc_id, len({SENTENCES}) AS n FROM documents) AS s GROUP BY doc_id")
+@query(
+    "c03_greedy_pack",
+    """WITH RECURSIVE s AS (SELECT l_orderkey AS doc, list(CAST(l_quantity AS BIGINT) ORDER BY l_linenumber, CAST(l_quantity AS BIGINT)) AS q FROM lineitem GROUP BY 1),
+    walk AS (SELECT doc, q, 1 AS pos, 0 AS start, q[1] AS total, FALSE AS cut, 0 AS was FROM s
+      UNION ALL SELECT doc, q, pos + 1, CASE WHEN total + q[pos + 1] > 64 THEN pos ELSE start END, CASE WHEN total + q[pos + 1] > 64 THEN q[pos + 1] ELSE total + q[pos + 1] END, total + q[pos + 1] > 64, start FROM walk WHERE pos < len(q))
+    SELECT doc, was AS first, pos - 2 AS last FROM walk WHERE cut UNION ALL SELECT doc, start, pos - 1 FROM walk WHERE pos = len(q)""",
+)
 def _(spark, d):
-    sizes = F.transform(f.sentences(F.col("text")), f.token_count)
-    return docs(spark, d).withColumn("p", f.greedy_pack(sizes, 128)).select("doc_id", F.aggregate("p", F.lit(0).cast("bigint"), lambda a, p: a + p["last"] - p["first"] + 1).alias("items"))
+    items = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("bigint").alias("q")))).alias("l"))
+    return items.select("doc", F.explode(f.greedy_pack(F.transform("l", lambda x: x["q"]), 64)).alias("p")).select("doc", "p.first", "p.last")
 
 
 @query("c04_split_long_text")

@@ -18,7 +18,7 @@ def cut(df, path: str, order: str, files: int = 3) -> str:
     low, high = df.agg(F.min(order), F.max(order)).first()
     for k in range(files):
         a, b = low + (high - low + 1) * k // files, low + (high - low + 1) * (k + 1) // files
-        df.filter((F.col(order) >= a) & (F.col(order) < b)).coalesce(1).write.mode("append").parquet(path)
+        df.filter((F.col(order) >= a) & (F.col(order) < b)).write.mode("append").parquet(path)
     return path
 
 
