@@ -44,7 +44,7 @@ def _(spark, d):
     return ops.hydrate(cited.union(cited.withColumn("pos", F.col("pos") + 1)), docs.select(F.col("doc_id").alias("chunk_id"), "lang", "source"))
 
 
-HINTS = "SELECT o_orderkey AS qid, 'doc' || CAST(o_orderkey % 50 AS STRING) || '.pdf' AS file, CAST(o_orderkey % 5 AS INT) AS first, CAST(o_orderkey % 5 + 1 AS INT) AS last FROM orders"
+HINTS = "SELECT o_orderkey AS qid, 'doc' || CAST(CAST(floor(o_orderkey / 16) AS INT) AS STRING) || '.pdf' AS file, CAST(o_orderkey % 5 AS INT) AS first, CAST(o_orderkey % 5 + 1 AS INT) AS last FROM orders"
 
 
 @query("j05_gt_page_match", f"SELECT DISTINCT h.qid, c.chunk_id FROM ({HINTS}) AS h JOIN ({views.CHUNKS_SQL}) AS c ON c.source_file = h.file AND c.page_start BETWEEN h.first AND h.last")
@@ -90,19 +90,19 @@ def _(spark, d):
     return ops.purge_stale_cache(cache, images, docs.filter("doc_id % 5 = 0").select(F.col("doc_id").cast("string").alias("sha256")))[1]
 
 
-@query("j12_baseline_source_parse", f"SELECT DISTINCT o_orderkey AS qid, chunk_id FROM orders JOIN ({views.CHUNKS_SQL}) AS c ON source_file = 'doc' || o_orderkey % 50 || '.pdf' AND page_start = o_orderkey % 7 + 1")
+@query("j12_baseline_source_parse", f"SELECT DISTINCT o_orderkey AS qid, chunk_id FROM orders JOIN ({views.CHUNKS_SQL}) AS c ON source_file = 'doc' || CAST(floor(o_orderkey / 16) AS INT) || '.pdf' AND page_start = o_orderkey % 7 + 1")
 def _(spark, d):
-    source = F.concat(F.lit("data/doc"), F.col("o_orderkey") % 50, F.lit(".pdf:p"), F.col("o_orderkey") % 7, F.lit("@3"))
+    source = F.concat(F.lit("data/doc"), F.floor(F.col("o_orderkey") / 16), F.lit(".pdf:p"), F.col("o_orderkey") % 7, F.lit("@3"))
     s = table(spark, d, "orders").select(F.col("o_orderkey").alias("qid"), source.alias("source"))
     return ops.gt_page_match(ops.baseline_hints(s), views.chunks(spark, d))
 
 
-QA = "SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'doc' || CAST(o_orderkey % 50 AS STRING) || '.pdf p.2-3；doc' || CAST(o_orderkey % 50 AS STRING) || '.pdf p.3' WHEN 1 THEN 'doc1.pdf 「RED WIDGET」' ELSE '-' END AS source_location FROM orders"
+QA = "SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'doc' || CAST(CAST(floor(o_orderkey / 16) AS INT) AS STRING) || '.pdf p.2-3；doc' || CAST(CAST(floor(o_orderkey / 16) AS INT) AS STRING) || '.pdf p.3' WHEN 1 THEN 'doc1.pdf 「RED WIDGET」' ELSE '-' END AS source_location FROM orders"
 
 
 @query("u02_ground_truth", f"""WITH q AS (SELECT o_orderkey AS id, o_orderkey % 3 AS k FROM orders), c AS ({views.CHUNKS_SQL})
   SELECT CAST(id AS BIGINT) AS qid, CASE k WHEN 0 THEN 'page' WHEN 1 THEN 'section' ELSE 'none' END AS method, count(DISTINCT chunk_id) AS n FROM q
-  LEFT JOIN c ON (k = 0 AND source_file = 'doc' || id % 50 || '.pdf' AND page_start BETWEEN 2 AND 3) OR (k = 1 AND source_file = 'doc1.pdf' AND contains(lower(content), 'red widget')) GROUP BY ALL""")
+  LEFT JOIN c ON (k = 0 AND source_file = 'doc' || CAST(floor(id / 16) AS INT) || '.pdf' AND page_start BETWEEN 2 AND 3) OR (k = 1 AND source_file = 'doc1.pdf' AND contains(lower(content), 'red widget')) GROUP BY ALL""")
 def _(spark, d):
     qa = views.view(spark, d, QA)
     manual = spark.createDataFrame([], "qid bigint, pos int, kind string, file string, first double, last double, title string")

@@ -22,10 +22,10 @@ FROM lineitem JOIN part ON l_partkey = p_partkey"""
 #: Distinct (doc, elem_idx): the first of repeated lines.
 ELEMENTS_SQL = f"SELECT doc, elem_idx, min(page_num) AS page_num, min(type) AS type, min(content) AS content FROM ({ELEMENTS}) AS e GROUP BY doc, elem_idx"
 
-#: Chunks with pages: half of them are of a page, half without.
+#: Chunks with pages: 16 orders are a file, so there are more files where there is more data.
 CHUNKS_SQL = """
-SELECT 'bk' || CAST(l_suppkey % 7 AS STRING) || '/doc' || CAST(l_orderkey % 50 AS STRING) || '.pdf/p' || CAST(1000 + l_linenumber AS STRING) || '/' || CAST(10000 + l_orderkey AS STRING) AS chunk_id,
-  'bk' || CAST(l_suppkey % 7 AS STRING) AS book_id, 'doc' || CAST(l_orderkey % 50 AS STRING) || '.pdf' AS source_file,
+SELECT 'bk' || CAST(l_suppkey % 7 AS STRING) || '/doc' || CAST(CAST(floor(l_orderkey / 16) AS INT) AS STRING) || '.pdf/p' || CAST(1000 + l_linenumber AS STRING) || '/' || CAST(10000 + l_orderkey AS STRING) AS chunk_id,
+  'bk' || CAST(l_suppkey % 7 AS STRING) AS book_id, 'doc' || CAST(CAST(floor(l_orderkey / 16) AS INT) AS STRING) || '.pdf' AS source_file,
   CASE l_returnflag WHEN 'A' THEN 'text' WHEN 'N' THEN 'table' ELSE 'figure' END AS element_type, p_name || ' ' || p_type AS content,
   CAST(l_quantity AS INT) AS token_count, CAST(l_linenumber AS INT) AS page_start, CAST(l_linenumber + l_quantity % 3 AS INT) AS page_end
 FROM lineitem JOIN part ON l_partkey = p_partkey"""
