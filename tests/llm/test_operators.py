@@ -58,9 +58,52 @@ def test_forward_sums_all_segmentations():
 
 
 def test_und(spark):
-    d = spark.createDataFrame([(1, None), (2, "123 !"), (3, "the house")], "doc_id long, text string")
+    d = spark.createDataFrame([(1, None), (2, "123 !"), (3, "the house"), (4, "½ ② Ⅷ ٣")], "doc_id long, text string")
     model = langid.fit_texts([("the house and", "en"), ("das haus und", "de")], langid.pieces_of(queries.PIECES), 1)
-    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(d, model).collect()} == {1: "und", 2: "und", 3: "en"}
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(d, model).collect()} == {1: "und", 2: "und", 3: "en", 4: "und"}
+
+
+def plain_forward(text, probs, lang):
+    """The log probability of a text, word by word and sign by sign."""
+    total = 0.0
+    for word, c in langid.words(text).items():
+        s = langid.START + word
+        alpha = [1.0] + [0.0] * len(s)
+        for j in range(1, len(s) + 1):
+            for i in range(j):
+                p = probs[s[i:j]][lang] if s[i:j] in probs else langid.UNKNOWN if i == j - 1 else 0.0
+                alpha[j] += alpha[i] * p
+        total += c * np.log(alpha[-1])
+    return total
+
+
+def test_whole_texts_against_a_plain_forward_sum():
+    rnd = random.Random(12)
+    model = langid.fit_texts([(prose(rnd, 60), "a"), ("the house and the garden of the old town " * 3, "en"), ("das haus und der garten der alten stadt " * 3, "de")], langid.pieces_of(queries.PIECES)[:4000], 2)
+    many = [prose(rnd, 30), "the old garden and the house", "die alte stadt und das haus", "x", "Haus of 中文 é"]
+    for text, (lang, score) in zip(many, model.scorer()(many), strict=True):
+        logs = np.array([plain_forward(text, model.probs, k) for k in range(3)])
+        share = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+        assert lang == model.languages[int(share.argmax())] and np.isclose(score, share.max())
+
+
+def test_long_runs_are_learned():
+    """Languages whose words are long runs of letters, and the sums of a run in logarithms."""
+    pieces = ["▁", *"abcd", "ab", "cd"]
+    model = langid.fit_texts([("ab" * 100, "one"), ("cd" * 100, "two")], pieces)
+    assert [x for x, _ in model.scorer()(["ab" * 80, "cdcd"])] == ["one", "two"]
+    edges = [(i, j, pieces.index(s)) for j in range(1, 31) for i in range(max(0, j - 2), j) if (s := ("▁" + "ab" * 15)[i:j]) in pieces]
+    sums = [[0.0] * len(pieces) for _ in range(2)]
+    for f, e in zip((langid.expect, langid.expect_in_logs), sums, strict=True):
+        f(30, edges, [0.1] * len(pieces), 2, e)
+    assert np.allclose(*sums) and sum(sums[0]) > 0
+
+
+def test_languages_with_long_texts_only(spark):
+    rnd = random.Random(13)
+    rows = [(k, " ".join([prose(rnd, 20)] * 150) if k % 2 else f"das haus und der garten {k}", "long" if k % 2 else "de") for k in range(40)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), langid.pieces_of(queries.PIECES)[:3000])
+    assert model.languages == ("de", "long") and model.scorer()([prose(rnd, 30)])[0][0] == "long"
 
 
 # --- secrets, licences ------------------------------------------------------------------------------------------------
@@ -101,6 +144,25 @@ def test_queries_of_rules_never_miss():
                 assert all(any(all(g in low for g in s) for s in clause) for clause in secrets.trigram_query(r.pattern)), (r.kind, t)
 
 
+def test_many_matches(spark):
+    """More matches than are appended to one array."""
+    text = " ".join(f"{k:020x} token={k:012d}" for k in range(1300)) + " end"
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = secrets.digests(d).first()
+    assert r["spans"] == ",".join(f"{x[3]}:{x[0]}:{x[2]}" for x in brute_spans(text)) and r["n_hex"] == 1300 == r["n_assign"]
+    assert secrets.redact(d).first()["text"] == " ".join(["[SECRET] [SECRET]"] * 1300) + " end"
+
+
+def test_index_and_gates(spark):
+    grams = secrets.trigrams_of(secrets.RULES)
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(SECRETS)], "doc_id long, text string")
+    want = {(g, k) for k, t in enumerate(SECRETS) for g in grams if g in (t or "").lower()}
+    assert {(r["trigram"], r["doc_id"]) for r in secrets.postings(d).collect()} == want
+    for r in secrets.RULES:
+        for clause in secrets.trigram_query(r.pattern):
+            assert any(all(set(secrets.gates(secrets.RULES)) & s for s in c) for c in secrets.trigram_query(r.pattern)) and clause
+
+
 def test_redaction(spark):
     d = spark.createDataFrame([(k, t) for k, t in enumerate(SECRETS)], "doc_id long, text string")
     for r in secrets.redact(d).collect():
@@ -289,6 +351,31 @@ def test_leaks_with_edits(spark):
     assert all(got[1000 + k].get(k) == 0 for k, _ in items) and not any(got[2000 + k] for k, _ in items)
 
 
+@pytest.mark.parametrize("share", [5, 10, 15, 20])
+def test_recall_of_spread_edits(share):
+    """Against a search of every place: an item counts where its distance to some part of the text is within the limit."""
+    rnd = random.Random(share)
+    items = [(k, prose(rnd, m).lower().encode().replace(b".", b"").split()) for k, m in enumerate([20, 35, 60, 90, 150, 300] * 6)]
+    docs, where = [], []
+    for _, item in items:
+        w = [x.decode() for x in item]
+        for p in rnd.sample(range(len(w)), len(w) * share // 100):
+            w[p] = "edit"
+        docs.append(f"{prose(rnd, 40)} {' '.join(w)} {prose(rnd, 40)}")
+    block = decontam.Block.of(items)
+    found = decontam.Search(block).find(docs)
+    hits = total = 0
+    for k, text in enumerate(docs):
+        own = [block.vocabulary.get(w, -1) for w in decontam.words_of(text)]
+        best, _ = decontam.least_distance(block.items[k], own)
+        assert best <= decontam.edits(len(items[k][1]))
+        total += 1
+        mine = [x for x in found[k] if x["item_id"] == k]
+        hits += bool(mine)
+        where += [abs(x["start"] - 40) for x in mine]
+    assert hits >= 0.9 * total and np.mean(np.array(where) <= 2) > 0.9
+
+
 def test_leaks_with_edits_in_one_place():
     """All the edits that are allowed lie at the head, in the middle, at the tail, or the head is missing; also short items."""
     rnd = random.Random(6)
