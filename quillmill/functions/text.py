@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,47 +41,62 @@ def last_sentence(text: Column) -> Column:
     return F.coalesce(stripped(F.try_element_at(sentences(text), F.lit(-1))), stripped(text))
 
 
+def bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value) with the value computed once, however often the expression names it."""
+    return F.transform(F.array(value), of)[0]
+
+
 def greedy_pack(sizes: Column, most: int) -> Column:
     """Array of (first, last) positions, from 0: items are taken until the next one would exceed most; a first item that
     does so alone stays alone."""
-    kind = "struct<packs:array<struct<first:int,last:int>>,first:int,at:int,sum:bigint>"
-    start = F.struct(F.array().cast("array<struct<first:int,last:int>>").alias("packs"), F.lit(0).alias("first"), F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("sum"))
+    pairs = "array<struct<first:int,last:int>>"
+    start = F.struct(F.array().cast(pairs).alias("packs"), F.lit(0).alias("first"), F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("sum"))
+    closed = lambda acc: F.concat(acc["packs"], F.array(F.struct(acc["first"].alias("first"), (acc["at"] - 1).alias("last"))))
 
     def step(acc: Column, size: Column) -> Column:
         full = (acc["at"] > acc["first"]) & (acc["sum"] + size > most)
-        closed = F.concat(acc["packs"], F.array(F.struct(acc["first"].alias("first"), (acc["at"] - 1).alias("last"))))
         return F.struct(
-            F.when(full, closed).otherwise(acc["packs"]).alias("packs"),
+            F.when(full, closed(acc)).otherwise(acc["packs"]).alias("packs"),
             F.when(full, acc["at"]).otherwise(acc["first"]).alias("first"),
             (acc["at"] + 1).alias("at"),
-            (F.when(full, F.lit(0)).otherwise(acc["sum"]) + size).cast("bigint").alias("sum"),
-        ).cast(kind)
+            (F.when(full, F.lit(0).cast("bigint")).otherwise(acc["sum"]) + size).cast("bigint").alias("sum"),
+        )
+
+    return F.aggregate(sizes, start, step, lambda acc: F.when(acc["at"] > acc["first"], closed(acc)).otherwise(acc["packs"]))
 
-    def finish(acc: Column) -> Column:
-        rest = F.array(F.struct(acc["first"].alias("first"), (acc["at"] - 1).alias("last")))
-        return F.when(acc["at"] > acc["first"], F.concat(acc["packs"], rest)).otherwise(acc["packs"])
 
-    return F.aggregate(sizes, start.cast(kind), step, finish)
+def joined(items: Column, pack: Column, joiner: str = " ") -> Column:
+    """The items of a pack of greedy_pack as one text."""
+    return F.array_join(F.slice(items, pack["first"] + 1, pack["last"] - pack["first"] + 1), joiner)
 
 
-def packed(items: Column, most: int, joiner: str = " ") -> Column:
-    """Items joined by the packs of their token counts."""
-    packs = greedy_pack(F.transform(items, token_count), most)
-    return F.transform(packs, lambda p: F.array_join(F.slice(items, p["first"] + 1, p["last"] - p["first"] + 1), joiner))
+def packed(items: Column, most: int, longer: Callable[[Column], Column] | None = None) -> Column:
+    """Items joined by the packs of their token counts, each counted once; longer gives the parts of an item over the limit,
+    which is always a pack of its own."""
+
+    def of(items: Column, sizes: Column) -> Column:
+        packs = greedy_pack(sizes, most)
+        if longer is None:
+            return F.transform(packs, lambda p: joined(items, p))
+        fits = lambda p: (p["last"] > p["first"]) | (F.get(sizes, p["first"]) <= most)
+        return F.flatten(F.transform(packs, lambda p: F.when(fits(p), F.array(joined(items, p))).otherwise(longer(F.get(items, p["first"])))))
+
+    return bound(items, lambda i: bound(F.transform(i, token_count), lambda sizes: of(i, sizes)))
 
 
 def split_long_text(text: Column, most: int) -> Column:
     """Sentences packed; what is still too long is packed by words, and what still is is cut by tokens."""
-    words = lambda p: F.filter(F.split(p, r"(?U)\s+"), lambda w: w != "")
-    by_word = F.flatten(F.transform(packed(sentences(text), most), lambda p: F.when(token_count(p) <= most, F.array(p)).otherwise(packed(words(p), most))))
 
-    def cut(p: Column) -> Column:
-        tokens = F.regexp_extract_all(p, F.lit(TOKEN), F.lit(0))
-        starts = F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / most).cast("int"))
-        return F.when(F.size(tokens) <= most, F.array(p)).otherwise(F.transform(starts, lambda k: F.array_join(F.slice(tokens, k * most + 1, most), "")))
+    def cut(word: Column) -> Column:
+        starts = lambda tokens: F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / most).cast("int"))
+        pieces = lambda tokens: F.transform(starts(tokens), lambda k: F.array_join(F.slice(tokens, k * most + 1, most), ""))
+        return bound(F.regexp_extract_all(word, F.lit(TOKEN), F.lit(0)), pieces)
+
+    def by_word(sentence: Column) -> Column:
+        return packed(F.filter(F.split(sentence, r"(?U)\s+"), lambda w: w != ""), most, cut)
 
-    parts = F.flatten(F.transform(by_word, cut))
-    return F.when(token_count(text) <= most, F.array(text)).when(F.size(parts) == 0, F.array(text)).otherwise(parts)
+    parts = bound(packed(sentences(text), most, by_word), lambda p: F.when(F.size(p) == 0, F.array(text)).otherwise(p))
+    return F.when(token_count(text) <= most, F.array(text)).otherwise(parts)
 
 
 def overlap_suffix(text: Column, most: int) -> Column:

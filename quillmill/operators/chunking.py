@@ -42,9 +42,10 @@ def chunk_seq(df: DataFrame, by: list[str], order: list[str], offset: int = 0) -
     return df.withColumn("seq", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1 + offset)
 
 
-def chunk_texts(docs: DataFrame, key: str, text: str, most: int = MAX_TOKENS) -> DataFrame:
-    """The native path for files that are one text each: sentences packed to at most `most` tokens, with sequence and count."""
-    parts = docs.select(key, F.posexplode(split_long_text(F.col(text), most)).alias("seq", "content"))
+def chunk_texts(docs: DataFrame, key: str, text: str, most: int = MAX_TOKENS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The native path for files that are one text each: sentences packed to at most `most` tokens, with sequence and count;
+    columns in keep go along."""
+    parts = docs.select(key, *keep, F.posexplode(split_long_text(F.col(text), most)).alias("seq", "content"))
     return parts.withColumn("token_count", token_count(F.col("content")))
 
 

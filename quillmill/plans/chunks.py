@@ -21,8 +21,7 @@ GROUPS_SQL = f"""SELECT doc, elem_idx, page_num, type, content, sum((b OR a OR c
 @query("c13_native_chunk_stats")
 def flagship(spark, d):
     """Sentences, counts, packs, ids and statistics by language, without any Python in the tasks."""
-    docs = table(spark, d, "documents")
-    chunks = ops.chunk_texts(docs, "doc_id", "text").join(docs.select("doc_id", "lang"), "doc_id")
+    chunks = ops.chunk_texts(table(spark, d, "documents"), "doc_id", "text", keep=("lang",))
     return chunks.groupBy("lang").agg(F.count("*").alias("n_chunks"), F.min("token_count").alias("least"), F.max("token_count").alias("most"), F.sum("token_count").alias("tokens"))
 
 
