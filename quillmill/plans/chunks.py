@@ -11,14 +11,14 @@ from quillmill.registry import query, table
 
 from . import views
 from .elements import NEXT
-from .scalars import HEADING_SQL, TOKENS
+from .scalars import HEADING_SQL, TOKENS, pack_sql, parts_sql
 
 STARTS = "'table', 'formula', 'code', 'figure'"
 GROUPS_SQL = f"""SELECT doc, elem_idx, page_num, type, content, sum((b OR a OR coalesce(pa, false))::INT) OVER (PARTITION BY doc ORDER BY elem_idx) AS group_id, b FROM (
   SELECT *, type = 'text' AND ({HEADING_SQL}) AS b, type IN ({STARTS}) AS a, lag(type IN ({STARTS})) OVER (PARTITION BY doc ORDER BY elem_idx) AS pa FROM ({views.ELEMENTS_SQL}) AS e) AS m"""
 
 
-@query("c13_native_chunk_stats")
+@query("c13_native_chunk_stats", f"SELECT lang, count(*) AS n_chunks, CAST(min(n) AS INT) AS least, CAST(max(n) AS INT) AS most, CAST(sum(n) AS BIGINT) AS tokens FROM ({parts_sql('SELECT doc_id AS k, text FROM documents', 512)}) AS p JOIN documents ON doc_id = k GROUP BY lang")
 def flagship(spark, d):
     """Sentences, counts, packs, ids and statistics by language, without any Python in the tasks."""
     chunks = ops.chunk_texts(table(spark, d, "documents"), "doc_id", "text", keep=("lang",))
@@ -53,7 +53,18 @@ def _(spark, d):
     return ops.chunk_elements(synthetic(spark, d), 40, 8)
 
 
-@query("c13_chunk_elements_native")
+#: Lines are elements of a type; a heading ends a group and goes; groups are packed by the tokens of their lines.
+LINES_SQL = "SELECT lang AS book_id, source || '-' || doc_id AS source_file, doc_id AS doc, generate_subscripts(l, 1) - 1 AS elem_idx, unnest(l) AS content FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents) AS d"
+NATIVE_SQL = f"""WITH RECURSIVE g AS (SELECT *, sum(b::INT) OVER (PARTITION BY doc ORDER BY elem_idx) AS group_id FROM (SELECT *, {HEADING_SQL} AS b FROM ({LINES_SQL}) AS l) AS m),
+  s AS (SELECT (doc, group_id) AS k, row_number() OVER (PARTITION BY doc, group_id ORDER BY elem_idx) AS i, content AS text, {TOKENS.replace("text", "content")} AS n, book_id, source_file, elem_idx // 9 AS page FROM g WHERE NOT b),
+  {pack_sql("p", "s", 512)},
+  c AS (SELECT p.k[1] AS doc, p.k[2] AS group_id, seq AS pack, any_value(book_id) AS book_id, any_value(source_file) AS source_file, trim(string_agg(p.text, ' ' ORDER BY p.i)) AS content,
+    CAST(nullif(arg_min(page, p.i), 0) AS INT) AS page_start, CAST(nullif(arg_max(page, p.i), 0) AS INT) AS page_end FROM p JOIN s ON s.k = p.k AND s.i = p.i GROUP BY ALL)
+  SELECT book_id || '/' || source_file || '/' || coalesce('p' || lpad(page_start::VARCHAR, greatest(4, length(page_start::VARCHAR))::INT, '0'), 'pNone') || '/' || lpad(n::VARCHAR, greatest(4, length(n::VARCHAR))::INT, '0') AS chunk_id, book_id, source_file, 'text' AS element_type, content,
+    CAST({TOKENS.replace("text", "content")} AS INT) AS token_count, page_start, page_end FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY group_id, pack) - 1 AS n FROM c WHERE content <> '') AS x"""
+
+
+@query("c13_chunk_elements_native", NATIVE_SQL)
 def _(spark, d):
     return ops.chunk_elements_native(document_elements(spark, d))
 

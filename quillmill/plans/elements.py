@@ -10,6 +10,7 @@ from quillmill.registry import query, table
 from quillmill.sources.files import segment_rows
 
 from . import views
+from .scalars import TOKENS
 
 #: documents as rendered markdown: every line is a section of its own page.
 PAGED = "'skip this' || chr(10) || '----page----' || replace(text, chr(10), chr(10) || chr(10) || '{7}' || '----page----')"
@@ -73,7 +74,7 @@ def _(spark, d):
     return ops.markdown_elements(paged(spark, d), "doc_id")
 
 
-@query("e11_page_figures")
+@query("e11_page_figures", "SELECT page_id, 0 AS elem_idx, 'figure' AS type, '![a](img/' || page_id || '.png)' AS content FROM pages UNION ALL SELECT page_id, 1, 'text', 'see' FROM pages")
 def _(spark, d):
     pages = table(spark, d, "pages").select("page_id", F.concat(F.lit("<body><p>"), F.lit('<img alt="a" src="../img/'), F.col("page_id").cast("string"), F.lit('.png">see</p></body>')).alias("html"), F.lit("text/ch.html").alias("base"))
     return html_to_elements(pages, base_href="base").select("page_id", "elem_idx", "type", "content")
@@ -146,26 +147,33 @@ def stub(images):
     return images.map(lambda b: None if len(b) % 4 == 0 else f"an image of {len(b)} bytes")
 
 
-@query("e18_describe_figures", f"SELECT doc, elem_idx, CASE WHEN has AND length(encode(content)) % 4 <> 0 THEN '[alt: ' || regexp_extract(content, '^!\\[([^\\]]*)', 1) || '] an image of ' || octet_length(encode(content)) || ' bytes' ELSE content END AS described, CASE WHEN has THEN CASE WHEN octet_length(encode(content)) % 4 = 0 THEN 'degraded' ELSE 'described' END END AS vlm_status FROM {FIGURES_SQL}".replace("length(encode(content)) % 4 <> 0", "octet_length(encode(content)) % 4 <> 0"))
+E18_SQL = f"SELECT doc, elem_idx, CASE WHEN has AND length(encode(content)) % 4 <> 0 THEN '[alt: ' || regexp_extract(content, '^!\\[([^\\]]*)', 1) || '] an image of ' || octet_length(encode(content)) || ' bytes' ELSE content END AS described, CASE WHEN has THEN CASE WHEN octet_length(encode(content)) % 4 = 0 THEN 'degraded' ELSE 'described' END END AS vlm_status FROM {FIGURES_SQL}".replace("length(encode(content)) % 4 <> 0", "octet_length(encode(content)) % 4 <> 0")
+
+
+@query("e18_describe_figures", E18_SQL)
 def _(spark, d):
     f = figures(spark, d).drop("vlm_status")
     cache = f.filter("doc % 2 = 0 AND image_bytes IS NOT NULL AND length(image_bytes) % 4 <> 0").select(F.sha2("image_bytes", 256).alias("image_sha256"), F.concat(F.lit("an image of "), F.length("image_bytes"), F.lit(" bytes")).alias("description")).distinct()
     return ops.describe_figures(f, cache, stub).select("doc", "elem_idx", F.col("content").alias("described"), "vlm_status")
 
 
-@query("a17_describe_stats")
+@query(
+    "a17_describe_stats",
+    f"""SELECT count(*) FILTER (vlm_status = 'described') AS described, count(*) FILTER (vlm_status = 'degraded') AS degraded, count(*) FILTER (vlm_status IS NULL) AS no_bytes,
+    CAST(sum(n) AS BIGINT) AS tokens, avg(n) AS mean_tokens FROM (SELECT *, CASE WHEN vlm_status = 'described' THEN {TOKENS.replace("text", "described")} END AS n FROM ({E18_SQL}) AS e) AS f""",
+)
 def _(spark, d):
     from quillmill.operators.aggregates import describe_stats
 
     return describe_stats(ops.describe_figures(figures(spark, d).drop("vlm_status"), spark.createDataFrame([], "image_sha256 string, description string"), stub))
 
 
-@query(
-    "e19_degrade_after_failures",
-    """WITH a AS (SELECT *, event_type = 'error' AS bad, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events),
+E19_SQL = """WITH a AS (SELECT *, event_type = 'error' AS bad, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events),
     b AS (SELECT *, sum(bad::INT) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS len FROM a)
-    SELECT event_id, coalesce(max((len >= 3)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS degraded FROM b""",
-)
+    SELECT event_id, coalesce(max((len >= 3)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS degraded FROM b"""
+
+
+@query("e19_degrade_after_failures", E19_SQL)
 def _(spark, d):
     e = table(spark, d, "events")
     return ops.degrade_after_failures(e, 3, "user_id", ["ts", "event_id"], F.col("event_type") == "error").select("event_id", "degraded")

@@ -17,14 +17,18 @@ def page_files(spark, d):
     return table(spark, d, "pages").select(F.regexp_extract("url", "://([^/?#]+)", 1).alias("book_id"), F.concat(F.lit("p"), F.format_string("%09d", "page_id"), F.lit(".html")).alias("filename"), "html")
 
 
-@query("s01_read_corpus_files")
+@query("s01_read_corpus_files", "SELECT coalesce(source, '') AS source, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS n_bytes FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def _(spark, d):
+    """Whole texts as files of some hundred lines in a folder for each source."""
     path = scratch_dir(spark, "files")
-    table(spark, d, "documents").select(F.concat("source", F.lit(" "), F.col("doc_id").cast("string")).alias("value")).write.mode("overwrite").text(path)
-    return io.read_corpus_files(spark, [path], ["txt"]).select(F.length("content").alias("n_bytes"), F.length("sha256").alias("n_sha"))
+    rows = table(spark, d, "documents").filter("text IS NOT NULL").select(F.coalesce("source", F.lit("")).alias("source"), F.col("text").alias("value"))
+    rows.withColumn("folder", F.hex("source")).drop("source").write.mode("overwrite").option("maxRecordsPerFile", 500).partitionBy("folder").text(path)
+    files = io.read_corpus_files(spark, [f"{path}/*"], ["txt"])
+    source = F.decode(F.unhex(F.regexp_replace(F.element_at(F.split("path", "/"), -2), "^folder=(__HIVE_DEFAULT_PARTITION__)?", "")), "UTF-8")
+    return files.groupBy(source.alias("source")).agg(F.sum(F.length("content")).alias("n_bytes"))
 
 
-@query("s08_read_images_as_figures")
+@query("s08_read_images_as_figures", "SELECT 'i' || page_id || '.PNG' AS source_file, 'figure' AS type, '![](i' || page_id || '.PNG)' AS content, 0 AS page_num, CAST(octet_length(encode(html)) AS INT) AS n_bytes FROM pages WHERE url IS NOT NULL")
 def _(spark, d):
     found = table(spark, d, "pages").select(F.concat("url", F.lit("/i.PNG")).alias("path"), F.concat(F.lit("i"), F.col("page_id").cast("string"), F.lit(".PNG")).alias("filename"), F.encode("html", "UTF-8").alias("content"))
     return io.read_images_as_figures(found).select("source_file", "type", "content", "page_num", F.length("image_bytes").alias("n_bytes"))

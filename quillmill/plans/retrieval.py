@@ -176,6 +176,15 @@ def _(spark, d):
     return ops.run_tools(calls, vectors, chunks)
 
 
+@query("x02_run_tools_without_retrieval", "SELECT doc_id AS qid, CASE WHEN doc_id % 2 = 0 THEN 'get_chunk' ELSE 'calculate' END AS tool, CASE WHEN doc_id % 2 = 0 THEN text ELSE CAST(1000 + doc_id AS VARCHAR) END AS result FROM documents")
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    tool = F.when(F.col("doc_id") % 2 == 0, "get_chunk").otherwise("calculate")
+    calls = docs.select(F.col("doc_id").alias("qid"), tool.alias("tool"), F.lit(None).cast("array<float>").alias("embedding"), F.col("doc_id").alias("chunk_id"), F.concat(F.lit("1,000 + "), F.col("doc_id").cast("string")).alias("expression"))
+    return ops.run_tools(calls, table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), chunks)
+
+
 @query("p01_to_record", f"SELECT chunk_id, source_file, CASE WHEN page_start = page_end THEN source_file || ' p.' || page_start ELSE source_file || ' p.' || page_start || '-' || page_end END AS citation, content, element_type, false AS low_confidence, CAST(token_count AS DOUBLE) AS score FROM ({views.CHUNKS_SQL}) AS c")
 def _(spark, d):
     none = F.lit(None)

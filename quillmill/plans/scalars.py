@@ -206,13 +206,42 @@ def _(spark, d):
     return items.select("doc", F.explode(f.greedy_pack(F.transform("l", lambda x: x["q"]), 64)).alias("p")).select("doc", "p.first", "p.last")
 
 
-@query("c04_split_long_text")
+def pack_sql(name: str, rows: str, most: int) -> str:
+    """A recursive view: rows (k, i, text, n) with seq, the pack of at most `most` of n that row i of k falls into."""
+    full = f"p.sum + s.n > {most}"
+    return f"""{name} AS (SELECT k, i, text, n, 0 AS seq, n AS sum FROM {rows} WHERE i = 1 UNION ALL
+    SELECT s.k, s.i, s.text, s.n, p.seq + ({full})::INT, CASE WHEN {full} THEN s.n ELSE p.sum + s.n END FROM {name} AS p JOIN {rows} AS s ON s.k = p.k AND s.i = p.i + 1)"""
+
+
+def parts_sql(rows: str, most: int) -> str:
+    """Parts (k, seq, part, pos, text, n) of rows (k, text), in the order of seq, part and pos."""
+    counted = f"SELECT *, {TOKENS} AS n FROM"
+    listed = "generate_subscripts(l, 1) AS i, unnest(l) AS text"
+    return rf"""WITH RECURSIVE t AS ({counted} ({rows}) AS r),
+  s AS ({counted} (SELECT k, {listed} FROM (SELECT k, {SENTENCES} AS l FROM t WHERE n > {most}) AS a) AS b),
+  {pack_sql("sp", "s", most)},
+  ss AS (SELECT k, seq, string_agg(text, ' ' ORDER BY i) AS text, sum(n) AS n FROM sp GROUP BY k, seq),
+  w AS ({counted} (SELECT (k, seq) AS k, {listed} FROM (SELECT k, seq, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS l FROM ss WHERE n > {most}) AS a) AS b),
+  {pack_sql("wp", "w", most)},
+  ws AS (SELECT k[1] AS k, k[2] AS seq, seq AS part, string_agg(text, ' ' ORDER BY i) AS text, sum(n) AS n FROM wp GROUP BY ALL),
+  c AS (SELECT k, seq, part, unnest(range(0, len(g), {most})) AS pos, g FROM (SELECT k, seq, part, regexp_extract_all(text, '{TOKEN_SQL}') AS g FROM ws WHERE n > {most}) AS a)
+  SELECT k, 0 AS seq, 0 AS part, 0 AS pos, text, n FROM t WHERE coalesce(n, 0) <= {most} UNION ALL SELECT k, seq, 0, 0, text, n FROM ss WHERE n <= {most} UNION ALL SELECT k, seq, part, 0, text, n FROM ws WHERE n <= {most}
+  UNION ALL SELECT k, seq, part, pos, array_to_string(g[pos + 1 : pos + {most}], ''), len(g[pos + 1 : pos + {most}]) FROM c"""
+
+
+@query("c04_split_long_text", f"SELECT k AS doc_id, CAST(count(*) AS INT) AS n_parts, CAST(max(n) AS INT) AS most_tokens, sha256(string_agg(text, chr(1) ORDER BY seq, part, pos)) AS digest FROM ({parts_sql('SELECT doc_id AS k, text FROM documents', 64)}) AS p GROUP BY k")
 def _(spark, d):
-    parts = F.transform(f.split_long_text(F.col("text"), 64), f.token_count)
-    return docs(spark, d).withColumn("p", parts).select("doc_id", F.size("p").alias("n_parts"), F.array_max("p").alias("most_tokens"))
+    parts = docs(spark, d).select("doc_id", f.split_long_text(F.col("text"), 64).alias("p"))
+    return parts.select("doc_id", F.size("p").alias("n_parts"), F.array_max(F.transform("p", f.token_count)).alias("most_tokens"), F.sha2(F.array_join("p", "\x01"), 256).alias("digest"))
 
 
-@query("c05_overlap_suffix")
+@query(
+    "c05_overlap_suffix",
+    rf"""WITH s AS (SELECT *, {TOKENS} AS n FROM (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS text FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '([。！？])', '\1' || chr(1), 'g'), chr(1)) AS l FROM documents) AS a) AS b
+      WHERE trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> ''),
+    taken AS (SELECT doc_id, string_agg(text, ' ' ORDER BY i) AS suffix FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i DESC) AS total FROM s) AS c WHERE total <= 50 GROUP BY doc_id)
+    SELECT doc_id, coalesce(suffix, CASE WHEN len(g) < 50 THEN text ELSE array_to_string(g[-50:], '') END) AS suffix FROM (SELECT doc_id, text, regexp_extract_all(text, '{TOKEN_SQL}') AS g FROM documents) AS d LEFT JOIN taken USING (doc_id)""",
+)
 def _(spark, d):
     return docs(spark, d).select("doc_id", f.overlap_suffix(F.col("text"), 50).alias("suffix"))
 

@@ -9,6 +9,7 @@ from quillmill.sources.scratch import scratch_dir
 from quillmill.streaming import jobs
 
 from .aggregates import HEADERS_SQL
+from .elements import E19_SQL
 from .ingest import read_store
 from .io import page_files
 
@@ -62,7 +63,7 @@ def _(spark, d):
     return spark.read.parquet(f"{root}/out").groupBy("conv_id").agg(F.max_by("title", "batch").alias("title"), F.max("last_turn").alias("last_turn"))
 
 
-@query("st5_failure_breaker")
+@query("st5_failure_breaker", E19_SQL.replace("SELECT event_id, ", "SELECT user_id, event_id, "))
 def _(spark, d):
     root = scratch_dir(spark, "st5")
     events = table(spark, d, "events").select("event_id", "user_id", "ts", (F.col("event_type") == "error").alias("failed"))
