@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -274,6 +275,61 @@ def test_distance_and_verdicts(spark):
     assert sum(r["kept"] for r in good) / len(good) > 0.98 and sum(not r["kept"] for r in bad) / len(bad) > 0.95
 
 
+def brute_histograms(text):
+    """Character classes and common words, sign by sign and word by word."""
+    classes, hits = collections.Counter(), collections.Counter()
+    kinds = {**dict.fromkeys("\t\x0b\x0c\r ", "blank"), "\n": "newline", **dict.fromkeys(".,;:!?'\"()-", "stop"), **dict.fromkeys("#*$%&|<>@^_`~{}[]\\/=+", "symbol"), **dict.fromkeys("0123456789", "digit")}
+    for c in text:
+        classes[kinds.get(c) or ("lower" if c.islower() else "upper" if c.isupper() else "lower" if c.isalpha() else "other")] += 1
+    for word in WORD.findall(text):
+        low = "".join(c.lower() if c.isascii() else c for c in word).strip(".,;:!?")
+        hits[low if low in divergence.COMMON_WORDS else None] += 1
+    return classes, hits
+
+
+def brute_distance(a, b):
+    p, q = ({k: v / sum(h.values()) for k, v in h.items()} for h in (a, b))
+    kl = lambda x: sum(v * math.log2(2 * v / (p.get(k, 0) + q.get(k, 0))) for k, v in x.items() if v)
+    return math.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
+
+
+def test_distances_and_verdicts_against_brute_force(spark):
+    rnd = random.Random(4)
+    filler = [w + x for w in ("ga", "mo", "té", "Bi", "ru") for x in ("lo", "ne", "st9", "va")]
+    plain = lambda n, stops: " ".join(rnd.choice(stops if rnd.random() < 0.4 else filler) + rnd.choice(["", "", ".", ","]) for _ in range(n))
+    many = [(plain(rnd.randint(20, 400), ["the", "of", "And", "to"]), "en") for _ in range(40)] + [(plain(rnd.randint(20, 400), ["der", "die", "und"]), "de") for _ in range(20)]
+    many += [(" ".join(f"#{rnd.randint(0, 10**6)}|" for _ in range(120)), "en") for _ in range(4)] + [(plain(200, ["la", "el"]), None), ("", "en"), (None, "fr")]
+    d = spark.createDataFrame([(k, t, g) for k, (t, g) in enumerate(many)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in divergence.judge(d).collect()}
+    hist = [brute_histograms(t or "") for t, _ in many]
+    failed = [n[0] < 50 or 100 * n[4] > 50 * n[0] for n in (brute_counts(t) for t, _ in many)]
+
+    def summed(chosen):
+        refs = {}
+        for k in chosen:
+            classes, hits = refs.setdefault(many[k][1], (collections.Counter(), collections.Counter()))
+            classes.update(hist[k][0])
+            hits.update(hist[k][1])
+        return refs
+
+    first = summed(k for k in range(len(many)) if not failed[k])
+    near = [k for k in range(len(many)) if not failed[k] and all(brute_distance(a, b) <= divergence.TRIM_DISTANCE for a, b in zip(hist[k], first[many[k][1]]))]
+    refs = first | summed(near)
+    assert 0 < len(near) < len(many) - sum(failed)
+    for k, (text, lang) in enumerate(many):
+        n = brute_counts(text)[0]
+        assert got[k]["base_failed"] == failed[k]
+        if lang not in refs or not text:
+            assert got[k]["class_distance"] is None and not got[k]["kept"]
+            continue
+        a, b = (brute_distance(x, y) for x, y in zip(hist[k], refs[lang]))
+        assert abs(got[k]["class_distance"] - a) < 1e-6 and abs(got[k]["word_distance"] - b) < 1e-6, (k, lang)
+        rise = divergence.SCATTER / math.sqrt(n)
+        far = n >= divergence.LEAST_WORDS and (a > divergence.MAX_CLASS_DISTANCE + rise or b > divergence.MAX_WORD_DISTANCE + rise)
+        assert got[k]["kept"] == (not failed[k] and not far)
+    assert not any(got[k]["kept"] for k in range(60, 64))
+
+
 # --- placement and URLs -----------------------------------------------------------------------------------------------
 
 
