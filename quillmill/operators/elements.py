@@ -51,15 +51,18 @@ def markdown_elements(sections: DataFrame, key: str) -> DataFrame:
 
 def assemble_spine(chapters: DataFrame, elements: DataFrame) -> DataFrame:
     """Chapters (book_id, spine_pos, chapter_id) and their elements (chapter_id, elem_idx, type, content): one ordered
-    table; page_num is the position in the spine from 1; a section_break stands before each non-empty chapter but the first."""
+    table; page_num is the position in the spine from 1; a section_break stands before each non-empty chapter but the first.
+    Further columns of the elements stay."""
     placed = chapters.withColumn("page_num", F.row_number().over(Window.partitionBy("book_id").orderBy("spine_pos")))
-    rows = placed.join(elements, "chapter_id").select("book_id", "page_num", F.col("elem_idx").alias("_sub"), "type", "content")
+    own = [c for c in elements.columns if c not in ("chapter_id", "book_id", "page_num", "elem_idx", "type", "content")]
+    rows = placed.join(elements.hint("merge"), "chapter_id").select("book_id", "page_num", F.col("elem_idx").alias("_sub"), "type", "content", *own)
     full = rows.select("book_id", "page_num").distinct()
     first = Window.partitionBy("book_id").orderBy("page_num")
-    breaks = full.filter("true").withColumn("_n", F.row_number().over(first)).filter("_n > 1")
+    breaks = full.withColumn("_n", F.row_number().over(first)).filter("_n > 1")
     breaks = breaks.select("book_id", "page_num", F.lit(-1).alias("_sub"), F.lit("section_break").alias("type"), F.lit("").alias("content"))
     order = Window.partitionBy("book_id").orderBy("page_num", "_sub")
-    return rows.unionByName(breaks).withColumn("elem_idx", F.row_number().over(order) - 1).select("book_id", "elem_idx", "type", "content", "page_num")
+    placed_rows = rows.unionByName(breaks, allowMissingColumns=True).withColumn("elem_idx", F.row_number().over(order) - 1)
+    return placed_rows.select("book_id", "elem_idx", "type", "content", "page_num", *own)
 
 
 def rebase_page_batches(elements: DataFrame, batches: DataFrame) -> DataFrame:
@@ -111,21 +114,32 @@ def unresolved_figures(elements: DataFrame, file: str = "source_file") -> DataFr
     return elements.groupBy(file).agg(F.max(waits).alias("_w")).filter("_w").select(file)
 
 
-def describe_figures(elements: DataFrame, cache: DataFrame, describer: Callable[[pd.Series], pd.Series]) -> DataFrame:
-    """Figures with bytes get a description from the cache (image_sha256, description) or from the describer, which
-    sees each distinct image once; null from it means degraded. Content becomes [alt: ...] and the description."""
+def fresh_descriptions(elements: DataFrame, cache: DataFrame, describer: Callable[[pd.Series], pd.Series]) -> DataFrame:
+    """(image_sha256, description) of the images that the cache lacks, each distinct one once; null if the describer failed."""
     call = F.pandas_udf(describer, "string")
+    images = figures_with_bytes(elements).groupBy(F.sha2("image_bytes", 256).alias("image_sha256")).agg(F.first("image_bytes").alias("image_bytes"))
+    return images.join(cache, "image_sha256", "left_anti").select("image_sha256", call("image_bytes").alias("description"))
+
+
+def with_descriptions(elements: DataFrame, known: DataFrame) -> DataFrame:
+    """Figures with bytes get their description of known (image_sha256, description), and the status described; without
+    one they are degraded. Content becomes [alt: ...] and the description."""
     marked = elements.withColumn("image_sha256", F.when(F.col("type") == "figure", F.sha2("image_bytes", 256)))
-    images = marked.filter("image_sha256 IS NOT NULL").groupBy("image_sha256").agg(F.first("image_bytes").alias("image_bytes"))
-    fresh = images.join(cache, "image_sha256", "left_anti").select("image_sha256", call("image_bytes").alias("description"))
-    known = fresh.unionByName(cache.select("image_sha256", "description"))
-    out = marked.join(known, "image_sha256", "left")
+    # elements without an image have keys of their own, which no image has, so that they don't meet in one task
+    marked = marked.withColumn("_image", F.coalesce("image_sha256", F.concat(F.lit("none "), F.xxhash64("elem_idx", "content"))))
+    out = marked.join(known.select(F.col("image_sha256").alias("_image"), "description").hint("merge"), "_image", "left").drop("_image")
     alt = alt_text(F.col("content"))
     described = F.concat(F.when(alt != "", F.concat(F.lit("[alt: "), alt, F.lit("] "))).otherwise(F.lit("")), "description")
     status = F.when(F.col("image_sha256").isNotNull(), F.when(F.col("description").isNotNull(), "described").otherwise("degraded"))
     return out.withColumn("vlm_status", status).withColumn("content", F.coalesce(described, "content")).drop("description")
 
 
+def describe_figures(elements: DataFrame, cache: DataFrame, describer: Callable[[pd.Series], pd.Series]) -> DataFrame:
+    """Both in one plan: descriptions from the cache (image_sha256, description) or from the describer."""
+    fresh = fresh_descriptions(elements, cache, describer)
+    return with_descriptions(elements, fresh.unionByName(cache.select("image_sha256", "description")))
+
+
 def degrade_after_failures(calls: DataFrame, n: int, by: str, order: list[str], failed: Column) -> DataFrame:
     """Adds degraded: true for all rows of a group after n failures in a row. A success ends a run of failures."""
     w = Window.partitionBy(by).orderBy(*order)

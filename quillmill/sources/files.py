@@ -53,11 +53,11 @@ def staged_file_validation(staged: DataFrame, present: DataFrame) -> DataFrame:
     return staged.join(there, F.col("path") == F.col("_there"), "left").select("path", reason.alias("reason"))
 
 
-def read_images_as_figures(files: DataFrame) -> DataFrame:
-    """An image file is one figure element with its bytes, page 0."""
+def read_images_as_figures(files: DataFrame, *keep: str) -> DataFrame:
+    """An image file is one figure element with its bytes, page 0; keep: columns of files that stay."""
     image = files.filter(extension(F.col("path")).isin(list(ROUTES["image"])))
     return image.select(
-        F.col("filename").alias("source_file"), F.lit(0).alias("elem_idx"), F.lit("figure").alias("type"), F.concat(F.lit("![]("), "filename", F.lit(")")).alias("content"),
+        *keep, F.col("filename").alias("source_file"), F.lit(0).alias("elem_idx"), F.lit("figure").alias("type"), F.concat(F.lit("![]("), "filename", F.lit(")")).alias("content"),
         F.lit(0).alias("page_num"), F.col("content").alias("image_bytes"), F.lit(None).cast("string").alias("vlm_status"),
     )
 
@@ -106,8 +106,11 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def commit_manifest(new: DataFrame, path: str, batch: int | str) -> None:
-    """A folder for each batch, overwritten when the batch is run again, so a repeated commit adds nothing."""
-    new.select("book_id", "sha256", "source_file").distinct().write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    """What no batch has committed is added below the batch's folder, so a repeated commit adds nothing and a batch that is
+    run again for files held back keeps those it had."""
+    known = read_manifest(new.sparkSession, path).select("book_id", "sha256")
+    fresh = new.groupBy("book_id", "sha256").agg(F.min("source_file").alias("source_file")).join(known, ["book_id", "sha256"], "left_anti")
+    fresh.select("book_id", "sha256", "source_file").write.mode("append").parquet(f"{path}/batch={batch}")
 
 
 def write_failures(failed: DataFrame, not_attempted: DataFrame, aborted: bool, path: str) -> DataFrame:
