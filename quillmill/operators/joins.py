@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import decode_baseline_source, source_hints
 
+#: Pages in a run that is a key of a join; beginnings of titles that are sent to every task at a time.
+PAGES, TITLE_BLOCK = 8, 100_000
+
 
 def skip_ingested(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files (book_id, sha256, ...) that no committed batch has; of equal contents in this one the first by name stays."""
@@ -17,7 +24,7 @@ def skip_ingested(files: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def skip_existing_chunks(chunks: DataFrame, store: DataFrame) -> DataFrame:
     """Before the costly encoder."""
-    return chunks.join(store.select("chunk_id"), "chunk_id", "left_anti")
+    return chunks.join(store.select("chunk_id").hint("merge"), "chunk_id", "left_anti")
 
 
 def delete_by_source(store: DataFrame, files: DataFrame) -> DataFrame:
@@ -41,14 +48,17 @@ def purge_stale_cache(files: DataFrame, images: DataFrame, keep: DataFrame) -> t
     are; an image goes if only files that go have it."""
     left = files.join(keep.select("sha256"), "sha256", "left_semi")
     gone = files.join(keep.select("sha256"), "sha256", "left_anti")
-    stale = gone.select(F.explode("image_shas").alias("image_sha256")).distinct().join(left.select(F.explode("image_shas").alias("image_sha256")), "image_sha256", "left_anti")
-    return left, images.join(stale, "image_sha256", "left_anti")
+    stale = gone.select(F.explode("image_shas").alias("image_sha256")).distinct().join(left.select(F.explode("image_shas").alias("image_sha256")).hint("merge"), "image_sha256", "left_anti")
+    return left, images.join(stale.hint("merge"), "image_sha256", "left_anti")
 
 
 def gt_page_match(hints: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Hints (qid, file, first, last): chunks of the file that start on one of the pages; the file is the join's key."""
-    at = (F.col("file") == F.col("source_file")) & F.col("page_start").between(F.col("first"), F.col("last"))
-    return hints.join(chunks.select("source_file", "page_start", "chunk_id"), at).select("qid", "chunk_id").distinct()
+    """Hints (qid, file, first, last): chunks of the file that start on one of the pages. Files are cut into runs of
+    PAGES pages, which are keys of the join beside the file, so a file that all hints name is spread over its runs."""
+    run = lambda c: F.floor(F.col(c) / PAGES)
+    asked = hints.filter("first <= last").select("qid", "file", "first", "last", F.explode(F.sequence(run("first"), run("last"))).alias("_run"))
+    there = chunks.select(F.col("source_file").alias("file"), "page_start", "chunk_id", run("page_start").alias("_run"))
+    return asked.hint("merge").join(there, ["file", "_run"]).filter("page_start BETWEEN first AND last").select("qid", "chunk_id").distinct()
 
 
 def interval_overlap(left: DataFrame, right: DataFrame, key: str, bucket: int) -> DataFrame:
@@ -57,21 +67,52 @@ def interval_overlap(left: DataFrame, right: DataFrame, key: str, bucket: int) -
     Both sides go to the time buckets that they touch; a pair is kept in the bucket where it begins to overlap, so no pair
     comes twice and a long common key is spread over its buckets. bucket: about the usual length."""
     cut = lambda df, a, b: df.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(a) / bucket), F.greatest(F.floor((F.col(b) - 1e-9) / bucket), F.floor(F.col(a) / bucket)))))
-    pairs = cut(left, "l0", "l1").join(cut(right, "r0", "r1"), [key, "_bucket"])
+    pairs = cut(left, "l0", "l1").hint("merge").join(cut(right, "r0", "r1"), [key, "_bucket"])
     meet = (F.col("l0") < F.col("r1")) & (F.col("r0") < F.col("l1"))
     first = F.col("_bucket") == F.floor(F.greatest("l0", "r0") / bucket)
     return pairs.filter(meet & first).drop("_bucket")
 
 
 def gt_section_match(hints: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Hints (qid, file, title): chunks of the file that hold the title's first twenty signs, in either case."""
-    inside = F.contains(F.lower("content"), F.lower(F.substring("title", 1, 20)))
-    return hints.join(chunks.select("source_file", "content", "chunk_id"), (F.col("file") == F.col("source_file")) & inside).select("qid", "chunk_id").distinct()
+    """Hints (qid, file, title): chunks of the file that hold the title's first twenty signs, in either case.
+
+    The beginnings of titles, a stated set, go to the tasks in blocks, and each content is read once for a block; what was
+    found meets the hints by an equi-join, so there are no more rows than matches of any file. An empty title is in all."""
+    asked = hints.select("qid", "file", F.lower(F.substring("title", 1, 20)).alias("start"))
+    there = chunks.select(F.col("source_file").alias("file"), F.lower("content").alias("content"), "chunk_id").filter("content IS NOT NULL")
+    schema = ", ".join(f"{c} {there.schema[c].dataType.simpleString()}" for c in ("file", "chunk_id")) + ", start string"
+    found = there.select("file", "chunk_id", F.lit("").alias("start"))
+    for block in blocks_of(asked.filter("start <> ''").select("start").distinct(), TITLE_BLOCK):
+        shared = chunks.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            trie = ahocorasick.Automaton()
+            for start in shared.value:
+                trie.add_word(start, start)
+            trie.make_automaton()
+            for pdf in batches:
+                rows = [(f, c, start) for f, text, c in zip(pdf["file"], pdf["content"], pdf["chunk_id"], strict=True) for start in {s for _, s in trie.iter(text)}]
+                yield pd.DataFrame(rows, columns=["file", "chunk_id", "start"])
+
+        found = found.union(there.mapInPandas(run, schema))
+    return asked.hint("merge").join(found, ["file", "start"]).select("qid", "chunk_id").distinct()
+
+
+def blocks_of(values: DataFrame, size: int) -> Iterator[list]:
+    """The values of a stated set's only column, size at a time."""
+    block: list = []
+    for (v,) in values.toLocalIterator():
+        block.append(v)
+        if len(block) == size:
+            yield block
+            block = []
+    if block:
+        yield block
 
 
 def apply_overrides(hints: DataFrame, manual: DataFrame) -> DataFrame:
     """The manual hints of a question replace all parsed ones."""
-    return hints.join(manual.select("qid").distinct(), "qid", "left_anti").unionByName(manual)
+    return hints.join(manual.select("qid").distinct().hint("merge"), "qid", "left_anti").unionByName(manual)
 
 
 def hits(truth: DataFrame, retrieved: DataFrame, k: int) -> DataFrame:
@@ -100,5 +141,5 @@ def derive_ground_truth(qa: DataFrame, manual: DataFrame, chunks: DataFrame) ->
     )
     found = pages.union(sections).union(times.select("qid", "chunk_id")).distinct().groupBy("qid").agg(F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"))
     named = h.filter("kind IN ('page', 'audio', 'section')").groupBy("qid").agg(F.max_by("kind", "pos").alias("method"))
-    out = h.select("qid").distinct().join(named, "qid", "left").join(found, "qid", "left")
+    out = h.select("qid").distinct().join(named.hint("merge"), "qid", "left").join(found.hint("merge"), "qid", "left")
     return out.select("qid", F.coalesce("method", F.lit("none")).alias("method"), F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids"))

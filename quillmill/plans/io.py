@@ -10,7 +10,7 @@ from quillmill.sources import files as io
 from quillmill.sources.scratch import scratch_dir
 
 from . import views
-from .ingest import ingest_pages, read_store, roll_back
+from .ingest import PAGE, ingest_files, ingest_pages, read_store, roll_back
 
 
 def page_files(spark, d):
@@ -146,3 +146,37 @@ def _(spark, d):
     return roll_back(spark, root, failed).groupBy("book_id").agg(F.count_distinct("source_file").alias("n_files"))
 
 
+INGEST_SQL = """SELECT coalesce(source, '') AS book_id, 'pdf' AS ext, CASE WHEN text IS NULL THEN 'failed' ELSE 'stored' END AS status, count(DISTINCT coalesce(text, CAST(doc_id AS VARCHAR))) AS n_files, NULL::DOUBLE AS last_second
+  FROM documents GROUP BY ALL
+UNION ALL SELECT coalesce(regexp_extract(url, '://([^/?#]+)', 1), ''), 'epub', 'stored', count(DISTINCT html), NULL FROM pages WHERE html IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'talks', 'wav', 'stored', count(DISTINCT conv_id), max(conv_id * 1000 + turn + 1) FROM conversations
+UNION ALL SELECT 'images', 'png', CASE WHEN octet_length(encode(p_name)) % 4 = 0 THEN 'failed' ELSE 'stored' END, count(DISTINCT p_name), NULL FROM part GROUP BY ALL
+UNION ALL SELECT 'orders', 'exe', 'failed', count(*), NULL FROM orders"""
+
+
+@query("ingest_all_routes", INGEST_SQL)
+def _(spark, d):
+    """One batch of documents as converted pages, pages as books, conversations as recordings, parts as images, orders as
+    files of no route; first without a describer, which holds images back, then with one."""
+    from .elements import stub
+
+    name = lambda key, ext: F.concat(F.col(key).cast("string"), F.lit(f".{ext}")).alias("filename")
+    docs = table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("book_id"), name("doc_id", "pdf"), F.concat(F.lit(PAGE), "text").alias("markdown"))
+    host = F.coalesce(F.regexp_extract("url", "://([^/?#]+)", 1), F.lit(""))
+    books = table(spark, d, "pages").filter("html IS NOT NULL").select(host.alias("book_id"), name("page_id", "epub"), F.array("html").alias("chapters"))
+    second = (F.col("conv_id") * 1000 + F.col("turn")).cast("double")
+    words = F.lit(None).cast("array<struct<word:string,score:double>>").alias("words")
+    segment = F.struct("text", second.alias("start"), (second + 1).alias("end"), words, F.col("role").alias("speaker"))
+    talks = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", segment.alias("s")))).alias("x"))
+    talks = talks.select(F.lit("talks").alias("book_id"), name("conv_id", "wav"), F.transform("x", lambda r: r["s"]).alias("segments"))
+    images = table(spark, d, "part").select(F.lit("images").alias("book_id"), name("p_partkey", "png"), F.col("p_name").cast("binary").alias("content"))
+    other = table(spark, d, "orders").select(F.lit("orders").alias("book_id"), name("o_orderkey", "exe"))
+    files = docs
+    for more in (books, talks, images, other):
+        files = files.unionByName(more, allowMissingColumns=True)
+    root, ext = scratch_dir(spark, "routes"), F.element_at(F.split("source_file", r"\."), -1).alias("ext")
+    reports = [ingest_files(files, root, batch, describer=describer) for batch, describer in ((0, None), (1, stub))]
+    last = reports[1].unionByName(reports[0].join(reports[1].select("book_id", "file").hint("merge"), ["book_id", "file"], "left_anti"))
+    times = read_store(spark, f"{root}/store").groupBy("book_id", ext).agg(F.max("end_sec").alias("last_second"))
+    counts = last.groupBy("book_id", ext, "status").agg(F.count("*").alias("n_files"))
+    return counts.join(times.hint("merge"), ["book_id", "ext"], "left").select("book_id", "ext", "status", "n_files", "last_second")

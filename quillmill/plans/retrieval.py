@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmill.operators import retrieval as ops
+from quillmill.operators.joins import hydrate
 from quillmill.registry import query, table
 
 from . import views
@@ -29,6 +30,19 @@ def _(spark, d):
     return dense(spark, d).withColumn("distance", F.round("distance", 6))
 
 
+OWN_BOOK_SQL = dense_sql(5).replace("AS q, ", "AS q JOIN ").replace("AS v)", "AS v ON q.label = v.label)").replace("SELECT vec_id, CAST", "SELECT vec_id, label, CAST")
+
+
+@query("t01_own_book_hydrated", f"SELECT qid, chunk_id, round(distance, 6) AS distance, rank, label, lang, source FROM {OWN_BOOK_SQL} AS r JOIN (SELECT vec_id, label FROM embeddings) AS e ON e.vec_id = chunk_id LEFT JOIN documents ON doc_id = chunk_id")
+def _(spark, d):
+    """Retrieval from a store of many books: each query asks its own book, what it finds is filled in from the store."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+    found = ops.dense_top_k(vectors.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "qid"), vectors, by="label")
+    store = vectors.drop("embedding").join(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "source"), "chunk_id", "left")
+    filled = hydrate(found.select("chunk_id", F.col("rank").alias("pos")), store).drop("pos")
+    return found.join(filled.hint("merge"), "chunk_id").select("qid", "chunk_id", F.round("distance", 6).alias("distance"), "rank", "label", "lang", "source")
+
+
 @query("t07_threshold_filter", f"SELECT qid, chunk_id FROM {dense_sql(10)} AS d WHERE distance <= 0.5")
 def _(spark, d):
     return ops.threshold_filter(dense(spark, d), 0.5).select("qid", "chunk_id")
