@@ -32,13 +32,20 @@ def _(spark, d):
     return html_to_elements(table(spark, d, "pages")).select("page_id", "elem_idx", "type", "content")
 
 
-@query("s05_assemble_spine", "SELECT book_id, count(*) AS n_chapters, count(*) - 1 AS n_breaks FROM (SELECT regexp_extract(url, '://([^/?#]+)', 1) AS book_id, page_id FROM pages) AS p GROUP BY book_id")
+SPINE_SQL = """WITH c AS (SELECT p_brand AS book_id, p_partkey, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS page_num FROM part),
+  e AS (SELECT book_id, page_num, -1 AS sub, 'section_break' AS type, '' AS content FROM c WHERE page_num > 1
+    UNION ALL SELECT book_id, page_num, 0, 'text', '# ' || p_name FROM c UNION ALL SELECT book_id, page_num, 1, 'text', CAST(p_partkey AS VARCHAR) FROM c)
+  SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY page_num, sub) - 1 AS INT) AS elem_idx, type, content, CAST(page_num AS INT) AS page_num FROM e"""
+
+
+@query("s05_assemble_spine", SPINE_SQL)
 def _(spark, d):
-    pages = table(spark, d, "pages").withColumn("book_id", F.regexp_extract("url", "://([^/?#]+)", 1))
-    chapters = pages.select("book_id", F.col("page_id").alias("spine_pos"), F.col("page_id").alias("chapter_id"))
-    elements = html_to_elements(pages).withColumnRenamed("page_id", "chapter_id")
-    spine = ops.assemble_spine(chapters, elements)
-    return spine.groupBy("book_id").agg(F.count_distinct("page_num").alias("n_chapters"), F.count_if(F.col("type") == "section_break").alias("n_breaks"))
+    """Parts as chapters of their brand's book: contents, breaks and places of all elements."""
+    parts = table(spark, d, "part")
+    html = F.concat(F.lit("<h1>"), "p_name", F.lit("</h1><p>"), F.col("p_partkey").cast("string"), F.lit("</p>")).alias("html")
+    elements = html_to_elements(parts.select(F.col("p_partkey").alias("chapter_id"), html), "chapter_id").drop("image_bytes")
+    chapters = parts.select(F.col("p_brand").alias("book_id"), F.col("p_partkey").alias("spine_pos"), F.col("p_partkey").alias("chapter_id"))
+    return ops.assemble_spine(chapters, elements)
 
 
 @query("s06_read_asr_segments", "SELECT user_id, event_id, greatest(0.0, least(1.0, avg(value / 500))) AS score FROM events GROUP BY user_id, event_id")

@@ -63,13 +63,14 @@ def _(spark, d):
     return back.select("id", "type", "latency_s")
 
 
-@query("s13_manifest", "SELECT source AS book_id, count(DISTINCT sha256(text)) AS n FROM documents GROUP BY source")
+@query("s13_manifest", "SELECT source AS book_id, sha256(text) AS sha256, min(doc_id || '.txt') AS source_file FROM documents WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY ALL")
 def _(spark, d):
     path = scratch_dir(spark, "manifest")
-    m = table(spark, d, "documents").select(F.col("source").alias("book_id"), F.sha2("text", 256).alias("sha256"), F.lit("f").alias("source_file"))
+    docs = table(spark, d, "documents").filter("source IS NOT NULL AND text IS NOT NULL")
+    m = docs.select(F.col("source").alias("book_id"), F.sha2("text", 256).alias("sha256"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_file"))
     for batch in (1, 2, 2):  # a batch that is committed twice counts once
         io.commit_manifest(m.filter(F.crc32("sha256") % 2 == batch - 1), path, batch)
-    return io.read_manifest(spark, path).groupBy("book_id").agg(F.count("*").alias("n"))
+    return io.read_manifest(spark, path)
 
 
 @query("s14_write_failures", "SELECT 'f' || doc_id AS file, CASE WHEN doc_id % 5 = 0 THEN 'unsupported' END AS error_type, doc_id % 5 = 0 AS attempted FROM documents WHERE doc_id % 5 < 2")
@@ -129,13 +130,26 @@ def _(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.max_by("doc_id", F.col("n_chars") * 100_000_000 - F.col("doc_id")).alias("longest"))
 
 
-@query("ingest_pages_twice", "SELECT regexp_extract(url, '://([^/?#]+)', 1) AS book_id, count(DISTINCT sha256(html)) AS n_files FROM pages GROUP BY 1")
+FILE_SQL = "SELECT regexp_extract(url, '://([^/?#]+)', 1) AS book_id, sha256(html) AS sha256, min('p' || lpad(CAST(page_id AS VARCHAR), 9, '0') || '.html') AS source_file FROM pages WHERE url IS NOT NULL AND html IS NOT NULL GROUP BY ALL"
+
+
+@query("ingest_pages_twice", FILE_SQL)
 def _(spark, d):
-    """Two batches, then the first one again: the store has each page once."""
-    root, pages = scratch_dir(spark, "ingest"), page_files(spark, d)
+    """Pages in two batches by content, then the first one again: the manifest has each content of a book once, by its first name."""
+    root, pages = scratch_dir(spark, "ingest"), page_files(spark, d).filter("html IS NOT NULL")
     for batch in (0, 1, 0):
-        ingest_pages(pages.filter(F.crc32("filename") % 2 == batch), root, batch)
-    return read_store(spark, f"{root}/store").groupBy("book_id").agg(F.count_distinct("source_file").alias("n_files"))
+        ingest_pages(pages.filter(F.crc32("html") % 2 == batch), root, batch)
+    return io.read_manifest(spark, f"{root}/manifest").select("book_id", "sha256", "source_file")
+
+
+@query("ingest_chunks_once", f"SELECT book_id, source_file FROM ({FILE_SQL}) AS f")
+def _(spark, d):
+    """The files of all chunks of the store after a batch that was run twice, of which no chunk comes twice."""
+    root, pages = scratch_dir(spark, "once"), page_files(spark, d).filter("html IS NOT NULL")
+    for _ in range(2):
+        ingest_pages(pages, root, 0)
+    chunks = read_store(spark, f"{root}/store").groupBy("book_id", "source_file").agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("ids"))
+    return chunks.filter("n = ids").select("book_id", "source_file")
 
 
 @query("ingest_roll_back", "SELECT regexp_extract(url, '://([^/?#]+)', 1) AS book_id, count(DISTINCT sha256(html)) AS n_files FROM pages WHERE page_id % 10 <> 0 GROUP BY 1")
