@@ -74,10 +74,12 @@ def _(spark, d):
     return ops.section_groups(views.elements(spark, d)).select("doc", "elem_idx", F.col("group_id").cast("bigint").alias("group_id"))
 
 
-@query("c07_isolate_atomic", f"SELECT doc, CAST(group_id AS BIGINT) AS group_id, count(*) AS n FROM ({GROUPS_SQL}) AS g WHERE NOT b AND type IN ({STARTS}) GROUP BY ALL")
+@query("c07_isolate_atomic", f"SELECT doc, CAST(group_id AS BIGINT) AS group_id, string_agg(elem_idx || ' ' || type || ' ' || content, '; ' ORDER BY elem_idx) AS members FROM ({GROUPS_SQL}) AS g WHERE NOT b GROUP BY ALL HAVING bool_or(type IN ({STARTS}))")
 def _(spark, d):
-    g = ops.section_groups(views.elements(spark, d)).filter(F.col("type").isin(*ops.ATOMIC))
-    return g.groupBy("doc", F.col("group_id").cast("bigint").alias("group_id")).agg(F.count("*").alias("n"))
+    """The whole group of each atomic element: nothing else may be in it."""
+    g = ops.section_groups(views.elements(spark, d)).withColumn("one", F.struct("elem_idx", F.concat_ws(" ", "elem_idx", "type", "content").alias("text")))
+    g = g.groupBy("doc", F.col("group_id").cast("bigint").alias("group_id")).agg(F.array_sort(F.collect_list("one")).alias("all"), F.bool_or(F.col("type").isin(*ops.ATOMIC)).alias("atomic"))
+    return g.filter("atomic").select("doc", "group_id", F.array_join(F.transform("all", lambda x: x["text"]), "; ").alias("members"))
 
 
 @query("c10_captioned_figures", f"SELECT CAST(count(*) AS BIGINT) AS n FROM (SELECT type, {NEXT} AS nx, lead(type) OVER (PARTITION BY doc ORDER BY elem_idx) AS nt FROM ({views.ELEMENTS_SQL}) AS e) AS c WHERE type IN ({STARTS}) AND nt = 'text' AND regexp_matches(nx, '^(Figure|Table|图|表)\\s*\\d+(\\.\\d+)*\\s*[:：\\s]')")

@@ -34,18 +34,21 @@ def _(spark, d):
     return io.read_images_as_figures(found).select("source_file", "type", "content", "page_num", F.length("image_bytes").alias("n_bytes"))
 
 
-@query("s09_write_chunks", f"SELECT book_id, count(*) AS n, CAST(sum(token_count) AS BIGINT) AS tokens FROM ({views.CHUNKS_SQL}) AS c GROUP BY book_id")
+CHUNK_COLUMNS = "chunk_id, book_id, source_file, element_type, content, token_count, page_start, page_end"
+
+
+@query("s09_write_chunks", f"SELECT {CHUNK_COLUMNS} FROM ({views.CHUNKS_SQL}) AS c")
 def _(spark, d):
     path = scratch_dir(spark, "store")
     io.write_chunks(views.chunks(spark, d), path)
-    return spark.read.parquet(path).groupBy("book_id").agg(F.count("*").alias("n"), F.sum("token_count").alias("tokens"))
+    return spark.read.parquet(path).select(CHUNK_COLUMNS.split(", "))
 
 
-@query("s10_dump_chunks_json", f"SELECT chunk_id, token_count FROM ({views.CHUNKS_SQL}) AS c")
+@query("s10_dump_chunks_json", f"SELECT {CHUNK_COLUMNS} FROM ({views.CHUNKS_SQL}) AS c")
 def _(spark, d):
     path = scratch_dir(spark, "dump")
     io.dump_chunks_json(views.chunks(spark, d), path)
-    return spark.read.schema(io.CHUNK_SCHEMA).json(path).select("chunk_id", "token_count")
+    return spark.read.schema(io.CHUNK_SCHEMA).json(path).select(CHUNK_COLUMNS.split(", "))
 
 
 @query("s11_read_cases_jsonl", "SELECT CAST(item_id AS VARCHAR) AS id, text AS question FROM benchmark")
