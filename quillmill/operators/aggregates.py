@@ -103,7 +103,7 @@ def recall_at_depths(truth: DataFrame, ranked: DataFrame, depths=(5, 10, 20, 30,
 
     The truth is counted once; only ranked rows meet it, so no pair of pool and truth is made."""
     n = truth.distinct().agg(F.count("*").alias("n"))
-    found = ranked.join(truth.distinct(), ["qid", "chunk_id"]).groupBy("pool", "qid", "chunk_id").agg(F.min("rank").alias("rank"))
+    found = ranked.join(truth.distinct().hint("merge"), ["qid", "chunk_id"]).groupBy("pool", "qid", "chunk_id").agg(F.min("rank").alias("rank"))
     at = found.groupBy("pool").agg(*(F.count_if(F.col("rank") <= k).alias(str(k)) for k in depths))
     long = at.select("pool", F.explode(F.array(*(F.struct(F.lit(k).alias("depth"), F.col(str(k)).alias("found")) for k in depths))).alias("x"))
     return long.join(F.broadcast(n)).select("pool", "x.depth", "x.found", F.round(F.col("x.found") / F.col("n"), 6).alias("recall"))

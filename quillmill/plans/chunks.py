@@ -39,7 +39,7 @@ def _(spark, d):
 @query("c13_chunk_elements_pages")
 def _(spark, d):
     pages = table(spark, d, "pages")
-    e = html_to_elements(pages).join(pages.select("page_id", F.regexp_extract("url", "://([^/?#]+)", 1).alias("book_id")), "page_id")
+    e = html_to_elements(pages).hint("merge").join(pages.select("page_id", F.regexp_extract("url", "://([^/?#]+)", 1).alias("book_id")), "page_id")
     return ops.chunk_elements(e.select("book_id", F.col("page_id").cast("string").alias("source_file"), "elem_idx", "type", "content", F.lit(1).alias("page_num")))
 
 
