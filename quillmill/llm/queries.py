@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, divergence, langid, licenses, ngram_join, quality_zstd, secrets, sharding, urlfilter
+from . import bpe, conversations, decontam, divergence, langid, lexical, licenses, ngram_join, pieces, quality_zstd, secrets, sharding, urlfilter
 from .common import held_out
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -73,8 +73,26 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damage(table(spark, sf_dir, "conversations"))
+    return conversations.report(damaged, "conv", copies=F.col("copies")).withColumnRenamed("conv", "conv_id")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip_digests(table(spark, sf_dir, "documents"), pieces.load_model(PIECES))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_zstd, op2_secret_scan, op3_license_scan, op4_bpe, op5_divergence, op6_sharding, op7_langid, op8_url_filter, op9_decontamination, op10_ngram_join)}
+    found = (
+        op1_quality_zstd, op2_secret_scan, op3_license_scan, op4_bpe, op5_divergence, op6_sharding, op7_langid, op8_url_filter, op9_decontamination, op10_ngram_join,
+        op11_conversation_repair, op12_lexical_search, op13_sentencepiece,
+    )
+    return {f.__name__: f for f in found}
 
 
 def sql_string(x: str) -> str:
@@ -129,5 +147,23 @@ def url_filter_sql() -> str:
     SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (n)"""
 
 
+def lexical_sql(k: int = 10) -> str:
+    """All documents with a term of an item, scored without an index."""
+    terms = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""
+    WITH docs AS (SELECT row_number() OVER () AS d, doc_id, {terms} AS ts FROM documents WHERE text IS NOT NULL),
+    sizes AS (SELECT d, doc_id, len(ts) AS n FROM docs WHERE len(ts) > 0),
+    whole AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM sizes),
+    norms AS (SELECT d, doc_id, 100 - {lexical.SLOPE} + ({lexical.SLOPE} * n * nn) // ll AS m FROM sizes, whole),
+    counts AS (SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(ts) AS t FROM docs) GROUP BY d, t),
+    weights AS (SELECT t, CAST(floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, whole GROUP BY t, nn),
+    items AS (SELECT row_number() OVER () AS i, item_id, list_distinct({terms}) AS ts FROM benchmark WHERE text IS NOT NULL),
+    asked AS (SELECT i, item_id, unnest(ts) AS t FROM items),
+    scored AS (SELECT i, item_id, d, doc_id, CAST(sum(w * (({lexical.SCALE} * tf) // (1000 * tf + {lexical.K} * m))) AS BIGINT) AS score
+      FROM asked JOIN weights USING (t) JOIN counts USING (t) JOIN norms USING (d) GROUP BY i, item_id, d, doc_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS r FROM scored WHERE score > 0)
+    SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r <= {k}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": secrets_sql(), "op3_license_scan": licenses_sql(), "op8_url_filter": url_filter_sql()}
+    return {"op2_secret_scan": secrets_sql(), "op3_license_scan": licenses_sql(), "op8_url_filter": url_filter_sql(), "op12_lexical_search": lexical_sql()}
