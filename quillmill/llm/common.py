@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -55,6 +56,18 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def rows_in_a_batch(spark: SparkSession, n: int) -> Iterator[None]:
+    """Arrow batches of at most n rows for the plans that are run inside, whose rows are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that an operator is about to add; names compare as Spark compares them."""
     low = {n.lower() for n in names}

@@ -32,14 +32,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, rows_in_a_batch
 
 #: Fixed values of the score: m = FLOOR + (SLOPE * n * N) div L, impact = (SCALE * tf) div (1000 * tf + K * m), w = floor(1000 * ln).
 SLOPE, SCALE, K = 90, 1_000_000_000, 8
 FLOOR = 100 - SLOPE
 TERMS = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: Documents and postings of a block of the index; (item, term) rows broadcast at once; blocks that give an item its first score.
-BLOCK, POSTINGS, ITEM_TERMS, SEEDS = 1024, 400_000, 500_000, 4
+BLOCK, POSTINGS, ITEM_TERMS, SEEDS = 512, 400_000, 500_000, 4
+#: Blocks that a task holds at a time, whose bounds order its visits.
+AT_A_TIME = 16
 #: Cells of the matrix of scores that are summed at once.
 CELLS = 4_000_000
 
@@ -107,7 +109,8 @@ def invert(terms: list[str], tfs: list[bytes]) -> tuple[list[bytes], list[np.nda
 def build(docs: DataFrame, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> Index:
     """The index of all documents: texts are read once, their terms move once, into the range of their stratum."""
     scratch = scratch or Scratch(docs.sparkSession, "lexical")
-    found = scratch.write(bags(docs, key, text), "bags")
+    with rows_in_a_batch(docs.sparkSession, BLOCK):
+        found = scratch.write(bags(docs, key, text), "bags")
     n_docs, n_terms = found.agg(F.count("n"), F.coalesce(F.sum("n"), F.lit(0))).first()
     stratum = F.expr(f"{FLOOR}L + ({SLOPE}L * n * {n_docs}L) div {max(1, n_terms)}L")
     dealt = found.withColumns({"m": stratum, "salt": F.xxhash64(F.monotonically_increasing_id())}).repartitionByRange("m", "salt").sortWithinPartitions("m", "salt")
@@ -132,7 +135,8 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", scratch: Scr
                 start, number = end, number + 1
 
     made = dealt.select("m", "key", "terms", "tfs").mapInArrow(run, schema).withColumn("block", F.shiftleft(F.spark_partition_id().cast("long"), 33) + F.col("block"))
-    return Index(scratch.write(made, "blocks"), n_docs, n_terms)
+    with rows_in_a_batch(docs.sparkSession, BLOCK):
+        return Index(scratch.write(made, "blocks"), n_docs, n_terms)
 
 
 class Queries:
@@ -322,14 +326,15 @@ def search(index: Index, items: DataFrame, k: int = 10, key: str = "item_id", te
     found = None
     for b in range(n_blocks):
         rows = asked.filter(F.pmod(F.xxhash64("number"), F.lit(n_blocks)) == b).select("number", "terms").collect()  # about ITEM_TERMS terms
-        dfs = _frequencies(index, sorted({t for r in rows for t in r[1]}))
-        weights = {t: w for t, df in dfs.items() if (w := weight(index.n_docs, df)) > 0}
-        q = Queries([r[1] for r in rows], weights)
-        if not len(q.numbers):
-            continue
-        names = spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "number long, item_number long")
-        part = _visits(index, index.blocks, q, k, _seeds(index, q, k)).join(names.hint("broadcast"), "number").select("item_number", "score", F.col("key").alias("doc"))
-        part = scratch.write(part, f"found{b}")
+        with rows_in_a_batch(spark, AT_A_TIME):
+            dfs = _frequencies(index, sorted({t for r in rows for t in r[1]}))
+            weights = {t: w for t, df in dfs.items() if (w := weight(index.n_docs, df)) > 0}
+            q = Queries([r[1] for r in rows], weights)
+            if not len(q.numbers):
+                continue
+            names = spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "number long, item_number long")
+            part = _visits(index, index.blocks, q, k, _seeds(index, q, k)).join(names.hint("broadcast"), "number").select("item_number", "score", F.col("key").alias("doc"))
+            part = scratch.write(part, f"found{b}")
         found = part if found is None else found.union(part)
     if found is None:
         doc = index.blocks.schema["ids"].dataType.elementType
