@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from quillmill.functions.text import alt_text, classify_block, is_caption, strip_page_artifact, stripped
 
+Describer = Callable[..., object]
+#: Failures in a row after which a task calls for no further description.
+MAX_FAILURES = 3
+
 
 def read_paged_markdown(df: DataFrame, key: str, markdown: str, separator: str) -> DataFrame:
     """Key, page_num, content: the sections after each separator; what stands before the first one is dropped."""
@@ -67,13 +71,13 @@ def assemble_spine(chapters: DataFrame, elements: DataFrame) -> DataFrame:
 
 def rebase_page_batches(elements: DataFrame, batches: DataFrame) -> DataFrame:
     """Batches (batch_id, start) say where a slice of pages began; page numbers become those of the whole file."""
-    return elements.join(batches.select("batch_id", "start"), "batch_id").withColumn("page_num", (F.col("page_num") + F.col("start")).cast("int")).drop("start")
+    return elements.join(batches.select("batch_id", "start").hint("merge"), "batch_id").withColumn("page_num", (F.col("page_num") + F.col("start")).cast("int")).drop("start")
 
 
 def page_mismatches(sections: DataFrame, batches: DataFrame) -> DataFrame:
     """Batches (batch_id, expected) whose number of sections is another one."""
     found = sections.groupBy("batch_id").agg(F.count("*").alias("found"))
-    return batches.join(found, "batch_id", "left").withColumn("found", F.coalesce("found", F.lit(0))).filter("found <> expected").select("batch_id", "expected", "found")
+    return batches.join(found.hint("merge"), "batch_id", "left").withColumn("found", F.coalesce("found", F.lit(0))).filter("found <> expected").select("batch_id", "expected", "found")
 
 
 def attach_image_bytes(elements: DataFrame, images: DataFrame) -> DataFrame:
@@ -81,7 +85,7 @@ def attach_image_bytes(elements: DataFrame, images: DataFrame) -> DataFrame:
     ref = F.regexp_extract("content", r"^!\[[^\]]*\]\(([^)]*)\)", 1)
     named = elements.withColumn("_ref", F.when(F.col("type") == "figure", ref))
     pictures = images.select(F.col("doc").alias("_doc"), F.col("ref").alias("_name"), "image_bytes")
-    return named.join(pictures, (F.col("doc") == F.col("_doc")) & (F.col("_ref") == F.col("_name")), "left").drop("_ref", "_doc", "_name")
+    return named.join(pictures.hint("merge"), (F.col("doc") == F.col("_doc")) & (F.col("_ref") == F.col("_name")), "left").drop("_ref", "_doc", "_name")
 
 
 def attach_caption(elements: DataFrame) -> DataFrame:
@@ -114,11 +118,49 @@ def unresolved_figures(elements: DataFrame, file: str = "source_file") -> DataFr
     return elements.groupBy(file).agg(F.max(waits).alias("_w")).filter("_w").select(file)
 
 
-def fresh_descriptions(elements: DataFrame, cache: DataFrame, describer: Callable[[pd.Series], pd.Series]) -> DataFrame:
-    """(image_sha256, description) of the images that the cache lacks, each distinct one once; null if the describer failed."""
-    call = F.pandas_udf(describer, "string")
+def fresh_descriptions(elements: DataFrame, cache: DataFrame, describer: Describer, max_failures: int = MAX_FAILURES, at_once: int = 1, retries: int = 0, load: bool = False) -> DataFrame:
+    """E18 with E19: (image_sha256, description, called) of the images that the cache lacks, each distinct one once.
+
+    describer takes a series of at_once images; with load it is a function that gives such a describer and is called once for
+    each task. A null or an exception is a failure, after as many retries; after max_failures in a row (0: never) a task's
+    breaker is open, and its other images aren't called for: called is false. So a model that is down costs max_failures
+    calls, with their retries, for each task. Images go by their hash."""
     images = figures_with_bytes(elements).groupBy(F.sha2("image_bytes", 256).alias("image_sha256")).agg(F.first("image_bytes").alias("image_bytes"))
-    return images.join(cache, "image_sha256", "left_anti").select("image_sha256", call("image_bytes").alias("description"))
+    wanted = images.join(cache.select("image_sha256").hint("merge"), "image_sha256", "left_anti").sortWithinPartitions("image_sha256")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        describe = describer() if load else describer
+        in_a_row = 0
+        for frame in frames:
+            found: list[tuple[str | None, bool]] = []
+            for i in range(0, len(frame), at_once):
+                some = frame["image_bytes"].iloc[i : i + at_once].reset_index(drop=True)
+                if max_failures and in_a_row >= max_failures:
+                    found += [(None, False)] * len(some)
+                    continue
+                got = called_with_retries(describe, some, retries)
+                found += [(d, True) for d in got]
+                for d in got:
+                    in_a_row = 0 if d is not None else in_a_row + 1
+            yield pd.DataFrame({"image_sha256": frame["image_sha256"], "description": [d for d, _ in found], "called": [c for _, c in found]})
+
+    return wanted.mapInPandas(run, "image_sha256 string, description string, called boolean")
+
+
+def called_with_retries(describe: Callable[[pd.Series], pd.Series], images: pd.Series, retries: int) -> list[str | None]:
+    """Descriptions of some images: those that failed are called for again; null if they fail to the end."""
+    got: list[str | None] = [None] * len(images)
+    for _ in range(retries + 1):
+        left = [k for k, d in enumerate(got) if d is None]
+        if not left:
+            break
+        try:
+            new = list(describe(images.iloc[left].reset_index(drop=True)))
+        except Exception:  # whatever a model raises: its images have no description
+            continue
+        for k, d in zip(left, new, strict=True):
+            got[k] = None if d is None or d != d else str(d)
+    return got
 
 
 def with_descriptions(elements: DataFrame, known: DataFrame) -> DataFrame:
@@ -134,9 +176,9 @@ def with_descriptions(elements: DataFrame, known: DataFrame) -> DataFrame:
     return out.withColumn("vlm_status", status).withColumn("content", F.coalesce(described, "content")).drop("description")
 
 
-def describe_figures(elements: DataFrame, cache: DataFrame, describer: Callable[[pd.Series], pd.Series]) -> DataFrame:
+def describe_figures(elements: DataFrame, cache: DataFrame, describer: Describer, max_failures: int = MAX_FAILURES) -> DataFrame:
     """Both in one plan: descriptions from the cache (image_sha256, description) or from the describer."""
-    fresh = fresh_descriptions(elements, cache, describer)
+    fresh = fresh_descriptions(elements, cache, describer, max_failures).select("image_sha256", "description")
     return with_descriptions(elements, fresh.unionByName(cache.select("image_sha256", "description")))
 
 

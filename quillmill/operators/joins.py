@@ -6,20 +6,24 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import decode_baseline_source, source_hints
+from quillmill.sources.files import STORE_SCHEMA
+from quillmill.sources.store import delete_rows, same
 
 #: Pages in a run that is a key of a join; beginnings of titles that are sent to every task at a time.
 PAGES, TITLE_BLOCK = 8, 100_000
 
 
 def skip_ingested(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Files (book_id, sha256, ...) that no committed batch has; of equal contents in this one the first by name stays."""
-    new = files.join(manifest.select("book_id", "sha256").distinct(), ["book_id", "sha256"], "left_anti")
+    """Files (book_id, sha256, ...) that no committed batch has; of equal contents in this one the first by name stays.
+    A null book is a book of its own, null contents are equal, and a file without name stays if none of its content has one."""
+    f, known = files.alias("l"), manifest.select("book_id", "sha256").distinct().alias("r")
+    new = f.join(known.hint("merge"), same("l", "r", ["book_id", "sha256"]), "left_anti")
     first = new.groupBy("book_id", "sha256").agg(F.min("filename").alias("filename"))
-    return new.join(first, ["book_id", "sha256", "filename"], "left_semi")
+    return new.alias("l").join(first.alias("r").hint("merge"), same("l", "r", ["book_id", "sha256", "filename"]), "left_semi")
 
 
 def skip_existing_chunks(chunks: DataFrame, store: DataFrame) -> DataFrame:
@@ -27,15 +31,17 @@ def skip_existing_chunks(chunks: DataFrame, store: DataFrame) -> DataFrame:
     return chunks.join(store.select("chunk_id").hint("merge"), "chunk_id", "left_anti")
 
 
-def delete_by_source(store: DataFrame, files: DataFrame) -> DataFrame:
-    """The store without the chunks of files (book_id, source_file)."""
-    return store.join(files.select("book_id", "source_file"), ["book_id", "source_file"], "left_anti")
+def delete_by_source(spark: SparkSession, path: str, files: DataFrame) -> int:
+    """The chunks of files (book_id, source_file) go from the chunk store in path; only folders of books that have some
+    are written anew, and their number is returned. No name and an empty one are the same."""
+    named = files.select(F.nullif("book_id", F.lit("")).alias("book_id"), "source_file")
+    return delete_rows(spark, path, STORE_SCHEMA, "book_id", named, ["book_id", "source_file"])
 
 
 def hydrate(citations: DataFrame, store: DataFrame) -> DataFrame:
     """Citations (pos, chunk_id): each id once, at its first place; chunks that are gone stay as nulls."""
     once = citations.groupBy("chunk_id").agg(F.min("pos").alias("pos"))
-    return once.join(store, "chunk_id", "left")
+    return once.hint("merge").join(store, "chunk_id", "left")
 
 
 def reuse_cached(work: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -118,7 +124,7 @@ def apply_overrides(hints: DataFrame, manual: DataFrame) -> DataFrame:
 def hits(truth: DataFrame, retrieved: DataFrame, k: int) -> DataFrame:
     """Truth (qid, chunk_id), retrieved (qid, round, chunk_id, rank): (qid, hit), whether one is within the first k."""
     found = retrieved.filter(F.col("rank") <= k).select("qid", "chunk_id").distinct().withColumn("_f", F.lit(True))
-    return truth.distinct().join(found, ["qid", "chunk_id"], "left").groupBy("qid").agg(F.max(F.coalesce("_f", F.lit(False))).alias("hit"))
+    return truth.distinct().join(found.hint("merge"), ["qid", "chunk_id"], "left").groupBy("qid").agg(F.max(F.coalesce("_f", F.lit(False))).alias("hit"))
 
 
 def baseline_hints(sources: DataFrame, source: str = "source") -> DataFrame:

@@ -161,7 +161,7 @@ E18_SQL = f"SELECT doc, elem_idx, CASE WHEN has AND length(encode(content)) % 4
 def _(spark, d):
     f = figures(spark, d).drop("vlm_status")
     cache = f.filter("doc % 2 = 0 AND image_bytes IS NOT NULL AND length(image_bytes) % 4 <> 0").select(F.sha2("image_bytes", 256).alias("image_sha256"), F.concat(F.lit("an image of "), F.length("image_bytes"), F.lit(" bytes")).alias("description")).distinct()
-    return ops.describe_figures(f, cache, stub).select("doc", "elem_idx", F.col("content").alias("described"), "vlm_status")
+    return ops.describe_figures(f, cache, stub, max_failures=0).select("doc", "elem_idx", F.col("content").alias("described"), "vlm_status")
 
 
 @query(
@@ -172,7 +172,7 @@ def _(spark, d):
 def _(spark, d):
     from quillmill.operators.aggregates import describe_stats
 
-    return describe_stats(ops.describe_figures(figures(spark, d).drop("vlm_status"), spark.createDataFrame([], "image_sha256 string, description string"), stub))
+    return describe_stats(ops.describe_figures(figures(spark, d).drop("vlm_status"), spark.createDataFrame([], "image_sha256 string, description string"), stub, max_failures=0))
 
 
 E19_SQL = """WITH a AS (SELECT *, event_type = 'error' AS bad, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events),

@@ -10,7 +10,7 @@ from quillmill.sources import files as io
 from quillmill.sources.scratch import scratch_dir
 
 from . import views
-from .ingest import PAGE, ingest_files, ingest_pages, read_store, roll_back
+from .ingest import PAGE, delete_files, ingest_files, ingest_pages, read_store
 
 
 def page_files(spark, d):
@@ -133,7 +133,7 @@ def _(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.max_by("doc_id", F.col("n_chars") * 100_000_000 - F.col("doc_id")).alias("longest"))
 
 
-FILE_SQL = "SELECT regexp_extract(url, '://([^/?#]+)', 1) AS book_id, sha256(html) AS sha256, min('p' || lpad(CAST(page_id AS VARCHAR), 9, '0') || '.html') AS source_file FROM pages WHERE url IS NOT NULL AND html IS NOT NULL GROUP BY ALL"
+FILE_SQL = "SELECT coalesce(regexp_extract(url, '://([^/?#]+)', 1), '') AS book_id, sha256(html) AS sha256, min('p' || lpad(CAST(page_id AS VARCHAR), 9, '0') || '.html') AS source_file FROM pages WHERE html IS NOT NULL GROUP BY ALL"
 
 
 @query("ingest_pages_twice", FILE_SQL)
@@ -155,12 +155,45 @@ def _(spark, d):
     return chunks.filter("n = ids").select("book_id", "source_file")
 
 
-@query("ingest_roll_back", "SELECT regexp_extract(url, '://([^/?#]+)', 1) AS book_id, count(DISTINCT sha256(html)) AS n_files FROM pages WHERE page_id % 10 <> 0 GROUP BY 1")
+@query("ingest_delete_files", f"""WITH f AS ({FILE_SQL}), gone AS (SELECT * FROM f WHERE source_file LIKE '%0.html')
+  SELECT book_id, source_file, source_file LIKE '%00.html' AS again FROM f WHERE source_file NOT LIKE '%0.html' UNION ALL SELECT book_id, source_file, true FROM gone WHERE source_file LIKE '%00.html'""")
 def _(spark, d):
-    root, pages = scratch_dir(spark, "rollback"), page_files(spark, d)
+    """Every tenth file is deleted from the store and the manifest, twice; then every hundredth one is ingested again."""
+    root, pages = scratch_dir(spark, "rollback"), page_files(spark, d).filter("html IS NOT NULL")
     ingest_pages(pages, root, 0)
-    failed = pages.filter(F.col("filename").rlike(r"0\.html$")).select("book_id", F.col("filename").alias("source_file"))
-    return roll_back(spark, root, failed).groupBy("book_id").agg(F.count_distinct("source_file").alias("n_files"))
+    gone = pages.filter("filename LIKE '%0.html'").select(F.coalesce("book_id", F.lit("")).alias("book_id"), F.col("filename").alias("source_file"))
+    for _ in range(2):
+        delete_files(spark, root, gone)
+    again = io.read_manifest(spark, f"{root}/manifest").select("source_file")
+    ingest_pages(pages.filter("filename LIKE '%00.html'"), root, 1)
+    store = read_store(spark, f"{root}/store").select("book_id", "source_file").distinct()
+    return store.join(io.read_manifest(spark, f"{root}/manifest").hint("merge"), ["book_id", "source_file"], "left_semi").withColumn("again", F.col("source_file").like("%00.html"))
+
+
+STOP_SQL = """WITH f AS (SELECT c_mktsegment AS book_id, lpad(CAST(c_custkey AS VARCHAR), 9, '0') || CASE WHEN c_nationkey % 5 < 2 THEN '.exe' ELSE '.pdf' END AS file, c_nationkey % 5 < 2 AS bad FROM customer),
+  a AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY book_id ORDER BY file) AS run FROM f),
+  b AS (SELECT *, sum(bad::INT) OVER (PARTITION BY book_id, run ORDER BY file) AS len FROM a),
+  c AS (SELECT *, coalesce(max((len >= 4)::INT) OVER (PARTITION BY book_id ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS stopped FROM b)
+  SELECT book_id, file, CASE WHEN stopped THEN 'not attempted' WHEN bad THEN 'failed' ELSE 'stored' END AS status, (SELECT max(stopped) FROM c) AS aborted_early FROM c"""
+
+
+@query("ingest_stops_early", STOP_SQL)
+def _(spark, d):
+    """Customers as files of a book for each segment; a book stops after four files in a row that have no route."""
+    root, c = scratch_dir(spark, "stop"), table(spark, d, "customer")
+    name = F.concat(F.lpad(F.col("c_custkey").cast("string"), 9, "0"), F.when(F.col("c_nationkey") % 5 < 2, ".exe").otherwise(".pdf"))
+    report = ingest_files(c.select(F.col("c_mktsegment").alias("book_id"), name.alias("filename"), F.concat(F.lit(PAGE), "c_name").alias("markdown")), root, 0, max_failures=4)
+    aborted = spark.read.json(f"{root}/failures/batch=0").agg(F.max("aborted_early").alias("aborted_early"))
+    return report.select("book_id", "file", "status").crossJoin(F.broadcast(aborted))  # one row
+
+
+def recordings(spark, d):
+    """Each conversation as a recording whose turns last a second each."""
+    second = (F.col("conv_id") * 1000 + F.col("turn")).cast("double")
+    words = F.lit(None).cast("array<struct<word:string,score:double>>").alias("words")
+    segment = F.struct("text", second.alias("start"), (second + 1).alias("end"), words, F.col("role").alias("speaker"))
+    talks = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", segment.alias("s")))).alias("x"))
+    return talks.select(F.lit("talks").alias("book_id"), F.concat(F.col("conv_id").cast("string"), F.lit(".wav")).alias("filename"), F.transform("x", lambda r: r["s"]).alias("segments"))
 
 
 INGEST_SQL = """SELECT coalesce(source, '') AS book_id, 'pdf' AS ext, CASE WHEN text IS NULL THEN 'failed' ELSE 'stored' END AS status, count(DISTINCT coalesce(text, CAST(doc_id AS VARCHAR))) AS n_files, NULL::DOUBLE AS last_second
@@ -181,18 +214,14 @@ def _(spark, d):
     docs = table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("book_id"), name("doc_id", "pdf"), F.concat(F.lit(PAGE), "text").alias("markdown"))
     host = F.coalesce(F.regexp_extract("url", "://([^/?#]+)", 1), F.lit(""))
     books = table(spark, d, "pages").filter("html IS NOT NULL").select(host.alias("book_id"), name("page_id", "epub"), F.array("html").alias("chapters"))
-    second = (F.col("conv_id") * 1000 + F.col("turn")).cast("double")
-    words = F.lit(None).cast("array<struct<word:string,score:double>>").alias("words")
-    segment = F.struct("text", second.alias("start"), (second + 1).alias("end"), words, F.col("role").alias("speaker"))
-    talks = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", segment.alias("s")))).alias("x"))
-    talks = talks.select(F.lit("talks").alias("book_id"), name("conv_id", "wav"), F.transform("x", lambda r: r["s"]).alias("segments"))
+    talks = recordings(spark, d)
     images = table(spark, d, "part").select(F.lit("images").alias("book_id"), name("p_partkey", "png"), F.col("p_name").cast("binary").alias("content"))
     other = table(spark, d, "orders").select(F.lit("orders").alias("book_id"), name("o_orderkey", "exe"))
     files = docs
     for more in (books, talks, images, other):
         files = files.unionByName(more, allowMissingColumns=True)
     root, ext = scratch_dir(spark, "routes"), F.element_at(F.split("source_file", r"\."), -1).alias("ext")
-    reports = [ingest_files(files, root, batch, describer=describer) for batch, describer in ((0, None), (1, stub))]
+    reports = [ingest_files(files, root, batch, describer=describer, describer_failures=0) for batch, describer in ((0, None), (1, stub))]
     last = reports[1].unionByName(reports[0].join(reports[1].select("book_id", "file").hint("merge"), ["book_id", "file"], "left_anti"))
     times = read_store(spark, f"{root}/store").groupBy("book_id", ext).agg(F.max("end_sec").alias("last_second"))
     counts = last.groupBy("book_id", ext, "status").agg(F.count("*").alias("n_files"))

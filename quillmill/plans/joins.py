@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from quillmill.operators import joins as ops
 from quillmill.registry import query, table
+from quillmill.sources.files import STORE_SCHEMA, write_chunks
+from quillmill.sources.scratch import scratch_dir
 
 from . import views
+from .ingest import read_store
 
 
 def files(spark, d):
@@ -18,7 +21,7 @@ def files(spark, d):
 FILES_SQL = "(SELECT source AS book_id, 'f' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS filename, sha256(text) AS sha256, doc_id FROM documents)"
 
 
-@query("j01_skip_ingested", f"SELECT book_id, min(filename) AS filename FROM {FILES_SQL} AS f WHERE NOT EXISTS (SELECT 1 FROM {FILES_SQL} AS m WHERE m.doc_id % 4 = 0 AND m.book_id = f.book_id AND m.sha256 = f.sha256) GROUP BY book_id, sha256")
+@query("j01_skip_ingested", f"SELECT book_id, min(filename) AS filename FROM {FILES_SQL} AS f WHERE NOT EXISTS (SELECT 1 FROM {FILES_SQL} AS m WHERE m.doc_id % 4 = 0 AND m.book_id IS NOT DISTINCT FROM f.book_id AND m.sha256 IS NOT DISTINCT FROM f.sha256) GROUP BY book_id, sha256")
 def _(spark, d):
     f = files(spark, d)
     return ops.skip_ingested(f, f.filter("doc_id % 4 = 0")).select("book_id", "filename")
@@ -30,11 +33,16 @@ def _(spark, d):
     return ops.skip_existing_chunks(c.select("chunk_id").distinct(), c.filter("token_count > 25"))
 
 
-@query("j03_delete_by_source", "SELECT source, count(*) AS n FROM documents WHERE source NOT IN ('src1', 'src3') GROUP BY source")
+@query("j03_delete_by_source", "SELECT coalesce(lang, '') AS book_id, source AS source_file, count(*) AS n FROM documents WHERE lang IS DISTINCT FROM 'de' AND (source IS NULL OR source NOT IN ('src1', 'src3')) GROUP BY ALL")
 def _(spark, d):
-    store = table(spark, d, "documents").select(F.lit("bk").alias("book_id"), F.col("source").alias("source_file"))
-    gone = spark.createDataFrame([("bk", "src1"), ("bk", "src3")], "book_id string, source_file string")
-    return ops.delete_by_source(store, gone).groupBy(F.col("source_file").alias("source")).agg(F.count("*").alias("n"))
+    """A store on disk with a book for each language, from which two files of all books and one whole book are deleted twice."""
+    path, docs = scratch_dir(spark, "delete"), table(spark, d, "documents")
+    chunks = docs.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("lang").alias("book_id"), F.col("source").alias("source_file"), F.col("text").alias("content"))
+    write_chunks(spark.createDataFrame([], STORE_SCHEMA).unionByName(chunks, allowMissingColumns=True), path)
+    gone = chunks.filter("book_id = 'de' OR source_file IN ('src1', 'src3')").select("book_id", "source_file").distinct()
+    for _ in range(2):
+        ops.delete_by_source(spark, path, gone)
+    return read_store(spark, path).groupBy("book_id", "source_file").agg(F.count("*").alias("n"))
 
 
 @query("j04_hydrate", "SELECT c.chunk_id, c.pos, d.lang, d.source FROM (SELECT doc_id * 2 AS chunk_id, min(doc_id) AS pos FROM documents GROUP BY 1) AS c LEFT JOIN documents AS d ON d.doc_id = c.chunk_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmill.registry import query, table
@@ -10,8 +11,8 @@ from quillmill.streaming import jobs
 
 from .aggregates import HEADERS_SQL
 from .elements import E19_SQL
-from .ingest import read_store
-from .io import page_files
+from .ingest import PAGE, read_store
+from .io import page_files, recordings
 
 
 def cut(df, path: str, order: str, files: int = 3) -> str:
@@ -23,13 +24,33 @@ def cut(df, path: str, order: str, files: int = 3) -> str:
     return path
 
 
-@query("st1_incremental_ingest", "SELECT regexp_extract(url, '://([^/?#]+)', 1) AS book_id, count(DISTINCT sha256(html)) AS n_files FROM pages GROUP BY 1")
+ST1_SQL = """SELECT coalesce(regexp_extract(url, '://([^/?#]+)', 1), '') AS book_id, 'stored' AS place, count(DISTINCT html) AS n_files FROM pages WHERE html IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'talks', 'stored', count(DISTINCT conv_id) FROM conversations HAVING count(*) > 0
+UNION ALL SELECT 'images', 'staged', count(*) FROM part HAVING count(*) > 0
+UNION ALL SELECT 'suppliers', CASE WHEN s_suppkey % 2 = 0 THEN 'stored' ELSE 'staged' END, count(*) FROM supplier GROUP BY ALL"""
+
+
+@query("st1_incremental_ingest", ST1_SQL)
 def _(spark, d):
+    """Files of all four routes, staged in several parquet files: pages as books, conversations as recordings, parts as images
+    without a describer, suppliers as converted pages, every second one in a file of no route. What is stored has left the
+    folder, the rest stays in it; started again, the run adds nothing."""
     root = scratch_dir(spark, "st1")
-    source = cut(page_files(spark, d).withColumn("n", F.substring("filename", 2, 9).cast("bigint")), f"{root}/in", "n")
-    for _ in range(2):  # started again, it adds nothing
-        jobs.incremental_ingest(spark, source, root)
-    return read_store(spark, f"{root}/store").groupBy("book_id").agg(F.count_distinct("source_file").alias("n_files"))
+    name = lambda key, ext: F.concat(F.lpad(F.col(key).cast("string"), 9, "0"), ext if isinstance(ext, Column) else F.lit(ext)).alias("filename")
+    books = page_files(spark, d).filter("html IS NOT NULL").select("book_id", F.regexp_replace("filename", "html$", "epub").alias("filename"), F.array("html").alias("chapters"))
+    images = table(spark, d, "part").select(F.lit("images").alias("book_id"), name("p_partkey", ".png"), F.col("p_name").cast("binary").alias("content"))
+    ext = F.when(F.col("s_suppkey") % 2 == 0, ".pdf").otherwise(".doc")
+    text = F.concat(F.lit(PAGE), "s_name", F.lit(" "), F.col("s_suppkey").cast("string"))
+    other = table(spark, d, "supplier").select(F.lit("suppliers").alias("book_id"), name("s_suppkey", ext), text.alias("markdown"))
+    files = books
+    for more in (recordings(spark, d), images, other):
+        files = files.unionByName(more, allowMissingColumns=True)
+    source = cut(files.withColumn("n", F.crc32("filename")), f"{root}/in", "n")
+    for _ in range(2):
+        jobs.incremental_ingest(spark, source, root, files_per_batch=8)
+    stored = read_store(spark, f"{root}/store").select("book_id", F.lit("stored").alias("place"), "source_file").distinct()
+    staged = spark.read.parquet(source).select("book_id", F.lit("staged").alias("place"), F.col("filename").alias("source_file"))
+    return stored.union(staged).groupBy("book_id", "place").agg(F.count("*").alias("n_files"))
 
 
 @query("st2_stream_dedup", "SELECT DISTINCT sha256(text) AS sha256 FROM documents")
@@ -46,12 +67,22 @@ def _(spark, d):
     return jobs.run_to_table(jobs.stream_dedup_within(jobs.read_stream(spark, source), ["user_id", "event_type"], "ts", "1 day"), f"{root}/cp", f"{root}/out").select("user_id", "event_type", "event_id")
 
 
-@query("st3_progress_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+ST3_SQL = """WITH r AS (SELECT min(event_id) AS low, max(event_id) - min(event_id) + 1 AS span FROM events),
+  e AS (SELECT *, (SELECT count(*) FROM range(1, 3) AS k(k), r WHERE event_id >= low + span * k // 3) AS slice FROM events)
+  SELECT slice, count(*) AS n_rows, count(*) FILTER (event_type = 'purchase') AS n_done, min(event_id) AS first, max(event_id) AS last FROM e GROUP BY slice"""
+
+
+@query("st3_progress_counts", ST3_SQL)
 def _(spark, d):
-    root = scratch_dir(spark, "st3")
-    source = cut(table(spark, d, "events"), f"{root}/in", "event_id")
-    seen = jobs.progress_counts(jobs.read_stream(spark, source), "progress", F.col("event_type") == "purchase")
-    return jobs.run_to_table(seen, f"{root}/cp", f"{root}/out").groupBy("event_type").agg(F.count("*").alias("n"))
+    """The table that a listener wrote of a run over three slices of events, each of one file or more: what it says of each."""
+    root, events = scratch_dir(spark, "st3"), table(spark, d, "events")
+    source = cut(events, f"{root}/in", "event_id")
+    ends = (F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+    seen = jobs.progress_counts(jobs.read_stream(spark, source), "progress", F.col("event_type") == "purchase", *ends)
+    progress = jobs.run_with_progress(seen, "progress", f"{root}/cp", f"{root}/out", f"{root}/progress")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    slices = sum((F.col("first") >= low + (high - low + 1) * k // 3).cast("bigint") for k in (1, 2))
+    return progress.groupBy(slices.alias("slice")).agg(F.sum("rows").alias("n_rows"), F.sum("done").alias("n_done"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
 @query("st4_conversation_tail", f"SELECT conv_id, title, (updated_at - conv_id) // 60 AS last_turn FROM ({HEADERS_SQL}) AS h")

@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import delete_rows, exists, same
+
 #: Supported extensions and the branch that reads them.
 ROUTES = {"pdf": ("pdf",), "epub": ("epub",), "audio": ("mp3", "wav", "m4a"), "image": ("png", "jpg", "jpeg", "webp", "svg")}
+#: The most that a row can hold of a file: an array of bytes in the JVM has fewer than 2**31.
+MAX_BYTES = 2**31 - 2**16
 #: Columns of the result file, in order.
 RESULT_COLUMNS = (
     "id", "type", "run", "question", "expected_tool", "triggered_tool", "format_ok", "fill_ok", "tool_accuracy_ok", "final_answer", "total_tokens", "prompt_tokens", "completion_tokens", "latency_s",
@@ -20,6 +24,11 @@ CHUNK_SCHEMA = T.StructType(
     + [T.StructField(n, T.IntegerType()) for n in ("token_count", "page_start", "page_end")]
     + [T.StructField("start_sec", T.DoubleType()), T.StructField("end_sec", T.DoubleType()), T.StructField("low_confidence", T.BooleanType())]
 )
+STORE_SCHEMA = (
+    "chunk_id string, source_file string, element_type string, content string, token_count int, page_start int, page_end int, "
+    "start_sec double, end_sec double, low_confidence boolean, embedding array<float>, book_id string"
+)
+MANIFEST_SCHEMA = "book_id string, sha256 string, source_file string"
 SEGMENT_SCHEMA = "book_id string, source_file string, segments array<struct<text:string,start:double,end:double,words:array<struct<word:string,score:double>>,speaker:string>>"
 CASE_SCHEMA = "id string, type string, question string, expected_tool string, expected_answer string"
 BENCH_SCHEMA = "id string, parser string, elapsed_sec double, char_count int, elements array<struct<type:string,content:string,page_num:int>>, error string"
@@ -30,12 +39,35 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
 
-def read_corpus_files(spark: SparkSession, dirs: Sequence[str], extensions: Sequence[str] | None = None) -> DataFrame:
-    """Path, filename, content and sha256 of the files of the folders, not of their subfolders, with a supported
-    extension in either case, sorted by name."""
-    wanted = [e.lstrip(".").lower() for e in extensions or [e for v in ROUTES.values() for e in v]]
-    files = spark.read.format("binaryFile").load(list(dirs)).filter(extension(F.col("path")).isin(wanted))
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "content", F.sha2("content", 256).alias("sha256")).orderBy("filename")
+def any_case(extensions: Sequence[str]) -> str:
+    """A glob of file names with one of the extensions, in either case."""
+    letters = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
+    return "*.{" + ",".join(letters(e.lstrip(".")) for e in extensions) + "}"
+
+
+def _listed(spark: SparkSession, dirs: Sequence[str], extensions: Sequence[str] | None) -> DataFrame:
+    wanted = extensions or [e for v in ROUTES.values() for e in v]
+    return spark.read.format("binaryFile").option("pathGlobFilter", any_case(wanted)).load(list(dirs)).withColumn("filename", F.element_at(F.split("path", "/"), -1))
+
+
+def read_corpus_files(spark: SparkSession, dirs: Sequence[str], extensions: Sequence[str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Path, filename, content and sha256 of the files of the folders, not of their subfolders, with a supported extension in
+    either case and at most max_bytes. Names are filtered when folders are listed and lengths before a file is opened, so nothing
+    else is read; rows have no order, list_corpus_files() has that of names."""
+    files = _listed(spark, dirs, extensions).filter(F.col("length") <= max_bytes)
+    return files.select("path", "filename", "content", F.sha2("content", 256).alias("sha256"))
+
+
+def list_corpus_files(spark: SparkSession, dirs: Sequence[str], extensions: Sequence[str] | None = None) -> DataFrame:
+    """Path, filename and length of the same files of any length, sorted by name; no content is read."""
+    return _listed(spark, dirs, extensions).select("path", "filename", "length").orderBy("filename", "path")
+
+
+def oversize_failures(spark: SparkSession, dirs: Sequence[str], extensions: Sequence[str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Files too long for read_corpus_files(), as rows of the failure report."""
+    files = _listed(spark, dirs, extensions).filter(F.col("length") > max_bytes)
+    message = F.concat(F.col("length").cast("string"), F.lit(f" bytes, more than {max_bytes}"))
+    return files.select(F.col("filename").alias("file"), F.lit("oversize").alias("error_type"), message.alias("error_message"))
 
 
 def route_by_extension(files: DataFrame, path: str = "path") -> DataFrame:
@@ -98,23 +130,27 @@ def write_result_csv(results: DataFrame, path: str) -> None:
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(book_id, sha256, source_file) of all committed batches; empty if there is none."""
-    schema = "book_id string, sha256 string, source_file string"
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+    if not exists(spark, path):
+        return spark.createDataFrame([], MANIFEST_SCHEMA)
+    return spark.read.schema(MANIFEST_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
 
 
 def commit_manifest(new: DataFrame, path: str, batch: int | str) -> None:
     """What no batch has committed is added below the batch's folder, so a repeated commit adds nothing and a batch that is
     run again for files held back keeps those it had."""
-    known = read_manifest(new.sparkSession, path).select("book_id", "sha256")
-    fresh = new.groupBy("book_id", "sha256").agg(F.min("source_file").alias("source_file")).join(known, ["book_id", "sha256"], "left_anti")
+    known = read_manifest(new.sparkSession, path).select("book_id", "sha256").alias("r")
+    fresh = new.groupBy("book_id", "sha256").agg(F.min("source_file").alias("source_file")).alias("l").join(known.hint("merge"), same("l", "r", ["book_id", "sha256"]), "left_anti")
     fresh.select("book_id", "sha256", "source_file").write.mode("append").parquet(f"{path}/batch={batch}")
 
 
+def remove_from_manifest(spark: SparkSession, path: str, files: DataFrame) -> int:
+    """Files (book_id, source_file) are no longer known, so they can be ingested anew; the number of batches rewritten."""
+    return delete_rows(spark, path, f"{MANIFEST_SCHEMA}, batch string", "batch", files, ["book_id", "source_file"])
+
+
 def write_failures(failed: DataFrame, not_attempted: DataFrame, aborted: bool, path: str) -> DataFrame:
-    """Failed (file, error_type, error_message) and files that were not attempted (file), as one report."""
+    """Failed (file, error_type, error_message) and files that were not attempted (file), as one report. aborted: whether the
+    batch stopped early, after failures in a row; files that wait for a describer are not attempted in a batch that went to its end."""
     a = failed.select("file", "error_type", "error_message", F.current_timestamp().alias("timestamp"), F.lit(True).alias("attempted"))
     b = not_attempted.select("file", F.lit(None).cast("string"), F.lit(None).cast("string"), F.current_timestamp(), F.lit(False))
     report = a.union(b).withColumn("aborted_early", F.lit(aborted))

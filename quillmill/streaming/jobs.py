@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import threading
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
+
+from quillmill.sources.store import same
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -26,11 +30,56 @@ def run_to_table(stream: DataFrame, checkpoint: str, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def incremental_ingest(spark: SparkSession, pages: str, root: str) -> None:
-    """ST1: a folder of page files (book_id, filename, html); a batch id names what it wrote, so a rerun adds nothing."""
-    from quillmill.plans.ingest import ingest_pages
-
-    run_batches(read_stream(spark, pages), f"{root}/checkpoint", lambda df, batch: ingest_pages(df, root, batch))
+def incremental_ingest(spark: SparkSession, staged: str, root: str, files_per_batch: int = 1, **options) -> None:
+    """ST1: the list of staged files, a folder of parquet files whose rows are files of any route as ingest_files() takes them
+    (options are its own). What is stored leaves the folder; rows that failed, were held back or not attempted stay in it, in files
+    of their own, and are tried again by the next run. A batch id names what it wrote, so a rerun adds nothing.
+
+    Files are archived below root when the run has ended, since a batch that is repeated reads them again; what stays is
+    moved into the folder before, name by name, so a run that was cut short is brought to its end by the next one."""
+    from quillmill.plans.ingest import hashed, ingest_files
+
+    tidy_staged(spark, staged, root)
+    if not any_parquet(spark, staged):
+        return
+    stream = read_stream(spark, staged, files_per_batch).withColumn("_taken", F.col("_metadata.file_path"))
+
+    def work(df: DataFrame, batch: int) -> None:
+        df = df.persist()
+        try:
+            files = df.drop("_taken")
+            report = ingest_files(files, root, batch, **options).filter("status <> 'stored'").select("book_id", "sha256")
+            known = hashed(files).alias("l").join(report.distinct().alias("r").hint("merge"), same("l", "r", ["book_id", "sha256"]), "left_semi")
+            known.select(files.columns).write.mode("overwrite").parquet(f"{root}/left/batch={batch}")
+            df.select("_taken").distinct().write.mode("overwrite").parquet(f"{root}/taken/batch={batch}")
+        finally:
+            df.unpersist()
+
+    run_batches(stream, f"{root}/checkpoint", work)
+    tidy_staged(spark, staged, root)
+
+
+def any_parquet(spark: SparkSession, folder: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*.parquet")
+    return len(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []) > 0
+
+
+def tidy_staged(spark: SparkSession, staged: str, root: str) -> None:
+    """Moves what the batches of a run have left into the folder, and archives the files that they took. All are moved by name on
+    the driver, as many as there are files in the folder."""
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    fs = path(root).getFileSystem(conf)
+    fs.mkdirs(path(f"{root}/archive"))
+    for f in fs.globStatus(path(f"{root}/left/*/*.parquet")) or []:
+        batch, name = f.getPath().getParent().getName(), f.getPath().getName()
+        fs.rename(f.getPath(), path(f"{staged}/left-{batch.removeprefix('batch=')}-{name}"))
+    if fs.exists(path(f"{root}/taken")):
+        for (name,) in spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/taken").distinct().toLocalIterator():
+            p = path(spark._jvm.java.net.URI(name))
+            if fs.exists(p):
+                fs.rename(p, path(f"{root}/archive/{p.getName()}"))
+        fs.delete(path(f"{root}/taken"), True)
+    fs.delete(path(f"{root}/left"), True)
 
 
 def stream_dedup(stream: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,9 +92,56 @@ def stream_dedup_within(stream: DataFrame, keys: list[str], time: str, delay: st
     return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def progress_counts(stream: DataFrame, name: str, done: Column) -> DataFrame:
-    """ST3: rows and finished rows of each micro-batch, as observed metrics of the running query."""
-    return stream.observe(name, F.count("*").alias("rows"), F.count_if(done).alias("done"))
+class ProgressTable(StreamingQueryListener):
+    """ST3: appends the observed metrics of each batch of the streams that observe `name` to a table of JSON files."""
+
+    def __init__(self, spark: SparkSession, name: str, path: str):
+        self.spark, self.name, self.path = spark, name, path
+        self.running: set[str] = set()
+        self.ended = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        with self.ended:
+            self.running.add(str(event.runId))
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        row = p.observedMetrics.get(self.name)
+        if row is not None and p.numInputRows:
+            values = {"batch": p.batchId, "run": str(p.runId), "at": p.timestamp, **row.asDict()}
+            self.spark.createDataFrame([(json.dumps(values, default=str),)], "value string").write.mode("overwrite").text(f"{self.path}/batch={p.batchId}")
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        with self.ended:
+            self.running.discard(str(event.runId))
+            self.ended.notify_all()
+
+    def wait(self, seconds: float = 60) -> None:
+        """Events come after the query: until those of all its batches are written."""
+        with self.ended:
+            if not self.ended.wait_for(lambda: not self.running, seconds):
+                raise TimeoutError("the listener hasn't heard of the end of the stream")
+
+
+def progress_counts(stream: DataFrame, name: str, done: Column, *more: Column) -> DataFrame:
+    """ST3: rows and finished rows of each micro-batch, and more metrics, observed of the running query; see run_with_progress()."""
+    return stream.observe(name, F.count("*").alias("rows"), F.count_if(done).alias("done"), *more)
+
+
+def run_with_progress(stream: DataFrame, name: str, checkpoint: str, path: str, progress: str) -> DataFrame:
+    """ST3: runs an observed stream into a table, and gives the table of progress: batch, run, at and the metrics."""
+    spark = stream.sparkSession
+    heard = ProgressTable(spark, name, progress)
+    spark.streams.addListener(heard)
+    try:
+        run_to_table(stream, checkpoint, path)
+        heard.wait()
+    finally:
+        spark.streams.removeListener(heard)
+    return spark.read.option("recursiveFileLookup", "true").json(progress)
 
 
 def conversation_tail(turns: DataFrame) -> DataFrame:

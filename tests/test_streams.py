@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from quillmill.operators.elements import degrade_after_failures
+from quillmill.plans.ingest import PAGE, read_store
 from quillmill.registry import queries, table
+from quillmill.streaming import jobs
 
 from .conftest import SF, rows_of
 
@@ -17,3 +19,52 @@ def test_breaker_equals_batch(spark):
 def test_watermark_form_has_each_key_at_least_once(spark):
     got = queries()["st2_stream_dedup_within"](spark, SF)
     assert got.select("user_id", "event_type").distinct().count() == table(spark, SF, "events").select("user_id", "event_type").distinct().count()
+
+
+def test_staged_list(spark, tmp_path):
+    """What is stored leaves the folder; what failed or waits stays, and is taken by a later run that has a describer."""
+    root, staged = str(tmp_path), f"{tmp_path}/in"
+    schema = "book_id string, filename string, markdown string, content binary"
+    rows = [("b", "a.pdf", PAGE + "Text a.", None), ("b", "x.exe", None, None), ("b", "i.png", None, bytearray(b"image")), (None, "n.pdf", PAGE + "Text n.", None)]
+    for row in rows:
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(staged)
+
+    def there():
+        return sorted(r.filename for r in spark.read.parquet(staged).collect())
+
+    jobs.incremental_ingest(spark, staged, root, 10)
+    assert there() == ["i.png", "x.exe"]
+    assert {r.source_file for r in read_store(spark, f"{root}/store").collect()} == {"a.pdf", "n.pdf"}
+    jobs.incremental_ingest(spark, staged, root, 10)
+    assert there() == ["i.png", "x.exe"] and read_store(spark, f"{root}/store").count() == 2
+    jobs.incremental_ingest(spark, staged, root, 10, describer=lambda s: s.map(lambda b: "a picture"))
+    assert there() == ["x.exe"]
+    assert {r.source_file for r in read_store(spark, f"{root}/store").collect()} == {"a.pdf", "n.pdf", "i.png"}
+    assert len([p for p in (tmp_path / "archive").iterdir() if p.suffix == ".parquet"]) >= 4
+
+
+def test_staged_list_after_a_crash(spark, tmp_path, monkeypatch):
+    """A run that ended before its files were moved is brought to its end by the next one."""
+    root, staged = str(tmp_path), f"{tmp_path}/in"
+    rows = [("b", "a.pdf", PAGE + "Text a."), ("b", "x.exe", None)]
+    spark.createDataFrame(rows, "book_id string, filename string, markdown string").coalesce(1).write.parquet(staged)
+    tidy, calls = jobs.tidy_staged, []
+    monkeypatch.setattr(jobs, "tidy_staged", lambda *a: calls.append(a) or (tidy(*a) if len(calls) == 1 else None))
+    jobs.incremental_ingest(spark, staged, root, 10)
+    monkeypatch.undo()
+    assert spark.read.parquet(staged).count() == 2
+    jobs.incremental_ingest(spark, staged, root, 10)
+    assert [r.filename for r in spark.read.parquet(staged).collect()] == ["x.exe"]
+    assert read_store(spark, f"{root}/store").count() == 1
+
+
+def test_progress_is_written_for_each_batch(spark, tmp_path):
+    for k in range(3):
+        spark.range(10 * k, 10 * k + 5 + k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    seen = jobs.progress_counts(jobs.read_stream(spark, f"{tmp_path}/in"), "p", F.col("id") % 2 == 0)
+    got = jobs.run_with_progress(seen, "p", f"{tmp_path}/cp", f"{tmp_path}/out", f"{tmp_path}/progress").orderBy("batch").collect()
+    assert [(r.batch, r.rows, r.done) for r in got] == [(0, 5, 3), (1, 6, 3), (2, 7, 4)]
+    spark.range(100, 104).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    seen = jobs.progress_counts(jobs.read_stream(spark, f"{tmp_path}/in"), "p", F.col("id") % 2 == 0)
+    got = jobs.run_with_progress(seen, "p", f"{tmp_path}/cp", f"{tmp_path}/out", f"{tmp_path}/progress").orderBy("batch").collect()
+    assert [(r.batch, r.rows) for r in got] == [(0, 5), (1, 6), (2, 7), (3, 4)]
