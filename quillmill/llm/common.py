@@ -58,14 +58,16 @@ class Scratch:
 
 @contextmanager
 def rows_in_a_batch(spark: SparkSession, n: int) -> Iterator[None]:
-    """Arrow batches of at most n rows for the plans that are run inside, whose rows are large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(key)
-    spark.conf.set(key, str(n))
+    """At most n rows at a time from Parquet and to Python, in the plans that are run inside: for tables of large rows."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    were = {k: spark.conf.get(k) for k in keys}
+    for k in keys:
+        spark.conf.set(k, str(n))
     try:
         yield
     finally:
-        spark.conf.set(key, was)
+        for k, v in were.items():
+            spark.conf.set(k, v)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -84,11 +84,12 @@ class Index:
     n_terms: int
 
 
-INTS = T.ArrayType(T.IntegerType(), False)
+#: The numbers of a block, packed, and their types; a place and the size of a run fit two bytes, as BLOCK does.
+PACKED = {"dfs": "<i4", "tops": "<i4", "runs": "<i4", "tfs": "<i4", "sizes": "<u2", "places": "<u2"}
 
 
 def _blocks(key: T.DataType) -> T.StructType:
-    named = {"block": T.LongType(), "m": T.LongType(), "ids": T.ArrayType(key), "terms": T.ArrayType(T.StringType(), False)} | {n: INTS for n in ("dfs", "tops", "runs", "tfs", "sizes", "places")}
+    named = {"block": T.LongType(), "m": T.LongType(), "ids": T.ArrayType(key), "terms": T.ArrayType(T.StringType(), False)} | dict.fromkeys(PACKED, T.BinaryType())
     return T.StructType([T.StructField(n, t, False) for n, t in named.items()])
 
 
@@ -130,7 +131,7 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", scratch: Scr
                     continue
                 part = batch.slice(start, end - start)
                 terms, ints = invert(part.column(2).to_pylist(), part.column(3).to_pylist())
-                values = [number, int(ms[start]), part.column(1).to_pylist(), [t.decode() for t in terms], *ints]
+                values = [number, int(ms[start]), part.column(1).to_pylist(), [t.decode() for t in terms], *(x.astype(t).tobytes() for x, t in zip(ints, PACKED.values(), strict=True))]
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, out, strict=True)], schema=out)
                 start, number = end, number + 1
 
@@ -170,6 +171,10 @@ def _column(batch: pa.RecordBatch, name: str, row: int) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))[row].values
 
 
+def _numbers(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
+    return np.frombuffer(batch.column(batch.schema.get_field_index(name))[row].as_buffer(), PACKED[name])
+
+
 def _local(q: Queries, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Which terms of a block are asked for, and their numbers."""
     import pyarrow.compute as pc
@@ -183,7 +188,7 @@ def bounds(q: Queries, batch: pa.RecordBatch, row: int) -> np.ndarray:
     """The most that a block can give to each item."""
     here, numbers = _local(q, _column(batch, "terms", row))
     most = np.zeros(len(q.terms), np.int64)
-    most[numbers] = q.weights[numbers] * impact(_column(batch, "tops", row).to_numpy()[here], batch.column(batch.schema.get_field_index("m"))[row].as_py())
+    most[numbers] = q.weights[numbers] * impact(_numbers(batch, "tops", row)[here], batch.column(batch.schema.get_field_index("m"))[row].as_py())
     return q.sums(most, np.arange(len(q.terms)), np.arange(len(q.numbers)))
 
 
@@ -191,7 +196,7 @@ def scores(q: Queries, batch: pa.RecordBatch, row: int, which: np.ndarray) -> It
     """Scores of all documents of a block for some items, a few items at a time."""
     here, numbers = _local(q, _column(batch, "terms", row))
     m, n = batch.column(batch.schema.get_field_index("m"))[row].as_py(), len(_column(batch, "ids", row))
-    runs, tfs, sizes, places = (_column(batch, c, row).to_numpy() for c in ("runs", "tfs", "sizes", "places"))
+    runs, tfs, sizes, places = (_numbers(batch, c, row) for c in ("runs", "tfs", "sizes", "places"))
     asked = np.full(len(runs), -1, np.int64)
     asked[here] = np.arange(len(here))
     by_run = np.repeat(asked, runs)
@@ -307,7 +312,7 @@ def _frequencies(index: Index, asked: list[str]) -> dict[str, int]:
         for batch in batches:
             at = pc.index_in(batch.column(0).flatten(), value_set=asked)
             known = pc.is_valid(at).to_numpy(zero_copy_only=False)
-            np.add.at(total, pc.fill_null(at, 0).to_numpy()[known], batch.column(1).flatten().to_numpy()[known])
+            np.add.at(total, pc.fill_null(at, 0).to_numpy()[known], np.frombuffer(b"".join(x.as_buffer() for x in batch.column(1)), PACKED["dfs"])[known])
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(total[hit])], names=["term", "df"])
 
