@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from quillmill.operators import retrieval as ops
 from quillmill.operators.joins import hydrate
+from quillmill.operators.lexical_index import append_to_index, indexed_top_k
 from quillmill.registry import query, table
+from quillmill.sources.scratch import scratch_dir
 
 from . import views
 
@@ -54,6 +56,15 @@ def _(spark, d):
     return ops.ann_top_k(v.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "qid"), v, 10)
 
 
+@query("t09_coded_top_k", f"SELECT qid, chunk_id, round(distance, 6) AS distance, rank FROM {dense_sql(10)} AS d")
+def _(spark, d):
+    """Codes are written once; whole vectors are read for what they leave open."""
+    v, path = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), scratch_dir(spark, "codes")
+    ops.vector_codes(v).write.mode("overwrite").parquet(path)
+    found = ops.coded_top_k(v.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "qid"), spark.read.parquet(path), v, 10)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
 TERMS = r"list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda t: t <> '')"
 
 
@@ -79,6 +90,16 @@ def _(spark, d):
     return lexical(spark, d, 10).select("qid", "chunk_id", F.round("score", 4).alias("score"))
 
 
+@query("t02_stored_index", f"SELECT qid, chunk_id, round(score, 4) AS score FROM {lexical_sql(10)} AS l WHERE rank <= 10")
+def _(spark, d):
+    """The index is written in two batches; searching it tokenises no chunk."""
+    path, docs = scratch_dir(spark, "lexical"), table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    for batch in (0, 1):
+        append_to_index(docs.filter(F.col("chunk_id") % 3 < 2 if batch else F.col("chunk_id") % 3 == 2), path, batch)
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return indexed_top_k(spark, path, asked, 10).select("qid", "chunk_id", F.round("score", 4).alias("score"))
+
+
 #: Every second document is given a sign of the other script, as the tables hold one only; so are the translated queries.
 ROUTED = "SELECT doc_id, CASE doc_id % 2 WHEN 1 THEN 'zh' ELSE 'en' END AS field, CASE doc_id % 2 WHEN 1 THEN '图 ' ELSE '' END || text AS text FROM documents"
 ASKED = "SELECT item_id AS qid, 'en' AS field, text FROM benchmark UNION ALL SELECT item_id, 'zh', '图 ' || text FROM benchmark"
@@ -91,26 +112,29 @@ def _(spark, d):
     return ops.language_routed_lexical(asked, chunks, 10).select("qid", "chunk_id", F.round("score", 4).alias("score"))
 
 
-def pools(spark, d):
-    """Two pools of one set of queries: by all dimensions, and by the first half of them."""
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    q = v.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "qid")
-    half = lambda x: x.withColumn("embedding", F.slice("embedding", 1, 32))
-    a = ops.dense_top_k(q, v, 50, most=None).withColumn("pool", F.lit("dense"))
-    return a.union(ops.dense_top_k(half(q), half(v), 50, most=None).withColumn("pool", F.lit("half")))
+#: The texts of the vectors' ids: documents of the same ids.
+OF_VECTORS = "doc_id IN (SELECT vec_id FROM embeddings)"
+POOLS_SQL = f"""(SELECT qid, chunk_id, rank, 'dense' AS pool FROM {dense_sql(50)} AS a UNION ALL SELECT qid, chunk_id, rank, 'lexical'
+  FROM {lexical_sql(50, None, f"SELECT doc_id AS qid, text FROM documents WHERE doc_id % 20 = 0 AND {OF_VECTORS}", f"(SELECT * FROM documents WHERE {OF_VECTORS}) AS c")} AS b)"""
 
 
-POOLS_SQL = f"(SELECT *, 'dense' AS pool FROM {dense_sql(50)} AS a UNION ALL SELECT *, 'half' FROM {dense_sql(50).replace('CAST(embedding AS DOUBLE[])', 'CAST(embedding[1:32] AS DOUBLE[])')} AS b)"
+def pools(spark, d):
+    """Two pools of one set of queries, every twentieth vector: by its vector, and by BM25 of the text that has its id."""
+    ids = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    texts = table(spark, d, "documents").join(ids.hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("chunk_id"), "text")
+    found = ops.lexical_top_k(texts.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "qid"), texts, 50).withColumn("pool", F.lit("lexical"))
+    columns = ("qid", "chunk_id", "rank", "pool")
+    return dense(spark, d, 50).withColumn("pool", F.lit("dense")).select(*columns).union(found.select(*columns))
 
 
-@query("t04_rrf_fuse", f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INT) AS rank FROM (SELECT qid, chunk_id, round(sum(CASE pool WHEN 'half' THEN 0.5 ELSE 1.0 END::DOUBLE / (60 + rank)), 9) AS score FROM {POOLS_SQL} AS p GROUP BY ALL) AS s) AS r WHERE rank <= 10")
+@query("t04_rrf_fuse", f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INT) AS rank FROM (SELECT qid, chunk_id, round(sum(CASE pool WHEN 'lexical' THEN 0.5 ELSE 1.0 END::DOUBLE / (60 + rank)), 9) AS score FROM {POOLS_SQL} AS p GROUP BY ALL) AS s) AS r WHERE rank <= 10")
 def _(spark, d):
-    return ops.rrf_fuse(pools(spark, d), 10, {"half": 0.5})
+    return ops.rrf_fuse(pools(spark, d), 10, {"lexical": 0.5})
 
 
-@query("t05_concat_pools", f"SELECT qid, chunk_id, min(rank) AS rank, string_agg(DISTINCT pool, '+' ORDER BY pool) AS pools FROM {POOLS_SQL} AS p WHERE (pool = 'dense' AND rank <= 30) OR (pool = 'half' AND rank <= 20) GROUP BY ALL")
+@query("t05_concat_pools", f"SELECT qid, chunk_id, min(rank) AS rank, string_agg(DISTINCT pool, '+' ORDER BY pool) AS pools FROM {POOLS_SQL} AS p WHERE (pool = 'dense' AND rank <= 30) OR (pool = 'lexical' AND rank <= 20) GROUP BY ALL")
 def _(spark, d):
-    return ops.concat_pools(pools(spark, d), {"dense": 30, "half": 20})
+    return ops.concat_pools(pools(spark, d), {"dense": 30, "lexical": 20})
 
 
 @query("t06_rerank", rf"SELECT * FROM (SELECT qid, chunk_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INT) AS rank FROM (SELECT l.qid, l.chunk_id, round(len(list_intersect(list_distinct({TERMS.replace('text', 'b.text')}), {TERMS.replace('text', 'd.text')})) / len(list_distinct({TERMS.replace('text', 'b.text')}))::DOUBLE, 6) AS score FROM {lexical_sql(10)} AS l JOIN benchmark AS b ON b.item_id = l.qid JOIN documents AS d ON d.doc_id = l.chunk_id) AS s) AS r WHERE rank <= 3")
@@ -166,10 +190,10 @@ def _(spark, d):
     return rank_of_truth(truth(spark, d).select("qid", "chunk_id"), pools(spark, d))
 
 
-@query("u03_pool_sets", f"SELECT 'both' AS part, count(*) AS n FROM (SELECT qid, chunk_id FROM {POOLS_SQL} AS p WHERE pool = 'dense' INTERSECT SELECT qid, chunk_id FROM {POOLS_SQL} AS p WHERE pool = 'half') AS a UNION ALL SELECT 'only dense', count(*) FROM (SELECT qid, chunk_id FROM {POOLS_SQL} AS p WHERE pool = 'dense' EXCEPT SELECT qid, chunk_id FROM {POOLS_SQL} AS p WHERE pool = 'half') AS b UNION ALL SELECT 'any', count(*) FROM (SELECT qid, chunk_id FROM {POOLS_SQL} AS p WHERE pool = 'dense' UNION SELECT qid, chunk_id FROM {POOLS_SQL} AS p WHERE pool = 'half') AS c")
+@query("u03_pool_sets", f"SELECT 'both' AS part, count(*) AS n FROM (SELECT qid, chunk_id FROM {POOLS_SQL} AS p WHERE pool = 'dense' INTERSECT SELECT qid, chunk_id FROM {POOLS_SQL} AS p WHERE pool = 'lexical') AS a UNION ALL SELECT 'only dense', count(*) FROM (SELECT qid, chunk_id FROM {POOLS_SQL} AS p WHERE pool = 'dense' EXCEPT SELECT qid, chunk_id FROM {POOLS_SQL} AS p WHERE pool = 'lexical') AS b UNION ALL SELECT 'any', count(*) FROM (SELECT qid, chunk_id FROM {POOLS_SQL} AS p WHERE pool = 'dense' UNION SELECT qid, chunk_id FROM {POOLS_SQL} AS p WHERE pool = 'lexical') AS c")
 def _(spark, d):
     p = pools(spark, d)
-    a, b = (p.filter(F.col("pool") == x).select("qid", "chunk_id") for x in ("dense", "half"))
+    a, b = (p.filter(F.col("pool") == x).select("qid", "chunk_id") for x in ("dense", "lexical"))
     count = lambda df, name: df.agg(F.lit(name).alias("part"), F.count("*").alias("n"))
     return count(a.intersect(b), "both").union(count(a.exceptAll(b), "only dense")).union(count(a.union(b).distinct(), "any"))
 
@@ -179,24 +203,52 @@ def _(spark, d):
     return ops.embed(table(spark, d, "documents").select("doc_id", "text"), "text", ops.hashing_encoder()).select("doc_id", "embedding")
 
 
-@query("x02_run_tools")
+#: Vectors as chunks of a book for each label, with the texts of their ids; a text without document has none.
+TOOL_CHUNKS = """(SELECT vec_id AS chunk_id, CAST(label AS VARCHAR) AS book_id, coalesce(source, 'none') AS source_file, CAST(vec_id % 7 + 1 AS INT) AS page_start, CAST(vec_id % 7 + 1 + vec_id % 2 AS INT) AS page_end,
+  text AS content FROM embeddings LEFT JOIN documents ON doc_id = vec_id)"""
+CITED = "source_file || ' p.' || page_start || CASE WHEN page_end <> page_start THEN '-' || page_end ELSE '' END"
+X02_SQL = f"""WITH c AS {TOOL_CHUNKS}
+  SELECT r.qid, 'retrieve' AS tool, r.rank - 1 AS pos, r.chunk_id, {CITED} AS citation, length(content) AS n_chars, round(r.distance, 6) AS score, NULL AS other FROM {OWN_BOOK_SQL.replace("rank <= 5", "rank <= 10")} AS r JOIN c USING (chunk_id)
+    WHERE r.qid % 60 = 0 AND r.rank <= CASE WHEN r.qid % 120 = 0 THEN 5 ELSE 10 END
+  UNION ALL SELECT vec_id, 'get_chunk', 0, chunk_id, {CITED}, length(content), NULL, CASE WHEN chunk_id IS NULL THEN 'no such chunk: ' || (vec_id + 1) END
+    FROM (SELECT vec_id, CAST(label AS VARCHAR) AS own FROM embeddings WHERE vec_id % 60 = 20) AS e LEFT JOIN c ON c.chunk_id = vec_id + 1 AND c.book_id = own
+  UNION ALL SELECT vec_id, 'calculate', 0, NULL, NULL, NULL, NULL, CAST(1000 + vec_id AS VARCHAR) FROM embeddings WHERE vec_id % 60 = 40"""
+
+
+@query("x02_run_tools", X02_SQL)
 def _(spark, d):
-    docs = table(spark, d, "documents")
-    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    vectors = ops.embed(chunks, "content", ops.hashing_encoder()).select("chunk_id", "embedding")
-    asked = ops.embed(table(spark, d, "benchmark"), "text", ops.hashing_encoder())
-    tool = F.element_at(F.array(*map(F.lit, ("retrieve", "get_chunk", "calculate"))), (F.col("item_id") % 3 + 1).cast("int"))
-    calls = asked.select(F.col("item_id").alias("qid"), tool.alias("tool"), "embedding", F.col("item_id").alias("chunk_id"), F.concat(F.lit("1,000 * "), F.col("item_id").cast("string"), F.lit("%")).alias("expression"))
-    return ops.run_tools(calls, vectors, chunks)
+    """Every twentieth vector asks: in turn its own book's records, the chunk after it if it is in its book, and a sum."""
+    e, docs = table(spark, d, "embeddings"), table(spark, d, "documents").select("doc_id", "source", "text")
+    page = (F.col("vec_id") % 7 + 1).cast("int")
+    none = F.lit(None)
+    chunks = e.hint("merge").join(docs, F.col("vec_id") == F.col("doc_id"), "left").select(
+        F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("book_id"), F.coalesce("source", F.lit("none")).alias("source_file"), page.alias("page_start"), (page + F.col("vec_id") % 2).cast("int").alias("page_end"),
+        none.cast("double").alias("start_sec"), none.cast("double").alias("end_sec"), F.col("text").alias("content"), F.lit("text").alias("element_type"), none.cast("boolean").alias("low_confidence"),
+    )
+    book = F.col("label").cast("string").alias("book_id")
+    tool = F.when(F.col("vec_id") % 60 == 0, "retrieve").when(F.col("vec_id") % 60 == 20, "get_chunk").otherwise("calculate")
+    calls = e.filter("vec_id % 20 = 0").select(
+        F.col("vec_id").alias("qid"), book, tool.alias("tool"), "embedding", F.when(F.col("vec_id") % 120 != 0, 99).alias("k"), (F.col("vec_id") + 1).alias("chunk_id"), F.concat(F.lit("1,000 + "), F.col("vec_id").cast("string")).alias("expression"),
+    )
+    got = ops.run_tools(calls, e.select(F.col("vec_id").alias("chunk_id"), "embedding", book), chunks)
+    record = "struct<chunk_id:bigint,citation:string,content:string,score:double,error:string>"
+    records = F.when(F.col("tool") == "retrieve", F.from_json("result", f"array<{record}>")).when(F.col("tool") == "get_chunk", F.array(F.from_json("result", record))).otherwise(F.array(F.lit(None).cast(record)))
+    r = got.select("qid", "tool", "result", F.posexplode(records).alias("pos", "r"))
+    other = F.when(F.col("tool") == "calculate", F.col("result")).otherwise(F.col("r.error"))
+    return r.select("qid", "tool", "pos", "r.chunk_id", "r.citation", F.length("r.content").alias("n_chars"), F.round("r.score", 6).alias("score"), other.alias("other"))
 
 
 @query("x02_run_tools_without_retrieval", "SELECT doc_id AS qid, CASE WHEN doc_id % 2 = 0 THEN 'get_chunk' ELSE 'calculate' END AS tool, CASE WHEN doc_id % 2 = 0 THEN text ELSE CAST(1000 + doc_id AS VARCHAR) END AS result FROM documents")
 def _(spark, d):
-    docs = table(spark, d, "documents")
-    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    docs, none = table(spark, d, "documents"), F.lit(None)
+    chunks = docs.select(
+        F.col("doc_id").alias("chunk_id"), F.lit("b").alias("book_id"), F.col("source").alias("source_file"), none.cast("int").alias("page_start"), none.cast("int").alias("page_end"), none.cast("double").alias("start_sec"),
+        none.cast("double").alias("end_sec"), F.col("text").alias("content"), F.lit("text").alias("element_type"), none.cast("boolean").alias("low_confidence"),
+    )
     tool = F.when(F.col("doc_id") % 2 == 0, "get_chunk").otherwise("calculate")
-    calls = docs.select(F.col("doc_id").alias("qid"), tool.alias("tool"), F.lit(None).cast("array<float>").alias("embedding"), F.col("doc_id").alias("chunk_id"), F.concat(F.lit("1,000 + "), F.col("doc_id").cast("string")).alias("expression"))
-    return ops.run_tools(calls, table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), chunks)
+    calls = docs.select(F.col("doc_id").alias("qid"), F.lit("b").alias("book_id"), tool.alias("tool"), none.cast("array<float>").alias("embedding"), none.cast("int").alias("k"), F.col("doc_id").alias("chunk_id"), F.concat(F.lit("1,000 + "), F.col("doc_id").cast("string")).alias("expression"))
+    got = ops.run_tools(calls, table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", F.lit("b").alias("book_id")), chunks)
+    return got.withColumn("result", F.when(F.col("tool") == "get_chunk", F.get_json_object("result", "$.content")).otherwise(F.col("result")))
 
 
 @query("p01_to_record", f"SELECT chunk_id, source_file, CASE WHEN page_start = page_end THEN source_file || ' p.' || page_start ELSE source_file || ' p.' || page_start || '-' || page_end END AS citation, content, element_type, false AS low_confidence, CAST(token_count AS DOUBLE) AS score FROM ({views.CHUNKS_SQL}) AS c")

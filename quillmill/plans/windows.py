@@ -33,6 +33,16 @@ def _(spark, d):
     return h.select("conv_id", "turn", F.size("history").cast("bigint").alias("n_before"), F.aggregate("history", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x["text"])).alias("n_chars"))
 
 
+@query("w07_history_pages", "SELECT a.conv_id, a.turn, count(b.turn) AS n_before, coalesce(string_agg(b.role || ':' || b.text, '|' ORDER BY b.turn), '') AS history FROM (SELECT conv_id, max(turn) AS turn FROM conversations GROUP BY conv_id) AS a LEFT JOIN conversations AS b ON a.conv_id = b.conv_id AND b.turn < a.turn GROUP BY a.conv_id, a.turn")
+def _(spark, d):
+    """The history of the last turn of each conversation, from pages of three turns."""
+    turns = table(spark, d, "conversations")
+    last = ops.prefix_lengths(turns).groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max("n_before").alias("n_before"))
+    h = ops.history_of(last, ops.conversation_pages(turns, 3))
+    said = F.array_join(F.transform("history", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "|")
+    return h.select("conv_id", "turn", F.col("n_before").cast("bigint").alias("n_before"), said.alias("history"))
+
+
 @query("w08_multi_round", "SELECT conv_id AS qid, string_agg(conv_id || '-' || turn, ',' ORDER BY turn) AS citations FROM conversations WHERE role = 'user' GROUP BY conv_id")
 def _(spark, d):
     users = table(spark, d, "conversations").filter("role = 'user'")
