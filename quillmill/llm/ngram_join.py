@@ -13,9 +13,11 @@ common: it may come from a block that holds nothing but a passage which many set
 be missed by this only if all its s + 1 keys or more are common. So a set of which at most s keys are common is done, and only
 the others, which consist of common passages to a good part, are taken further: to blocks so fine that each has one token. Sets
 share 80 of 100 of the tokens of either or more, so again a set is done if fewer of its tokens are common. What remains
-are sets that are common passages but for a few tokens. These meet in groups of a few of their least common tokens
-(as few as their number of common tokens leaves to differ), by blocks of a group and only across components: first by as few
-pairs as join all that are near by an estimate from finer sketches, then, between what is still apart, by all pairs.
+are sets that are common passages but for a few tokens. Those with the same common tokens are a class, in which numbers of
+tokens decide. Across classes, the set with the fewest rare tokens stands for its class: these firsts, and sets that
+aren't similar to theirs, meet in groups of a few of their least common tokens (as few as their number of common tokens leaves
+to differ), only where rare tokens leave room, a pair at least one of which is a first, by blocks of a group and only across
+components: first by as few pairs as join all that are near by an estimate from finer sketches, then by all such pairs.
 
 Pairs that met are held against a bit sketch: tokens toggle one bit each, so the Hamming distance of two sketches is no
 more than the symmetric difference; what is within D is verified exactly on the texts. Copies of one text are one node.
@@ -262,57 +264,139 @@ def meet(rows: DataFrame, bands: Bands) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "kind int, x long, y long")
 
 
-def cross(rows: DataFrame, bands: Bands, forest: bool = False) -> DataFrame:
-    """rows (key, node, cuts, n, sketch, component): the pairs (a, b) of a group whose components differ, whose sizes can be
-    similar and whose sketches are near enough. A pair is a row only once it has passed the sketches.
+def near(bands: Bands, n: int, bits: bytes, others_n: np.ndarray, others: np.ndarray, lengths: np.ndarray, folded: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distances of a sketch to those of other sets, at the shorter length of each two, these lengths, and the most tokens in which
+    similar sets of such sizes differ. folded remembers the others' sketches by length."""
+    at = np.minimum(lengths, len(bits))
+    far = np.zeros(len(others), np.int64)
+    for length in np.unique(at).tolist():
+        if length not in folded:
+            folded[length] = np.stack([fold(x, length) for x in others])
+        some = at == length
+        far[some] = np.bitwise_count(folded[length][some] ^ fold(bits, length)).sum(axis=1, dtype=np.int64)
+    return far, at, (others_n + n) * (bands.den - bands.num) // (bands.den + bands.num)
 
-    A group is cut into so many blocks by a hash of the node, and each pair of blocks is a cell, so cells of a large group
-    spread over tasks. Sets of a cell's largest component are compared with those outside of it only. With forest, only pairs
-    that are similar by an estimate are given, and of these no more than join what they join: fewer than a cell has sets."""
+
+def cross(rows: DataFrame, bands: Bands) -> DataFrame:
+    """rows (key, node, n, sketch, component) of small groups: the pairs (a, b) of a group whose components differ, whose sizes
+    can be similar and whose sketches are near enough. A pair is a row only once it has passed the sketches."""
+
+    def run(batches):
+        for key, *columns in groups(batches, 5):
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            for i, j in zip(starts, np.append(starts[1:], len(key)), strict=True):
+                node, n, bits, component = (c[i:j] for c in columns)
+                lengths, folded = np.array([len(x) for x in bits]), {}
+                for k in range(len(node) - 1):
+                    far, _, most = near(bands, n[k], bits[k], n, bits, lengths, folded)
+                    fits = (component != component[k]) & (n * bands.den >= n[k] * bands.num) & (n[k] * bands.den >= n * bands.num) & (far <= most)
+                    some = np.flatnonzero(fits[k + 1 :]) + k + 1
+                    if len(some):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[k], node[some])), pa.array(np.maximum(node[k], node[some]))], names=["a", "b"])
+
+    return rows.select("key", "node", "n", "sketch", "component").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def classes(common: DataFrame, by_token: DataFrame, bands: Bands) -> tuple[DataFrame, DataFrame]:
+    """Sets that are common tokens but for a few, by what common tokens they have. common: rows (key, node) of the common tokens.
+
+    Two similar sets that share no rare token have all their rare tokens in their difference, so each is still similar to the
+    set with the fewest rare tokens among those of the other's class, and these firsts of two classes are similar to each
+    other. Hence only pairs with a first are needed: links of a class's first with its own class follow from numbers of
+    tokens alone, and sets that aren't similar to their first meet the firsts of other classes only.
+
+    (first, node): links inside a class; (node, class, n, rare, held, first): the firsts, and sets not linked to theirs."""
+    held = common.groupBy("node").agg(F.count("*").alias("held"), F.bit_xor("key").alias("c1"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("c2"))
+    held = held.join(by_token.select("node", "n").hint("merge"), "node").filter(F.col("held") * bands.den >= F.col("n") * bands.num)
+    held = held.withColumn("rare", F.col("n") - F.col("held"))
+    of = ["held", "c1", "c2"]
+    first = held.groupBy(*of).agg(F.min(F.struct("rare", "node")).alias("f")).select(*of, F.col("f.rare").alias("least"), F.col("f.node").alias("first"))
+    named = held.join(first.hint("merge"), of)
+    own = F.col("held") * (bands.den - bands.num) >= (F.col("rare") + F.col("least")) * bands.num
+    linked = named.filter(own & (F.col("node") != F.col("first"))).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return linked, named.filter(~own | (F.col("node") == F.col("first"))).select("node", "n", "rare", "held", (F.col("node") == F.col("first")).alias("first"))
+
+
+def members(common: DataFrame, left: DataFrame, bands: Bands) -> DataFrame:
+    """(key, node, n, rare, first, firsts, size): the sets of `left` in the groups of some of their common tokens.
+
+    Of the common tokens, by size of the group, so many suffice as can differ, and one. A group with one first only, and a set
+    with too many rare tokens for the least of a group's firsts, has no pair."""
+    order = Window.partitionBy("node").orderBy("size", "key")  # no more rows than the set has tokens
+    rows = common.select("key", "node", "size").join(left.hint("merge"), "node").withColumn("k", F.row_number().over(order))
+    rows = rows.filter(F.col("k") <= F.col("held") - F.ceil(F.col("n") * bands.num / bands.den) + 1).select("key", "node", "n", "rare", "first")
+    firsts = rows.groupBy("key").agg(F.count_if("first").alias("firsts"), F.min(F.when(F.col("first"), F.col("rare"))).alias("least")).filter("firsts > 1")
+    differ = F.floor((F.col("n") + F.floor(F.col("n") * bands.den / bands.num)) * (bands.den - bands.num) / (bands.den + bands.num))
+    rows = rows.join(firsts.hint("merge"), "key").filter(F.col("rare") + F.col("least") <= differ).drop("firsts", "least")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.count_if("first").alias("firsts")).filter("firsts > 1 OR size > firsts")
+    return rows.join(sizes.hint("merge"), "key")
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """members() with sketches and components, by cell: a block of a group's firsts (centre) and a block of its sets. So a group's
+    rows grow with the product of its sets and its firsts, over BLOCK, and a cell has a bounded number of either."""
+    cut = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(n) * F.col("bytes") / BLOCK_BYTES)).cast("long")
+    bytes_ = rows.groupBy("key").agg(F.ceil(F.avg(F.length("sketch"))).alias("bytes"))
+    rows = rows.join(bytes_.hint("merge"), "key").withColumns({"of_sets": cut("size"), "of_firsts": cut("firsts")})
+    rows = rows.withColumns({"x": F.pmod(F.xxhash64("node"), "of_sets"), "y": F.pmod(F.xxhash64("node", F.lit(1)), "of_firsts")})
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ["node", "n", "rare", "sketch", "component", "first"]
+    centres = rows.filter("first").withColumn("x", upto("of_sets")).withColumn("centre", F.lit(True))
+    others = rows.withColumn("y", upto("of_firsts")).withColumn("centre", F.lit(False))
+    cell = F.when((F.col("of_sets") == 1) & (F.col("of_firsts") == 1), F.col("key")).otherwise(F.xxhash64("key", "x", "y")).alias("cell")
+    return centres.unionByName(others).select(cell, *columns, "centre")
+
+
+def cross_classes(rows: DataFrame, bands: Bands, forest: bool) -> DataFrame:
+    """cells(): pairs (a, b) of a first and another set of the cell whose components differ, whose sizes and rare tokens allow them to
+    be similar and whose sketches are near enough. With forest, only pairs that are similar by an estimate are given, and of
+    these no more than join what they join: fewer than a cell has sets."""
 
     def run(batches):
-        for cell, *columns in groups(batches, 7):
+        for cell, *columns in groups(batches, 8):
             starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
             for i, j in zip(starts, np.append(starts[1:], len(cell)), strict=True):
                 order = np.argsort(columns[1][i:j], kind="stable")
-                node, n, bits, component, block, inner = (c[i:j][order] for c in columns)
-                names, of, sizes = np.unique(component, return_inverse=True, return_counts=True)
-                outside, places = of == sizes.argmax(), np.arange(len(n))
-                lengths = np.array([len(x) for x in bits])
-                low, high = np.searchsorted(n, -(-n * bands.num // bands.den)), np.searchsorted(n, n * bands.den // bands.num, side="right")
-                by_length: dict[int, np.ndarray] = {}
-                for k in np.flatnonzero(~outside).tolist():
-                    near = slice(low[k], high[k])  # sorted by size
-                    other = places[near][(of[near] != of[k]) & (outside[near] | (places[near] > k)) & (inner[near] | (block[near] != block[k]))]
-                    for length in {lengths[k], *np.minimum(lengths[other], lengths[k]).tolist()} if len(other) else ():
-                        if length not in by_length:
-                            by_length[length] = np.stack([fold(x, length) for x in bits])
-                        m, some = by_length[length], other[np.minimum(lengths[other], lengths[k]) == length]
-                        far = np.bitwise_count(m[some] ^ m[k]).sum(axis=1, dtype=np.int64)
-                        most = (n[some] + n[k]) * (bands.den - bands.num) // (bands.den + bands.num)
-                        if forest:
-                            # So many toggled tokens are to be expected where so many bits differ.
-                            sure = -4.0 * length * np.log1p(-np.minimum(far / (4.0 * length), 0.999)) <= 0.95 * most
-                            joined, at = np.unique(of[some[sure]], return_index=True)
-                            some = some[sure][at]
-                            of[np.isin(of, joined)] = of[k]
-                        else:
-                            some = some[far <= most]
-                        if len(some):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[k], node[some])), pa.array(np.maximum(node[k], node[some]))], names=["a", "b"])
-
-    cut = rows.withColumn("block", F.pmod(F.xxhash64("node"), "cuts"))
-    cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
-    cell = F.when(F.col("cuts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
-    cells = cells.select(cell.alias("cell"), "node", "n", "sketch", "component", "block", (F.col("block") == F.col("other")).alias("inner"))
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+                node, n, rare, bits, component, first, centre = (c[i:j][order] for c in columns)
+                first, centre = first.astype(bool), centre.astype(bool)
+                of = np.unique(component, return_inverse=True)[1]
+                sets_, lengths, folded = np.flatnonzero(~centre), np.array([len(x) for x in bits]), {}
+                low = np.searchsorted(n[sets_], -(-n * bands.num // bands.den))
+                high = np.searchsorted(n[sets_], n * bands.den // bands.num, side="right")
+                all_bits, all_lengths = bits[sets_], lengths[sets_]
+                for k in np.flatnonzero(centre).tolist():
+                    some = sets_[low[k] : high[k]]
+                    most = (n[some] + n[k]) * (bands.den - bands.num) // (bands.den + bands.num)
+                    fits = (of[some] != of[k]) & (rare[some] + rare[k] <= most) & (~first[some] | (node[some] > node[k]))
+                    at = np.flatnonzero(fits) + low[k]
+                    if not len(at):
+                        continue
+                    length = np.minimum(all_lengths[at], lengths[k])
+                    far = np.zeros(len(at), np.int64)
+                    for m in np.unique(length).tolist():
+                        if m not in folded:
+                            folded[m] = np.stack([fold(x, m) for x in all_bits])
+                        far[length == m] = np.bitwise_count(folded[m][at[length == m]] ^ fold(bits[k], m)).sum(axis=1, dtype=np.int64)
+                    some, most = sets_[at], most[at - low[k]]
+                    if forest:
+                        # So many toggled tokens are to be expected where so many bits differ.
+                        sure = -4.0 * length * np.log1p(-np.minimum(far / (4.0 * length), 0.999)) <= 0.95 * most
+                        joined, one = np.unique(of[some[sure]], return_index=True)
+                        some = some[sure][one]
+                        of[np.isin(of, joined)] = of[k]
+                    else:
+                        some = some[far <= most]
+                    if len(some):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[k], node[some])), pa.array(np.maximum(node[k], node[some]))], names=["a", "b"])
+
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
 def verify(pairs: DataFrame, found: DataFrame, corpus: Corpus, bands: Bands, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b), distinct, that are similar: first by their sketches, then exactly by their texts."""
     side = found.select("node", "n", "sketch")
-    near = pairs.join(side.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b")).hint("merge"), "b")
-    near = near.join(side.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a")).hint("merge"), "a")
+    close = pairs.join(side.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b")).hint("merge"), "b")
+    close = close.join(side.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a")).hint("merge"), "a")
     num, den = bands.num, bands.den
 
     def by_sketch(batches):
@@ -321,11 +405,11 @@ def verify(pairs: DataFrame, found: DataFrame, corpus: Corpus, bands: Bands, scr
             keep = [hamming(x.as_py(), y.as_py()) <= bands.differ(m.as_py(), n.as_py()) for m, n, x, y in zip(c["n_a"], c["n_b"], c["s_a"], c["s_b"], strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    near = scratch.write(near.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(by_sketch, "a long, b long"), f"{name}-near")
-    if not near.limit(1).count():
-        return near
-    own = scratch.write(corpus.texts_of(near.select(F.explode(F.array("a", "b")).alias("w")), f"{name}-wanted").select("node", "text"), f"{name}-texts")
-    both = near.join(own.select(F.col("node").alias("b"), F.col("text").alias("t_b")).hint("merge"), "b")
+    close = scratch.write(close.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(by_sketch, "a long, b long"), f"{name}-near")
+    if not close.limit(1).count():
+        return close
+    own = scratch.write(corpus.texts_of(close.select(F.explode(F.array("a", "b")).alias("w")), f"{name}-wanted").select("node", "text"), f"{name}-texts")
+    both = close.join(own.select(F.col("node").alias("b"), F.col("text").alias("t_b")).hint("merge"), "b")
     both = both.join(own.select(F.col("node").alias("a"), F.col("text").alias("t_a")).hint("merge"), "a")
 
     def exactly(batches):
@@ -382,7 +466,7 @@ def link_groups(met: DataFrame, found: DataFrame, labels: DataFrame, more: DataF
     links = verify(seen, found, corpus, bands, scratch, f"{name}-first")
     labels = extend(labels, links.union(more) if more else links, scratch, name)
     still = scratch.write(open_groups(met, labels), f"{name}-open")
-    few = still.filter(F.col("size") < COMMON).withColumn("cuts", F.lit(1).cast("long")).join(found.select("node", "n", "sketch").distinct().hint("merge"), "node")
+    few = still.filter(F.col("size") < COMMON).join(found.select("node", "n", "sketch").distinct().hint("merge"), "node")
     pairs = scratch.write(cross(few, bands).distinct().join(seen.hint("merge"), ["a", "b"], "left_anti"), f"{name}-more")
     scratch.release()
     return labels, verify(pairs, found, corpus, bands, scratch, f"{name}-second"), still.filter(F.col("size") >= COMMON)
@@ -410,21 +494,18 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", sim
     by_token = scratch.write(tokens(texts), "tokens")
     met = scratch.write(meet(by_token.select(F.explode("keys").alias("key"), "node", "n"), bands), "met-1")
     labels, more, common = link_groups(met, found, labels, more, corpus, bands, scratch, "tokens")
-    # Sets that have so many common tokens that all that they share with another can be common. By size of the group, the first
-    # of them suffice: as many as can differ, and one.
-    least = F.ceil(F.col("n") * bands.num / bands.den)
-    held, order = Window.partitionBy("node"), Window.partitionBy("node").orderBy("size", "key")  # no more rows than the set has tokens
-    rest = common.drop("component").join(by_token.select("node", "n").hint("merge"), "node").withColumn("held", F.count("*").over(held)).filter(F.col("held") >= least)
-    rest = rest.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= F.col("held") - least + 1).select("key", "node")
-    rest = rest.join(by_token.select("node", "n", "sketch").hint("merge"), "node")
-    group = Window.partitionBy("key")
-    cuts = F.greatest(F.ceil(F.count("*").over(group) / BLOCK), F.ceil(F.sum(F.length("sketch")).over(group) / BLOCK_BYTES))
-    rest = scratch.write(rest.withColumn("cuts", cuts), "rest")
+    # Sets that have so many common tokens that all that they share with another can be common.
+    common = scratch.write(common.select("key", "node", "size"), "common")
+    inside, left = classes(common, by_token, bands)
+    more = more.union(verify(scratch.write(inside, "inside"), found, corpus, bands, scratch, "inside-class"))
+    rest = members(common, scratch.write(left, "left"), bands).join(by_token.select("node", "sketch").hint("merge"), "node")
+    rest = scratch.write(rest, "rest")
     for name, forest in (("sure", True), ("all", False)):
+        labels, more = extend(labels, more, scratch, f"before-{name}"), more.limit(0)
         now = rest.join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs = scratch.write(cross(now, bands, forest).distinct(), f"{name}-pairs")
-        more = more.union(verify(pairs, found, corpus, bands, scratch, name))
-        labels, more = extend(labels, more, scratch, name), more.limit(0)
+        pairs = scratch.write(cross_classes(cells(now), bands, forest).distinct(), f"{name}-pairs")
+        more = verify(pairs, found, corpus, bands, scratch, name)
+    labels = extend(labels, more, scratch, "last")
     of_node = corpus.firsts.join(found.select("node", "hash", "n").distinct().hint("merge"), ["node", "hash"]).join(labels.hint("merge"), "node", "left")
     of_node = of_node.select(F.col("hash").alias("node_hash"), "n", F.coalesce("component", "node").alias("component"))
     of_row = corpus.ids.join(scratch.write(of_node, "classes").hint("merge"), F.col("hash") == F.col("node_hash"), "left")
