@@ -5,7 +5,8 @@ Texts are normalised first: runs of letters and digits become one sign for their
 words before becomes "=". So the dictionaries hold the make-up of good and bad text, not its vocabulary.
 
 Fitting takes a bounded sample of labelled rows (max_docs of each label), whose whole texts stay in the tasks: the driver gets
-evenly spread pieces of them for the dictionaries, and one number for each that calibrates. Scoring reads every whole
+pieces of each, from places that a hash of the text chooses anywhere in it, for the dictionaries, and one number for each that
+calibrates. Pieces are as long as leaves room for all texts of the sample. Scoring reads every whole
 text, in blocks, with one compressor for each dictionary per task. Memory: two dictionaries and a batch.
 """
 
@@ -16,6 +17,7 @@ import re
 from dataclasses import dataclass
 
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ from .common import Scratch, append_arrow, bounded_sample, texts, without
 
 #: Parameters of the sample and of the model.
 MAX_DOCS, DICT_BYTES, PIECE, BLOCK_BYTES, LEVEL = 2000, 65_536, 256, 128, 9
+#: The least bytes of a piece, some ten words' shapes; of DICT_BYTES / LEAST_PIECE texts none is left out of a dictionary.
+LEAST_PIECE = 32
 #: Bytes that any frame has, and how many words' shapes a task remembers.
 FRAME_BYTES, REMEMBERED = 2, 200_000
 RUN = re.compile(r"[^\W\d_]+|\d+")
@@ -105,11 +109,20 @@ def logistic(x: float) -> float:
     return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
 
-def pieces(data: bytes, sampled: int) -> bytes:
-    """What a normalised text, one of so many, gives to its dictionary: pieces from evenly spread places."""
-    n = max(1, DICT_BYTES // max(1, sampled) // PIECE)
-    step = max(PIECE, len(data) // n)
-    return b"".join([data[i : i + PIECE] for i in range(0, len(data), step)][:n])
+def for_dictionary(place: int, count: int) -> bool:
+    """Of a label's texts two of three fill the dictionary, every third calibrates; of fewer than three all do both."""
+    return place % 3 > 0 or count < 3
+
+
+def pieces(data: bytes, count: int) -> bytes:
+    """What a normalised text, one of so many of its label, gives to its dictionary: pieces that begin at places which its hash
+    chooses. All texts together give no more than DICT_BYTES, as long as LEAST_PIECE bytes of each do."""
+    texts = sum(for_dictionary(k, count) for k in range(count)) or 1
+    size = max(LEAST_PIECE, min(PIECE, DICT_BYTES // texts))
+    n = min(max(1, DICT_BYTES // (texts * size)), -(-len(data) // size))
+    last = max(0, len(data) - size)
+    at = sorted(xxhash.xxh3_64_intdigest(data, seed=k) % (last + 1) for k in range(n))
+    return b"".join(data[i : i + size] for i in at)
 
 
 def calibrate(values: list[float], labels: list[int]) -> tuple[float, float]:
@@ -146,9 +159,10 @@ def fit_pieces(by: dict[int, list[bytes]], differences) -> ZstdQuality:
     count = {y: len(ts) for y, ts in by.items()}
     if not count[0] or not count[1]:
         return ZstdQuality(b"", b"", 0.0, 0.0, (count[1] + 0.5) / (count[0] + count[1] + 1))
-    good, bad = (b"".join(piece for i, piece in enumerate(by[y]) if i % 3 or count[y] < 3)[:DICT_BYTES] or b" " * 8 for y in (1, 0))
+    good, bad = (b"".join(piece for i, piece in enumerate(by[y]) if for_dictionary(i, count[y])) or b" " * 8 for y in (1, 0))
+    # Of the longer one its end, which the compressor finds as near as the end of the other.
     size = min(len(good), len(bad))
-    good, bad = good[:size], bad[:size]
+    good, bad = good[-size:], bad[-size:]
     wanted = [(y, k) for y in (0, 1) for k in range(0, count[y], 3)]
     return ZstdQuality(good, bad, *calibrate(differences(good, bad, wanted), [y for y, _ in wanted]))
 
