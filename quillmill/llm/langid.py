@@ -2,32 +2,35 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. A word's probability is the sum over all
 its segmentations into pieces (forward algorithm); a text's is the product over its words, as no piece spans two words.
-The probabilities are learned by expectation maximisation on the words of a bounded sample of rows of each language, whose whole
-texts stay in the tasks: the driver gets words and their counts. Words are runs of letters of any length. Prediction reads whole texts; a task remembers the vectors of a bounded number of words, so frequent words are summed once.
+The probabilities are learned by expectation maximisation on all words of a bounded sample of rows of each language: words and
+their counts stay in a table, tasks sum the expected counts of pieces in each round, and the driver gets these sums, as many
+as there are pieces and languages. A sign that the vocabulary lacks and the sample has is a piece of its own, so words with
+such signs are learned from, and the languages that write them told apart. Words are runs of letters of any length. Prediction reads whole texts; a task remembers the vectors of a bounded number of words, so frequent words are summed once.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_arrow, bounded_sample, portions, texts, without
+from .common import Scratch, append_arrow, bounded_sample, portions, texts, without
 
 #: Parameters of the sample and of the model.
-MAX_DOCS, MAX_WORDS, ROUNDS, SMOOTH = 250, 50_000, 3, 0.1
+MAX_DOCS, ROUNDS, SMOOTH = 250, 3, 0.1
 #: Signs from which on a word's lattice is summed in logarithms.
 LONG = 64
 #: Words that a task remembers, and signs of the texts that it takes at a time.
 REMEMBERED, AT_A_TIME = 600_000, 2_000_000
-#: Probability, in any language, of a sign that no piece covers.
+#: Probability, in any language, of a sign that neither the vocabulary nor the sample has.
 UNKNOWN = 1e-6
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 START = "▁"
@@ -207,29 +210,49 @@ def expect_in_logs(n: int, edges: list[tuple[int, int, int]], p: list[float], c:
         expected[k] += c * math.exp(alpha[i] + logs[k] + beta[j] - alpha[n])
 
 
-def fit_counts(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUNDS) -> LanguageModel:
-    """counts: of each language its words. Expected piece counts over all segmentations, forward and backward, in each round."""
-    vocabulary = {p: i for i, p in enumerate(pieces)}
-    longest = max(map(len, vocabulary), default=1)
-    languages = tuple(sorted(counts))
-    probs: dict[str, list[float]] = {}
-    for lang in languages:
-        lattices = []
-        for word, c in sorted(counts[lang].items()):
-            s = START + word
-            # Edges come by their ends, so their starts are summed before them.
-            lattices.append((len(s), c, [(i, j, vocabulary[s[i:j]]) for j in range(1, len(s) + 1) for i in range(max(0, j - longest), j) if s[i:j] in vocabulary]))
-        p = [1.0 / len(pieces)] * len(pieces)
-        for _ in range(rounds):
-            expected = [0.0] * len(pieces)
-            for n, c, edges in lattices:
-                (expect if n <= LONG else expect_in_logs)(n, edges, p, c, expected)
-            total = sum(expected) + SMOOTH * len(pieces)
-            p = [(e + SMOOTH) / total for e in expected]
-        probs[lang] = p
+def lattice(word: str, vocabulary: dict[str, int], longest: int) -> tuple[int, list[tuple[int, int, int]]]:
+    """Length and edges of a word; edges come by their ends, so their starts are summed before them."""
+    s = START + word
+    return len(s), [(i, j, k) for j in range(1, len(s) + 1) for i in range(max(0, j - longest), j) if (k := vocabulary.get(s[i:j])) is not None]
+
+
+def with_signs(pieces: list[str], signs: Iterable[str]) -> dict[str, int]:
+    """The pieces and, after them, the signs that they lack, with their numbers."""
+    known = dict.fromkeys(pieces)
+    return {p: i for i, p in enumerate([*known, *sorted({*signs, START} - known.keys())])}
+
+
+def maximised(expected: list[float]) -> list[float]:
+    """Probabilities from expected counts, cut off where the order of summation would show."""
+    total = sum(expected) + SMOOTH * len(expected)
+    return [float(f"{(e + SMOOTH) / total:.9e}") for e in expected]
+
+
+def model_of(vocabulary: dict[str, int], probs: dict[str, list[float]]) -> LanguageModel:
+    languages = tuple(sorted(probs))
     return LanguageModel(languages, {piece: tuple(probs[lang][i] for lang in languages) for piece, i in vocabulary.items()} if languages else {})
 
 
+def add_expected(rows: Iterable[tuple[str, str, int]], vocabulary: dict[str, int], probs: dict[str, list[float]]) -> dict[str, list[float]]:
+    """rows: (language, word, count). Expected piece counts over all segmentations, forward and backward, of each language."""
+    longest = max(map(len, vocabulary))
+    expected: dict[str, list[float]] = {}
+    for lang, word, c in rows:
+        n, edges = lattice(word, vocabulary, longest)
+        (expect if n <= LONG else expect_in_logs)(n, edges, probs[lang], c, expected.setdefault(lang, [0.0] * len(vocabulary)))
+    return expected
+
+
+def fit_counts(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUNDS) -> LanguageModel:
+    """counts: of each language its words. The plain version of fit()."""
+    vocabulary = with_signs(pieces, (c for words in counts.values() for w in words for c in w))
+    probs = {lang: [1.0 / len(vocabulary)] * len(vocabulary) for lang in counts}
+    for _ in range(rounds):
+        expected = add_expected(((lang, w, c) for lang in sorted(counts) for w, c in sorted(counts[lang].items())), vocabulary, probs)
+        probs = {lang: maximised(expected.get(lang, [0.0] * len(vocabulary))) for lang in counts}
+    return model_of(vocabulary, probs)
+
+
 def fit_texts(rows: list[tuple[str, str]], pieces: list[str], rounds: int = ROUNDS) -> LanguageModel:
     """rows: (text, language)."""
     counts: dict[str, Counter] = {}
@@ -238,11 +261,12 @@ def fit_texts(rows: list[tuple[str, str]], pieces: list[str], rounds: int = ROUN
     return fit_counts(counts, pieces, rounds)
 
 
-def fit(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> LanguageModel:
-    """Learns from the words of max_docs rows of each non-null lang, of these words from the max_words most frequent of a language.
+def fit(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = MAX_DOCS, rounds: int = ROUNDS) -> LanguageModel:
+    """Learns from all words of max_docs rows of each non-null lang.
 
     Languages are taken as a small set of values, as any such column has; rows without text or lang are not learned from.
     Ids and languages are sampled first; the texts are then found by one scan with a broadcast of the sampled ids."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang")).filter("_lang IS NOT NULL AND length(_text) > 0")
     chosen = bounded_sample(rows.select("_key", "_lang"), "_lang", F.col("_key"), max_docs).distinct()
     one = rows.join(F.broadcast(chosen), ["_key", "_lang"]).groupBy("_key", "_lang").agg(F.min("_text").alias("_text"))
@@ -254,17 +278,33 @@ def fit(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "lan
                 yield pa.RecordBatch.from_arrays([pa.array([language] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
 
     sums = one.select(F.col("_lang").cast("string").alias("_lang"), "_text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    most = Window.partitionBy("lang").orderBy(F.desc("n"), "word")  # the words of max_docs texts
-    counts: dict[str, dict[str, int]] = {}
-    for r in sums.withColumn("k", F.row_number().over(most)).filter(F.col("k") <= max_words).collect():
-        counts.setdefault(r["lang"], {})[r["word"]] = r["n"]
-    return fit_counts(counts, pieces)
+    sums = Scratch(spark, "langid").write(sums.repartition("lang", "word"), "words")
+    signs = [r[0] for r in sums.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).filter("c <> ''").distinct().collect()]  # letters and marks
+    vocabulary = with_signs(pieces, signs)
+    probs = {r[0]: [1.0 / len(vocabulary)] * len(vocabulary) for r in sums.select("lang").distinct().collect()}
+    for _ in range(rounds if probs else 0):
+        sent = spark.sparkContext.broadcast((vocabulary, probs))  # the size of the vocabulary times the languages
+
+        def expected_counts(batches, sent=sent):
+            vocabulary, probs = sent.value
+            found = add_expected((row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)), vocabulary, probs)
+            for language, values in found.items():
+                hit = [k for k, v in enumerate(values) if v]
+                yield pa.RecordBatch.from_arrays([pa.array([language] * len(hit), pa.string()), pa.array(hit, pa.int32()), pa.array([values[k] for k in hit], pa.float64())], names=["lang", "piece", "e"])
+
+        expected = {language: [0.0] * len(vocabulary) for language in probs}
+        for r in sums.mapInArrow(expected_counts, "lang string, piece int, e double").groupBy("lang", "piece").agg(F.sum("e").alias("e")).collect():
+            expected[r["lang"]][r["piece"]] = r["e"]
+        sent.destroy()
+        probs = {language: maximised(e) for language, e in expected.items()}
+    return model_of(vocabulary, probs)
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Adds lang_pred (a learned value, or `und` if the text is null or has no letter) and score, its posterior share.
 
-    Ties go to the language that sorts first; columns of these names are replaced; rows are kept one for one."""
+    Ties go to the language that sorts first; columns of these names are replaced; rows, repeated ones too, are kept one for one,
+    and very long texts are read whole."""
 
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is that of the vocabulary times the languages
 
