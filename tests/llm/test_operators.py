@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pytest
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 
 import public_tokenizers
@@ -37,12 +38,83 @@ def test_quality_held_out(spark):
     docs = table(spark, "documents", sf).join(labels, "doc_id").select("doc_id", "text", "quality")
     model = queries.quality_model(docs, labels)
     rows = quality_zstd.score(docs.filter(queries.held_out()), model, keep_text=False).collect()
-    assert sum(r["predicted"] == r["quality"] for r in rows) / len(rows) > 0.95
+    assert sum(r["predicted"] == r["quality"] for r in rows) / len(rows) > 0.97
     good = [r for r in rows if r["quality"] == 1]
     assert sum(r["predicted"] for r in good) / len(good) > 0.95
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_pieces_come_from_anywhere_and_all_texts_enter():
+    rnd = random.Random(15)
+    texts = [bytes(rnd.choice(b"aB0 .,") for _ in range(rnd.randint(1, 12_000))) for _ in range(quality_zstd.MAX_DOCS)]
+    cut = [quality_zstd.pieces(t, len(texts)) for t in texts]
+    assert all(p and p in t for t, p in zip(texts, cut, strict=True))
+    used = [p for k, p in enumerate(cut) if quality_zstd.for_dictionary(k, len(texts))]
+    assert sum(map(len, used)) <= quality_zstd.DICT_BYTES < 1.1 * sum(map(len, used)) and len(used) > 1300
+    where = [t.index(p) / (len(t) - len(p)) for t, p in zip(texts, cut, strict=True) if len(t) > 1000]
+    for k in range(10):
+        assert 0.05 < sum(k <= 10 * x < k + 1 for x in where) / len(where) < 0.15
+    one = quality_zstd.pieces(texts[0] * 20, 3)
+    assert len(one) > 20_000  # few texts give many pieces each
+    model = quality_zstd.fit_pieces({y: cut for y in (0, 1)}, lambda good, bad, wanted: [0.0] * len(wanted))
+    assert all(p in model.good for p in used)
+
+
+def test_quality_fit_on_spark_equals_the_plain_one(spark):
+    rnd = random.Random(16)
+    texts = [(k, prose(rnd, rnd.randint(1, 300)) if k % 3 else " | ".join(f"{rnd.randrange(99)}##" for _ in range(50)), int(k % 3 > 0)) for k in range(90)]
+    d = spark.createDataFrame(texts, "doc_id long, text string, quality int").repartition(5)
+    model = quality_zstd.fit(d, d.select("doc_id", "quality"))
+    order = [r["doc_id"] for r in d.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    plain = quality_zstd.fit_texts([texts[k][1:] for k in order])
+    assert model == plain
+    by = [zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for x in (model.good, model.bad)]
+    how = [zstandard.ZstdCompressionParameters.from_level(9, dict_size=len(x.as_bytes()), source_size=256, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False) for x in by]
+    for x, h in zip(by, how, strict=True):
+        x.precompute_compress(compression_params=h)
+    for r in quality_zstd.score(d.select("doc_id", "text"), model).limit(20).collect():
+        data = quality_zstd.normaliser()(r["text"])
+        good, bad = (sum(len(zstandard.ZstdCompressor(dict_data=x, compression_params=h).compress(data[i : i + 128])) - 2 for i in range(0, len(data), 128)) for x, h in zip(by, how, strict=True))
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-(model.slope * (bad - good) / (bad + good) + model.intercept))), rel_tol=1e-9)
+
+
+def test_languages_in_letters_that_no_piece_has(spark):
+    """Two languages in a script that the vocabulary lacks, and two whose words mix one such letter with known ones."""
+    rnd = random.Random(17)
+    word = lambda letters: "".join(rnd.choice(letters) for _ in range(rnd.randint(2, 6)))
+    own = {"am": "ሀለሐመሠረ", "ti": "ቀበተኀነአ", "xa": "abcዐ", "xb": "abcዘ"}
+    rows = [(k, " ".join(word(own[lang]) for _ in range(60)), lang) for k, lang in enumerate(list(own) * 10)]
+    pieces = [p for p in langid.pieces_of(queries.PIECES)[:3000] if not set(p) & set("ሀለሐመሠረቀበተኀነአዐዘ")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), pieces)
+    for lang, letters in own.items():
+        found, score = model.scorer()([" ".join(letters[-1] + word(letters) for _ in range(12))])[0]
+        assert found == lang and score > 0.9
+    plain = langid.fit_texts([(t, lang) for _, t, lang in rows], pieces)
+    assert plain.languages == model.languages and plain.probs.keys() == model.probs.keys()
+    assert all(np.allclose(plain.probs[p], model.probs[p], rtol=1e-6) for p in plain.probs)
+
+
+def test_expected_counts_against_all_segmentations():
+    """One round on words with a sign that is no piece: the expected counts are those of all segmentations."""
+    vocabulary = langid.with_signs(["▁", "a", "b", "ab", "▁a"], "abñ")
+    p = [0.1 + 0.05 * k for k in range(len(vocabulary))]
+    for word in ("ab", "añb", "ñ", "abab"):
+        s = langid.START + word
+
+        def splits(i, s=s):
+            if i == len(s):
+                yield []
+            for j in range(i + 1, len(s) + 1):
+                if s[i:j] in vocabulary:
+                    yield from ([vocabulary[s[i:j]], *rest] for rest in splits(j))
+
+        every = list(splits(0))
+        weights = [math.prod(p[k] for k in x) for x in every]
+        want = [sum(w * x.count(k) for w, x in zip(weights, every, strict=True)) / sum(weights) * 3 for k in range(len(p))]
+        got = langid.add_expected([("l", word, 3)], vocabulary, {"l": p})["l"]
+        assert every and np.allclose(got, want)
+
+
 def test_language_held_out(spark):
     rows = queries.op7_langid(spark, "/root/testdata/sf0.01").filter("held_out").join(table(spark, "documents", "/root/testdata/sf0.01").select("doc_id", "lang"), "doc_id").collect()
     assert len(rows) > 150 and sum(r["lang_pred"] == r["lang"] for r in rows) / len(rows) > 0.97
@@ -275,15 +347,28 @@ def test_distance_and_verdicts(spark):
     assert sum(r["kept"] for r in good) / len(good) > 0.98 and sum(not r["kept"] for r in bad) / len(bad) > 0.95
 
 
-def brute_histograms(text):
+def brute_common_words(many):
+    """For each language the 30 words that most of its documents hold."""
+    held = {}
+    for text, lang in many:
+        if text:
+            held.setdefault(lang, collections.Counter()).update({w for w in map(brute_bare, WORD.findall(text)) if w})
+    return {lang: {w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[: divergence.COMMON_WORDS]} for lang, c in held.items()}
+
+
+def brute_bare(word):
+    return "".join(c.lower() if c.isascii() else c for c in word).strip(".,;:!?")
+
+
+def brute_histograms(text, common):
     """Character classes and common words, sign by sign and word by word."""
     classes, hits = collections.Counter(), collections.Counter()
     kinds = {**dict.fromkeys("\t\x0b\x0c\r ", "blank"), "\n": "newline", **dict.fromkeys(".,;:!?'\"()-", "stop"), **dict.fromkeys("#*$%&|<>@^_`~{}[]\\/=+", "symbol"), **dict.fromkeys("0123456789", "digit")}
     for c in text:
         classes[kinds.get(c) or ("lower" if c.islower() else "upper" if c.isupper() else "lower" if c.isalpha() else "other")] += 1
     for word in WORD.findall(text):
-        low = "".join(c.lower() if c.isascii() else c for c in word).strip(".,;:!?")
-        hits[low if low in divergence.COMMON_WORDS else None] += 1
+        low = brute_bare(word)
+        hits[low if low in common else None] += 1
     return classes, hits
 
 
@@ -301,7 +386,9 @@ def test_distances_and_verdicts_against_brute_force(spark):
     many += [(" ".join(f"#{rnd.randint(0, 10**6)}|" for _ in range(120)), "en") for _ in range(4)] + [(plain(200, ["la", "el"]), None), ("", "en"), (None, "fr")]
     d = spark.createDataFrame([(k, t, g) for k, (t, g) in enumerate(many)], "doc_id long, text string, lang string")
     got = {r["doc_id"]: r for r in divergence.judge(d).collect()}
-    hist = [brute_histograms(t or "") for t, _ in many]
+    common = brute_common_words(many)
+    assert common["de"] >= {"der", "die", "und"} and not common["de"] & {"the", "of"}
+    hist = [brute_histograms(t or "", common.get(g, set())) for t, g in many]
     failed = [n[0] < 50 or 100 * n[4] > 50 * n[0] for n in (brute_counts(t) for t, _ in many)]
 
     def summed(chosen):
@@ -330,6 +417,19 @@ def test_distances_and_verdicts_against_brute_force(spark):
     assert not any(got[k]["kept"] for k in range(60, 64))
 
 
+def test_a_language_of_no_list(spark):
+    """Clean text and junk of a language that no word list has are told apart, by words that are learned from it."""
+    rnd = random.Random(14)
+    stops, others = ["ke", "ya", "mba", "tse"], [a + b for a in ("zo", "li", "qu", "he") for b in ("rra", "ndo", "wi", "xx", "pu")]
+    clean = lambda: " ".join(rnd.choice(stops if rnd.random() < 0.4 else others) + rnd.choice(["", "", "."]) for _ in range(150))
+    listed = lambda: " ".join(rnd.choice(others) + rnd.choice("abcdefghij") + str(rnd.randrange(9)) for _ in range(150))
+    many = [(k, clean(), "xx") for k in range(60)] + [(100 + k, listed(), "xx") for k in range(5)]
+    many += [(200, " ".join(clean().split()[:55]) + " " + "zz", "xx"), (201, " ".join(listed().split()[:55]), "xx")]
+    got = {r["doc_id"]: r["kept"] for r in divergence.judge(spark.createDataFrame(many, "doc_id long, text string, lang string")).collect()}
+    assert all(got[k] for k in range(60)) and not any(got[100 + k] for k in range(5))
+    assert got[200] and got[201]  # between MIN_WORDS and LEAST_WORDS the distances decide nothing
+
+
 # --- placement and URLs -----------------------------------------------------------------------------------------------
 
 
