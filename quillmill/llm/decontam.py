@@ -82,7 +82,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Block:
     """Some items, ready for search; plain values, so that it pickles."""
 
-    ids: list[int]
+    ids: list[int | None]
     items: list[list[int]]
     vocabulary: dict[bytes, int]
 
@@ -229,7 +229,7 @@ def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", most
     size = 0
     for r in benchmark.select(F.col(item).alias("i"), F.col(text).alias("t")).orderBy("i", "t").toLocalIterator():
         words = words_of(r["t"])
-        if not words or r["i"] is None:
+        if not words:
             continue
         if rows and size + len(words) > most:
             yield Block.of(rows)
@@ -242,7 +242,8 @@ def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", most
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", keep_text: bool = True) -> DataFrame:
     """Adds leaks to every row: array of (item_id, distance in words, start word), one for each item within EDITS percent of
-    its words. Null and empty texts have none; equal items are all found; an empty benchmark finds nothing.
+    its words; an item without id is named by null. Null and empty texts have none; equal items are all found; an empty
+    benchmark finds nothing.
 
     Rows are kept one for one; a column of this name is replaced. Nothing is shuffled. Memory: a block and a portion; with
     a benchmark of several blocks what one has found is written, with the rows, before the next is read."""

@@ -182,14 +182,17 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
     spark = docs.sparkSession
     table = [(name, b, len(b), p) for name, t in sorted(templates.items()) if (b := rare_first(template_bigrams(t))) for p in prefix(b, threshold)]
     every = [(name, t, True) for name, t in sorted(templates.items()) if words_of(t)] + [(name, t, False) for name, t in long_texts if words_of(t)]
-    if not table:
+    own = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"))
+    gather = lambda scored: scored.groupBy("_doc", "license").agg(F.round(F.max("_dice"), 6).alias("dice"), F.count("*").alias("n_units")).select(F.col("_doc").alias(key), "license", "dice", "n_units")
+    if not every:
         return docs.select(key, F.lit("").alias("license"), F.lit(0.0).alias("dice"), F.lit(0).cast("long").alias("n_units")).limit(0)
+    if not table:
+        return gather(windows(own, every, threshold))
     anchors = sorted({p for *_, p in table})
     ratio = (2 - threshold) / threshold
     small = F.floor(F.lit(min(n for _, _, n, _ in table) / ratio - 1e-9) + 1)
     large = F.floor(F.lit(max(n for _, _, n, _ in table) * ratio + 1e-9))
     anywhere = any_of(anchors)
-    own = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"))
     near = own.filter(F.col("_text").rlike(anywhere))
     paragraphs = F.filter(F.split("_text", r"\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("\n")))
     units = near.select("_doc", F.explode(F.concat(F.split("_text", "\n"), paragraphs)).alias("_unit"))
@@ -204,6 +207,4 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
     # A pair that meets by several anchors counts once: by the first that the unit and the template share.
     once = F.col("_anchor") == F.element_at(F.array_intersect(F.slice("t_bigrams", 1, F.col("t_n") - F.ceil(F.col("t_n") * threshold / (2 - threshold) - 1e-9) + 1), "_bigrams"), 1)
     scored = pairs.filter(once).withColumn("_dice", 2 * F.size(both) / (F.col("_n") + F.col("t_n"))).filter(F.col("_dice") >= threshold)
-    scored = scored.select("_doc", "license", "_dice").union(windows(own, every, threshold))
-    found = scored.groupBy("_doc", "license").agg(F.round(F.max("_dice"), 6).alias("dice"), F.count("*").alias("n_units"))
-    return found.select(F.col("_doc").alias(key), "license", "dice", "n_units")
+    return gather(scored.select("_doc", "license", "_dice").union(windows(own, every, threshold)))
