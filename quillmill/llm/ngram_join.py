@@ -297,7 +297,7 @@ def cross(rows: DataFrame, bands: Bands) -> DataFrame:
     return rows.select("key", "node", "n", "sketch", "component").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def classes(common: DataFrame, by_token: DataFrame, bands: Bands) -> tuple[DataFrame, DataFrame]:
+def classes(common: DataFrame, by_token: DataFrame, bands: Bands, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Sets that are common tokens but for a few, by what common tokens they have. common: rows (key, node) of the common tokens.
 
     Two similar sets that share no rare token have all their rare tokens in their difference, so each is still similar to the
@@ -311,7 +311,7 @@ def classes(common: DataFrame, by_token: DataFrame, bands: Bands) -> tuple[DataF
     held = held.withColumn("rare", F.col("n") - F.col("held"))
     of = ["held", "c1", "c2"]
     first = held.groupBy(*of).agg(F.min(F.struct("rare", "node")).alias("f")).select(*of, F.col("f.rare").alias("least"), F.col("f.node").alias("first"))
-    named = held.join(first.hint("merge"), of)
+    named = scratch.write(held.join(first.hint("merge"), of).drop("c1", "c2"), "classes-of")
     own = F.col("held") * (bands.den - bands.num) >= (F.col("rare") + F.col("least")) * bands.num
     linked = named.filter(own & (F.col("node") != F.col("first"))).select(F.col("first").alias("a"), F.col("node").alias("b"))
     return linked, named.filter(~own | (F.col("node") == F.col("first"))).select("node", "n", "rare", "held", (F.col("node") == F.col("first")).alias("first"))
@@ -496,15 +496,17 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", sim
     labels, more, common = link_groups(met, found, labels, more, corpus, bands, scratch, "tokens")
     # Sets that have so many common tokens that all that they share with another can be common.
     common = scratch.write(common.select("key", "node", "size"), "common")
-    inside, left = classes(common, by_token, bands)
-    more = more.union(verify(scratch.write(inside, "inside"), found, corpus, bands, scratch, "inside-class"))
-    rest = members(common, scratch.write(left, "left"), bands).join(by_token.select("node", "sketch").hint("merge"), "node")
-    rest = scratch.write(rest, "rest")
-    for name, forest in (("sure", True), ("all", False)):
-        labels, more = extend(labels, more, scratch, f"before-{name}"), more.limit(0)
-        now = rest.join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs = scratch.write(cross_classes(cells(now), bands, forest).distinct(), f"{name}-pairs")
-        more = verify(pairs, found, corpus, bands, scratch, name)
+    if common.limit(1).count():
+        inside, left = classes(common, by_token, bands, scratch)
+        more = more.union(verify(inside, found, corpus, bands, scratch, "inside-class"))
+        if left.filter("first").limit(2).count() == 2:
+            rest = members(common, left, bands).join(by_token.select("node", "sketch").hint("merge"), "node")
+            rest = scratch.write(rest, "rest")
+            for name, forest in (("sure", True), ("all", False)) if rest.limit(1).count() else ():
+                labels, more = extend(labels, more, scratch, f"before-{name}"), more.limit(0)
+                now = rest.join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+                pairs = scratch.write(cross_classes(cells(now), bands, forest).distinct(), f"{name}-pairs")
+                more = verify(pairs, found, corpus, bands, scratch, name)
     labels = extend(labels, more, scratch, "last")
     of_node = corpus.firsts.join(found.select("node", "hash", "n").distinct().hint("merge"), ["node", "hash"]).join(labels.hint("merge"), "node", "left")
     of_node = of_node.select(F.col("hash").alias("node_hash"), "n", F.coalesce("component", "node").alias("component"))

@@ -78,7 +78,7 @@ def counted(spark, monkeypatch, rows):
     monkeypatch.setattr(ngram_join, "cells", cutting)
     n = len(ngram_join.similar_groups(spark.createDataFrame(rows, SCHEMA)).select("component_id").distinct().collect())
     monkeypatch.undo()
-    return n, {k: counts.get(k, 0) for k in ("common", "inside", "left", "rest", "cells", "sure-pairs", "all-pairs", "blocks-more", "tokens-more", "blocks-first-near", "tokens-first-near", "sure-near", "all-near")}
+    return n, {k: counts.get(k, 0) for k in ("common", "classes-of", "inside-class-near", "rest", "cells", "sure-pairs", "all-pairs", "blocks-more", "tokens-more", "blocks-first-near", "tokens-first-near", "sure-near", "all-near")}
 
 
 @pytest.mark.parametrize("own, linked", [(5, False), (1, True)])
