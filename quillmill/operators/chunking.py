@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import CALLOUTS, CAPTION, LOOSE_END, SENTENCE_END, TOKEN, chunk_id, greedy_pack, is_heading_boundary, split_long_text, stripped, token_count
+from quillmill.sources.scratch import scratch_dir
+from quillmill.sources.store import same
 
 MAX_TOKENS, OVERLAP_TOKENS, SEGMENT_TOKENS, LOW_CONFIDENCE = 512, 50, 256, 0.6
 ATOMIC = ("table", "formula", "code", "figure")
@@ -66,7 +69,7 @@ def chunk_elements_native(elements: DataFrame, most: int = MAX_TOKENS) -> DataFr
     )
 
 
-# --- one file at a time -----------------------------------------------------------------------------------------------
+# --- one section at a time --------------------------------------------------------------------------------------------
 
 _TOKEN = re.compile(TOKEN.replace(r"\x{4e00}-\x{9fff}", "一-鿿"))
 _END = re.compile(SENTENCE_END.replace("(?U:\\s)", "\\s").replace("(?U:\\d)", "\\d"))
@@ -121,14 +124,15 @@ def _suffix(text: str, most: int, count) -> str:
 
 
 class FileChunker:
-    """The elements of one file, in order, to chunks. Plain texts gather in a buffer; an atomic element takes along what
+    """The elements of a section (or of a whole file), in order, to chunks: (seq, type, content, tokens, first and last page) of
+    each, and how many numbers they use. Plain texts gather in a buffer; an atomic element takes along what
     belongs to it: the sentence that leads to it, the rest of a split table, its caption."""
 
     def __init__(self, most: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS, count: Callable[[str], int] = default_count):
         self.most, self.overlap, self.count = most, overlap, count
 
-    def run(self, elements: list[dict], book: str, file: str) -> list[dict]:
-        self.book, self.file, self.out, self.seq, self.waiting = book, file, [], 0, []
+    def run(self, elements: list[dict]) -> tuple[list[tuple], int]:
+        self.out, self.seq, self.waiting = [], 0, []
         rest = list(reversed(elements))
         while rest:
             e = rest.pop()
@@ -144,18 +148,14 @@ class FileChunker:
                     self.flush()
                 self.waiting.append(e)
         self.flush()
-        return self.out
+        return [tuple(c.values()) for c in self.out], self.seq
 
     def emit(self, kind: str, content: str, members: list[dict]) -> None:
         content = content.strip()
         if not content:
             return
         first, last = members[0]["page_num"] or None, members[-1]["page_num"] or None
-        page = "pNone" if first is None else f"p{first:04d}"
-        self.out.append({
-            "chunk_id": f"{self.book}/{self.file}/{page}/{self.seq:04d}", "book_id": self.book, "source_file": self.file, "element_type": kind,
-            "content": content, "token_count": self.count(content), "page_start": first, "page_end": last,
-        })
+        self.out.append({"seq": self.seq, "element_type": kind, "content": content, "token_count": self.count(content), "page_start": first, "page_end": last})
         self.seq += 1
 
     def flush(self) -> bool:
@@ -200,18 +200,47 @@ class FileChunker:
         self.emit(e["type"], " ".join(x for x in (lead, content, caption) if x), members)
 
 
-def chunk_elements(elements: DataFrame, most: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS, count: Callable[[str], int] = default_count) -> DataFrame:
-    """Elements (book_id, source_file, elem_idx, type, content, page_num) to chunks. Files are independent and spread by
-    Spark; the elements of one file are one group, as the order inside it decides."""
+def sections(elements: DataFrame) -> DataFrame:
+    """Adds section, the number of headings and section breaks of the file so far: what a buffer of texts never crosses. A running
+    sum over a file's rows in their order, which spills if it must; nothing is gathered."""
+    boundary = (F.col("type") == "section_break") | ((F.col("type") == "text") & is_heading_boundary(F.col("content")))
+    file = Window.partitionBy("book_id", "source_file").orderBy("elem_idx").rowsBetween(Window.unboundedPreceding, 0)
+    return elements.withColumn("section", F.sum(F.when(boundary, 1).otherwise(0)).over(file))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("elem_idx", kind="stable")
-        rows = [{"type": t or "text", "content": c or "", "page_num": int(p) if p == p and p else 0} for t, c, p in zip(pdf["type"], pdf["content"], pdf["page_num"], strict=True)]
-        out = FileChunker(most, overlap, count).run(rows, pdf["book_id"].iloc[0], pdf["source_file"].iloc[0])
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in CHUNKS.split(", ")])
-        return frame.astype({"page_start": "Int32", "page_end": "Int32", "token_count": "Int32"})
 
-    return elements.select("book_id", "source_file", "elem_idx", "type", "content", "page_num").groupBy("book_id", "source_file").applyInPandas(run, CHUNKS)
+def chunk_elements(elements: DataFrame, most: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS, count: Callable[[str], int] = default_count) -> DataFrame:
+    """Elements (book_id, source_file, elem_idx, type, content, page_num) to chunks.
+
+    Sections are independent: a boundary empties the buffer, and what an atomic element takes along stands in its own section. So
+    sections are dealt out, one after the other in a task, whatever their file; their chunks are written to the shared folder,
+    and numbers follow from how many the sections before have used. Null types are text, null contents empty; files without
+    name are one."""
+    spark, root = elements.sparkSession, scratch_dir(elements.sparkSession, "chunks")
+    key = ["book_id", "source_file", "section"]
+    rows = elements.select("book_id", "source_file", "elem_idx", F.coalesce("type", F.lit("text")).alias("type"), F.coalesce("content", F.lit("")).alias("content"), F.coalesce(F.col("page_num").cast("int"), F.lit(0)).alias("page_num"))
+    dealt = sections(rows).repartition(*key).sortWithinPartitions(*key, "elem_idx").select(*key, "type", "content", "page_num")
+    columns = [*key, "used", "seq", "element_type", "content", "token_count", "page_start", "page_end"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunker, out = FileChunker(most, overlap, count), []
+        rows = (r for f in frames for r in zip(*(f[c].tolist() for c in f.columns), strict=True))
+        for (book, file, section), members in groupby(rows, lambda r: (r[0], r[1], int(r[2]))):
+            found, used = chunker.run([{"type": t, "content": c, "page_num": p} for *_, t, c, p in members])
+            out += [(book, file, section, used, *chunk) for chunk in found]
+            if len(out) >= 1000:
+                yield pd.DataFrame(out, columns=columns).astype({"page_start": "Int32", "page_end": "Int32"})
+                out = []
+        yield pd.DataFrame(out, columns=columns).astype({"page_start": "Int32", "page_end": "Int32", "section": "int64", "used": "int32", "seq": "int32", "token_count": "int32"})
+
+    schema = "book_id string, source_file string, section long, used int, seq int, element_type string, content string, token_count int, page_start int, page_end int"
+    dealt.mapInPandas(run, schema).write.mode("overwrite").parquet(root)
+    chunks = spark.read.schema(schema).parquet(root)
+    before = Window.partitionBy("book_id", "source_file").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = chunks.groupBy(*key).agg(F.max("used").alias("used")).withColumn("offset", F.coalesce(F.sum("used").over(before), F.lit(0)))
+    placed = chunks.alias("l").join(offsets.drop("used").alias("r").hint("merge"), same("l", "r", key)).select("l.*", "offset")
+    name = lambda c: F.coalesce(F.col(c), F.lit("None"))
+    number = F.col("seq") + F.col("offset").cast("int")
+    return placed.select(chunk_id(name("book_id"), name("source_file"), F.col("page_start"), number).alias("chunk_id"), "book_id", "source_file", "element_type", "content", "token_count", "page_start", "page_end")
 
 
 # --- timed segments ---------------------------------------------------------------------------------------------------

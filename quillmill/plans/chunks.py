@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillmill.functions.text import token_count
 from quillmill.operators import chunking as ops
 from quillmill.operators.html import html_to_elements
+from quillmill.operators.tokens import chunk_texts_counted
 from quillmill.registry import query, table
 
 from . import views
@@ -25,6 +26,16 @@ def flagship(spark, d):
     return chunks.groupBy("lang").agg(F.count("*").alias("n_chunks"), F.min("token_count").alias("least"), F.max("token_count").alias("most"), F.sum("token_count").alias("tokens"))
 
 
+@query("c13_bpe_chunks")
+def _(spark, d):
+    """The same documents packed by the tokens of a public byte-level BPE vocabulary, counted in Arrow batches over arrays of
+    sentences; without SQL, as it has no BPE: tests compare with the library."""
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    return chunk_texts_counted(table(spark, d, "documents"), "doc_id", "text", ops.MAX_TOKENS, path, pattern)
+
+
 def document_elements(spark, d):
     """Documents as files of one element for each line."""
     docs = table(spark, d, "documents").select(F.col("lang").alias("book_id"), F.concat("source", F.lit("-"), F.col("doc_id").cast("string")).alias("source_file"), F.posexplode(F.split("text", "\n")).alias("elem_idx", "content"))

@@ -99,9 +99,17 @@ def _(spark, d):
     root = scratch_dir(spark, "st5")
     events = table(spark, d, "events").select("event_id", "user_id", "ts", (F.col("event_type") == "error").alias("failed"))
     source = cut(events, f"{root}/in", "event_id")
-    was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with jobs.keyed_state(spark):
         return jobs.run_to_table(jobs.failure_breaker(jobs.read_stream(spark, source), 3), f"{root}/cp", f"{root}/out")
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
+
+
+@query("st4_conversation_tail_expiring", f"SELECT conv_id, title, (updated_at - conv_id) // 60 AS last_turn FROM ({HEADERS_SQL}) AS h")
+def _(spark, d):
+    """State is forgotten after a century of silence, which no conversation of these has."""
+    root = scratch_dir(spark, "st4e")
+    turns = table(spark, d, "conversations").withColumn("ts", F.timestamp_seconds(F.col("conv_id") + 60 * F.col("turn")))
+    source = cut(turns, f"{root}/in", "turn")
+    with jobs.keyed_state(spark):
+        tail = jobs.conversation_tail_expiring(jobs.read_stream(spark, source), 100 * 365 * 86_400_000, "36500 days")
+        jobs.run_batches(tail, f"{root}/cp", lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{root}/out/b={batch}"), "update")
+    return spark.read.parquet(f"{root}/out").groupBy("conv_id").agg(F.max_by("title", "batch").alias("title"), F.max("last_turn").alias("last_turn"))

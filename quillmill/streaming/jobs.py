@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import threading
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,36 +147,110 @@ def run_with_progress(stream: DataFrame, name: str, checkpoint: str, path: str,
 
 
 def conversation_tail(turns: DataFrame) -> DataFrame:
-    """ST4: the header of each conversation, to be written in update mode."""
+    """ST4: the header of each conversation, to be written in update mode. State stays for ever; see conversation_tail_expiring()."""
     first = F.min_by(F.substring("text", 1, 20), F.when(F.col("role") == "user", F.col("turn")))
     return turns.groupBy("conv_id").agg(F.coalesce(first, F.lit("New conversation")).alias("title"), F.max("turn").alias("last_turn"))
 
 
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """The state store that processors of keys need, for the streams that are run inside."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
+class Tail(StatefulProcessor):
+    """The first user turn's title and the last turn of a conversation; one that is silent for idle_ms is forgotten."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("tail", "title string, titled long, last long, seen long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        title, titled, last, seen = self.state.get() if self.state.exists() else (None, None, None, None)
+        was = seen
+        for frame in rows:
+            ms = frame["ts"].astype("datetime64[ns]").to_numpy().astype("int64") // 1_000_000
+            for turn, text, at in sorted(zip(frame["turn"].tolist(), frame["text"].tolist(), ms.tolist(), strict=True), key=lambda r: (r[2], r[0])):
+                if seen is not None and at - seen >= self.idle_ms:
+                    title = titled = last = None  # its timer is due, but comes after the rows of a batch
+                seen = at if seen is None else max(seen, at)
+                last = turn if last is None else max(last, turn)
+                if text is not None and (titled is None or turn < titled):
+                    title, titled = text, turn
+        if was is not None:
+            self.handle.deleteTimer(was + self.idle_ms)
+        self.handle.registerTimer(seen + self.idle_ms)
+        self.state.update((title, titled, last, seen))
+        yield pd.DataFrame({"conv_id": [key[0]], "title": ["New conversation" if title is None else title], "last_turn": [last]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.state.clear()
+        yield pd.DataFrame({"conv_id": pd.Series([], dtype="int64"), "title": pd.Series([], dtype=object), "last_turn": pd.Series([], dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def conversation_tail_expiring(turns: DataFrame, idle_ms: int, delay: str = "0 seconds") -> DataFrame:
+    """ST4 with bounded state: turns (conv_id, turn, role, text, ts, none of the ids, turns and times null). A conversation that is
+    silent for idle_ms in event time is forgotten, and a turn that comes later begins a header of its own; rows later than delay
+    behind the newest are left out, as Spark does with them. Portions of a batch are read one after the other. Run it inside
+    keyed_state()."""
+    rows = turns.select("conv_id", "turn", F.when(F.col("role") == "user", F.substring("text", 1, 20)).alias("text"), F.col("ts").cast("timestamp").alias("ts"))
+    return rows.withWatermark("ts", delay).groupBy("conv_id").transformWithStateInPandas(Tail(idle_ms), "conv_id long, title string, last_turn long", "Update", "EventTime")
+
+
 class Breaker(StatefulProcessor):
-    """Counts failures in a row of each key; from the n-th on the key is open until the end. Rows of a batch go by time."""
+    """Counts failures in a row of each key; from the n-th on the key is open. Rows of a batch go by time. With idle_ms, a timer
+    in event time forgets a key that has had no row for so long."""
 
-    def __init__(self, n: int):
-        self.n = n
+    def __init__(self, n: int, idle_ms: int | None = None):
+        self.n, self.idle_ms = n, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("run", "length int, open boolean")
+        self.handle, self.state = handle, handle.getValueState("run", "length int, open boolean, last long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        length, open_ = self.state.get() if self.state.exists() else (0, False)
-        frame = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        out = []
-        for event, failed in zip(frame["event_id"], frame["failed"], strict=True):
-            out.append((key[0], event, bool(open_)))
-            length = length + 1 if failed else 0
-            open_ = open_ or length >= self.n
-        self.state.update((length, bool(open_)))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "degraded"])
+        length, open_, last = self.state.get() if self.state.exists() else (0, False, None)
+        # Portions are cut to three small columns; a batch has as many rows as its trigger lets in.
+        parts = [(f["ts"].astype("datetime64[ns]").to_numpy().astype("int64") // 1_000_000, f["event_id"].to_numpy(), f["failed"].to_numpy(bool)) for f in rows]
+        ms, events, failed = (np.concatenate(x) for x in zip(*parts, strict=True))
+        degraded = np.zeros(len(ms), bool)
+        order, newest = np.lexsort((events, ms)), last
+        for k, at, bad in zip(order.tolist(), ms[order].tolist(), failed[order].tolist(), strict=True):
+            if self.idle_ms is not None and newest is not None and at - newest >= self.idle_ms:
+                length, open_ = 0, False  # its timer is due, but comes after the rows of a batch
+            degraded[k] = open_
+            length = length + 1 if bad else 0
+            open_ = bool(open_ or length >= self.n)
+            newest = at if newest is None else max(newest, at)
+        if self.idle_ms is not None:
+            if last is not None:
+                self.handle.deleteTimer(last + self.idle_ms)
+            self.handle.registerTimer(newest + self.idle_ms)
+        self.state.update((length, open_, newest))
+        yield pd.DataFrame({"user_id": key[0], "event_id": events, "degraded": degraded})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.state.clear()
+        yield pd.DataFrame({"user_id": pd.Series([], dtype="int64"), "event_id": pd.Series([], dtype="int64"), "degraded": pd.Series([], dtype=bool)})
 
     def close(self) -> None:
         pass
 
 
-def failure_breaker(stream: DataFrame, n: int) -> DataFrame:
-    """ST5: stream (user_id, event_id, ts, failed): adds degraded to each row, as degrade_after_failures does for a table."""
+def failure_breaker(stream: DataFrame, n: int, idle_ms: int | None = None, delay: str = "0 seconds") -> DataFrame:
+    """ST5: stream (user_id, event_id, ts, failed): adds degraded to each row, as degrade_after_failures does for a table. With
+    idle_ms, a key without rows for so long (in event time) is forgotten, so it starts closed again, and rows that come later
+    than delay behind the newest are left out, as Spark does with them; without, state stays for ever. Run it inside keyed_state()."""
     rows = stream.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "failed")
-    return rows.groupBy("user_id").transformWithStateInPandas(Breaker(n), "user_id long, event_id long, degraded boolean", "Append", "None")
+    rows = rows if idle_ms is None else rows.withWatermark("ts", delay)
+    return rows.groupBy("user_id").transformWithStateInPandas(Breaker(n, idle_ms), "user_id long, event_id long, degraded boolean", "Append", "None" if idle_ms is None else "EventTime")

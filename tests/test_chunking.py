@@ -11,7 +11,11 @@ def element(kind, content, page=1):
 
 
 def run(*elements, most=512, overlap=50):
-    return FileChunker(most, overlap).run(list(elements), "b", "f.pdf")
+    found, used = FileChunker(most, overlap).run(list(elements))
+    names = ("seq", "element_type", "content", "token_count", "page_start", "page_end")
+    out = [dict(zip(names, c, strict=True)) for c in found]
+    assert all(c["seq"] < used for c in out)
+    return [c | {"chunk_id": f"b/f.pdf/{'pNone' if c['page_start'] is None else 'p%04d' % c['page_start']}/{c['seq']:04d}"} for c in out]
 
 
 def contents(*elements, **kw):
@@ -105,3 +109,24 @@ def test_segments(spark):
     assert out["b/f/0000"]["content"] == "[A] Hello there again you" and out["b/f/0000"]["end_sec"] == 3.0 and out["b/f/0000"]["low_confidence"]
     assert out["b/f/0001"]["content"] == "[B] yes I do now" and out["b/f/0001"]["score"] == 1.0
     assert out["b/g/0000"]["content"] == "x" and out["b/g/0000"]["low_confidence"]
+
+
+def test_sections_of_a_file_are_chunked_apart_and_numbered_together(spark):
+    """Random files, cut at their headings and breaks, have the chunks and numbers of whole files."""
+    import random
+
+    rnd = random.Random(7)
+    made = [("text", "## A heading"), ("section_break", ""), ("text", "Some plain words here."), ("text", "See the following:"), ("table", "| a | b |"), ("table", "- | - |\n| 1 | 2 |"), ("figure", "![x](y.png)"), ("text", "Figure 1.2: A caption"), ("text", "One. Two three four. Five six! Seven eight nine ten? Eleven."), ("code", "```x```"), ("text", "")]
+    rows, want = [], {}
+    for file in ("f.pdf", "g.pdf", None):
+        elements = [rnd.choice(made) for _ in range(120)]
+        rows += [("b", file, k, kind, content, k // 9) for k, (kind, content) in enumerate(elements)]
+        for c in FileChunker(12, 4).run([element(kind, content, k // 9) for k, (kind, content) in enumerate(elements)])[0]:
+            seq, kind, content, tokens, first, last = c
+            page = "pNone" if not first else f"p{first:04d}"
+            want[f"b/{file}/{page}/{seq:04d}"] = (file, kind, content, tokens, first, last)
+    df = spark.createDataFrame(rows, "book_id string, source_file string, elem_idx int, type string, content string, page_num int").repartition(7)
+    got = {r.chunk_id: tuple(r)[2:] for r in chunking.chunk_elements(df, 12, 4).collect()}
+    assert got == want
+    parts = chunking.sections(df).groupBy("source_file").agg({"section": "max"}).collect()
+    assert all(r[1] > 10 for r in parts)
