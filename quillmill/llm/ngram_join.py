@@ -44,6 +44,8 @@ WORDS, SIMILAR = 5, (80, 100)
 #: Members from which on the key of a group in several components is common; members of a block of a group of
 #: common tokens, and bytes of their sketches.
 COMMON, BLOCK, BLOCK_BYTES = 32, 1024, 1 << 22
+#: Possible pairs of firsts and sets up to which all are tried at once, without those of a forest before.
+FEW_PAIRS = 1_000_000
 #: Ids up to which they are sent to every executor to fetch their texts: below 32 MB.
 BROADCAST_IDS = 500_000
 PRIME, MIX_1, MIX_2, GOLDEN, ONE = (np.uint64(x) for x in (0x100000001B3, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 1))
@@ -502,7 +504,8 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", sim
         if left.filter("first").limit(2).count() == 2:
             rest = members(common, left, bands).join(by_token.select("node", "sketch").hint("merge"), "node")
             rest = scratch.write(rest, "rest")
-            for name, forest in (("sure", True), ("all", False)) if rest.limit(1).count() else ():
+            possible = rest.agg(F.sum("firsts")).first()[0] or 0
+            for name, forest in (("sure", True), ("all", False))[possible <= FEW_PAIRS :] if possible else ():
                 labels, more = extend(labels, more, scratch, f"before-{name}"), more.limit(0)
                 now = rest.join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
                 pairs = scratch.write(cross_classes(cells(now), bands, forest).distinct(), f"{name}-pairs")

@@ -26,6 +26,7 @@ def crowded(rnd, n, n_passages, words, own, edits):
 @pytest.mark.parametrize("seed, passages, words, own, edits, block", [(1, 1, 60, 8, 0, 1024), (2, 4, 50, 7, 1, 5), (3, 3, 30, 5, 2, 4)])
 def test_crowded_sets(spark, monkeypatch, seed, passages, words, own, edits, block):
     monkeypatch.setattr(ngram_join, "COMMON", 6)
+    monkeypatch.setattr(ngram_join, "FEW_PAIRS", 1_000_000 if seed == 3 else 0)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     rows = crowded(random.Random(seed), 150, passages, words, own, edits)
     got = ngram_join.similar_groups(spark.createDataFrame(rows, SCHEMA)).collect()
