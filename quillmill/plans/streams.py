@@ -107,7 +107,7 @@ def _(spark, d):
 def _(spark, d):
     """State is forgotten after a century of silence, which no conversation of these has."""
     root = scratch_dir(spark, "st4e")
-    turns = table(spark, d, "conversations").withColumn("ts", F.timestamp_seconds(F.col("conv_id") + 60 * F.col("turn")))
+    turns = table(spark, d, "conversations").withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.col("conv_id") + 60 * F.col("turn")))
     source = cut(turns, f"{root}/in", "turn")
     with jobs.keyed_state(spark):
         tail = jobs.conversation_tail_expiring(jobs.read_stream(spark, source), 100 * 365 * 86_400_000, "36500 days")
