@@ -10,7 +10,7 @@ from quillmill.sources import files as io
 from quillmill.sources.scratch import scratch_dir
 
 from . import views
-from .ingest import PAGE, delete_files, ingest_files, ingest_pages, read_store
+from .ingest import PAGE, delete_files, ingest_files, ingest_pages, read_store, roll_back
 
 
 def page_files(spark, d):
@@ -170,6 +170,16 @@ def _(spark, d):
     return store.join(io.read_manifest(spark, f"{root}/manifest").hint("merge"), ["book_id", "source_file"], "left_semi").withColumn("again", F.col("source_file").like("%00.html"))
 
 
+@query("ingest_roll_back", "SELECT coalesce(regexp_extract(url, '://([^/?#]+)', 1), '') AS book_id, count(DISTINCT sha256(html)) AS n_files FROM pages WHERE page_id % 10 <> 0 GROUP BY 1")
+def _(spark, d):
+    """The store on disk after every tenth file of a batch was rolled back."""
+    root, pages = scratch_dir(spark, "rollback"), page_files(spark, d)
+    ingest_pages(pages, root, 0)
+    failed = pages.filter(F.col("filename").rlike(r"0\.html$")).select("book_id", F.col("filename").alias("source_file"))
+    roll_back(spark, root, failed)
+    return read_store(spark, f"{root}/store").groupBy("book_id").agg(F.count_distinct("source_file").alias("n_files"))
+
+
 STOP_SQL = """WITH f AS (SELECT c_mktsegment AS book_id, lpad(CAST(c_custkey AS VARCHAR), 9, '0') || CASE WHEN c_nationkey % 5 < 2 THEN '.exe' ELSE '.pdf' END AS file, c_nationkey % 5 < 2 AS bad FROM customer),
   a AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY book_id ORDER BY file) AS run FROM f),
   b AS (SELECT *, sum(bad::INT) OVER (PARTITION BY book_id, run ORDER BY file) AS len FROM a),
