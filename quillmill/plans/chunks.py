@@ -174,6 +174,15 @@ def of_parts(spark, d, *elements: tuple[str, str]):
     return out.select("chunk_id", "element_type", "content")
 
 
+@query("x03_custom_counter", "SELECT 'parts/' || p_partkey || '/pNone/0000' AS chunk_id, p_name || ' ' || p_type AS content, CAST(length(p_name || ' ' || p_type) AS INT) AS token_count FROM part")
+def _(spark, d):
+    """A counter of one's own: signs are tokens."""
+    rows = F.array(F.struct(F.lit(0).alias("elem_idx"), F.col("p_name").alias("content")), F.struct(F.lit(1).alias("elem_idx"), F.col("p_type").alias("content")))
+    e = table(spark, d, "part").select(F.lit("parts").alias("book_id"), F.col("p_partkey").cast("string").alias("source_file"), F.explode(rows).alias("e"))
+    e = e.select("book_id", "source_file", "e.*", F.lit("text").alias("type"), F.lit(0).alias("page_num"))
+    return ops.chunk_elements(e, 1000, 0, count=len).select("chunk_id", "content", "token_count")
+
+
 @query("c08_move_lead_in_sentence", "SELECT 'parts/' || p_partkey || '/p0002/0000' AS chunk_id, 'text' AS element_type, p_name || ' is sold.' AS content FROM part UNION ALL SELECT 'parts/' || p_partkey || '/p0002/0001', 'table', 'See also: | ' || p_brand || ' |' FROM part")
 def _(spark, d):
     return of_parts(spark, d, ("text", "p_name || ' is sold. See also:'"), ("table", "'| ' || p_brand || ' |'"))

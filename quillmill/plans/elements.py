@@ -76,11 +76,65 @@ def _(spark, d):
     return docs.select("doc_id", F.posexplode(ops.split_markdown_blocks(F.col("md"))).alias("pos", "b")).select("doc_id", "pos", F.sha2("b", 256).alias("digest"))
 
 
-@query("x04_markdown_elements")
+#: The lines of documents as blocks of their pages; kinds by the rules of E02.
+LINE_BLOCKS = r"""SELECT doc_id, page_num, 0 AS pos, line AS block, trim(line, ' ' || chr(9) || chr(13)) AS content,
+  CASE WHEN regexp_matches(line, '^\s*[|].+[|]\s*$') THEN 'table' WHEN starts_with(ltrim(line), '![') THEN 'figure' ELSE 'text' END AS type
+  FROM (SELECT doc_id, generate_subscripts(l, 1) AS page_num, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) AS s) AS t WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''"""
+
+
+@query("x04_markdown_elements", f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_num) - 1 AS INT) AS elem_idx, type, content, CAST(page_num AS INT) AS page_num FROM ({LINE_BLOCKS}) AS b")
 def _(spark, d):
     return ops.markdown_elements(paged(spark, d), "doc_id")
 
 
+#: What follows the line of a page: closed code and a formula with blank lines, glued text, a row, and on every third page a fence that stays open.
+AFTER = r"""char(10) || char(10) || '```py' || char(10) || 'x = ' || page_num || char(10) || char(10) || 'y' || char(10) || '```' || char(10) || 'after' || char(10) || '$$' || char(10) || 'a' || char(10) || char(10) || 'b' || char(10) || '$$'
+  || char(10) || '| ' || doc_id || ' |' || CASE WHEN page_num % 3 = 0 THEN char(10) || char(10) || '```open' || char(10) || char(10) || 'rest' || char(10) ELSE char(10) END"""
+PAGES_SQL = "SELECT doc_id, generate_subscripts(l, 1) AS page_num FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) AS s"
+RICH_SQL = f"""WITH p AS ({PAGES_SQL}), b AS ({LINE_BLOCKS}
+  UNION ALL SELECT doc_id, page_num, 1, '```py' || chr(10) || 'x = ' || page_num || chr(10) || chr(10) || 'y' || chr(10) || '```', 'x = ' || page_num || chr(10) || chr(10) || 'y', 'code' FROM p
+  UNION ALL SELECT doc_id, page_num, 2, 'after', 'after', 'text' FROM p
+  UNION ALL SELECT doc_id, page_num, 3, '$$' || chr(10) || 'a' || chr(10) || chr(10) || 'b' || chr(10) || '$$', 'a' || chr(10) || chr(10) || 'b', 'formula' FROM p
+  UNION ALL SELECT doc_id, page_num, 4, '| ' || doc_id || ' |', '| ' || doc_id || ' |', 'table' FROM p
+  UNION ALL SELECT doc_id, page_num, 5, '```open' || chr(10) || chr(10) || 'rest', 'rest', 'code' FROM p WHERE page_num % 3 = 0)"""
+
+
+def rich(spark, d):
+    return paged(spark, d).withColumn("content", F.concat("content", F.expr(AFTER)))
+
+
+@query("e01_fences_and_formulas", f"{RICH_SQL} SELECT doc_id, CAST(page_num AS INT) AS page_num, CAST(row_number() OVER (PARTITION BY doc_id, page_num ORDER BY pos) - 1 AS INT) AS pos, sha256(block) AS digest FROM b")
+def _(spark, d):
+    blocks = rich(spark, d).select("doc_id", "page_num", F.posexplode(ops.split_markdown_blocks(F.col("content"))).alias("pos", "b"))
+    return blocks.select("doc_id", "page_num", "pos", F.sha2("b", 256).alias("digest"))
+
+
+@query("x04_typed_elements", f"{RICH_SQL} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_num, pos) - 1 AS INT) AS elem_idx, type, sha256(content) AS digest, CAST(page_num AS INT) AS page_num FROM b")
+def _(spark, d):
+    return ops.markdown_elements(rich(spark, d), "doc_id").select("doc_id", "elem_idx", "type", F.sha2("content", 256).alias("digest"), "page_num")
+
+
+#: Each part as a page: chrome and head are skipped, containers opened, and p, li and b are left open as on real pages.
+NESTED_HTML = """'<!DOCTYPE html><html><head><title>' || p_name || '</title><script>var t="</p>";</script></head><body><nav><ul><li>' || p_type || '</li></ul></nav><!-- ' || p_brand || ' --><div class="ad">not a block</div><article><section><h2> '
+  || p_name || ' </h2><p><b>' || p_brand || '  &amp; more<br><p>See <i>' || p_type || '</i><img alt="' || p_brand || '" src="i/' || p_partkey || '.png"></p><ul><li>one<li>' || p_brand || '</ul><pre> a ' || p_partkey || '
+ b</pre><figure><table><tr><th>k<th>v<tr><td>' || p_partkey || '<td>' || p_brand || '</table><figcaption>Table 1: ' || p_name || '</figcaption></figure></section></article><footer><p>' || p_name || '</footer>'"""
+NESTED_SQL = """SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY pos) - 1 AS INT) AS elem_idx, type, content FROM (
+  SELECT p_partkey, 1 AS pos, 'text' AS type, '## ' || trim(p_name) AS content FROM part
+  UNION ALL SELECT p_partkey, 2, 'text', p_brand || ' & more' FROM part
+  UNION ALL SELECT p_partkey, 3, 'figure', '![' || p_brand || '](i/' || p_partkey || '.png)' FROM part
+  UNION ALL SELECT p_partkey, 4, 'text', 'See ' || p_type FROM part
+  UNION ALL SELECT p_partkey, 5, 'text', '- one' || chr(10) || '- ' || p_brand FROM part
+  UNION ALL SELECT p_partkey, 6, 'code', 'a ' || p_partkey || chr(10) || ' b' FROM part
+  UNION ALL SELECT p_partkey, 7, 'table', '| k | v |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_partkey || ' | ' || p_brand || ' |' FROM part
+  UNION ALL SELECT p_partkey, 8, 'text', 'Table 1: ' || p_name FROM part) AS e"""
+
+
+@query("s04_nested_pages", NESTED_SQL)
+def _(spark, d):
+    """E04-E11 together, in the order of a page, with chrome around them."""
+    return html_to_elements(table(spark, d, "part").select("p_partkey", F.expr(NESTED_HTML).alias("html")), "p_partkey").select("p_partkey", "elem_idx", "type", "content")
+
+
 @query("e11_page_figures", "SELECT page_id, 0 AS elem_idx, 'figure' AS type, '![a](img/' || page_id || '.png)' AS content FROM pages UNION ALL SELECT page_id, 1, 'text', 'see' FROM pages")
 def _(spark, d):
     pages = table(spark, d, "pages").select("page_id", F.concat(F.lit("<body><p>"), F.lit('<img alt="a" src="../img/'), F.col("page_id").cast("string"), F.lit('.png">see</p></body>')).alias("html"), F.lit("text/ch.html").alias("base"))

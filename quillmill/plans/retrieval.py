@@ -203,6 +203,19 @@ def _(spark, d):
     return ops.embed(table(spark, d, "documents").select("doc_id", "text"), "text", ops.hashing_encoder()).select("doc_id", "embedding")
 
 
+def shape_encoder():
+    """Another encoder: the numbers of signs and of spaces of a text, loaded once for each task."""
+    import numpy as np
+
+    return lambda many: np.array([[len(t), t.count(" ")] for t in many], np.float32)
+
+
+@query("x01_embed_custom", "SELECT doc_id, CAST(length(text) AS FLOAT) AS signs, CAST(length(text) - length(replace(text, ' ', '')) AS FLOAT) AS spaces FROM documents")
+def _(spark, d):
+    v = ops.embed(table(spark, d, "documents").select("doc_id", "text"), "text", lambda: shape_encoder(), out="v")
+    return v.select("doc_id", F.col("v")[0].alias("signs"), F.col("v")[1].alias("spaces"))
+
+
 #: Vectors as chunks of a book for each label, with the texts of their ids; a text without document has none.
 TOOL_CHUNKS = """(SELECT vec_id AS chunk_id, CAST(label AS VARCHAR) AS book_id, coalesce(source, 'none') AS source_file, CAST(vec_id % 7 + 1 AS INT) AS page_start, CAST(vec_id % 7 + 1 + vec_id % 2 AS INT) AS page_end,
   text AS content FROM embeddings LEFT JOIN documents ON doc_id = vec_id)"""

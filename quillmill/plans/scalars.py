@@ -53,7 +53,7 @@ def _(spark, d):
 
 @query(
     "e02_classify_block",
-    f"""SELECT doc, elem_idx, CASE WHEN starts_with(content, '```') AND ends_with(content, '```') THEN 'code' WHEN starts_with(content, '|') AND ends_with(content, '|') THEN 'table'
+    f"""SELECT doc, elem_idx, CASE WHEN starts_with(content, '```') THEN 'code' WHEN starts_with(content, '|') AND ends_with(content, '|') THEN 'table'
       WHEN starts_with(content, '![') THEN 'figure' ELSE 'text' END AS kind, CASE WHEN starts_with(content, '```') THEN '' ELSE content END AS body FROM ({views.ELEMENTS_SQL}) AS e""",
 )
 def _(spark, d):
@@ -61,6 +61,18 @@ def _(spark, d):
     return views.elements(spark, d).select("doc", "elem_idx", b["type"].alias("kind"), b["content"].alias("body"))
 
 
+#: A block of some kind for each part: open and closed fences, formulas, rows between other lines, and what only looks like one of these.
+KINDS = """SELECT p_partkey, CASE p_partkey % 11 WHEN 0 THEN '```sql' || chr(10) || p_name WHEN 1 THEN '```' || chr(10) || p_name || chr(10) || '```' WHEN 2 THEN '$$ ' || p_name || ' $$' WHEN 3 THEN '$$$$' WHEN 4 THEN '||'
+  WHEN 5 THEN p_name || chr(13) || chr(10) || ' | ' || p_brand || ' | ' || chr(13) || chr(10) || 'end' WHEN 6 THEN '| ' || p_name WHEN 7 THEN '![' || p_name || '](a.png)' WHEN 8 THEN 'see ![' || p_name || '](a.png)' WHEN 9 THEN '```' || p_name ELSE '# ' || p_name END AS block FROM part"""
+
+
+@query("e02_kinds_of_blocks", f"""SELECT p_partkey, CASE WHEN p_partkey % 11 IN (0, 1, 9) THEN 'code' WHEN p_partkey % 11 = 2 THEN 'formula' WHEN p_partkey % 11 = 5 THEN 'table' WHEN p_partkey % 11 = 7 THEN 'figure' ELSE 'text' END AS kind,
+  CASE WHEN p_partkey % 11 IN (0, 1, 2) THEN p_name WHEN p_partkey % 11 = 9 THEN '' ELSE block END AS body FROM ({KINDS}) AS k JOIN part USING (p_partkey)""")
+def _(spark, d):
+    b = f.classify_block(F.col("block"))
+    return views.view(spark, d, KINDS).select("p_partkey", b["type"].alias("kind"), b["content"].alias("body"))
+
+
 @query("e03_strip_page_artifact", r"SELECT doc_id, sha256(text) AS digest FROM documents")
 def _(spark, d):
     marked = F.concat("text", F.lit("\n\n{"), F.col("doc_id").cast("string"), F.lit("}  \n"))
