@@ -6,11 +6,13 @@ import itertools
 import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
 import tiktoken
+import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
@@ -453,6 +455,26 @@ def test_assign(spark):
     assert len({(r["doc_id"], r["shard"]) for r in rows}) == 51
 
 
+def test_assign_against_lists_of_preferences(spark):
+    """Whole permutations of the slots, from which shards take turns; slots by the xxhash package."""
+    shards, size = [f"shard-{k}" for k in range(7)], 211
+    digest = lambda s, salt: int(hashlib.sha256(f"{salt}:{s}".encode()).hexdigest()[:16], 16)
+    wishes = [[(digest(s, "offset") + j * (digest(s, "skip") % (size - 1) + 1)) % size for j in range(size)] for s in shards]
+    assert all(sorted(w) == list(range(size)) for w in wishes)
+    owner: dict[int, str] = {}
+    turn = 0
+    while len(owner) < size:
+        slot = next(x for x in wishes[turn % 7] if x not in owner)
+        owner[slot] = shards[turn % 7]
+        turn += 1
+    keys = [*range(-500, 500), 1 << 62, None]
+    slot_of = {k: (42 if k is None else int.from_bytes(xxhash.xxh64(struct.pack("<q", k), seed=42).digest(), "big", signed=True)) % size for k in keys}
+    found = {r["doc_id"]: (r["slot"], r["shard"]) for r in sharding.assign(spark.createDataFrame([(k,) for k in keys], "doc_id long"), shards, size=size).collect()}
+    assert found == {k: (slot_of[k], owner[slot_of[k]]) for k in keys}
+    counts = collections.Counter(owner.values())
+    assert max(counts.values()) - min(counts.values()) <= 1
+
+
 URLS = [
     "http://A.example.NET/en/x?a#b", "https://example.net", "https://example.net/", "https://sub.example.com/de/", "https://example.com/deeper", "ftp://x.org/fr/y", "x.org/fr/", None, "", "http://net/", "http://notnet/", "http://a.b.net/en/", "http://h.org?/fr/",
     "http://h.org/fr", "https://example.net//en/", "u://v://net/", "http://example.net/en/", "http:///x", "http://é.net/ü",
