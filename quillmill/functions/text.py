@@ -17,6 +17,10 @@ SENTENCE_END = r"(?<=[.!?])(?U:\s)+(?=[A-Z]|(?U:\d))|(?<=[。！？])"
 LOOSE_END = r"(?<=[.!?])(?U:\s)+|(?<=[。！？])"
 #: Fixed value: how a caption begins.
 CAPTION = r"^(Figure|Table|图|表)\s*\d+(\.\d+)*\s*[:：\s]"
+#: How code fences, table rows, formulas and figures of markdown are told.
+FENCE, FENCE_OPENS, FENCE_CLOSES = "```", r"^```[^\n]*\n?", r"\n?```$"
+LINE_END, ROW = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", r"^\|[^\n]+\|$"
+MATH, IMAGE = "$$", "!["
 #: Tags at the end of an answer.
 CALCULATED, CITED = "[calculated]", "[sources: "
 
@@ -127,11 +131,11 @@ def is_caption(content: Column) -> Column:
 def classify_block(block: Column) -> Column:
     """Struct (type, content); the first rule that fits decides."""
     b = stripped(block)
-    code = b.startswith("```")  # whether it is closed or not
-    inner = stripped(F.regexp_replace(F.regexp_replace(b, r"^```[^\n]*\n?", ""), r"\n?```$", ""))
-    formula = b.startswith("$$") & b.endswith("$$") & (F.length(b) > 4)
-    table = F.exists(F.split(b, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda line: stripped(line).rlike(r"^\|[^\n]+\|$"))
-    kind = F.when(code, "code").when(formula, "formula").when(table, "table").when(b.startswith("!["), "figure").otherwise("text")
+    code = b.startswith(FENCE)  # whether it is closed or not
+    inner = stripped(F.regexp_replace(F.regexp_replace(b, FENCE_OPENS, ""), FENCE_CLOSES, ""))
+    formula = b.startswith(MATH) & b.endswith(MATH) & (F.length(b) > 4)
+    table = F.exists(F.split(b, LINE_END), lambda line: stripped(line).rlike(ROW))
+    kind = F.when(code, "code").when(formula, "formula").when(table, "table").when(b.startswith(IMAGE), "figure").otherwise("text")
     return F.struct(kind.alias("type"), F.when(code, inner).when(formula, stripped(F.substring(b, F.lit(3), F.length(b) - 4))).otherwise(b).alias("content"))
 
 
@@ -141,7 +145,7 @@ def strip_page_artifact(section: Column) -> Column:
 
 
 def format_timestamp(seconds: Column) -> Column:
-    """H:MM:SS, cut off."""
+    """H:MM:SS, cut off. Times count from the start of a recording; a negative one has no defined form."""
     s = F.floor(seconds).cast("bigint")
     return F.format_string("%d:%02d:%02d", F.floor(s / 3600).cast("bigint"), F.floor(s % 3600 / 60).cast("bigint"), s % 60)
 
