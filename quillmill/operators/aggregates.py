@@ -101,11 +101,12 @@ def hit_rate(hits: DataFrame) -> DataFrame:
     return per_question.rollup("subject").agg(F.sum("hit").alias("hits"), F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("rate"), F.grouping("subject").cast("int").alias("is_total"))
 
 
-def recall_at_depths(truth: DataFrame, ranked: DataFrame, depths=(5, 10, 20, 30, 40, 50)) -> DataFrame:
+def recall_at_depths(truth: DataFrame, ranked: DataFrame, depths=(5, 10, 20, 30, 40, 50), sizes: DataFrame | None = None) -> DataFrame:
     """Truth (qid, chunk_id), ranked (pool, qid, chunk_id, rank): share of truth chunks within each depth, by pool.
 
-    The truth is counted once; only ranked rows meet it, so no pair of pool and truth is made."""
-    n = truth.distinct().agg(F.count("*").alias("n"))
+    The truth is counted once; only ranked rows meet it, so no pair of pool and truth is made. With sizes (qid, n), how many truth
+    chunks each question has, truth may be only the pairs among ranked."""
+    n = truth.distinct().agg(F.count("*").alias("n")) if sizes is None else sizes.agg(F.sum("n").alias("n"))
     found = ranked.join(truth.distinct().hint("merge"), ["qid", "chunk_id"]).groupBy("pool", "qid", "chunk_id").agg(F.min("rank").alias("rank"))
     at = found.groupBy("pool").agg(*(F.count_if(F.col("rank") <= k).alias(str(k)) for k in depths))
     long = at.select("pool", F.explode(F.array(*(F.struct(F.lit(k).alias("depth"), F.col(str(k)).alias("found")) for k in depths))).alias("x"))

@@ -42,3 +42,21 @@ def test_vectors_against_brute_force(spark):
             assert {(r.qid, r.chunk_id, r.distance + 0.0, r["rank"]) for r in got} == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_truth_by_classes_equals_its_pairs(spark):
+    from quillmill.operators import aggregates, joins, windows
+
+    chunks = spark.createDataFrame([(i, i % 4 if i != 12 else None) for i in range(30)] + [(99, 9)], "chunk_id long, label int")
+    asked = chunks.filter("chunk_id % 5 = 4 OR chunk_id = 12").withColumnRenamed("chunk_id", "qid")
+    pairs = asked.join(chunks, "label").filter("qid <> chunk_id").select("qid", "chunk_id")
+    rng = np.random.default_rng(3)
+    ranked = [(int(q), int(c), r + 1, p) for q in (4, 9, 12, 14, 99) for p in "ab" for r, c in enumerate(rng.permutation(30)[:6])]
+    ranked = spark.createDataFrame(ranked, "qid long, chunk_id long, rank int, pool string")
+    some, sizes = joins.truth_among(ranked, asked, chunks, "label"), joins.truth_sizes(asked, chunks, "label")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(sizes) == rows(pairs.groupBy("qid").count()) and some.count() < pairs.count()
+    assert rows(joins.hits(some, ranked, 3, sizes)) == rows(joins.hits(pairs, ranked, 3))
+    assert rows(aggregates.recall_at_depths(some, ranked, sizes=sizes)) == rows(aggregates.recall_at_depths(pairs, ranked))
+    assert rows(windows.pool_overlap(some, ranked, 4, sizes)) == rows(windows.pool_overlap(pairs, ranked, 4))
+    assert rows(windows.rank_of_truth(some, ranked)) == rows(windows.rank_of_truth(pairs, ranked))
