@@ -16,9 +16,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from quillmill.sources.store import same
 
 
-def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = 1) -> DataFrame:
+    """Without files_per_batch, all files that are there and new make one micro-batch."""
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    return (stream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else stream).parquet(path)
 
 
 def run_batches(stream: DataFrame, checkpoint: str, work, mode: str = "append") -> None:
@@ -248,8 +249,8 @@ class Breaker(StatefulProcessor):
 
 
 def failure_breaker(stream: DataFrame, n: int, idle_ms: int | None = None, delay: str = "0 seconds") -> DataFrame:
-    """ST5: stream (user_id, event_id, ts, failed): adds degraded to each row, as degrade_after_failures does for a table. With
-    idle_ms, a key without rows for so long (in event time) is forgotten, so it starts closed again, and rows that come later
+    """ST5: stream (user_id, event_id, ts, failed): adds degraded to each row, as degrade_after_failures does for a table, if no
+    micro-batch has rows older than those of an earlier one. With idle_ms, a key without rows for so long (in event time) is forgotten, so it starts closed again, and rows that come later
     than delay behind the newest are left out, as Spark does with them; without, state stays for ever. Run it inside keyed_state()."""
     rows = stream.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "failed")
     rows = rows if idle_ms is None else rows.withWatermark("ts", delay)
