@@ -2,11 +2,10 @@
 
 Base rules count words, symbols, repeated lines and repeated three-word windows. The method compares a document's
 histograms of character classes and of common words with those of its language, by Jensen-Shannon distance. The common words
-of a language are those that stand in the most of a bounded number of its documents, SAMPLE_DOCS; a null language is one
-too. The references are sums over all documents that pass the base rules, taken twice: the second time without the documents
+of a language are those that stand in the most of its documents, all of which are counted; a null language is one too. The references are sums over all documents that pass the base rules, taken twice: the second time without the documents
 far from the first references, which junk has drawn towards itself. Short documents, whose histograms say little, are guarded:
 with fewer than LEAST_WORDS words none is rejected by its distances, and above that the limits fall towards their values.
-Counting runs once over the texts, inside the tasks that hold them; what is left is one row of small counts for each document,
+After the common words, counting runs once over the texts, inside the tasks that hold them; what is left is one row of small counts for each document,
 written to the shared folder, from which references and distances follow natively.
 """
 
@@ -20,11 +19,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, append_arrow, bounded_sample, texts
+from .common import Scratch, append_arrow, texts
 
-#: Documents of each language from which its common words are learned, and how many words these are; the histogram has a bin for
-#: each and one for all other words.
-SAMPLE_DOCS, COMMON_WORDS = 1_000, 30
+#: Common words of a language: the histogram has a bin for each and one for all other words. Words that a task sums up at a time.
+COMMON_WORDS, MOST_HELD = 30, 200_000
 #: The bins of the histogram of character classes.
 CLASSES = ("lower", "upper", "digit", "blank", "newline", "stop", "symbol", "other")
 SYMBOLS = "#*$%&|<>"
@@ -61,18 +59,28 @@ def bare(word: bytes) -> bytes:
 
 
 def common_words(docs: DataFrame, key: str, text: str, lang: str) -> dict[str | None, list[bytes]]:
-    """For each value of lang, null too, the words that most of SAMPLE_DOCS of its documents hold, ties by the word."""
-    chosen = bounded_sample(docs.filter(F.length(text) > 0).select(key, lang), lang, F.col(key), SAMPLE_DOCS).select(F.col(key).alias("_k"), F.col(lang).alias("_l")).distinct()
-    sample = docs.join(F.broadcast(chosen), F.col(key).eqNullSafe(F.col("_k")) & F.col(lang).eqNullSafe(F.col("_l")))
+    """For each value of lang, null too, the words that most of its documents hold, ties by the word. All documents count; tasks sum
+    up the words they hold, MOST_HELD at a time."""
 
     def held(batches):
+        seen: Counter = Counter()
+
+        def cut():
+            pairs, n = list(seen), list(seen.values())
+            seen.clear()
+            for at in range(0, len(pairs), 10_000):
+                some = pairs[at : at + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in some], pa.string()), pa.array([p[1] for p in some], pa.binary()), pa.array(n[at : at + 10_000], pa.int64())], names=["lang", "word", "n"])
+
         for batch in batches:
             for t, own in zip(texts(batch, "_text"), batch.column(1).to_pylist(), strict=True):
-                found = [w for w in {bare(w) for w in (t or "").encode("utf-8", "surrogatepass").split()} if w]
-                yield pa.RecordBatch.from_arrays([pa.array([own] * len(found), pa.string()), pa.array(found, pa.binary())], names=["lang", "word"])
+                seen.update((own, w) for w in {bare(w) for w in set((t or "").encode("utf-8", "surrogatepass").split())} if w)
+                if len(seen) >= MOST_HELD:
+                    yield from cut()
+        yield from cut()
 
-    counts = sample.select(F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang")).mapInArrow(held, "lang string, word binary").groupBy("lang", "word").agg(F.count("*").alias("n"))
-    most = Window.partitionBy("lang").orderBy(F.desc("n"), "word")  # the words of SAMPLE_DOCS texts
+    counts = docs.select(F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang")).mapInArrow(held, "lang string, word binary, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    most = Window.partitionBy("lang").orderBy(F.desc("n"), "word")  # tasks leave no more than COMMON_WORDS of a language to it
     out: dict[str | None, list[bytes]] = {}
     for r in counts.withColumn("k", F.row_number().over(most)).filter(F.col("k") <= COMMON_WORDS).orderBy("lang", "k").collect():
         out.setdefault(r["lang"], []).append(bytes(r["word"]))
