@@ -16,6 +16,8 @@ from quillmill.functions.text import greedy_pack, joined, sentences
 
 #: Signs of a piece of a word that has more tokens than a chunk may have, for each token: a sign has up to four bytes, each a token at most.
 BYTES_OF_A_SIGN = 4
+#: Texts, and bytes of them, that a task counts at a time; one longer text goes alone.
+TEXTS, BYTES = 10_000, 1 << 20
 
 
 @lru_cache(2)
@@ -31,6 +33,15 @@ def bpe_counter(path: str, pattern: str) -> Callable[[list[str]], list[int]]:
     return lambda many: [len(x) for x in encoding.encode_ordinary_batch(many, num_threads=1)]
 
 
+def in_portions(texts: pa.Array, count: Callable[[list[str]], list[int]]) -> list[int]:
+    """The counts of texts without nulls; count gets at most TEXTS and BYTES of them at a time, so the ids of a batch are never held whole."""
+    ends, n = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)), []
+    while (at := len(n)) < len(texts):
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES, "right"))
+        n += count(texts.slice(at, min(max(upto - at, 1), TEXTS)).to_pylist())
+    return n
+
+
 def with_counts(df: DataFrame, items: str, path: str, pattern: str, out: str = "counts") -> DataFrame:
     """Adds out: for an array of texts the array of their counts, for a text its count; null for null, and for null items. The
     vocabulary is loaded once for each Python worker; rows stay where they are. A column of the name is replaced."""
@@ -42,7 +53,7 @@ def with_counts(df: DataFrame, items: str, path: str, pattern: str, out: str = "
     def counted(values: pa.Array) -> pa.Array:
         there = values.is_valid().to_numpy(zero_copy_only=False)
         found = np.zeros(len(values), np.int32)
-        found[there] = bpe_counter(path, pattern)(values.drop_null().to_pylist())
+        found[there] = in_portions(values.drop_null(), bpe_counter(path, pattern))
         return pa.array(found, pa.int32(), mask=~there)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
