@@ -2,7 +2,10 @@
 
 import pyarrow as pa
 
-from quillmill.operators import tokens
+from quillmill import registry
+from quillmill.operators import html, tokens
+
+from .conftest import SF
 
 
 def test_tokens_are_counted_in_portions(monkeypatch):
@@ -12,3 +15,8 @@ def test_tokens_are_counted_in_portions(monkeypatch):
     assert tokens.in_portions(pa.array(texts), lambda some: seen.append(some) or [len(t) for t in some]) == [len(t) for t in texts]
     assert all(len(some) == 1 or sum(len(t.encode()) for t in some) <= 10 for some in seen) and max(map(len, seen)) > 1
     assert sum(seen, []) == texts and tokens.in_portions(pa.array([], pa.string()), len) == []
+
+
+def test_pages_of_a_small_table_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(html, "PAGES_OF_A_TASK", 20)
+    assert registry.queries()["s04_nested_pages"](spark, SF).rdd.getNumPartitions() == 10
