@@ -3,9 +3,9 @@
 import pyarrow as pa
 
 from quillmill import registry
-from quillmill.operators import html, tokens
+from quillmill.operators import html, joins, tokens
 
-from .conftest import SF
+from .conftest import SF, rows_of
 
 
 def test_tokens_are_counted_in_portions(monkeypatch):
@@ -17,6 +17,15 @@ def test_tokens_are_counted_in_portions(monkeypatch):
     assert sum(seen, []) == texts and tokens.in_portions(pa.array([], pa.string()), len) == []
 
 
+def test_many_hints_of_one_title_stay_where_they_are(spark):
+    hints = spark.createDataFrame([(k, "a", "Red Widget") for k in range(50)] + [(90, "b", ""), (91, "c", "no")], "qid int, file string, title string")
+    chunks = spark.createDataFrame([("a", "a red widget", "1"), ("a", "blue", "2"), ("b", "red widget", "3"), ("d", "red widget", "4"), ("a", None, "5")], "source_file string, content string, chunk_id string")
+    found = joins.gt_section_match(hints, chunks)
+    assert rows_of(found, ["qid", "chunk_id"]) == sorted([("1", k) for k in range(50)] + [("3", 90)], key=repr)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "strategy=merge" not in plan
+
+
 def test_pages_of_a_small_table_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(html, "PAGES_OF_A_TASK", 20)
     assert registry.queries()["s04_nested_pages"](spark, SF).rdd.getNumPartitions() == 10
