@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 SHARES = tuple(4.0**-k for k in range(20, -1, -1))
 #: ASCII white space, as Java's and RE2's regular expressions write it.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a few numbers up to which a written table goes to every task of a join: below 32 MB.
+FEW_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -76,6 +78,16 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+def is_few(df: DataFrame) -> bool:
+    """Whether a written table has at most FEW_ROWS rows."""
+    return df.count() <= FEW_ROWS
+
+
+def beside(df: DataFrame, few: bool) -> DataFrame:
+    """A side of a join: few rows go to the tasks of the other side, which stay as they are; else both are sorted and merged."""
+    return df.hint("broadcast" if few else "merge")
+
+
 def held_out(key: str = "doc_id", remainder: int = 2) -> Column:
     """crc32 of the id as text, modulo 4, equals remainder; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == remainder, F.lit(False))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, append_arrow
+from .common import FEW_ROWS, Scratch, append_arrow, beside, is_few
 from .graph import components
 
 #: Words of a shingle, and the least similarity as a fraction.
@@ -160,20 +160,26 @@ class Corpus:
         self.ids = scratch.write(self.rows.select("id", F.md5("text").alias("hash")), "ids")
         self.firsts = scratch.write(self.ids.filter("id IS NOT NULL").groupBy("hash").agg(F.min("id").alias("node")), "firsts")
 
-    def first_texts(self, rows: DataFrame) -> DataFrame:
+    def first_texts(self, rows: DataFrame, firsts: DataFrame | None = None) -> DataFrame:
         """(node, text, hash) of the rows that have a text's least id. Rows meet firsts by id, not by hash: rows of one text,
-        however many, spread over all tasks."""
-        side = self.firsts.select("node", F.col("hash").alias("first_hash"))
-        found = rows.join(side.hint("shuffle_hash"), F.col("id") == F.col("node")).filter(F.md5("text") == F.col("first_hash"))
+        however many, spread over all tasks. firsts: few of them, which go to the rows."""
+        side = (self.firsts if firsts is None else firsts).select("node", F.col("hash").alias("first_hash"))
+        found = rows.join(side.hint("shuffle_hash" if firsts is None else "broadcast"), F.col("id") == F.col("node")).filter(F.md5("text") == F.col("first_hash"))
         return found.select("node", "text", F.col("first_hash").alias("hash"))
 
     def all_texts(self) -> DataFrame:
         return self.first_texts(self.rows)
 
     def texts_of(self, wanted: DataFrame, name: str) -> DataFrame:
-        """The same for the ids of wanted (w): up to BROADCAST_IDS of them are sent to the texts, else both are shuffled."""
+        """The same for the ids of wanted (w): up to BROADCAST_IDS of them are sent to the texts, else both are shuffled. Few go with
+        their hashes, so no text is shuffled."""
         ids = self.scratch.write(wanted.distinct(), name)
-        side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+        n = ids.count()
+        if n <= FEW_ROWS:
+            known = self.scratch.write(self.firsts.join(F.broadcast(ids), F.col("node") == F.col("w"), "left_semi"), f"{name}-firsts")
+            if is_few(known):
+                return self.first_texts(self.rows, known)
+        side = F.broadcast(ids) if n <= BROADCAST_IDS else ids.hint("shuffle_hash")
         return self.first_texts(self.rows.join(side, F.col("id") == F.col("w")).select("id", "text"))
 
 
@@ -395,9 +401,12 @@ def cross_classes(rows: DataFrame, bands: Bands, forest: bool) -> DataFrame:
 
 
 def verify(pairs: DataFrame, found: DataFrame, corpus: Corpus, bands: Bands, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b), distinct, that are similar: first by their sketches, then exactly by their texts."""
-    side = found.select("node", "n", "sketch")
-    close = pairs.join(side.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b")).hint("merge"), "b")
+    """The pairs (a, b), distinct, that are similar: first by their sketches, then exactly by their texts. Few pairs go to what is
+    known of b, and only the rest of what they name is shuffled."""
+    side, few = found.select("node", "n", "sketch"), is_few(pairs)
+    if few:
+        side = side.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("w"))), F.col("node") == F.col("w"), "left_semi")
+    close = side.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b")).join(beside(pairs, few), "b")
     close = close.join(side.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a")).hint("merge"), "a")
     num, den = bands.num, bands.den
 
@@ -411,7 +420,7 @@ def verify(pairs: DataFrame, found: DataFrame, corpus: Corpus, bands: Bands, scr
     if not close.limit(1).count():
         return close
     own = scratch.write(corpus.texts_of(close.select(F.explode(F.array("a", "b")).alias("w")), f"{name}-wanted").select("node", "text"), f"{name}-texts")
-    both = close.join(own.select(F.col("node").alias("b"), F.col("text").alias("t_b")).hint("merge"), "b")
+    both = own.select(F.col("node").alias("b"), F.col("text").alias("t_b")).join(beside(close, is_few(close)), "b")
     both = both.join(own.select(F.col("node").alias("a"), F.col("text").alias("t_a")).hint("merge"), "a")
 
     def exactly(batches):
@@ -432,29 +441,31 @@ def verify(pairs: DataFrame, found: DataFrame, corpus: Corpus, bands: Bands, scr
 def open_groups(met: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, node, component, size) of the groups of three or more that are in several components."""
     large = met.filter("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("node")).distinct()
-    known = large.join(labels.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    known = large.join(beside(labels, is_few(labels)), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     several = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low < high").select("key", "size")
     return known.join(several.hint("merge"), "key")
 
 
 def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The distinct pairs (a, b), a < b, whose components differ."""
+    few = is_few(labels)
     pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for c in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")).hint("merge"), c, "left")
+        pairs = pairs.join(beside(labels.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")), few), c, "left")
     return pairs.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
 
 
 def extend(labels: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """labels (node, component) after more links: only the components that these join are taken further."""
-    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")).hint("merge")
+    few = is_few(labels)
+    of = lambda c: beside(labels.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")), few)
     joined = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
     joined = scratch.write(joined.filter("a <> b").distinct(), f"{name}-joined")
     if not joined.limit(1).count():
         return labels
     merged = components(joined, scratch, f"{name}-merged").select(F.col("node").alias("was"), F.col("component").alias("now"))
-    kept = labels.join(merged.hint("merge"), F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
-    new = merged.join(labels.hint("merge"), F.col("was") == F.col("node"), "left_anti").select("was", "now")
+    kept = labels.join(beside(merged, is_few(merged)), F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
+    new = merged.join(beside(labels, few), F.col("was") == F.col("node"), "left_anti").select("was", "now")
     return scratch.write(kept.union(new), f"{name}-labels")
 
 
@@ -469,7 +480,7 @@ def link_groups(met: DataFrame, found: DataFrame, labels: DataFrame, more: DataF
     labels = extend(labels, links.union(more) if more else links, scratch, name)
     still = scratch.write(open_groups(met, labels), f"{name}-open")
     few = still.filter(F.col("size") < COMMON).join(found.select("node", "n", "sketch").distinct().hint("merge"), "node")
-    pairs = scratch.write(cross(few, bands).distinct().join(seen.hint("merge"), ["a", "b"], "left_anti"), f"{name}-more")
+    pairs = scratch.write(cross(few, bands).distinct().join(beside(seen, is_few(seen)), ["a", "b"], "left_anti"), f"{name}-more")
     scratch.release()
     return labels, verify(pairs, found, corpus, bands, scratch, f"{name}-second"), still.filter(F.col("size") >= COMMON)
 
@@ -511,7 +522,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", sim
                 pairs = scratch.write(cross_classes(cells(now), bands, forest).distinct(), f"{name}-pairs")
                 more = verify(pairs, found, corpus, bands, scratch, name)
     labels = extend(labels, more, scratch, "last")
-    of_node = corpus.firsts.join(found.select("node", "hash", "n").distinct().hint("merge"), ["node", "hash"]).join(labels.hint("merge"), "node", "left")
+    of_node = corpus.firsts.join(found.select("node", "hash", "n").distinct().hint("merge"), ["node", "hash"]).join(beside(labels, is_few(labels)), "node", "left")
     of_node = of_node.select(F.col("hash").alias("node_hash"), "n", F.coalesce("component", "node").alias("component"))
     of_row = corpus.ids.join(scratch.write(of_node, "classes").hint("merge"), F.col("hash") == F.col("node_hash"), "left")
     component = F.when(F.coalesce("n", F.lit(0)) > 0, F.least("component", "id")).otherwise(F.col("id"))

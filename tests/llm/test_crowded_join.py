@@ -93,3 +93,27 @@ def test_a_common_passage_grows_in_proportion(spark, monkeypatch, own, linked):
         assert groups == (1 if linked else n)
         sizes.append(counts)
     assert all(sizes[1][k] <= 5 * sizes[0][k] + 50 for k in sizes[0]), sizes
+
+
+def test_few_rows_are_not_shuffled(spark, monkeypatch):
+    """Labels that are few go to the links: a round of components has one shuffle, not six; with none few the results are equal."""
+    from quillmill.llm import common, graph
+
+    links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(k, 90) for k in range(91, 99)], "a long, b long")
+    plans = []
+
+    class Seen(common.Scratch):
+        def write(self, df, name):
+            plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+            return super().write(df, name)
+
+    few = {tuple(r) for r in graph.components(links, Seen(spark, "few"), "c").collect()}
+    rounds = [plan for name, plan in plans if name in ("c-1", "c-2")]
+    assert len(rounds) == 2 and all(plan.count("Exchange hashpartitioning") == 1 for plan in rounds)
+    rows = crowded(random.Random(7), 60, 2, 40, 5, 1)
+    monkeypatch.setattr(common, "FEW_ROWS", 0)
+    monkeypatch.setattr(ngram_join, "FEW_ROWS", 0)
+    monkeypatch.setattr(ngram_join, "COMMON", 6)
+    assert {tuple(r) for r in graph.components(links, common.Scratch(spark, "many"), "c").collect()} == few
+    got = ngram_join.similar_groups(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_groups(rows)
