@@ -17,24 +17,45 @@ from .io import page_files, recordings
 
 def cut(df, path: str, order: str, files: int = 3) -> str:
     """Files in the order of a column, each by one append, so that their times follow the order too."""
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    for k in range(files):
-        a, b = low + (high - low + 1) * k // files, low + (high - low + 1) * (k + 1) // files
-        df.filter((F.col(order) >= a) & (F.col(order) < b)).write.mode("append").parquet(path)
+    for part in slices(df, order, files):
+        part.write.mode("append").parquet(path)
     return path
 
 
+def slices(df, order: str, n: int):
+    """The rows of n equal ranges of a column, one after the other."""
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    for k in range(n):
+        a, b = low + (high - low + 1) * k // n, low + (high - low + 1) * (k + 1) // n
+        yield df.filter((F.col(order) >= a) & (F.col(order) < b))
+
+
+def tails(spark, turns, root: str, tail):
+    """tail(stream) over three slices of turns that arrive one after the other: each is read as one micro-batch however many files it
+    has. The last row of each conversation."""
+    keep = lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{root}/out/b={batch}")
+    for part in slices(turns, "turn", 3):
+        part.write.mode("append").parquet(f"{root}/in")
+        jobs.run_batches(tail(jobs.read_stream(spark, f"{root}/in", None)), f"{root}/cp", keep, "update")
+    return spark.read.parquet(f"{root}/out").groupBy("conv_id").agg(F.max_by("title", "batch").alias("title"), F.max("last_turn").alias("last_turn"))
+
+
 ST1_SQL = """SELECT coalesce(regexp_extract(url, '://([^/?#]+)', 1), '') AS book_id, 'stored' AS place, count(DISTINCT html) AS n_files FROM pages WHERE html IS NOT NULL GROUP BY ALL
 UNION ALL SELECT 'talks', 'stored', count(DISTINCT conv_id) FROM conversations HAVING count(*) > 0
 UNION ALL SELECT 'images', 'staged', count(*) FROM part HAVING count(*) > 0
 UNION ALL SELECT 'suppliers', CASE WHEN s_suppkey % 2 = 0 THEN 'stored' ELSE 'staged' END, count(*) FROM supplier GROUP BY ALL"""
 
 
+#: Of staged Parquet files that a micro-batch of the ingest takes.
+BYTES_PER_BATCH = 1 << 30
+
+
 @query("st1_incremental_ingest", ST1_SQL)
 def _(spark, d):
     """Files of all four routes, staged in several parquet files: pages as books, conversations as recordings, parts as images
     without a describer, suppliers as converted pages, every second one in a file of no route. What is stored has left the
-    folder, the rest stays in it; started again, the run adds nothing."""
+    folder, the rest stays in it; started again, the run adds nothing. Batches are counted in bytes, so their number doesn't follow
+    that of small files."""
     root = scratch_dir(spark, "st1")
     name = lambda key, ext: F.concat(F.lpad(F.col(key).cast("string"), 9, "0"), ext if isinstance(ext, Column) else F.lit(ext)).alias("filename")
     books = page_files(spark, d).filter("html IS NOT NULL").select("book_id", F.regexp_replace("filename", "html$", "epub").alias("filename"), F.array("html").alias("chapters"))
@@ -47,7 +68,7 @@ def _(spark, d):
         files = files.unionByName(more, allowMissingColumns=True)
     source = cut(files.withColumn("n", F.crc32("filename")), f"{root}/in", "n")
     for _ in range(2):
-        jobs.incremental_ingest(spark, source, root, files_per_batch=8)
+        jobs.incremental_ingest(spark, source, root, None, BYTES_PER_BATCH)
     stored = read_store(spark, f"{root}/store").select("book_id", F.lit("stored").alias("place"), "source_file").distinct()
     staged = spark.read.parquet(source).select("book_id", F.lit("staged").alias("place"), F.col("filename").alias("source_file"))
     return stored.union(staged).groupBy("book_id", "place").agg(F.count("*").alias("n_files"))
@@ -87,11 +108,7 @@ def _(spark, d):
 
 @query("st4_conversation_tail", f"SELECT conv_id, title, (updated_at - conv_id) // 60 AS last_turn FROM ({HEADERS_SQL}) AS h")
 def _(spark, d):
-    root = scratch_dir(spark, "st4")
-    source = cut(table(spark, d, "conversations"), f"{root}/in", "turn")
-    tail = jobs.conversation_tail(jobs.read_stream(spark, source))
-    jobs.run_batches(tail, f"{root}/cp", lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{root}/out/b={batch}"), "update")
-    return spark.read.parquet(f"{root}/out").groupBy("conv_id").agg(F.max_by("title", "batch").alias("title"), F.max("last_turn").alias("last_turn"))
+    return tails(spark, table(spark, d, "conversations"), scratch_dir(spark, "st4"), jobs.conversation_tail)
 
 
 @query("st5_failure_breaker", E19_SQL.replace("SELECT event_id, ", "SELECT user_id, event_id, "))
@@ -111,10 +128,6 @@ def _(spark, d):
 @query("st4_conversation_tail_expiring", f"SELECT conv_id, title, (updated_at - conv_id) // 60 AS last_turn FROM ({HEADERS_SQL}) AS h")
 def _(spark, d):
     """State is forgotten after a century of silence, which no conversation of these has."""
-    root = scratch_dir(spark, "st4e")
     turns = table(spark, d, "conversations").withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.col("conv_id") + 60 * F.col("turn")))
-    source = cut(turns, f"{root}/in", "turn")
     with jobs.keyed_state(spark):
-        tail = jobs.conversation_tail_expiring(jobs.read_stream(spark, source), 100 * 365 * 86_400_000, "36500 days")
-        jobs.run_batches(tail, f"{root}/cp", lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{root}/out/b={batch}"), "update")
-    return spark.read.parquet(f"{root}/out").groupBy("conv_id").agg(F.max_by("title", "batch").alias("title"), F.max("last_turn").alias("last_turn"))
+        return tails(spark, turns, scratch_dir(spark, "st4e"), lambda stream: jobs.conversation_tail_expiring(stream, 100 * 365 * 86_400_000, "36500 days"))

@@ -16,9 +16,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from quillmill.sources.store import same
 
 
-def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = 1) -> DataFrame:
-    """Without files_per_batch, all files that are there and new make one micro-batch."""
+def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = 1, bytes_per_batch: int | None = None) -> DataFrame:
+    """A micro-batch takes files_per_batch files, or about bytes_per_batch bytes of them; without either, all that are there and new."""
     stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    if bytes_per_batch:
+        return stream.option("maxBytesPerTrigger", bytes_per_batch).parquet(path)
     return (stream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else stream).parquet(path)
 
 
@@ -33,10 +35,10 @@ def run_to_table(stream: DataFrame, checkpoint: str, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def incremental_ingest(spark: SparkSession, staged: str, root: str, files_per_batch: int = 1, **options) -> None:
+def incremental_ingest(spark: SparkSession, staged: str, root: str, files_per_batch: int | None = 1, bytes_per_batch: int | None = None, **options) -> None:
     """ST1: the list of staged files, a folder of parquet files whose rows are files of any route as ingest_files() takes them
     (options are its own). What is stored leaves the folder; rows that failed, were held back or not attempted stay in it, in files
-    of their own, and are tried again by the next run. A batch id names what it wrote, so a rerun adds nothing.
+    of their own, and are tried again by the next run. Batches are sized by files or, if it is given, by bytes_per_batch. A batch id names what it wrote, so a rerun adds nothing.
 
     Files are archived below root when the run has ended, since a batch that is repeated reads them again; what stays is
     moved into the folder before, name by name, so a run that was cut short is brought to its end by the next one."""
@@ -45,7 +47,7 @@ def incremental_ingest(spark: SparkSession, staged: str, root: str, files_per_ba
     tidy_staged(spark, staged, root)
     if not any_parquet(spark, staged):
         return
-    stream = read_stream(spark, staged, files_per_batch).withColumn("_taken", F.col("_metadata.file_path"))
+    stream = read_stream(spark, staged, files_per_batch, bytes_per_batch).withColumn("_taken", F.col("_metadata.file_path"))
 
     def work(df: DataFrame, batch: int) -> None:
         df = df.persist()
