@@ -27,6 +27,17 @@ def test_many_hints_of_one_title_stay_where_they_are(spark):
     assert "strategy=broadcast" in plan and "strategy=merge" not in plan
 
 
+def test_pairs_of_pages_need_no_distinct(spark):
+    """Repetitions go before the join; pairs come once although hints overlap, chunks are copied and ids stand in several places."""
+    hints = [(q, f, float(a), float(a + n)) for q in range(12) for f, a, n in ((f"f{q % 3}", q, 9), (f"f{q % 3}", q + 2, 0.5 * q), ("f1", -3, q), ("f1", -3, q), ("f2", q + 0.3, 0.4), (None, 1, 2), ("f0", 5, -2))]
+    chunks = [(f"f{k % 3}", k % 25 - 5, f"c{k % 40}") for k in range(150)] + [("f1", 4, None), ("f2", 4, None), ("f1", None, "x"), (None, 4, "y"), ("f1", 4, "one"), ("f1", 4, "one")]
+    found = joins.gt_page_match(spark.createDataFrame(hints, "qid int, file string, first double, last double"), spark.createDataFrame(chunks, "source_file string, page_start int, chunk_id string"))
+    want = {(c, q) for q, f, a, b in hints for g, p, c in chunks if f and f == g and p is not None and a <= p <= b}
+    assert rows_of(found) == sorted(want, key=repr)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
+
+
 def test_pages_of_a_small_table_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(html, "PAGES_OF_A_TASK", 20)
     assert registry.queries()["s04_nested_pages"](spark, SF).rdd.getNumPartitions() == 10
