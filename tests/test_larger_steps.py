@@ -4,8 +4,9 @@ import numpy as np
 import pyarrow as pa
 
 from quillmill import registry
-from quillmill.operators import html, joins, lexical_index, retrieval, tokens
+from quillmill.operators import elements, html, joins, lexical_index, retrieval, tokens, windows
 from quillmill.operators.retrieval import lexical_top_k
+from quillmill.plans import ingest
 
 from .conftest import SF, rows_of
 
@@ -84,3 +85,41 @@ def test_scores_of_a_shard_come_in_portions(monkeypatch):
     scores = {n: s[:, 0].tolist() for (n,), s in cut}
     assert np.allclose(scores["y"], [idf(2) * weight(2, 3) + idf(3) * weight(1, 3), idf(3) * weight(1, 3)]) and np.allclose(scores["x"], [idf(2) * weight(1, 2), 0])
     assert all(np.allclose(whole[0][1][:, k], s[:, 0]) for k, (_, s) in enumerate(cut))
+
+
+def test_only_names_that_several_have_pass_a_window(spark, tmp_path):
+    plain = [("b", f"f{k}.pdf", f"{k}") for k in range(40)]
+    files = spark.createDataFrame([*plain, ("b", "f1.pdf", "x"), ("b", "f1(1).pdf", "y"), ("c", "f1.pdf", "z"), ("b", "g", "1"), ("b", "old.pdf", "2")], "book_id string, filename string, arrival string")
+    manifest = spark.createDataFrame([("b", "s", "old.pdf"), ("b", "t", "old(1).pdf"), ("c", "u", "g")], "book_id string, sha256 string, source_file string")
+    found = windows.resolve_source_names(files, manifest, f"{tmp_path}/names")
+    assert rows_of(spark.read.parquet(f"{tmp_path}/names")) == [("b", "f1.pdf"), ("b", "old.pdf")]
+    want = [(a, b, f, f) for b, f, a in plain] + [("x", "b", "f1.pdf", "f1(2).pdf"), ("y", "b", "f1(1).pdf", "f1(1).pdf"), ("z", "c", "f1.pdf", "f1.pdf"), ("1", "b", "g", "g"), ("2", "b", "old.pdf", "old(2).pdf")]
+    assert rows_of(found) == sorted(want, key=repr)
+
+
+def test_elements_of_pages_need_no_shuffle(spark):
+    pages = spark.createDataFrame([("k", p, f"# a{p}\n\nb\n\n```\nc\n\nd\n```") for p in (2, 1, 11)] + [("l", 1, "x"), ("l", 2, "")], "key string, page_num int, content string")
+    dense, gaps = (elements.markdown_elements(pages, "key", dense=d) for d in (True, False))
+    plan = gaps._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    order = lambda df: [(r.key, r.type, r.content, r.page_num) for r in sorted(df.collect(), key=lambda r: (r.key, r.elem_idx))]
+    assert order(dense) == order(gaps) and len({(r.key, r.elem_idx) for r in gaps.collect()}) == gaps.count() == 10
+
+
+def test_a_batch_keeps_one_step_at_a_time(spark, tmp_path, monkeypatch):
+    """Tables that a step has used are gone before the next one shuffles; portions give what one pass gives."""
+    seen, files = {}, spark.createDataFrame([(f"b{k % 3}", f"{k % 50}.pdf", f"{ingest.PAGE}# Title {k}\n\nText {k}.\n\n# More\n\n|a|\n|---|\n|{k}|{ingest.PAGE}End of {k}.") for k in range(60)], "book_id string, filename string, markdown string")
+
+    def spied(name):
+        f = getattr(ingest, name)
+        monkeypatch.setattr(ingest, name, lambda *a, **k: seen.setdefault(name, []).append({p.name for p in tmp_path.glob("cut/*") if p.name != "store" and list(p.rglob("*.parquet"))}) or f(*a, **k))
+
+    stored = lambda root: rows_of(ingest.read_store(spark, f"{root}/store"))
+    ingest.ingest_files(files, f"{tmp_path}/whole", 0)
+    for name in ("file_elements", "chunk_elements", "write_chunks"):
+        spied(name)
+    monkeypatch.setattr(ingest, "PORTION", 1)
+    ingest.ingest_files(files, f"{tmp_path}/cut", 0)
+    assert seen["file_elements"] == [{"known", "good", "speech"}] and seen["chunk_elements"] == [{"elements", "speech", "status"}]
+    assert seen["write_chunks"] == [{"chunks", "counts", "status"}] * 8
+    assert stored(f"{tmp_path}/cut") == stored(f"{tmp_path}/whole") and len(stored(f"{tmp_path}/cut")) > 60
